@@ -36,14 +36,10 @@ def shingles_column(words: Column, size: int = SHINGLE) -> Column:
     return F.when(F.size(words) > 0, several).otherwise(F.array().cast("array<bigint>"))
 
 
-def simhash_column(shingles: Column) -> Column:
-    """64-bit SimHash: a bit is set where more than half of the shingle occurrences have it set."""
-    half = F.size(shingles)
-    bits = [F.when(2 * F.aggregate(shingles, F.lit(0).cast("long"), lambda n, h, b=b: n + F.shiftrightunsigned(h, b).bitwiseAND(F.lit(1).cast("long"))) > half, F.lit(1 << b if b < 63 else -(1 << 63)).cast("long")).otherwise(F.lit(0).cast("long")) for b in range(BITS)]
-    total = bits[0]
-    for bit in bits[1:]:
-        total = total.bitwiseOR(bit)
-    return total
+def simhash_column(bag: str) -> Column:
+    """64-bit SimHash of an array column: a bit is set where more than half of the shingle occurrences have it set."""
+    ones = f"aggregate({bag}, 0L, (n, h) -> n + (shiftrightunsigned(h, b) & 1L))"
+    return F.expr(f"aggregate(transform(sequence(0, {BITS - 1}), b -> if(2 * {ones} > size({bag}), shiftleft(1L, b), 0L)), 0L, (x, y) -> x | y)")
 
 
 def block_column(fingerprint: Column, at: Column) -> Column:
@@ -68,7 +64,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, percent: int = 80, radiu
     that repeat a doc_id add up under it; rows without a doc_id are left out, since they couldn't be named.
     """
     items = materialize(benchmark_items(benchmark), "benchmark-items")
-    by_shingle = items.select(F.explode("shingles").alias("shingle"), "w").distinct()
+    by_shingle = items.select(F.explode_outer("shingles").alias("shingle"), "w").filter("shingle is not null").distinct()
     known = by_shingle.groupBy("shingle").agg(F.sort_array(F.collect_set("w")).alias("sizes"))
     known = materialize(known, "benchmark-shingles")
     if known.count() <= MOST_BROADCAST:
@@ -76,7 +72,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, percent: int = 80, radiu
 
     texts = docs.filter("doc_id is not null").select("doc_id", F.crc32(F.col("text").cast("binary")).alias("crc"), words_column("text").alias("words"))
     texts = texts.select("doc_id", "crc", F.size("words").alias("n"), shingles_column(F.col("words")).alias("shingles"))
-    hits = texts.select("doc_id", "crc", "n", "shingles", F.posexplode("shingles").alias("at", "shingle")).join(known, "shingle")
+    # Outer, as the optimizer would test the arrays of an inner explode before it, by computing them once more a word.
+    hits = texts.select("doc_id", "crc", "n", "shingles", F.posexplode_outer("shingles").alias("at", "shingle")).join(known, "shingle")
     by_size = hits.select("doc_id", "crc", "n", "shingles", "at", F.explode("sizes").alias("w"))
     found = by_size.groupBy("doc_id", "crc", "w").agg(F.first("n").alias("n"), F.first("shingles").alias("shingles"), F.sort_array(F.collect_set("at")).alias("at"))
 
@@ -98,12 +95,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, percent: int = 80, radiu
             )
         )
     )
-    windows = found.select("doc_id", "w", "shingles", "m", F.explode(starts).alias("start")).select("doc_id", "w", "start", F.slice("shingles", F.col("start") + 1, F.col("m")).alias("bag"))
-    windows = windows.withColumn("print", simhash_column(F.col("bag")))
+    windows = found.select("doc_id", "w", "shingles", "m", F.explode_outer(starts).alias("start")).filter("start is not null").select("doc_id", "w", "start", F.slice("shingles", F.col("start") + 1, F.col("m")).alias("bag"))
+    windows = windows.withColumn("print", simhash_column("bag"))
 
     blocks = F.explode(F.sequence(F.lit(0), F.lit(BLOCKS - 1))).alias("block")
     masks = F.explode(F.array(*[F.lit(m) for m in near_masks(radius // BLOCKS)])).alias("mask")
-    prints = items.withColumn("item_print", simhash_column(F.col("shingles")))
+    prints = items.withColumn("item_print", simhash_column("shingles"))
     index = prints.select("item_id", "w", "shingles", "item_print", blocks).select("*", masks)
     index = index.select("item_id", "w", F.col("shingles").alias("item_bag"), "item_print", "block", block_column(F.col("item_print"), F.col("block")).bitwiseXOR(F.col("mask")).alias("value"))
     probes = windows.select("*", blocks).withColumn("value", block_column(F.col("print"), F.col("block")))
