@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -40,18 +43,32 @@ def words_of(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").split() if text else []
 
 
-def lower_words_of(text: str | None) -> list[bytes]:
-    """As words_of, with A-Z (and nothing else) in lower case."""
-    return text.encode("utf-8", "surrogatepass").lower().split() if text else []
+def lower_words_of(text: str | bytes | None) -> list[bytes]:
+    """As words_of, with A-Z (and nothing else) in lower case; UTF-8 bytes may be given instead."""
+    if not text:
+        return []
+    return (text.encode("utf-8", "surrogatepass") if isinstance(text, str) else text).lower().split()
 
 
-class WordHash(dict):
+class WordHash:
     """64-bit hashes of words, kept between texts and emptied when they grow too many."""
 
-    MOST = 1 << 19
+    MOST = 1 << 18
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.MOST:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
-        return value
+    def __init__(self):
+        self.known: dict[bytes, int] = {}
+
+    def of(self, words: list[bytes]) -> np.ndarray:
+        known = self.known
+        if len(known) > self.MOST:
+            known.clear()
+        for word in set(words).difference(known):
+            known[word] = xxhash.xxh3_64_intdigest(word)
+        return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+
+
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    """Arrow batches of so many rows at most, so that what a task holds at once stays small."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trailwork.llm.common import WordHash, lower_words_of, materialize
+from trailwork.llm.common import WordHash, lower_words_of, materialize, slices
 from trailwork.llm.components import components
 
 BINS = 1 << 18
@@ -31,18 +31,18 @@ BINS = 1 << 18
 CHUNK = 1 << 14
 SALT = 64
 BITMAP = 1024
-#: Places of the filter of wanted classes.
-FILTER = 1 << 22
+#: Places of the filters of shared n-grams and of wanted classes.
+FILTER = 1 << 24
 #: Classes in a block of a tile, about.
 BLOCK = 4096
 
 
-def ngram_set(text: str | None, n: int, hashes: WordHash) -> np.ndarray:
+def ngram_set(text: str | bytes | None, n: int, hashes: WordHash) -> np.ndarray:
     """Sorted distinct hashes of the n-grams of a whole text; fewer words than n make one n-gram, none make none."""
     words = lower_words_of(text)
     if not words:
         return np.zeros(0, np.uint64)
-    values = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
+    values = hashes.of(words)
     out = np.full(max(1, len(values) - n + 1), len(words) if len(words) < n else n, np.uint64)
     with np.errstate(over="ignore"):
         for k in range(min(n, len(values))):
@@ -55,6 +55,25 @@ def key_of(grams: np.ndarray) -> bytes:
     return hashlib.blake2b(grams.tobytes(), digest_size=16).digest()
 
 
+def pack(grams: np.ndarray) -> bytes:
+    """The sorted low 48 bits of the hashes, six bytes each."""
+    low = np.unique(grams & np.uint64((1 << 48) - 1))
+    return low.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+
+
+def unpack(data: bytes) -> np.ndarray:
+    wide = np.zeros((len(data) // 6, 8), np.uint8)
+    wide[:, :6] = np.frombuffer(data, np.uint8).reshape(-1, 6)
+    return wide.view("<u8").ravel()
+
+
+def filter_of(bits: DataFrame) -> np.ndarray:
+    """A bitmap of FILTER places from a table of places (bit); what reaches the driver is bounded by FILTER."""
+    out = np.zeros(FILTER, bool)
+    out[bits.distinct().toArrow().column("bit").to_numpy()] = True
+    return np.packbits(out)
+
+
 def needed(a, b, percent: int):
     """Least intersection of sets of sizes a and b at a Jaccard of percent / 100 or more: 100 i >= percent (a + b - i)."""
     return -(-percent * (a + b) // (100 + percent))
@@ -85,7 +104,7 @@ def jaccard_classes(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame
     has no other. class_links is the number of verified links to other classes that the join used to connect this one.
     """
     spark = docs.sparkSession
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """A row for every document, then rows with this task's n-gram counts by bin."""
@@ -93,7 +112,7 @@ def jaccard_classes(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame
 
         hashes, bins = WordHash(), np.zeros(BINS, np.int64)
         names = ["doc_id", "n_shingles", "class_key", "chunk", "part", "counts"]
-        for b in batches:
+        for b in slices(batches):
             found = [ngram_set(x, n, hashes) for x in b.column("text").to_pylist()]
             if found:
                 bins += np.bincount((np.concatenate(found) & np.uint64(BINS - 1)).astype(np.int64), minlength=BINS)
@@ -123,7 +142,7 @@ def jaccard_classes(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame
     def classes_in(batches: Iterator[pa.RecordBatch], make) -> Iterator[pa.RecordBatch]:
         """make's rows for every class of the task, once each."""
         hashes, done = WordHash(), set()
-        for b in batches:
+        for b in slices(batches):
             out = []
             for text in b.column("text").to_pylist():
                 grams = ngram_set(text, n, hashes)
@@ -144,8 +163,24 @@ def jaccard_classes(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame
 
     indexed = base.mapInArrow(index, "class_key binary, n long, bitmap binary, prefix array<long>")
     indexed = materialize(indexed.groupBy("class_key").agg(*[F.first(x).alias(x) for x in ("n", "bitmap", "prefix")]), "jaccard-index")
-    entries = indexed.select("class_key", "n", F.posexplode("prefix").alias("at", "gram"))
-    leaders = entries.groupBy("gram").agg(F.count("*").alias("holders"), F.min_by(F.struct("class_key", "n"), F.struct("at", "n", "class_key")).alias("leader")).filter("holders > 1").drop("holders")
+    grams = indexed.select(F.explode("prefix").alias("gram")).groupBy("gram").agg(F.count("*").alias("holders")).filter("holders > 1")
+    may_share = spark.sparkContext.broadcast(filter_of(grams.select((F.col("gram").bitwiseAND(F.lit(FILTER - 1).cast("long"))).cast("int").alias("bit"))))
+
+    def entries_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(gram, at, class_key, n) for the grams that the filter lets through; the aggregation below is exact."""
+        known = np.unpackbits(may_share.value)
+        for x in slices(batches):
+            lists = x.column("prefix")
+            gram = lists.flatten().to_numpy()
+            size = lists.value_lengths().to_numpy()
+            row = np.repeat(np.arange(x.num_rows), size)
+            at = np.arange(len(gram)) - np.repeat(np.cumsum(size) - size, size)
+            on = known[gram & (FILTER - 1)] == 1
+            take = pa.array(row[on])
+            yield pa.RecordBatch.from_arrays([pa.array(gram[on]), pa.array(at[on].astype(np.int32)), x.column("class_key").take(take), x.column("n").take(take)], names=["gram", "at", "class_key", "n"])
+
+    entries = materialize(indexed.select("class_key", "n", "prefix").mapInArrow(entries_of, "gram long, at int, class_key binary, n long"), "jaccard-entries")
+    leaders = entries.groupBy("gram").agg(F.count("*").alias("holders"), F.min(F.struct("at", "n", "class_key")).alias("leader")).filter("holders > 1").drop("holders")
     shared_grams = materialize(entries.join(leaders, "gram").select("gram", "at", "class_key", "n", F.col("leader.class_key").alias("leader"), F.col("leader.n").alias("leader_n")), "jaccard-shared")
     sized = (100 * F.least("n", "leader_n") >= percent * F.greatest("n", "leader_n")) & (F.col("class_key") != F.col("leader"))
     spokes = shared_grams.filter(sized).select(F.least("class_key", "leader").alias("a"), F.greatest("class_key", "leader").alias("b")).distinct()
@@ -168,33 +203,31 @@ def jaccard_classes(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame
 
         likely = materialize(pairs.join(left, "a").join(right, "b").select("a", "b", "na", "nb", "bits_a", "bits_b").mapInArrow(may_link, "a binary, b binary"), f"{name}-likely")
         wanted = likely.select(F.col("a").alias("class_key")).unionByName(likely.select(F.col("b").alias("class_key"))).distinct()
-        # A filter of fixed size tells most rows that no pair needs; the join below is exact.
-        bit = F.conv(F.hex(F.substring("class_key", 1, 4)), 16, 10).cast("long") % FILTER
-        bits = np.zeros(FILTER, bool)
-        bits[wanted.select(bit.alias("bit")).distinct().toArrow().column("bit").to_numpy()] = True
-        sought = spark.sparkContext.broadcast(np.packbits(bits))
+        # A filter of fixed size tells most rows that no pair needs; the joins below are exact.
+        bit = (F.conv(F.hex(F.substring("class_key", 1, 4)), 16, 10).cast("long") % FILTER).cast("int")
+        sought = spark.sparkContext.broadcast(filter_of(wanted.select(bit.alias("bit"))))
 
         def arrays(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             known = np.unpackbits(sought.value)
-            for out in classes_in(batches, lambda key, grams: (key, grams.tobytes()) if known[int.from_bytes(key[:4], "big") % FILTER] else None):
+            for out in classes_in(batches, lambda key, grams: (key, pack(grams)) if known[int.from_bytes(key[:4], "big") % FILTER] else None):
                 yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in out], pa.binary()), pa.array([g for _, g in out], pa.binary())], names=["class_key", "grams"])
 
-        sets = base.mapInArrow(arrays, "class_key binary, grams binary").join(wanted, "class_key").groupBy("class_key").agg(F.first("grams").alias("grams"))
-        sets = materialize(sets, f"{name}-sets")
+        sets = base.mapInArrow(arrays, "class_key binary, grams binary")
+        asked = likely.select(F.explode(F.array(F.struct(F.col("a").alias("class_key"), F.lit(0).alias("side")), F.struct(F.col("b").alias("class_key"), F.lit(1).alias("side")))).alias("x"), "a", "b").select("x.*", "a", "b")
+        sent = asked.join(sets.groupBy("class_key").agg(F.first("grams").alias("grams")), "class_key").select("a", "b", "side", "grams")
+        whole = sent.groupBy("a", "b").agg(F.min(F.struct("side", "grams")).alias("p"), F.max(F.struct("side", "grams")).alias("q"))
 
         def intersect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for x in batches:
+            for x in slices(batches):
                 good = []
-                for p, q in zip(x.column("grams_a").to_pylist(), x.column("grams_b").to_pylist(), strict=True):
-                    p, q = np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64)
+                for p, q in zip(x.column("p").to_pylist(), x.column("q").to_pylist(), strict=True):
+                    p, q = unpack(p), unpack(q)
                     both = np.sort(np.concatenate([p, q]), kind="stable")
                     good.append(int((both[1:] == both[:-1]).sum()) >= needed(len(p), len(q), percent))
                 kept = x.filter(pa.array(good, pa.bool_()))
                 yield pa.RecordBatch.from_arrays([kept.column("a"), kept.column("b")], names=["a", "b"])
 
-        with_a = likely.join(sets.select(F.col("class_key").alias("a"), F.col("grams").alias("grams_a")), "a")
-        with_b = with_a.join(sets.select(F.col("class_key").alias("b"), F.col("grams").alias("grams_b")), "b")
-        return materialize(with_b.select("a", "b", "grams_a", "grams_b").mapInArrow(intersect, "a binary, b binary"), f"{name}-links")
+        return materialize(whole.select("a", "b", F.col("p.grams").alias("p"), F.col("q.grams").alias("q")).mapInArrow(intersect, "a binary, b binary"), f"{name}-links")
 
     star_links = exact(spokes, "jaccard-star")
     # Classes that link to the same leader are connected: one label each, no need to compare them again.
@@ -218,7 +251,8 @@ def jaccard_classes(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame
     # Tiles with one class or one label have nothing to compare.
     sides = spread.groupBy("gram", "band", "i", "j", "next").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.countDistinct("side").alias("sides"))
     busy = sides.filter("low != high and (sides = 2 or (next = 0 and i = j))").drop("low", "high", "sides")
-    payload = indexed.select("class_key", "bitmap", "prefix")
+    # Of its index entries, a class takes along those that other classes have too.
+    payload = shared_grams.groupBy("class_key").agg(F.collect_list(F.struct("at", "gram")).alias("prefix")).join(indexed.select("class_key", "bitmap"), "class_key")
     tiles = spread.join(busy, ["gram", "band", "i", "j", "next"]).join(payload, "class_key")
 
     def compare(key: tuple, rows: pa.Table) -> pa.Table:
@@ -247,7 +281,7 @@ def jaccard_classes(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame
         for i, j in found:
             for x in (i, j):
                 if x not in before:
-                    before[x] = set(prefix[x].as_py()[: position[x]])
+                    before[x] = {g["gram"] for g in prefix[x].as_py() if g["at"] < position[x]}
             if not before[i] & before[j]:
                 out.append((min(keys[i], keys[j]), max(keys[i], keys[j])))
         return pa.table({"a": pa.array([x[0] for x in out], pa.binary()), "b": pa.array([x[1] for x in out], pa.binary())})

@@ -65,7 +65,7 @@ def measure(text: str | None, lengths: tuple[int, ...], hashes: WordHash) -> tup
     lines = Counter(line for line in raw.split(b"\n") if line.split())
     n_lines = sum(lines.values())
     line_chars = sum(k * len(b"".join(line.split()).decode("utf-8", "surrogatepass")) for line, k in lines.items() if k > 1)
-    values = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
+    values = hashes.of(words)
     by_length = {n: covered(values, n) for n in {BASE_NGRAM, *lengths}}
     return (
         len(words), int(chars.sum()), len(raw) - len(raw.translate(None, SYMBOLS)), n_lines, n_lines - len(lines),
