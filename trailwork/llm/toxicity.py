@@ -19,11 +19,13 @@ from pyspark.sql import functions as F
 
 from trailwork.llm.common import fold
 
-BUCKETS, SIZE = 1 << 16, 12
+BUCKETS, SIZE = 1 << 16, 8
 SHORTEST, LONGEST = 3, 5
 #: Rows of each label in the training sample (a documented bound).
 PER_LABEL = 3_000
-EPOCHS, BATCH, RATE = 12, 128, 0.02
+EPOCHS, BATCH, RATE = 20, 128, 0.05
+#: Pull of the vectors towards 0, each time one is used.
+DECAY = 0.03
 THRESHOLD = 0.3
 #: A word longer than this many characters is cut into pieces of this many, so no word makes unbounded work.
 WORD = 64
@@ -114,7 +116,7 @@ def fit(texts: list[str], labels: np.ndarray, prior: float, seed: int = 5) -> Mo
                 else:
                     m[k][at] = 0.9 * m[k][at] + 0.1 * g
                     v[k][at] = 0.999 * v[k][at] + 0.001 * g * g
-                    x[at] -= RATE * fix * m[k][at] / (np.sqrt(v[k][at]) + 1e-8)
+                    x[at] -= RATE * (fix * m[k][at] / (np.sqrt(v[k][at]) + 1e-8) + (DECAY * x[at] if k == 0 else 0))
     share_1 = float(np.clip(labels.mean(), 1e-6, 1 - 1e-6))
     prior = float(np.clip(prior, 1e-6, 1 - 1e-6))
     return Model(vectors, weights, float(bias) + np.log(prior / (1 - prior)) - np.log(share_1 / (1 - share_1)))
