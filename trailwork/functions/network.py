@@ -7,6 +7,7 @@ import ipaddress
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _V4 = r"^(25[0-5]|2[0-4]\d|1?\d?\d)(\.(25[0-5]|2[0-4]\d|1?\d?\d)){3}$"
 
@@ -19,7 +20,8 @@ def v4_number(ip: Column) -> Column:
 
 def v4_text(number: Column) -> Column:
     part = lambda shift: F.shiftright(number, shift).bitwiseAND(F.lit(255).cast("long")).cast("string")
-    return F.concat_ws(".", part(24), part(16), part(8), part(0))
+    dot = F.lit(".")
+    return F.concat(part(24), dot, part(16), dot, part(8), dot, part(0))
 
 
 def v4_mask(number: Column, bits: int | Column) -> Column:
@@ -43,7 +45,7 @@ def _canonical(text: str | None) -> str | None:
     return str(mapped or ip)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _canonical_udf(text: pd.Series) -> pd.Series:
     return text.map(_canonical)
 
@@ -57,7 +59,7 @@ def canonical_or_raw(ip: Column) -> Column:
     return F.coalesce(canonical_ip(ip), ip)
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(T.BinaryType())
 def ip_bytes(text: pd.Series) -> pd.Series:
     """4 or 16 bytes of an address, NULL if it doesn't parse."""
     return text.map(lambda x: ipaddress.ip_address(c).packed if (c := _canonical(x)) else None)

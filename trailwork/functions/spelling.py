@@ -6,6 +6,7 @@ import re
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _ESCAPE = re.compile(rb"%([0-9A-Fa-f]{2})")
 #: Byte patterns of each feature, tried on the bytes as they came.
@@ -83,7 +84,7 @@ def spelled(path: str, query: str) -> list[tuple[str, str]]:
     return sorted(found)
 
 
-@F.pandas_udf("array<struct<feature:string,part:string>>")
+@F.pandas_udf(T.ArrayType(T.StructType().add("feature", T.StringType()).add("part", T.StringType())))
 def features(path: pd.Series, query: pd.Series) -> pd.Series:
     return pd.Series([[{"feature": f, "part": p} for f, p in spelled(a, b)] for a, b in zip(path, query, strict=True)])
 
@@ -102,7 +103,7 @@ def shape_of(query: str) -> dict | None:
     return {"shape": f"{query[: m.start(1)]}_{query[m.end(1) :]}", "multiplier": int(m[2]), "constant": constant}
 
 
-@F.pandas_udf("shape string, multiplier long, constant long")
+@F.pandas_udf(T.StructType().add("shape", T.StringType()).add("multiplier", T.LongType()).add("constant", T.LongType()))
 def size_shape(query: pd.Series) -> pd.DataFrame:
     rows = [shape_of(q) if q else None for q in query]
     return pd.DataFrame([r or {"shape": None, "multiplier": None, "constant": None} for r in rows], columns=["shape", "multiplier", "constant"]).astype({"multiplier": "Int64", "constant": "Int64"})
