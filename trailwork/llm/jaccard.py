@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trailwork.llm.common import WordHash, lower_words_of, materialize, slices
+from trailwork.llm.common import materialize, slices
 from trailwork.llm.components import components
 
 BINS = 1 << 18
@@ -37,18 +37,75 @@ FILTER = 1 << 24
 BLOCK = 4096
 
 
-def ngram_set(text: str | bytes | None, n: int, hashes: WordHash) -> np.ndarray:
-    """Sorted distinct hashes of the n-grams of a whole text; fewer words than n make one n-gram, none make none."""
-    words = lower_words_of(text)
-    if not words:
-        return np.zeros(0, np.uint64)
-    values = hashes.of(words)
-    out = np.full(max(1, len(values) - n + 1), len(words) if len(words) < n else n, np.uint64)
-    with np.errstate(over="ignore"):
-        for k in range(min(n, len(values))):
-            out = (out ^ values[k : k + len(out)]) * np.uint64(0x9FB21C651E98DF25)
-            out ^= out >> np.uint64(32)
-    return np.unique(out)
+_RANDOM = np.random.default_rng(20240917)
+#: A random number for every byte (A-Z as a-z), and a random odd base of the polynomial.
+_BYTE = _RANDOM.integers(1, 1 << 63, 256, np.uint64)
+_BYTE[65:91] = _BYTE[97:123]
+_BASE = int(_RANDOM.integers(1 << 61, 1 << 62)) * 8 + 5 & (1 << 64) - 1
+_SPACE = np.isin(np.arange(256), [32, 9, 10, 11, 12, 13])
+_MIX = np.uint64(0x9FB21C651E98DF25)
+#: Bytes of text whose words are hashed at once; a longer text goes alone.
+TEXT_BLOCK = 1 << 20
+
+
+class Powers:
+    """base ** i and base ** -i modulo 2 ** 64 for i below a length that grows as needed."""
+
+    def __init__(self):
+        self.up = self.down = np.ones(1, np.uint64)
+
+    def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        if n > len(self.up):
+            self.up, self.down = (np.cumprod(np.r_[np.uint64(1), np.full(max(n, TEXT_BLOCK) - 1, x, np.uint64)], dtype=np.uint64) for x in (_BASE, pow(_BASE, -1, 1 << 64)))
+        return self.up[:n], self.down[:n]
+
+
+def word_hashes(data: np.ndarray, borders: np.ndarray, powers: Powers) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of all words of texts side by side in ``data``, and where each text's words begin and end among them.
+
+    A word's hash is a difference of prefix sums of a polynomial over its bytes, shifted back to its start.
+    """
+    space = _SPACE[data]
+    before, after = np.r_[True, space[:-1]], np.r_[space[1:], True]
+    filled = borders[:-1] < borders[1:]
+    before[borders[:-1][filled]] = True
+    after[borders[1:][filled] - 1] = True
+    starts, ends = np.flatnonzero(~space & before), np.flatnonzero(~space & after) + 1
+    up, down = powers.upto(len(data))
+    total = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(_BYTE[data] * up, out=total[1:])
+    hashes = (total[ends] - total[starts]) * down[starts]
+    hashes = (hashes ^ (hashes >> np.uint64(32)) ^ (ends - starts).astype(np.uint64)) * _MIX
+    return hashes ^ (hashes >> np.uint64(29)), np.searchsorted(starts, borders)
+
+
+def gram_sets(texts: pa.Array, n: int, powers: Powers) -> list[np.ndarray]:
+    """Sorted distinct 64-bit hashes of the n-grams of each text (UTF-8 bytes, A-Z as a-z); fewer words than n make one n-gram, none make none."""
+    texts = texts.cast(pa.large_binary()).fill_null(b"")
+    borders = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)
+    out: list[np.ndarray] = []
+    lo = 0
+    while lo < len(texts):
+        hi = max(lo + 1, int(np.searchsorted(borders, borders[lo] + TEXT_BLOCK, side="right")) - 1)
+        part = borders[lo : hi + 1]
+        words, cut = word_hashes(data[part[0] : part[-1]], part - part[0], powers) if part[-1] > part[0] else (np.zeros(0, np.uint64), np.zeros(hi - lo + 1, np.int64))
+        grams = np.full(max(0, len(words) - n + 1), n, np.uint64)
+        for k in range(n):
+            grams = (grams ^ words[k : k + len(grams)]) * _MIX
+            grams ^= grams >> np.uint64(32)
+        for begin, end in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+            if end - begin >= n:
+                own = np.sort(grams[begin : end - n + 1])
+                out.append(own[np.r_[True, own[1:] != own[:-1]]])
+            else:
+                few = np.full(min(1, end - begin), end - begin, np.uint64)
+                for k in range(begin, end):
+                    few = (few ^ words[k]) * _MIX
+                    few ^= few >> np.uint64(32)
+                out.append(few)
+        lo = hi
+    return out
 
 
 def key_of(grams: np.ndarray) -> bytes:
@@ -74,6 +131,26 @@ def filter_of(bits: DataFrame) -> np.ndarray:
     return np.packbits(out)
 
 
+def wide_bitmap_of(grams: np.ndarray) -> bytes:
+    """A bitmap of two places or more an n-gram, so that it tells long texts apart too; its width is a power of 2."""
+    width = max(BITMAP, 1 << (2 * len(grams) - 1).bit_length())
+    bits = np.zeros(width, np.uint8)
+    bits[(grams >> np.uint64(20)) % np.uint64(width)] = 1
+    return np.packbits(bits).tobytes()
+
+
+def may_reach(a: bytes, b: bytes, na: int, nb: int, percent: int) -> bool:
+    """Whether wide bitmaps allow a link: a bit of A that B lacks is a member of A that B lacks. The wider one is folded."""
+    while len(a) != len(b):
+        if len(a) < len(b):
+            a, b, na, nb = b, a, nb, na
+        half = len(a) // 2
+        a = (int.from_bytes(a[:half]) | int.from_bytes(a[half:])).to_bytes(half)
+    p, q = int.from_bytes(a), int.from_bytes(b)
+    both = (p & q).bit_count()
+    return min(na - p.bit_count() + both, nb - q.bit_count() + both) >= needed(na, nb, percent)
+
+
 def needed(a, b, percent: int):
     """Least intersection of sets of sizes a and b at a Jaccard of percent / 100 or more: 100 i >= percent (a + b - i)."""
     return -(-percent * (a + b) // (100 + percent))
@@ -89,11 +166,52 @@ def bitmap_of(grams: np.ndarray) -> np.ndarray:
     return np.packbits(bits)
 
 
-def overlap_bound(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray) -> np.ndarray:
-    """Upper bounds of |A & B| for all rows of a against all rows of b: a bit of A that B lacks is a member of A that B lacks."""
-    one = na[:, None] - np.bitwise_count(a[:, None, :] & ~b[None, :, :]).sum(2, dtype=np.int64)
-    two = nb[None, :] - np.bitwise_count(b[None, :, :] & ~a[:, None, :]).sum(2, dtype=np.int64)
-    return np.minimum(one, two)
+def tile_starts(table: pa.Table) -> np.ndarray:
+    """Which rows begin a tile."""
+    new = np.zeros(table.num_rows, bool)
+    new[:1] = True
+    for name in ("gram", "band", "i", "j", "next"):
+        values = table.column(name).to_numpy()
+        new[1:] |= values[1:] != values[:-1]
+    return new
+
+
+def pairs_of(table: pa.Table, percent: int) -> pa.RecordBatch:
+    """Pairs (a, b) of whole tiles whose bitmaps allow a link, each at the first n-gram that both index.
+
+    Rows d places apart are compared at once, for d = 1, 2, ..., while they share a tile and their sizes fit: rows of a tile
+    are sorted by size, so a row that has met one too large is done.
+    """
+    tile = np.cumsum(tile_starts(table))
+    size, side, follows = (table.column(c).to_numpy() for c in ("n", "side", "next"))
+    two_sided = (follows == 1) | (table.column("i").to_numpy() != table.column("j").to_numpy())
+    keys = table.column("class_key").to_pylist()
+    _, label = np.unique(np.array(table.column("label").to_pylist(), dtype="S16"), return_inverse=True)
+    bits = np.frombuffer(b"".join(table.column("bitmap").to_pylist()), np.uint64).reshape(len(keys), -1)
+    found: list[np.ndarray] = []
+    on = np.arange(len(keys))
+    for d in range(1, len(keys)):
+        on = on[: np.searchsorted(on, len(keys) - d)]
+        on = on[(tile[on] == tile[on + d]) & (100 * size[on] >= percent * size[on + d])]
+        if not len(on):
+            break
+        p = on[(label[on] != label[on + d]) & (~two_sided[on] | (side[on] != side[on + d]))]
+        for lo in range(0, len(p), 8192):
+            x, y = p[lo : lo + 8192], p[lo : lo + 8192] + d
+            most = np.minimum(size[x] - np.bitwise_count(bits[x] & ~bits[y]).sum(1, dtype=np.int64), size[y] - np.bitwise_count(bits[y] & ~bits[x]).sum(1, dtype=np.int64))
+            good = most >= needed(size[x], size[y], percent)
+            found.append(np.stack([x[good], y[good]]))
+    out = []
+    if found:
+        at, ats, grams = table.column("at").to_numpy(), table.column("ats"), table.column("grams")
+        before: dict[int, set[int]] = {}
+        for x, y in np.concatenate(found, 1).T.tolist():
+            for k in (x, y):
+                if k not in before:
+                    before[k] = set(grams[k].as_py()[: int(np.searchsorted(np.array(ats[k].as_py()), at[k]))])
+            if not before[x] & before[y]:
+                out.append((min(keys[x], keys[y]), max(keys[x], keys[y])))
+    return pa.RecordBatch.from_arrays([pa.array([a for a, _ in out], pa.binary()), pa.array([b for _, b in out], pa.binary())], names=["a", "b"])
 
 
 def jaccard_classes(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
@@ -110,10 +228,10 @@ def jaccard_classes(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame
         """A row for every document, then rows with this task's n-gram counts by bin."""
         from pyspark import TaskContext
 
-        hashes, bins = WordHash(), np.zeros(BINS, np.int64)
+        powers, bins = Powers(), np.zeros(BINS, np.int64)
         names = ["doc_id", "n_shingles", "class_key", "chunk", "part", "counts"]
         for b in slices(batches):
-            found = [ngram_set(x, n, hashes) for x in b.column("text").to_pylist()]
+            found = gram_sets(b.column("text"), n, powers)
             if found:
                 bins += np.bincount((np.concatenate(found) & np.uint64(BINS - 1)).astype(np.int64), minlength=BINS)
             none = pa.nulls(len(found), pa.int32())
@@ -141,11 +259,10 @@ def jaccard_classes(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame
 
     def classes_in(batches: Iterator[pa.RecordBatch], make) -> Iterator[pa.RecordBatch]:
         """make's rows for every class of the task, once each."""
-        hashes, done = WordHash(), set()
+        powers, done = Powers(), set()
         for b in slices(batches):
             out = []
-            for text in b.column("text").to_pylist():
-                grams = ngram_set(text, n, hashes)
+            for grams in gram_sets(b.column("text"), n, powers):
                 if len(grams) and (key := key_of(grams)) not in done and (row := make(key, grams)):
                     done.add(key)
                     out.append(row)
@@ -156,13 +273,13 @@ def jaccard_classes(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame
 
         def make(key: bytes, grams: np.ndarray) -> tuple:
             order = np.lexsort((grams, often[(grams & np.uint64(BINS - 1)).astype(np.int64)]))[: prefix_length(len(grams), percent)]
-            return key, len(grams), bitmap_of(grams).tobytes(), grams[order].view(np.int64)
+            return key, len(grams), bitmap_of(grams).tobytes(), wide_bitmap_of(grams), grams[order].view(np.int64)
 
         for out in classes_in(batches, make):
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.binary()), pa.array([x[1] for x in out], pa.int64()), pa.array([x[2] for x in out], pa.binary()), pa.array([x[3] for x in out], pa.list_(pa.int64()))], names=["class_key", "n", "bitmap", "prefix"])
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.binary()), pa.array([x[1] for x in out], pa.int64()), pa.array([x[2] for x in out], pa.binary()), pa.array([x[3] for x in out], pa.binary()), pa.array([x[4] for x in out], pa.list_(pa.int64()))], names=["class_key", "n", "bitmap", "wide", "prefix"])
 
-    indexed = base.mapInArrow(index, "class_key binary, n long, bitmap binary, prefix array<long>")
-    indexed = materialize(indexed.groupBy("class_key").agg(*[F.first(x).alias(x) for x in ("n", "bitmap", "prefix")]), "jaccard-index")
+    indexed = base.mapInArrow(index, "class_key binary, n long, bitmap binary, wide binary, prefix array<long>")
+    indexed = materialize(indexed.groupBy("class_key").agg(*[F.first(x).alias(x) for x in ("n", "bitmap", "wide", "prefix")]), "jaccard-index")
     grams = indexed.select(F.explode("prefix").alias("gram")).groupBy("gram").agg(F.count("*").alias("holders")).filter("holders > 1")
     may_share = spark.sparkContext.broadcast(filter_of(grams.select((F.col("gram").bitwiseAND(F.lit(FILTER - 1).cast("long"))).cast("int").alias("bit"))))
 
@@ -180,25 +297,20 @@ def jaccard_classes(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame
             yield pa.RecordBatch.from_arrays([pa.array(gram[on]), pa.array(at[on].astype(np.int32)), x.column("class_key").take(take), x.column("n").take(take)], names=["gram", "at", "class_key", "n"])
 
     entries = materialize(indexed.select("class_key", "n", "prefix").mapInArrow(entries_of, "gram long, at int, class_key binary, n long"), "jaccard-entries")
-    leaders = entries.groupBy("gram").agg(F.count("*").alias("holders"), F.min(F.struct("at", "n", "class_key")).alias("leader")).filter("holders > 1").drop("holders")
-    shared_grams = materialize(entries.join(leaders, "gram").select("gram", "at", "class_key", "n", F.col("leader.class_key").alias("leader"), F.col("leader.n").alias("leader_n")), "jaccard-shared")
+    leaders = entries.groupBy("gram").agg(F.count("*").alias("holders"), F.min(F.struct("at", "n", "class_key")).alias("leader")).filter("holders > 1")
+    shared_grams = materialize(entries.join(leaders, "gram").select("gram", "at", "class_key", "n", "holders", F.col("leader.class_key").alias("leader"), F.col("leader.n").alias("leader_n")), "jaccard-shared")
     sized = (100 * F.least("n", "leader_n") >= percent * F.greatest("n", "leader_n")) & (F.col("class_key") != F.col("leader"))
     spokes = shared_grams.filter(sized).select(F.least("class_key", "leader").alias("a"), F.greatest("class_key", "leader").alias("b")).distinct()
 
     def exact(pairs: DataFrame, name: str) -> DataFrame:
         """The pairs (a, b) that link, by bitmaps and then by intersecting the sorted arrays."""
-        left = indexed.select(F.col("class_key").alias("a"), F.col("n").alias("na"), F.col("bitmap").alias("bits_a"))
-        right = indexed.select(F.col("class_key").alias("b"), F.col("n").alias("nb"), F.col("bitmap").alias("bits_b"))
+        left = indexed.select(F.col("class_key").alias("a"), F.col("n").alias("na"), F.col("wide").alias("bits_a"))
+        right = indexed.select(F.col("class_key").alias("b"), F.col("n").alias("nb"), F.col("wide").alias("bits_b"))
 
         def may_link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for x in batches:
-                if not x.num_rows:
-                    continue
-                p = np.frombuffer(b"".join(x.column("bits_a").to_pylist()), np.uint64).reshape(x.num_rows, -1)
-                q = np.frombuffer(b"".join(x.column("bits_b").to_pylist()), np.uint64).reshape(x.num_rows, -1)
-                na, nb = x.column("na").to_numpy(), x.column("nb").to_numpy()
-                most = np.minimum(na - np.bitwise_count(p & ~q).sum(1, dtype=np.int64), nb - np.bitwise_count(q & ~p).sum(1, dtype=np.int64))
-                kept = x.filter(pa.array(most >= needed(na, nb, percent)))
+            for x in slices(batches):
+                columns = [x.column(c).to_pylist() for c in ("bits_a", "bits_b", "na", "nb")]
+                kept = x.filter(pa.array([may_reach(*row, percent) for row in zip(*columns, strict=True)], pa.bool_()))
                 yield pa.RecordBatch.from_arrays([kept.column("a"), kept.column("b")], names=["a", "b"])
 
         likely = materialize(pairs.join(left, "a").join(right, "b").select("a", "b", "na", "nb", "bits_a", "bits_b").mapInArrow(may_link, "a binary, b binary"), f"{name}-likely")
@@ -236,58 +348,49 @@ def jaccard_classes(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame
     hub = both_ways.join(degree.withColumnRenamed("a", "b"), "b").groupBy("a").agg(F.max_by("b", F.struct("degree", "b")).alias("hub"), F.max("degree").alias("hub_degree"))
     label = materialize(hub.join(degree, "a").select(F.col("a").alias("class_key"), F.when(F.col("degree") >= F.col("hub_degree"), F.col("a")).otherwise(F.col("hub")).alias("label")), "jaccard-label")
 
-    labelled = shared_grams.select("gram", "at", "class_key", "n").join(label, "class_key", "left").withColumn("label", F.coalesce("label", "class_key"))
-    open_grams = labelled.groupBy("gram").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("holders")).filter("low != high").drop("low", "high")
-    ratio = math.log(percent / 100)
-    band = F.floor(F.log(F.col("n").cast("double")) / F.lit(-ratio * 1.0001)).cast("int")  # a little wide, for rounding
-    cells = labelled.join(open_grams, "gram").withColumns({"band": band, "blocks": F.ceil(F.col("holders") / BLOCK).cast("int")}).withColumn("block", F.pmod(F.xxhash64("class_key"), F.col("blocks")).cast("int"))
-    # A tile holds block i of a band and block j of the same band (i <= j) or of the next one (any i, j).
-    lone = F.struct(F.col("band").alias("band"), F.col("block").alias("i"), F.col("block").alias("j"), F.lit(0).alias("side"), F.lit(0).alias("next"))
-    span = F.sequence(F.lit(0), F.col("blocks") - 1)
-    same = F.transform(F.filter(span, lambda j: j != F.col("block")), lambda j: F.struct(F.col("band").alias("band"), F.least(j, F.col("block")).alias("i"), F.greatest(j, F.col("block")).alias("j"), F.when(j > F.col("block"), 0).otherwise(1).alias("side"), F.lit(0).alias("next")))
-    lower = F.transform(span, lambda j: F.struct(F.col("band").alias("band"), F.col("block").alias("i"), j.alias("j"), F.lit(0).alias("side"), F.lit(1).alias("next")))
-    upper = F.transform(span, lambda i: F.struct((F.col("band") - 1).alias("band"), i.alias("i"), F.col("block").alias("j"), F.lit(1).alias("side"), F.lit(1).alias("next")))
-    spread = cells.select("gram", "at", "class_key", "n", "label", F.explode(F.concat(F.array(lone), same, lower, upper)).alias("tile")).select("gram", "at", "class_key", "n", "label", "tile.*")
-    # Tiles with one class or one label have nothing to compare.
-    sides = spread.groupBy("gram", "band", "i", "j", "next").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.countDistinct("side").alias("sides"))
-    busy = sides.filter("low != high and (sides = 2 or (next = 0 and i = j))").drop("low", "high", "sides")
+    # The leader has met every other holder, so only grams with two more holders, of different labels, leave anything open.
+    rest = shared_grams.filter((F.col("holders") > 2) & (F.col("class_key") != F.col("leader"))).select("gram", "at", "class_key", "n", "holders")
+    rest = rest.join(label, "class_key", "left").withColumn("label", F.coalesce("label", "class_key"))
+    one_label = rest.groupBy("gram").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low = high").select("gram")
+    rest = rest.join(one_label, "gram", "left_anti")
+    whole = F.struct(F.lit(0).alias("band"), F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(0).alias("side"), F.lit(0).alias("next"))
+    few = rest.filter(F.col("holders") <= BLOCK).select("gram", "at", "class_key", "n", "label", whole.alias("tile"))
+    # More holders than a block: tiles of block i of a size band against block j of the same band (i <= j) or of the next one.
+    ratio = -math.log(percent / 100) * 1.0001  # a little wide, for rounding
+    many = rest.filter(F.col("holders") > BLOCK).withColumns({"band": F.floor(F.log(F.col("n").cast("double")) / F.lit(ratio)).cast("int"), "blocks": F.ceil(F.col("holders") / BLOCK).cast("int")}).withColumn("block", F.pmod(F.xxhash64("class_key"), F.col("blocks")).cast("int"))
+    place = lambda band, i, j, side, follows: F.struct(band.cast("int").alias("band"), i.cast("int").alias("i"), j.cast("int").alias("j"), side.cast("int").alias("side"), F.lit(follows).alias("next"))
+    span, mine, zero, one = F.sequence(F.lit(0), F.col("blocks") - 1), F.col("block"), F.lit(0), F.lit(1)
+    same = F.transform(span, lambda j: place(F.col("band"), F.least(j, mine), F.greatest(j, mine), F.when(j >= mine, zero).otherwise(one), 0))
+    lower = F.transform(span, lambda j: place(F.col("band"), mine, j, zero, 1))
+    upper = F.transform(span, lambda i: place(F.col("band") - 1, i, mine, one, 1))
+    many = many.select("gram", "at", "class_key", "n", "label", F.explode(F.concat(same, lower, upper)).alias("tile"))
+    spread = few.unionByName(many).select("gram", "at", "class_key", "n", "label", "tile.*")
     # Of its index entries, a class takes along those that other classes have too.
-    payload = shared_grams.groupBy("class_key").agg(F.collect_list(F.struct("at", "gram")).alias("prefix")).join(indexed.select("class_key", "bitmap"), "class_key")
-    tiles = spread.join(busy, ["gram", "band", "i", "j", "next"]).join(payload, "class_key")
-
-    def compare(key: tuple, rows: pa.Table) -> pa.Table:
-        side = rows.column("side").to_numpy()
-        gram, one_block = key[0].as_py(), key[4].as_py() == 0 and key[2].as_py() == key[3].as_py()
-        keys, labels, prefix = rows.column("class_key").to_pylist(), rows.column("label").to_pylist(), rows.column("prefix")
-        size = rows.column("n").to_numpy()
-        bits = np.frombuffer(b"".join(rows.column("bitmap").to_pylist()), np.uint64).reshape(len(keys), -1)
-        _, group = np.unique(np.array(labels, dtype="S16"), return_inverse=True)
-        p = np.arange(len(keys)) if one_block else np.flatnonzero(side == 0)
-        q = p if one_block else np.flatnonzero(side == 1)
-        found: list[tuple[int, int]] = []
-        for lo in range(0, len(p), 128):
-            part = p[lo : lo + 128]
-            fits = 100 * np.minimum(size[part][:, None], size[q][None, :]) >= percent * np.maximum(size[part][:, None], size[q][None, :])
-            fits &= group[part][:, None] != group[q][None, :]
-            if one_block:
-                fits &= part[:, None] < q[None, :]
-            if not fits.any():
+    ordered = F.sort_array(F.collect_list(F.struct("at", "gram")))
+    payload = shared_grams.filter("holders > 2").groupBy("class_key").agg(ordered.alias("x")).select("class_key", F.col("x.at").alias("ats"), F.col("x.gram").alias("grams")).join(indexed.select("class_key", "bitmap"), "class_key")
+    tile = ["gram", "band", "i", "j", "next"]
+    dealt = spread.join(payload, "class_key").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), *tile).sortWithinPartitions(*tile, "n")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Tiles come one after the other, their rows by size; a chunk ends where a tile does."""
+        held: list[pa.RecordBatch] = []
+        rows = 0
+        for b in batches:
+            held.append(b)
+            rows += b.num_rows
+            if rows < 2 * BLOCK:
                 continue
-            fits &= overlap_bound(bits[part], bits[q], size[part], size[q]) >= needed(size[part][:, None], size[q][None, :], percent)
-            found += [(int(part[i]), int(q[j])) for i, j in zip(*np.nonzero(fits), strict=True)]
-        before: dict[int, set[int]] = {}
-        position = rows.column("at").to_numpy()
-        out = []
-        for i, j in found:
-            for x in (i, j):
-                if x not in before:
-                    before[x] = {g["gram"] for g in prefix[x].as_py() if g["at"] < position[x]}
-            if not before[i] & before[j]:
-                out.append((min(keys[i], keys[j]), max(keys[i], keys[j])))
-        return pa.table({"a": pa.array([x[0] for x in out], pa.binary()), "b": pa.array([x[1] for x in out], pa.binary())})
-
-    rest = tiles.groupBy("gram", "band", "i", "j", "next").applyInArrow(compare, "a binary, b binary").distinct()
-    links = star_links.unionByName(exact(rest.select("a", "b"), "jaccard-rest"))
+            table = pa.Table.from_batches(held).combine_chunks()
+            border = np.flatnonzero(tile_starts(table))[-1]
+            if border:
+                yield pairs_of(table.slice(0, border), percent)
+                table = table.slice(border)
+            held, rows = table.to_batches(), table.num_rows
+        if held:
+            yield pairs_of(pa.Table.from_batches(held).combine_chunks(), percent)
+
+    open_pairs = dealt.mapInArrow(compare, "a binary, b binary").distinct()
+    links = star_links.unionByName(exact(open_pairs, "jaccard-rest"))
 
     found = components(links)
     in_class = found.join(stands.withColumnRenamed("class_key", "node"), "node")
