@@ -11,7 +11,12 @@ from trailwork.sources import intel, logs, sinks
 from trailwork.streaming import streams
 
 _OR = lambda c, other="'-'": F.coalesce(F.col(c).cast("string"), F.expr(other))
-_TARGET = F.concat(F.coalesce("uri_path", F.lit("bad path")), F.coalesce(F.concat(F.lit("?"), "uri_query"), F.lit("")))
+
+
+def _target():
+    return F.concat(F.coalesce("uri_path", F.lit("bad path")), F.coalesce(F.concat(F.lit("?"), "uri_query"), F.lit("")))
+
+
 _WHOLE = "ts IS NOT NULL AND source_ip IS NOT NULL AND uri_path IS NOT NULL"
 
 
@@ -20,7 +25,7 @@ def _lines(t, line):
 
 
 def _combined_line():
-    return F.concat("source_ip", F.lit(" - - ["), F.date_format("ts", "dd/MMM/yyyy:HH:mm:ss Z"), F.lit('] "'), "method", F.lit(" "), _TARGET, F.lit(' HTTP/1.1" '), _OR("status"), F.lit(" "), _OR("response_bytes"), F.lit(' "-" "'), _OR("user_agent"), F.lit('"'))
+    return F.concat("source_ip", F.lit(" - - ["), F.date_format("ts", "dd/MMM/yyyy:HH:mm:ss Z"), F.lit('] "'), "method", F.lit(" "), _target(), F.lit(' HTTP/1.1" '), _OR("status"), F.lit(" "), _OR("response_bytes"), F.lit(' "-" "'), _OR("user_agent"), F.lit('"'))
 
 
 def _seen(df):
@@ -65,7 +70,7 @@ def _(t):
 def _(t):
     quoted = lambda c: F.concat(F.lit('"'), c, F.lit('"'))
     parts = [F.lit("https"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'"), F.lit("app/lb/1"), F.concat("source_ip", F.lit(":"), (1024 + F.col("event_id") % 1000).cast("string")), F.lit("10.0.0.1:80 0.0 0.0 0.0"), _OR("status"), F.lit("200 34"), _OR("response_bytes")]
-    parts += [quoted(F.concat("method", F.lit(" https://"), F.coalesce("host", F.lit("none.example")), F.lit(":443"), _TARGET, F.lit(" HTTP/1.1"))), quoted(_OR("user_agent")), F.lit("AES TLSv1.3 arn:group"), quoted(F.lit("Root=1"))]
+    parts += [quoted(F.concat("method", F.lit(" https://"), F.coalesce("host", F.lit("none.example")), F.lit(":443"), _target(), F.lit(" HTTP/1.1"))), quoted(_OR("user_agent")), F.lit("AES TLSv1.3 arn:group"), quoted(F.lit("Root=1"))]
     rows = logs.split_errors(logs.parse_alb(_lines(t, F.concat_ws(" ", *parts)).filter("not contains(line, 'bad path')")))[0]
     return rows.select(F.col("line_number").alias("event_id"), F.unix_timestamp("ts").alias("at_s"), "source_ip", "source_port", F.regexp_replace("host", r":\d+$", "").alias("host"), "method", "uri_path", "uri_query", "status", "response_bytes", "user_agent")
 
