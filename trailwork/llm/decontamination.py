@@ -60,7 +60,8 @@ def benchmark_items(benchmark: DataFrame) -> DataFrame:
 def contaminated(docs: DataFrame, benchmark: DataFrame, percent: int = 80, radius: int = RADIUS) -> DataFrame:
     """doc_id, item_id, similarity, start_word, windows: the best window of each pair, and how many windows reach percent.
 
-    Null, empty and wordless texts and items match nothing. A text or item of fewer than five words is one shingle. Rows
+    Null, empty and wordless texts and items match nothing. A text or item of fewer than five words is one shingle, so such
+    an item, too short to be told from chance inside a longer text, matches documents of just its words. Rows
     that repeat a doc_id add up under it; rows without a doc_id are left out, since they couldn't be named.
     """
     items = materialize(benchmark_items(benchmark), "benchmark-items")

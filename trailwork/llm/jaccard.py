@@ -1,8 +1,9 @@
 """Exact Jaccard self-join of documents on word n-grams.
 
 1. Every text becomes the sorted array of its distinct n-gram hashes (64 bits); texts with equal arrays become one class.
-2. n-grams are ordered by how many classes hold them (counted in hashed bins of fixed number, ties by hash). Two sets of
-   Jaccard t or more share one of their first n - ceil(t n) + 1 n-grams in that order, so only those are indexed.
+2. n-grams are ordered: those in crowded bins (of a fixed number of hashed ones, counted over all texts) last, the others by
+   how rare their words are. Any order gives the same links: two sets of Jaccard t or more share one of their first
+   n - ceil(t n) + 1 n-grams in it, so only those are indexed; a good one makes few others share any.
 3. Each indexed n-gram held by several classes first links them to the one that has it earliest ("leader"), which ties
    groups of near copies together in one pass.
 4. What the leaders leave open is compared in tiles: classes of one n-gram, in size bands (sizes further apart than t can't
@@ -79,8 +80,12 @@ def word_hashes(data: np.ndarray, borders: np.ndarray, powers: Powers) -> tuple[
     return hashes ^ (hashes >> np.uint64(29)), np.searchsorted(starts, borders)
 
 
-def gram_sets(texts: pa.Array, n: int, powers: Powers) -> list[np.ndarray]:
-    """Sorted distinct 64-bit hashes of the n-grams of each text (UTF-8 bytes, A-Z as a-z); fewer words than n make one n-gram, none make none."""
+def gram_sets(texts: pa.Array, n: int, powers: Powers, seen: np.ndarray | None = None, rarity: np.ndarray | None = None) -> list:
+    """Sorted distinct 64-bit hashes of the n-grams of each text (UTF-8 bytes, A-Z as a-z); fewer words than n make one n-gram, none make none.
+
+    ``seen``, if given, gains the words' counts by bin. With ``rarity``, a weight for each bin of words, each text gives
+    (hashes, sums of the weights of the n-grams' words) instead.
+    """
     texts = texts.cast(pa.large_binary()).fill_null(b"")
     borders = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
     data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)
@@ -90,20 +95,32 @@ def gram_sets(texts: pa.Array, n: int, powers: Powers) -> list[np.ndarray]:
         hi = max(lo + 1, int(np.searchsorted(borders, borders[lo] + TEXT_BLOCK, side="right")) - 1)
         part = borders[lo : hi + 1]
         words, cut = word_hashes(data[part[0] : part[-1]], part - part[0], powers) if part[-1] > part[0] else (np.zeros(0, np.uint64), np.zeros(hi - lo + 1, np.int64))
+        bins = (words & np.uint64(BINS - 1)).astype(np.int64)
+        if seen is not None:
+            seen += np.bincount(bins, minlength=BINS)
         grams = np.full(max(0, len(words) - n + 1), n, np.uint64)
+        weights = np.zeros(len(grams))
+        if rarity is not None:
+            for k in range(n):
+                weights += rarity[bins[k : k + len(grams)]]
         for k in range(n):
             grams = (grams ^ words[k : k + len(grams)]) * _MIX
             grams ^= grams >> np.uint64(32)
         for begin, end in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
             if end - begin >= n:
-                own = np.sort(grams[begin : end - n + 1])
-                out.append(own[np.r_[True, own[1:] != own[:-1]]])
+                own = grams[begin : end - n + 1]
+                if rarity is None:
+                    own = np.sort(own)
+                    out.append(own[np.r_[True, own[1:] != own[:-1]]])
+                else:
+                    own, first = np.unique(own, return_index=True)
+                    out.append((own, weights[begin : end - n + 1][first]))
             else:
                 few = np.full(min(1, end - begin), end - begin, np.uint64)
                 for k in range(begin, end):
                     few = (few ^ words[k]) * _MIX
                     few ^= few >> np.uint64(32)
-                out.append(few)
+                out.append(few if rarity is None else (few, np.zeros(len(few))))
         lo = hi
     return out
 
@@ -132,8 +149,8 @@ def filter_of(bits: DataFrame) -> np.ndarray:
 
 
 def wide_bitmap_of(grams: np.ndarray) -> bytes:
-    """A bitmap of two places or more an n-gram, so that it tells long texts apart too; its width is a power of 2."""
-    width = max(BITMAP, 1 << (2 * len(grams) - 1).bit_length())
+    """A bitmap of four places or more an n-gram, so that its bound is close for texts of any length; its width is a power of 2."""
+    width = max(BITMAP, 1 << (4 * len(grams) - 1).bit_length())
     bits = np.zeros(width, np.uint8)
     bits[(grams >> np.uint64(20)) % np.uint64(width)] = 1
     return np.packbits(bits).tobytes()
@@ -166,6 +183,42 @@ def bitmap_of(grams: np.ndarray) -> np.ndarray:
     return np.packbits(bits)
 
 
+def overlap_bound(p: np.ndarray, q: np.ndarray, na: np.ndarray, nb: np.ndarray) -> np.ndarray:
+    """Row by row the most members that sets with these bitmaps and sizes can share."""
+    return np.minimum(na - np.bitwise_count(p & ~q).sum(1, dtype=np.int64), nb - np.bitwise_count(q & ~p).sum(1, dtype=np.int64))
+
+
+class WideBitmaps:
+    """Wide bitmaps of rows, compared in bulk: the wider of two, at most twice as wide here, is folded."""
+
+    def __init__(self, raw: list[bytes]):
+        self.width = np.array([len(x) for x in raw])
+        self.place = np.zeros(len(raw), np.int64)
+        self.rows: dict[int, np.ndarray] = {}
+        for w in np.unique(self.width):
+            at = np.flatnonzero(self.width == w)
+            self.place[at] = np.arange(len(at))
+            self.rows[int(w)] = np.frombuffer(b"".join(raw[i] for i in at), np.uint64).reshape(len(at), -1)
+
+    def of(self, at: np.ndarray, width: int) -> np.ndarray:
+        """Bitmaps of rows of one width, folded to another."""
+        found = self.rows[int(self.width[at[0]])][self.place[at]]
+        while found.shape[1] * 8 > width:
+            half = found.shape[1] // 2
+            found = found[:, :half] | found[:, half:]
+        return found
+
+    def may_reach(self, x: np.ndarray, y: np.ndarray, size: np.ndarray, percent: int) -> np.ndarray:
+        out = np.zeros(len(x), bool)
+        for a, b in {(int(a), int(b)) for a, b in zip(self.width[x], self.width[y], strict=True)}:
+            at = np.flatnonzero((self.width[x] == a) & (self.width[y] == b))
+            for lo in range(0, len(at), 1024):
+                k = at[lo : lo + 1024]
+                p, q = self.of(x[k], min(a, b)), self.of(y[k], min(a, b))
+                out[k] = overlap_bound(p, q, size[x[k]], size[y[k]]) >= needed(size[x[k]], size[y[k]], percent)
+        return out
+
+
 def tile_starts(table: pa.Table) -> np.ndarray:
     """Which rows begin a tile."""
     new = np.zeros(table.num_rows, bool)
@@ -188,6 +241,7 @@ def pairs_of(table: pa.Table, percent: int) -> pa.RecordBatch:
     keys = table.column("class_key").to_pylist()
     _, label = np.unique(np.array(table.column("label").to_pylist(), dtype="S16"), return_inverse=True)
     bits = np.frombuffer(b"".join(table.column("bitmap").to_pylist()), np.uint64).reshape(len(keys), -1)
+    wide = WideBitmaps(table.column("wide").to_pylist())
     found: list[np.ndarray] = []
     on = np.arange(len(keys))
     for d in range(1, len(keys)):
@@ -198,9 +252,11 @@ def pairs_of(table: pa.Table, percent: int) -> pa.RecordBatch:
         p = on[(label[on] != label[on + d]) & (~two_sided[on] | (side[on] != side[on + d]))]
         for lo in range(0, len(p), 8192):
             x, y = p[lo : lo + 8192], p[lo : lo + 8192] + d
-            most = np.minimum(size[x] - np.bitwise_count(bits[x] & ~bits[y]).sum(1, dtype=np.int64), size[y] - np.bitwise_count(bits[y] & ~bits[x]).sum(1, dtype=np.int64))
-            good = most >= needed(size[x], size[y], percent)
-            found.append(np.stack([x[good], y[good]]))
+            good = overlap_bound(bits[x], bits[y], size[x], size[y]) >= needed(size[x], size[y], percent)
+            x, y = x[good], y[good]
+            if len(x):
+                good = wide.may_reach(x, y, size, percent)
+                found.append(np.stack([x[good], y[good]]))
     out = []
     if found:
         at, ats, grams = table.column("at").to_numpy(), table.column("ats"), table.column("grams")
@@ -228,18 +284,18 @@ def jaccard_classes(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame
         """A row for every document, then rows with this task's n-gram counts by bin."""
         from pyspark import TaskContext
 
-        powers, bins = Powers(), np.zeros(BINS, np.int64)
+        powers, bins, seen = Powers(), np.zeros(BINS, np.int64), np.zeros(BINS, np.int64)
         names = ["doc_id", "n_shingles", "class_key", "chunk", "part", "counts"]
         for b in slices(batches):
-            found = gram_sets(b.column("text"), n, powers)
+            found = gram_sets(b.column("text"), n, powers, seen)
             if found:
                 bins += np.bincount((np.concatenate(found) & np.uint64(BINS - 1)).astype(np.int64), minlength=BINS)
             none = pa.nulls(len(found), pa.int32())
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([len(x) for x in found], pa.int64()), pa.array([key_of(x) if len(x) else None for x in found], pa.binary()), none, none, pa.nulls(len(found), pa.binary())], names=names)
         if bins.any():
-            k = BINS // CHUNK
+            k = 2 * BINS // CHUNK
             part = TaskContext.get().partitionId() % SALT
-            yield pa.RecordBatch.from_arrays([pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.binary()), pa.array(range(k), pa.int32()), pa.array([part] * k, pa.int32()), pa.array([x.tobytes() for x in bins.reshape(k, CHUNK)], pa.binary())], names=names)
+            yield pa.RecordBatch.from_arrays([pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.binary()), pa.array(range(k), pa.int32()), pa.array([part] * k, pa.int32()), pa.array([x.tobytes() for x in np.concatenate([bins, seen]).reshape(k, CHUNK)], pa.binary())], names=names)
 
     gathered = materialize(base.mapInArrow(gather, "doc_id long, n_shingles long, class_key binary, chunk int, part int, counts binary"), "jaccard-members")
     members = gathered.filter("chunk is null").select("doc_id", "n_shingles", "class_key")
@@ -252,30 +308,34 @@ def jaccard_classes(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame
             total += np.frombuffer(x, np.int64)
         return pa.table({"chunk": pa.array([key[0].as_py()], pa.int32()), "counts": pa.array([total.tobytes()], pa.binary())})
 
-    frequency = np.zeros(BINS, np.int64)  # BINS numbers, whatever the input
+    frequency = np.zeros(2 * BINS, np.int64)  # of n-grams, then of words; so many numbers whatever the input
     for r in gathered.filter("chunk is not null").select("chunk", "part", "counts").groupBy("chunk", "part").applyInArrow(add_bins, "chunk int, counts binary").collect():
         frequency[r.chunk * CHUNK : (r.chunk + 1) * CHUNK] += np.frombuffer(r.counts, np.int64)
-    shared = spark.sparkContext.broadcast(frequency)
+    of_grams, of_words = frequency[:BINS].astype(float), frequency[BINS:]
+    # A bin well above the mean holds an n-gram of many texts; in the others a count says nothing about one n-gram.
+    common = np.where(of_grams > of_grams.mean() + 6 * math.sqrt(of_grams.mean()) + 2, of_grams, 0.0)
+    shared = spark.sparkContext.broadcast((common, np.log1p(of_words)))
 
-    def classes_in(batches: Iterator[pa.RecordBatch], make) -> Iterator[pa.RecordBatch]:
+    def classes_in(batches: Iterator[pa.RecordBatch], make, rarity: np.ndarray | None = None) -> Iterator[list]:
         """make's rows for every class of the task, once each."""
         powers, done = Powers(), set()
         for b in slices(batches):
             out = []
-            for grams in gram_sets(b.column("text"), n, powers):
-                if len(grams) and (key := key_of(grams)) not in done and (row := make(key, grams)):
+            for found in gram_sets(b.column("text"), n, powers, rarity=rarity):
+                grams, weights = (found, None) if rarity is None else found
+                if len(grams) and (key := key_of(grams)) not in done and (row := make(key, grams, weights)):
                     done.add(key)
                     out.append(row)
             yield out
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        often = shared.value
+        often, rarity = shared.value
 
-        def make(key: bytes, grams: np.ndarray) -> tuple:
-            order = np.lexsort((grams, often[(grams & np.uint64(BINS - 1)).astype(np.int64)]))[: prefix_length(len(grams), percent)]
+        def make(key: bytes, grams: np.ndarray, weights: np.ndarray) -> tuple:
+            order = np.lexsort((grams, weights, often[(grams & np.uint64(BINS - 1)).astype(np.int64)]))[: prefix_length(len(grams), percent)]
             return key, len(grams), bitmap_of(grams).tobytes(), wide_bitmap_of(grams), grams[order].view(np.int64)
 
-        for out in classes_in(batches, make):
+        for out in classes_in(batches, make, rarity):
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.binary()), pa.array([x[1] for x in out], pa.int64()), pa.array([x[2] for x in out], pa.binary()), pa.array([x[3] for x in out], pa.binary()), pa.array([x[4] for x in out], pa.list_(pa.int64()))], names=["class_key", "n", "bitmap", "wide", "prefix"])
 
     indexed = base.mapInArrow(index, "class_key binary, n long, bitmap binary, wide binary, prefix array<long>")
@@ -302,8 +362,8 @@ def jaccard_classes(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame
     sized = (100 * F.least("n", "leader_n") >= percent * F.greatest("n", "leader_n")) & (F.col("class_key") != F.col("leader"))
     spokes = shared_grams.filter(sized).select(F.least("class_key", "leader").alias("a"), F.greatest("class_key", "leader").alias("b")).distinct()
 
-    def exact(pairs: DataFrame, name: str) -> DataFrame:
-        """The pairs (a, b) that link, by bitmaps and then by intersecting the sorted arrays."""
+    def likely_of(pairs: DataFrame) -> DataFrame:
+        """The pairs (a, b) whose wide bitmaps allow a link."""
         left = indexed.select(F.col("class_key").alias("a"), F.col("n").alias("na"), F.col("wide").alias("bits_a"))
         right = indexed.select(F.col("class_key").alias("b"), F.col("n").alias("nb"), F.col("wide").alias("bits_b"))
 
@@ -313,7 +373,11 @@ def jaccard_classes(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame
                 kept = x.filter(pa.array([may_reach(*row, percent) for row in zip(*columns, strict=True)], pa.bool_()))
                 yield pa.RecordBatch.from_arrays([kept.column("a"), kept.column("b")], names=["a", "b"])
 
-        likely = materialize(pairs.join(left, "a").join(right, "b").select("a", "b", "na", "nb", "bits_a", "bits_b").mapInArrow(may_link, "a binary, b binary"), f"{name}-likely")
+        return pairs.join(left, "a").join(right, "b").select("a", "b", "na", "nb", "bits_a", "bits_b").mapInArrow(may_link, "a binary, b binary")
+
+    def exact(pairs: DataFrame, name: str) -> DataFrame:
+        """The pairs (a, b) that link, by intersecting the sorted arrays."""
+        likely = materialize(pairs, f"{name}-likely")
         wanted = likely.select(F.col("a").alias("class_key")).unionByName(likely.select(F.col("b").alias("class_key"))).distinct()
         # A filter of fixed size tells most rows that no pair needs; the joins below are exact.
         bit = (F.conv(F.hex(F.substring("class_key", 1, 4)), 16, 10).cast("long") % FILTER).cast("int")
@@ -321,7 +385,7 @@ def jaccard_classes(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame
 
         def arrays(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             known = np.unpackbits(sought.value)
-            for out in classes_in(batches, lambda key, grams: (key, pack(grams)) if known[int.from_bytes(key[:4], "big") % FILTER] else None):
+            for out in classes_in(batches, lambda key, grams, _: (key, pack(grams)) if known[int.from_bytes(key[:4], "big") % FILTER] else None):
                 yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in out], pa.binary()), pa.array([g for _, g in out], pa.binary())], names=["class_key", "grams"])
 
         sets = base.mapInArrow(arrays, "class_key binary, grams binary")
@@ -341,7 +405,7 @@ def jaccard_classes(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame
 
         return materialize(whole.select("a", "b", F.col("p.grams").alias("p"), F.col("q.grams").alias("q")).mapInArrow(intersect, "a binary, b binary"), f"{name}-links")
 
-    star_links = exact(spokes, "jaccard-star")
+    star_links = exact(likely_of(spokes), "jaccard-star")
     # Classes that link to the same leader are connected: one label each, no need to compare them again.
     both_ways = star_links.unionByName(star_links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     degree = both_ways.groupBy("a").agg(F.count("*").alias("degree"))
@@ -367,7 +431,7 @@ def jaccard_classes(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame
     spread = few.unionByName(many).select("gram", "at", "class_key", "n", "label", "tile.*")
     # Of its index entries, a class takes along those that other classes have too.
     ordered = F.sort_array(F.collect_list(F.struct("at", "gram")))
-    payload = shared_grams.filter("holders > 2").groupBy("class_key").agg(ordered.alias("x")).select("class_key", F.col("x.at").alias("ats"), F.col("x.gram").alias("grams")).join(indexed.select("class_key", "bitmap"), "class_key")
+    payload = shared_grams.filter("holders > 2").groupBy("class_key").agg(ordered.alias("x")).select("class_key", F.col("x.at").alias("ats"), F.col("x.gram").alias("grams")).join(indexed.select("class_key", "bitmap", "wide"), "class_key")
     tile = ["gram", "band", "i", "j", "next"]
     dealt = spread.join(payload, "class_key").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), *tile).sortWithinPartitions(*tile, "n")
 
