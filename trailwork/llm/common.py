@@ -8,7 +8,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -50,21 +49,46 @@ def lower_words_of(text: str | bytes | None) -> list[bytes]:
     return (text.encode("utf-8", "surrogatepass") if isinstance(text, str) else text).lower().split()
 
 
-class WordHash:
-    """64-bit hashes of words, kept between texts and emptied when they grow too many."""
+_RANDOM = np.random.default_rng(20240917)
+#: A random number for every byte, the same with A-Z as a-z, and a random odd base of the polynomial.
+_BYTE = _RANDOM.integers(1, 1 << 63, 256, np.uint64)
+_FOLDED = _BYTE.copy()
+_FOLDED[65:91] = _FOLDED[97:123]
+_BASE = int(_RANDOM.integers(1 << 61, 1 << 62)) * 8 + 5 & (1 << 64) - 1
+_SPACE = np.isin(np.arange(256), [32, 9, 10, 11, 12, 13])
+_MIX = np.uint64(0x9FB21C651E98DF25)
+_ROOM = 1 << 20
 
-    MOST = 1 << 18
+
+class Powers:
+    """base ** i and base ** -i modulo 2 ** 64 for i below a length that grows as needed."""
 
     def __init__(self):
-        self.known: dict[bytes, int] = {}
-
-    def of(self, words: list[bytes]) -> np.ndarray:
-        known = self.known
-        if len(known) > self.MOST:
-            known.clear()
-        for word in set(words).difference(known):
-            known[word] = xxhash.xxh3_64_intdigest(word)
-        return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+        self.up = self.down = np.ones(1, np.uint64)
+
+    def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        if n > len(self.up):
+            self.up, self.down = (np.cumprod(np.r_[np.uint64(1), np.full(max(n, _ROOM) - 1, x, np.uint64)], dtype=np.uint64) for x in (_BASE, pow(_BASE, -1, 1 << 64)))
+        return self.up[:n], self.down[:n]
+
+
+def word_hashes(data: np.ndarray, borders: np.ndarray, powers: Powers, fold: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of all words of texts side by side in ``data`` (with fold: A-Z as a-z), and where each text's words begin and end.
+
+    A word's hash is a difference of prefix sums of a polynomial over its bytes, shifted back to its start.
+    """
+    space = _SPACE[data]
+    before, after = np.r_[True, space[:-1]], np.r_[space[1:], True]
+    filled = borders[:-1] < borders[1:]
+    before[borders[:-1][filled]] = True
+    after[borders[1:][filled] - 1] = True
+    starts, ends = np.flatnonzero(~space & before), np.flatnonzero(~space & after) + 1
+    up, down = powers.upto(len(data))
+    total = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum((_FOLDED if fold else _BYTE)[data] * up, out=total[1:])
+    hashes = (total[ends] - total[starts]) * down[starts]
+    hashes = (hashes ^ (hashes >> np.uint64(32)) ^ (ends - starts).astype(np.uint64)) * _MIX
+    return hashes ^ (hashes >> np.uint64(29)), np.searchsorted(starts, borders)
 
 
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:

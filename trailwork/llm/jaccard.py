@@ -6,9 +6,9 @@
    n - ceil(t n) + 1 n-grams in it, so only those are indexed; a good one makes few others share any.
 3. Each indexed n-gram held by several classes first links them to the one that has it earliest ("leader"), which ties
    groups of near copies together in one pass.
-4. What the leaders leave open is compared in tiles: classes of one n-gram, in size bands (sizes further apart than t can't
-   link), in blocks of bounded size. A hashed bitmap a class gives an upper bound of the overlap by bit counts; only pairs
-   that stay above the needed overlap leave the tile, once, at their first common n-gram.
+4. What the leaders leave open is compared in tiles: the other holders of a leader's n-grams, by size (sizes further apart
+   than t can't link), large tiles cut into size bands and blocks. Hashed bitmaps give an upper bound of the overlap by bit
+   counts; only pairs that stay above the needed overlap leave the tile.
 5. Their sorted arrays are intersected exactly.
 """
 
@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trailwork.llm.common import materialize, slices
+from trailwork.llm.common import Powers, materialize, slices, word_hashes
 from trailwork.llm.components import components
 
 BINS = 1 << 18
@@ -38,48 +38,11 @@ FILTER = 1 << 24
 BLOCK = 4096
 
 
-_RANDOM = np.random.default_rng(20240917)
-#: A random number for every byte (A-Z as a-z), and a random odd base of the polynomial.
-_BYTE = _RANDOM.integers(1, 1 << 63, 256, np.uint64)
-_BYTE[65:91] = _BYTE[97:123]
-_BASE = int(_RANDOM.integers(1 << 61, 1 << 62)) * 8 + 5 & (1 << 64) - 1
-_SPACE = np.isin(np.arange(256), [32, 9, 10, 11, 12, 13])
 _MIX = np.uint64(0x9FB21C651E98DF25)
-#: Bytes of text whose words are hashed at once; a longer text goes alone.
+#: Bytes of text whose n-grams are made at once; a longer text goes alone.
 TEXT_BLOCK = 1 << 20
 
 
-class Powers:
-    """base ** i and base ** -i modulo 2 ** 64 for i below a length that grows as needed."""
-
-    def __init__(self):
-        self.up = self.down = np.ones(1, np.uint64)
-
-    def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if n > len(self.up):
-            self.up, self.down = (np.cumprod(np.r_[np.uint64(1), np.full(max(n, TEXT_BLOCK) - 1, x, np.uint64)], dtype=np.uint64) for x in (_BASE, pow(_BASE, -1, 1 << 64)))
-        return self.up[:n], self.down[:n]
-
-
-def word_hashes(data: np.ndarray, borders: np.ndarray, powers: Powers) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of all words of texts side by side in ``data``, and where each text's words begin and end among them.
-
-    A word's hash is a difference of prefix sums of a polynomial over its bytes, shifted back to its start.
-    """
-    space = _SPACE[data]
-    before, after = np.r_[True, space[:-1]], np.r_[space[1:], True]
-    filled = borders[:-1] < borders[1:]
-    before[borders[:-1][filled]] = True
-    after[borders[1:][filled] - 1] = True
-    starts, ends = np.flatnonzero(~space & before), np.flatnonzero(~space & after) + 1
-    up, down = powers.upto(len(data))
-    total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_BYTE[data] * up, out=total[1:])
-    hashes = (total[ends] - total[starts]) * down[starts]
-    hashes = (hashes ^ (hashes >> np.uint64(32)) ^ (ends - starts).astype(np.uint64)) * _MIX
-    return hashes ^ (hashes >> np.uint64(29)), np.searchsorted(starts, borders)
-
-
 def gram_sets(texts: pa.Array, n: int, powers: Powers, seen: np.ndarray | None = None, rarity: np.ndarray | None = None) -> list:
     """Sorted distinct 64-bit hashes of the n-grams of each text (UTF-8 bytes, A-Z as a-z); fewer words than n make one n-gram, none make none.
 
@@ -142,10 +105,11 @@ def unpack(data: bytes) -> np.ndarray:
 
 
 def filter_of(bits: DataFrame) -> np.ndarray:
-    """A bitmap of FILTER places from a table of places (bit); what reaches the driver is bounded by FILTER."""
-    out = np.zeros(FILTER, bool)
-    out[bits.distinct().toArrow().column("bit").to_numpy()] = True
-    return np.packbits(out)
+    """A bitmap of FILTER places, as 64-bit words, from a table of places (bit); the words are made by Spark."""
+    words = bits.groupBy(F.shiftright("bit", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, bit & 63)")).alias("bits")).toArrow()  # FILTER / 64 rows at most
+    out = np.zeros(FILTER // 64, np.uint64)
+    out[words.column("word").to_numpy()] = words.column("bits").to_numpy().view(np.uint64)
+    return out
 
 
 def wide_bitmap_of(grams: np.ndarray) -> bytes:
@@ -223,14 +187,14 @@ def tile_starts(table: pa.Table) -> np.ndarray:
     """Which rows begin a tile."""
     new = np.zeros(table.num_rows, bool)
     new[:1] = True
-    for name in ("gram", "band", "i", "j", "next"):
-        values = table.column(name).to_numpy()
+    for name in ("leader", "band", "i", "j", "next"):
+        values = np.array(table.column(name).to_pylist(), dtype="S16") if name == "leader" else table.column(name).to_numpy()
         new[1:] |= values[1:] != values[:-1]
     return new
 
 
 def pairs_of(table: pa.Table, percent: int) -> pa.RecordBatch:
-    """Pairs (a, b) of whole tiles whose bitmaps allow a link, each at the first n-gram that both index.
+    """Pairs (a, b) of whole tiles whose bitmaps allow a link.
 
     Rows d places apart are compared at once, for d = 1, 2, ..., while they share a tile and their sizes fit: rows of a tile
     are sorted by size, so a row that has met one too large is done.
@@ -257,16 +221,7 @@ def pairs_of(table: pa.Table, percent: int) -> pa.RecordBatch:
             if len(x):
                 good = wide.may_reach(x, y, size, percent)
                 found.append(np.stack([x[good], y[good]]))
-    out = []
-    if found:
-        at, ats, grams = table.column("at").to_numpy(), table.column("ats"), table.column("grams")
-        before: dict[int, set[int]] = {}
-        for x, y in np.concatenate(found, 1).T.tolist():
-            for k in (x, y):
-                if k not in before:
-                    before[k] = set(grams[k].as_py()[: int(np.searchsorted(np.array(ats[k].as_py()), at[k]))])
-            if not before[x] & before[y]:
-                out.append((min(keys[x], keys[y]), max(keys[x], keys[y])))
+    out = {(min(keys[x], keys[y]), max(keys[x], keys[y])) for x, y in np.concatenate(found, 1).T.tolist()} if found else set()
     return pa.RecordBatch.from_arrays([pa.array([a for a, _ in out], pa.binary()), pa.array([b for _, b in out], pa.binary())], names=["a", "b"])
 
 
@@ -345,14 +300,13 @@ def jaccard_classes(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame
 
     def entries_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """(gram, at, class_key, n) for the grams that the filter lets through; the aggregation below is exact."""
-        known = np.unpackbits(may_share.value)
         for x in slices(batches):
             lists = x.column("prefix")
             gram = lists.flatten().to_numpy()
             size = lists.value_lengths().to_numpy()
             row = np.repeat(np.arange(x.num_rows), size)
             at = np.arange(len(gram)) - np.repeat(np.cumsum(size) - size, size)
-            on = known[gram & (FILTER - 1)] == 1
+            on = is_set(may_share.value, gram & (FILTER - 1))
             take = pa.array(row[on])
             yield pa.RecordBatch.from_arrays([pa.array(gram[on]), pa.array(at[on].astype(np.int32)), x.column("class_key").take(take), x.column("n").take(take)], names=["gram", "at", "class_key", "n"])
 
@@ -384,8 +338,8 @@ def jaccard_classes(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame
         sought = spark.sparkContext.broadcast(filter_of(wanted.select(bit.alias("bit"))))
 
         def arrays(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            known = np.unpackbits(sought.value)
-            for out in classes_in(batches, lambda key, grams, _: (key, pack(grams)) if known[int.from_bytes(key[:4], "big") % FILTER] else None):
+            known = sought.value
+            for out in classes_in(batches, lambda key, grams, _: (key, pack(grams)) if is_set(known, int.from_bytes(key[:4], "big") % FILTER) else None):
                 yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in out], pa.binary()), pa.array([g for _, g in out], pa.binary())], names=["class_key", "grams"])
 
         sets = base.mapInArrow(arrays, "class_key binary, grams binary")
@@ -412,13 +366,14 @@ def jaccard_classes(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame
     hub = both_ways.join(degree.withColumnRenamed("a", "b"), "b").groupBy("a").agg(F.max_by("b", F.struct("degree", "b")).alias("hub"), F.max("degree").alias("hub_degree"))
     label = materialize(hub.join(degree, "a").select(F.col("a").alias("class_key"), F.when(F.col("degree") >= F.col("hub_degree"), F.col("a")).otherwise(F.col("hub")).alias("label")), "jaccard-label")
 
-    # The leader has met every other holder, so only grams with two more holders, of different labels, leave anything open.
-    rest = shared_grams.filter((F.col("holders") > 2) & (F.col("class_key") != F.col("leader"))).select("gram", "at", "class_key", "n", "holders")
+    # The leader has met every other holder, so only n-grams with two more holders leave anything open. The holders of all
+    # n-grams of one leader meet in its tile, so a class goes there once, whatever number of them it has.
+    rest = shared_grams.filter((F.col("holders") > 2) & (F.col("class_key") != F.col("leader"))).select("leader", "class_key", "n").distinct()
     rest = rest.join(label, "class_key", "left").withColumn("label", F.coalesce("label", "class_key"))
-    one_label = rest.groupBy("gram").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low = high").select("gram")
-    rest = rest.join(one_label, "gram", "left_anti")
+    mixed = rest.groupBy("leader").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("holders")).filter("low != high").select("leader", "holders")
+    rest = rest.join(mixed, "leader")
     whole = F.struct(F.lit(0).alias("band"), F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(0).alias("side"), F.lit(0).alias("next"))
-    few = rest.filter(F.col("holders") <= BLOCK).select("gram", "at", "class_key", "n", "label", whole.alias("tile"))
+    few = rest.filter(F.col("holders") <= BLOCK).select("leader", "class_key", "n", "label", whole.alias("tile"))
     # More holders than a block: tiles of block i of a size band against block j of the same band (i <= j) or of the next one.
     ratio = -math.log(percent / 100) * 1.0001  # a little wide, for rounding
     many = rest.filter(F.col("holders") > BLOCK).withColumns({"band": F.floor(F.log(F.col("n").cast("double")) / F.lit(ratio)).cast("int"), "blocks": F.ceil(F.col("holders") / BLOCK).cast("int")}).withColumn("block", F.pmod(F.xxhash64("class_key"), F.col("blocks")).cast("int"))
@@ -427,13 +382,10 @@ def jaccard_classes(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame
     same = F.transform(span, lambda j: place(F.col("band"), F.least(j, mine), F.greatest(j, mine), F.when(j >= mine, zero).otherwise(one), 0))
     lower = F.transform(span, lambda j: place(F.col("band"), mine, j, zero, 1))
     upper = F.transform(span, lambda i: place(F.col("band") - 1, i, mine, one, 1))
-    many = many.select("gram", "at", "class_key", "n", "label", F.explode(F.concat(same, lower, upper)).alias("tile"))
-    spread = few.unionByName(many).select("gram", "at", "class_key", "n", "label", "tile.*")
-    # Of its index entries, a class takes along those that other classes have too.
-    ordered = F.sort_array(F.collect_list(F.struct("at", "gram")))
-    payload = shared_grams.filter("holders > 2").groupBy("class_key").agg(ordered.alias("x")).select("class_key", F.col("x.at").alias("ats"), F.col("x.gram").alias("grams")).join(indexed.select("class_key", "bitmap", "wide"), "class_key")
-    tile = ["gram", "band", "i", "j", "next"]
-    dealt = spread.join(payload, "class_key").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), *tile).sortWithinPartitions(*tile, "n")
+    many = many.select("leader", "class_key", "n", "label", F.explode(F.concat(same, lower, upper)).alias("tile"))
+    spread = few.unionByName(many).select("leader", "class_key", "n", "label", "tile.*")
+    tile = ["leader", "band", "i", "j", "next"]
+    dealt = spread.join(indexed.select("class_key", "bitmap", "wide"), "class_key").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), *tile).sortWithinPartitions(*tile, "n")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Tiles come one after the other, their rows by size; a chunk ends where a tile does."""
@@ -442,7 +394,7 @@ def jaccard_classes(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame
         for b in batches:
             held.append(b)
             rows += b.num_rows
-            if rows < 2 * BLOCK:
+            if rows < 4096:
                 continue
             table = pa.Table.from_batches(held).combine_chunks()
             border = np.flatnonzero(tile_starts(table))[-1]

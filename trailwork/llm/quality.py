@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trailwork.llm.common import WordHash
+from trailwork.llm.common import Powers, word_hashes
 
 #: n-gram length -> largest share of a text's word characters inside repeated n-grams of that length.
 MAX_NGRAM_SHARE = {5: 0.45, 8: 0.40, 10: 0.35, 15: 0.30}
@@ -51,7 +51,7 @@ def covered(values: np.ndarray, n: int) -> np.ndarray:
     return np.cumsum(edge[:-1]) > 0
 
 
-def measure(text: str | None, lengths: tuple[int, ...], hashes: WordHash) -> tuple:
+def measure(text: str | None, lengths: tuple[int, ...], powers: Powers) -> tuple:
     """n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words, dup_line_chars, then covered characters by length."""
     raw = text.encode("utf-8", "surrogatepass") if text else b""
     words = raw.split()
@@ -65,7 +65,7 @@ def measure(text: str | None, lengths: tuple[int, ...], hashes: WordHash) -> tup
     lines = Counter(line for line in raw.split(b"\n") if line.split())
     n_lines = sum(lines.values())
     line_chars = sum(k * len(b"".join(line.split()).decode("utf-8", "surrogatepass")) for line, k in lines.items() if k > 1)
-    values = hashes.of(words)
+    values, _ = word_hashes(data, np.array([0, len(data)]), powers, fold=False)
     by_length = {n: covered(values, n) for n in {BASE_NGRAM, *lengths}}
     return (
         len(words), int(chars.sum()), len(raw) - len(raw.translate(None, SYMBOLS)), n_lines, n_lines - len(lines),
@@ -81,9 +81,9 @@ def with_repetition(docs: DataFrame, text: str = "text", out: str = "repetition"
 
     @F.pandas_udf(", ".join(f"{x} long" for x in names))
     def repetition(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        hashes = WordHash()
+        powers = Powers()
         for texts in batches:
-            yield pd.DataFrame([measure(x, lengths, hashes) for x in texts], columns=names, dtype="int64")
+            yield pd.DataFrame([measure(x, lengths, powers) for x in texts], columns=names, dtype="int64")
 
     # Nondeterministic only so that the optimizer doesn't run it once for the filter and again for the columns.
     return docs.withColumn(out, repetition.asNondeterministic()(F.col(text)))
