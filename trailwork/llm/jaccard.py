@@ -112,6 +112,13 @@ def filter_of(bits: DataFrame) -> np.ndarray:
     return out
 
 
+def is_set(bitmap: np.ndarray, place):
+    """Whether places of a bitmap of 64-bit words are set; one place or an array of them."""
+    if isinstance(place, np.ndarray):
+        return bitmap[place >> 6] >> (place & 63).astype(np.uint64) & np.uint64(1) == 1
+    return int(bitmap[place >> 6]) >> (place & 63) & 1 == 1
+
+
 def wide_bitmap_of(grams: np.ndarray) -> bytes:
     """A bitmap of four places or more an n-gram, so that its bound is close for texts of any length; its width is a power of 2."""
     width = max(BITMAP, 1 << (4 * len(grams) - 1).bit_length())
