@@ -22,8 +22,8 @@ from trailwork.llm.common import fold
 BUCKETS, SIZE = 1 << 16, 8
 SHORTEST, LONGEST = 3, 5
 #: Rows of each label in the training sample (a documented bound).
-PER_LABEL = 3_000
-EPOCHS, BATCH, RATE = 20, 128, 0.05
+PER_LABEL = 2_000
+EPOCHS, BATCH, RATE = 12, 128, 0.1
 #: Pull of the vectors towards 0, each time one is used.
 DECAY = 0.03
 THRESHOLD = 0.3
