@@ -205,3 +205,22 @@ def consistency(events: DataFrame, families: DataFrame) -> DataFrame:
     outcome = F.when(F.col("ja4").isNull() | F.col("families").isNull(), "unavailable").when(F.array_contains("families", F.col("declared")), "match").otherwise("mismatch")
     reason = F.when(F.col("ja4").isNull(), "observed_value_missing").when(F.col("families").isNull(), "reference_data_missing")
     return rows.groupBy("declared", outcome.alias("outcome"), reason.alias("reason")).agg(F.count("*").alias("requests"), F.countDistinct("source_ip").alias("peers"))
+
+
+def unserved_paths(events: DataFrame) -> DataFrame:
+    """(source_ip, uri_path) that a source asked for and nobody got a 2xx for."""
+    asked = events.filter("source_ip is not null and uri_path is not null").select("source_ip", "uri_path").distinct()
+    served = events.filter(F.col("status").between(200, 299) & F.col("uri_path").isNotNull()).select("uri_path").distinct()
+    return asked.join(served, "uri_path", "left_anti")
+
+
+def char_position_reads(events: DataFrame) -> DataFrame:
+    """Per (host, expression): character positions probed by substr(expression,position,length), the largest, sources, commonest size.
+
+    Positions are those in the query text; requests without such an expression are left out.
+    """
+    call = r"(?i)substr(?:ing)?\(([^,()]+),(\d{1,6}),(\d{1,3})\)"
+    rows = events.filter(F.col("uri_query").rlike(call)).withColumns({"expression": F.regexp_extract("uri_query", call, 1), "position": F.regexp_extract("uri_query", call, 2).cast("long")})
+    sizes = rows.filter("response_bytes is not null").groupBy("host", "expression", "response_bytes").agg(F.count("*").alias("n")).groupBy("host", "expression").agg(F.min_by("response_bytes", F.struct(-F.col("n"), "response_bytes")).alias("top_size"))
+    per = rows.groupBy("host", "expression").agg(F.count("*").alias("reads"), F.countDistinct("position").alias("positions"), F.max("position").alias("last_position"), F.countDistinct("source_ip").alias("sources"))
+    return per.join(sizes.withColumnsRenamed({"host": "__host", "expression": "__expression"}), F.col("host").eqNullSafe(F.col("__host")) & (F.col("expression") == F.col("__expression")), "left").drop("__host", "__expression")

@@ -191,3 +191,35 @@ def header_value_ranking(templates: DataFrame, kev: DataFrame) -> DataFrame:
 
 def entity_difference(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
     return a.select(key).filter(F.col(key).isNotNull()).subtract(b.select(key))
+
+
+def record_dispositions(store: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows to append: those that don't repeat the last entry of their key."""
+    last = latest_per_key(store, keys, "recorded_at").select(*[F.col(c).alias(f"s_{c}") for c in (*keys, "disposition")])
+    on = F.col("disposition") == F.col("s_disposition")
+    for c in keys:
+        on &= F.col(c).eqNullSafe(F.col(f"s_{c}"))
+    return new.join(last, on, "left_anti")
+
+
+def compact_store(store: DataFrame) -> DataFrame:
+    """One row for each (run_id, entity), whatever was appended."""
+    return store.groupBy("run_id", "entity").agg(F.min("first_minute").alias("first_minute"), F.max("last_minute").alias("last_minute"))
+
+
+def baseline_latest(runs: DataFrame) -> DataFrame:
+    """(run_id, baseline): the newest earlier run of each, by sortable name."""
+    return runs.select("run_id").distinct().withColumn("baseline", F.lag("run_id").over(Window.orderBy("run_id")))  # one row a run
+
+
+#: Which request fields a log format can express.
+CAPABILITIES = {
+    "nginx-combined": ["status", "user_agent", "referer"], "apache-vhost-combined": ["status", "user_agent", "referer", "host"], "nginx-postdata": ["status", "user_agent", "referer", "host", "request_body", "content_type", "tls_protocol"],
+    "aws-waf": ["status", "user_agent", "referer", "host", "headers", "ja3", "ja4", "waf_action", "country"], "aws-alb": ["status", "user_agent", "host", "tls_protocol"], "aws-cloudfront": ["status", "user_agent", "referer", "host"],
+}
+
+
+def capability_union(events: DataFrame) -> DataFrame:
+    """(field, sources): fields that any log source of the corpus can express. The formats are a handful of fixed rows."""
+    known = events.sparkSession.createDataFrame([(k, f) for k, fields in CAPABILITIES.items() for f in fields], "log_source string, field string")
+    return events.select("log_source").distinct().join(F.broadcast(known), "log_source").groupBy("field").agg(F.count("*").alias("sources"))
