@@ -271,8 +271,9 @@ def jaccard_classes(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame
         return pa.table({"chunk": pa.array([key[0].as_py()], pa.int32()), "counts": pa.array([total.tobytes()], pa.binary())})
 
     frequency = np.zeros(2 * BINS, np.int64)  # of n-grams, then of words; so many numbers whatever the input
-    for r in gathered.filter("chunk is not null").select("chunk", "part", "counts").groupBy("chunk", "part").applyInArrow(add_bins, "chunk int, counts binary").collect():
-        frequency[r.chunk * CHUNK : (r.chunk + 1) * CHUNK] += np.frombuffer(r.counts, np.int64)
+    by_part = gathered.filter("chunk is not null").select("chunk", "part", "counts").groupBy("chunk", "part").applyInArrow(add_bins, "chunk int, counts binary")
+    for r in by_part.groupBy("chunk").applyInArrow(add_bins, "chunk int, counts binary").collect():  # 2 * BINS / CHUNK rows
+        frequency[r.chunk * CHUNK : (r.chunk + 1) * CHUNK] = np.frombuffer(r.counts, np.int64)
     of_grams, of_words = frequency[:BINS].astype(float), frequency[BINS:]
     # A bin well above the mean holds an n-gram of many texts; in the others a count says nothing about one n-gram.
     common = np.where(of_grams > of_grams.mean() + 6 * math.sqrt(of_grams.mean()) + 2, of_grams, 0.0)
