@@ -144,7 +144,15 @@ def score_texts(docs: DataFrame, held, states: int = STATES, rounds: int = ROUND
     by_class = counts.groupBy("class").agg(F.sum("c").alias("n"), F.count("*").alias("v")).collect()  # SUFFIXES rows
     n_tokens = sum(r.n for r in by_class) + n_texts
     n_types = sum(r.v for r in by_class) + (n_texts > 0)
-    head = counts.orderBy(F.desc("c"), "token").limit(HEAD).select("token", "class", "c").toArrow()  # HEAD rows
+    # A lower bound of the counts of the HEAD most frequent words, so that few others are sorted.
+    level = F.floor(F.log2(F.col("c").cast("double")) * 8)
+    levels = sorted(((r.level, r.least, r.n) for r in counts.groupBy(level.alias("level")).agg(F.min("c").alias("least"), F.count("*").alias("n")).collect()), reverse=True)  # 8 a doubling
+    least, reached = 1, 0
+    for _, least, n in levels:
+        reached += n
+        if reached >= HEAD:
+            break
+    head = counts.filter(F.col("c") >= least).orderBy(F.desc("c"), "token").limit(HEAD).select("token", "class", "c").toArrow()  # HEAD rows
     tokens, head_class, head_c = head.column("token").to_pylist(), head.column("class").to_numpy().copy(), head.column("c").to_numpy()
     class_n, class_v = np.zeros(CLASSES), np.zeros(CLASSES)
     for r in by_class:
