@@ -98,6 +98,22 @@ def test_fit_reaches_what_brute_force_reaches(seed):
     assert all(0 <= taken[k] <= counts[k] for k in counts) and total <= budget and best - total <= max(counts)
 
 
+@pytest.mark.parametrize(
+    ("budget", "counts", "best"),
+    [
+        (500_000, {449_999: 1, 450_000: 1, 450_001: 1}, 450_001),
+        (500_001, {300_000: 1, 250_000: 1, 250_001: 1}, 500_001),
+        (460_000, {300_000: 4, 450_000: 1}, 450_000),
+        (9_000_001, {2_999_999: 1, 3_000_000: 2, 3_000_001: 1, 4_000_000: 3}, 9_000_001),
+        (7_000_001, {2_000_000: 4, 1_000_000: 2}, 7_000_000),
+        (10, {40: 2}, 0),
+    ],
+)
+def test_fit_of_long_texts_only(budget, counts, best):
+    taken = mixing.fit(budget, counts)
+    assert all(0 <= taken[k] <= counts[k] for k in counts) and sum(k * j for k, j in taken.items()) == best
+
+
 def test_water_fill():
     assert mixing.water_fill([10, 10, 10], [3, 1, 2], 45) == [20.0, 25 / 3, 50 / 3]
     assert mixing.water_fill([0, 10], [3, 1], 15) == [0.0, 15.0]

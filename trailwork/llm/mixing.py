@@ -9,6 +9,8 @@ inside (source, length, bucket), so no source or length has to fit one task.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -21,8 +23,11 @@ WEIGHTS = (3, 1, 2)
 SHARE = (3, 2)
 REPEAT = 2
 BUCKETS = 64
-#: Largest remaining budget, in words, that the dynamic programme fits exactly.
+#: About half of this many words, or LONGEST times the longest text where that is more, are left to the dynamic programme.
 MOST_LEFT = 200_000
+LONGEST = 4
+#: The programme holds reached sums as an array up to this many words, else as a sorted list.
+MOST_DENSE = 4_000_000
 #: The table of sources is broadcast up to this many rows, else joined by a shuffle.
 MOST_BROADCAST = 50_000
 
@@ -49,10 +54,50 @@ def water_fill(sizes: list[int], weights: list[int], pool: float, repeat: int =
         capped.update(over)
 
 
+def programme(left: int, counts: dict[int, int]) -> dict[int, int]:
+    """How many of each length to take so that the sum is the largest that does not exceed ``left``: bounded knapsack."""
+    dense = left <= MOST_DENSE
+    # Sums are multiples of the lengths' common divisor, so none lies between this one and left.
+    goal = left - left % (math.gcd(*[k for k in counts if counts[k] > 0]) or 1)
+    # reached[s]: s words can be had; by, used: the length and its count that first reached a sum.
+    if dense:
+        reached = np.zeros(left + 1, bool)
+        reached[0] = True
+        by, used = np.zeros(left + 1, np.int64), np.zeros(left + 1, np.int64)
+    else:
+        sums, by, used = (np.zeros(1, np.int64) for _ in range(3))
+    for k in sorted((k for k in counts if 0 < k <= left and counts[k] > 0), reverse=True):
+        if reached[goal] if dense else sums[-1] == goal:
+            break
+        was = np.flatnonzero(reached) if dense else sums
+        for j in range(1, min(counts[k], left // k) + 1):
+            to = was + j * k
+            to = to[to <= left]
+            if not len(to):
+                break
+            if dense:
+                new = to[~reached[to]]
+                reached[new], by[new], used[new] = True, k, j
+            else:
+                at = np.searchsorted(sums, to)
+                new = to[(at == len(sums)) | (sums[np.minimum(at, len(sums) - 1)] != to)]
+                at = np.searchsorted(sums, new)
+                sums, by, used = np.insert(sums, at, new), np.insert(by, at, k), np.insert(used, at, j)
+    out = dict.fromkeys(counts, 0)
+    at = int(np.flatnonzero(reached)[-1]) if dense else int(sums[-1])
+    while at:
+        i = at if dense else int(np.searchsorted(sums, at))
+        k, j = int(by[i]), int(used[i])
+        out[k] += j
+        at -= k * j
+    return out
+
+
 def fit(budget: int, counts: dict[int, int]) -> dict[int, int]:
     """How many documents of each length to take so that their lengths sum to ``budget`` as nearly as can be, never above.
 
-    Proportional part first, then the largest lengths while much is left, then bounded-knapsack dynamic programming.
+    Proportional part first, then the largest lengths while much is left, then bounded-knapsack dynamic programming. What
+    is then still left is tried once more with a larger part of the budget, the whole of it where few texts fit.
     """
     total = sum(k * n for k, n in counts.items())
     taken = {k: 0 for k in counts}
@@ -60,39 +105,31 @@ def fit(budget: int, counts: dict[int, int]) -> dict[int, int]:
         return taken
     if budget >= total:
         return dict(counts)
+    room = max(MOST_LEFT // 2, LONGEST * max(k for k in counts if k <= budget or k == min(counts)))
     left = budget
     for k, n in counts.items():
         taken[k] = n * budget // total
         left -= k * taken[k]
     for k in sorted(counts, reverse=True):
-        if left <= MOST_LEFT // 2:
+        if left <= room:
             break
-        more = min(counts[k] - taken[k], (left - MOST_LEFT // 2) // k if k else 0)
+        more = min(counts[k] - taken[k], (left - room) // k if k else 0)
         taken[k] += more
         left -= k * more
-    if left > MOST_LEFT:
-        return taken
-    # reached[s]: s words can be had; by[s], used[s]: the length and its count that first reached s.
-    reached = np.zeros(left + 1, bool)
-    reached[0] = True
-    by, used = np.zeros(left + 1, np.int64), np.zeros(left + 1, np.int64)
-    for k in sorted((k for k in counts if k and counts[k] > taken[k]), reverse=True):
-        if reached[left]:
+    best: dict[int, int] = {}
+    for again in (False, True):
+        if again:
+            for k in sorted(counts, reverse=True):
+                back = min(taken[k], max(0, -(-(LONGEST * room - left) // k))) if k else 0
+                taken[k] -= back
+                left += k * back
+        more = programme(left, {k: n - taken[k] for k, n in counts.items()})
+        found = {k: taken[k] + more[k] for k in counts}
+        if not best or sum(k * n for k, n in found.items()) > sum(k * n for k, n in best.items()):
+            best = found
+        if budget - sum(k * n for k, n in best.items()) < math.gcd(*counts):
             break
-        was = np.flatnonzero(reached)
-        for j in range(1, min(counts[k] - taken[k], left // k) + 1):
-            to = was + j * k
-            to = to[to <= left]
-            if not len(to):
-                break
-            new = to[~reached[to]]
-            reached[new], by[new], used[new] = True, k, j
-    at = int(np.flatnonzero(reached)[-1])
-    while at:
-        k, j = int(by[at]), int(used[at])
-        taken[k] += j
-        at -= k * j
-    return taken
+    return best
 
 
 def mix_plan(docs: DataFrame, seed: int = 17) -> DataFrame:
