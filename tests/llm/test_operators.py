@@ -183,6 +183,25 @@ def test_jaccard_equals_brute_force(spark, monkeypatch, n, percent, block):
     assert got == brute_components(texts, n, percent)
 
 
+@pytest.mark.parametrize(("n", "percent", "block"), [(3, 90, 1024), (3, 90, 4), (5, 80, 3)])
+def test_jaccard_counts_every_link(spark, monkeypatch, n, percent, block):
+    monkeypatch.setattr(jaccard, "BLOCK", block)
+    monkeypatch.setattr(jaccard, "COUNT_BLOCK", block)
+    rng = random.Random(n)
+    texts = [*ODD, "two words", "two words"]
+    for base in sample_texts(6, 5, vocabulary=300, length=150):
+        w = base.split()
+        for _ in range(14):
+            copy = w[: rng.randrange(130, 151)]
+            for _ in range(rng.randrange(0, 4)):
+                copy[rng.randrange(len(copy))] = rng.choice(["zz", "yy", "xx"])
+            texts.append(" ".join(copy))
+    sets = [frozenset(tuple(w[i : i + n]) for i in range(max(1, len(w) - n + 1))) if (w := words(t)) else frozenset() for t in texts]
+    want = {i: sum(100 * len(s & o) >= percent * len(s | o) for o in set(sets) - {s} if s and o) for i, s in enumerate(sets)}
+    got = {r.doc_id: r.class_links for r in jaccard.jaccard_classes(documents(spark, texts), n, percent).collect()}
+    assert got == want and max(want.values()) > 6
+
+
 def test_bounds_never_lose_a_link():
     rng = np.random.default_rng(1)
     for _ in range(200):

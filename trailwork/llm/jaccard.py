@@ -10,6 +10,9 @@
    than t can't link), large tiles cut into size bands and blocks. Hashed bitmaps give an upper bound of the overlap by bit
    counts; only pairs that stay above the needed overlap leave the tile.
 5. Their sorted arrays are intersected exactly.
+6. Classes with the same hub are known to be connected, so their pairs are not needed for components, only counted: each
+   hub's classes are compared all with all in the same kind of tiles, where a class's array is sent once a tile, and only
+   a count a class leaves a tile.
 """
 
 from __future__ import annotations
@@ -36,6 +39,8 @@ BITMAP = 1024
 FILTER = 1 << 24
 #: Classes in a block of a tile, about.
 BLOCK = 4096
+#: The same for tiles that hold whole arrays, and n-grams in such a block, about.
+COUNT_BLOCK, COUNT_GRAMS = 1024, 1 << 21
 
 
 _MIX = np.uint64(0x9FB21C651E98DF25)
@@ -232,12 +237,67 @@ def pairs_of(table: pa.Table, percent: int) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([a for a, _ in out], pa.binary()), pa.array([b for _, b in out], pa.binary())], names=["a", "b"])
 
 
-def jaccard_classes(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
+def counts_of(table: pa.Table, percent: int) -> pa.RecordBatch:
+    """(class_key, links) for the rows of whole tiles that have any: exact links to other rows of the tile."""
+    tile = np.cumsum(tile_starts(table))
+    sets = [unpack(x) for x in table.column("grams").to_pylist()]
+    size = np.array([len(x) for x in sets])
+    order = np.lexsort((size, tile))
+    side, two_sided = table.column("side").to_numpy(), (table.column("next").to_numpy() == 1) | (table.column("i").to_numpy() != table.column("j").to_numpy())
+    size, side, two_sided = size[order], side[order], two_sided[order]
+    grams, member = np.unique(np.concatenate([sets[i] for i in order]), return_inverse=True)
+    cut = np.r_[0, np.cumsum(size)]
+    held = np.zeros(len(grams), bool)
+    links = np.zeros(len(size), np.int64)
+    ends = np.searchsorted(tile, tile, side="right")
+    for x in range(len(size) - 1):
+        # Rows of a tile are sorted by size: those from x + 1 to end can link with x.
+        end = x + 1 + int(np.searchsorted(percent * size[x + 1 : ends[x]], 100 * size[x], side="right"))
+        if end == x + 1 or two_sided[x] and (side[x + 1 : end] == side[x]).all():
+            continue
+        own = member[cut[x] : cut[x + 1]]
+        held[own] = True
+        both = np.add.reduceat(held[member[cut[x + 1] : cut[end]]], cut[x + 1 : end] - cut[x + 1], dtype=np.int64)
+        held[own] = False
+        good = both >= needed(size[x], size[x + 1 : end], percent)
+        if two_sided[x]:
+            good &= side[x + 1 : end] != side[x]
+        links[x] += good.sum()
+        links[x + 1 : end] += good
+    some = np.flatnonzero(links)
+    return pa.RecordBatch.from_arrays([table.column("class_key").combine_chunks().take(pa.array(order[some])).cast(pa.binary()), pa.array(links[some])], names=["class_key", "links"])
+
+
+def by_tiles(make):
+    """make's batch for every chunk of whole tiles: they come one after the other; a chunk ends where a tile does."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        rows = 0
+        for b in batches:
+            held.append(b)
+            rows += b.num_rows
+            if rows < 4096 and sum(x.nbytes for x in held) < 1 << 24:
+                continue
+            table = pa.Table.from_batches(held).combine_chunks()
+            border = np.flatnonzero(tile_starts(table))[-1]
+            if border:
+                yield make(table.slice(0, border))
+                table = table.slice(border)
+            held, rows = table.to_batches(), table.num_rows
+        if held:
+            yield make(pa.Table.from_batches(held).combine_chunks())
+
+    return run
+
+
+def jaccard_classes(docs: DataFrame, n: int = 3, percent: int = 90, count: bool = True) -> DataFrame:
     """One row per document: doc_id, n_shingles, class_key, component_id (smallest doc_id reachable by links), class_links.
 
     Null, empty and wordless texts have no n-grams, link with nothing and are their own component. A text with fewer words
     than n is one n-gram. Repeated rows fall in one class; a null doc_id never becomes a component_id unless a component
-    has no other. class_links is the number of verified links to other classes that the join used to connect this one.
+    has no other. class_links is the number of other classes that this one links with, all of them; without ``count`` (where
+    only components are wanted) it is left out and the pairs inside a hub's group are not compared.
     """
     spark = docs.sparkSession
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
@@ -337,11 +397,9 @@ def jaccard_classes(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame
 
         return pairs.join(left, "a").join(right, "b").select("a", "b", "na", "nb", "bits_a", "bits_b").mapInArrow(may_link, "a binary, b binary")
 
-    def exact(pairs: DataFrame, name: str) -> DataFrame:
-        """The pairs (a, b) that link, by intersecting the sorted arrays."""
-        likely = materialize(pairs, f"{name}-likely")
-        wanted = likely.select(F.col("a").alias("class_key")).unionByName(likely.select(F.col("b").alias("class_key"))).distinct()
-        # A filter of fixed size tells most rows that no pair needs; the joins below are exact.
+    def sets_of(wanted: DataFrame) -> DataFrame:
+        """(class_key, grams) of the wanted classes and, by chance, of a few others."""
+        # A filter of fixed size tells most rows that nobody needs them; the joins that follow are exact.
         bit = (F.conv(F.hex(F.substring("class_key", 1, 4)), 16, 10).cast("long") % FILTER).cast("int")
         sought = spark.sparkContext.broadcast(filter_of(wanted.select(bit.alias("bit"))))
 
@@ -350,9 +408,14 @@ def jaccard_classes(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame
             for out in classes_in(batches, lambda key, grams, _: (key, pack(grams)) if is_set(known, int.from_bytes(key[:4], "big") % FILTER) else None):
                 yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in out], pa.binary()), pa.array([g for _, g in out], pa.binary())], names=["class_key", "grams"])
 
-        sets = base.mapInArrow(arrays, "class_key binary, grams binary")
+        return base.mapInArrow(arrays, "class_key binary, grams binary").groupBy("class_key").agg(F.first("grams").alias("grams"))
+
+    def exact(pairs: DataFrame, name: str) -> DataFrame:
+        """The pairs (a, b) that link, by intersecting the sorted arrays."""
+        likely = materialize(pairs, f"{name}-likely")
+        sets = sets_of(likely.select(F.col("a").alias("class_key")).unionByName(likely.select(F.col("b").alias("class_key"))).distinct())
         asked = likely.select(F.explode(F.array(F.struct(F.col("a").alias("class_key"), F.lit(0).alias("side")), F.struct(F.col("b").alias("class_key"), F.lit(1).alias("side")))).alias("x"), "a", "b").select("x.*", "a", "b")
-        sent = asked.join(sets.groupBy("class_key").agg(F.first("grams").alias("grams")), "class_key").select("a", "b", "side", "grams")
+        sent = asked.join(sets, "class_key").select("a", "b", "side", "grams")
         whole = sent.groupBy("a", "b").agg(F.min(F.struct("side", "grams")).alias("p"), F.max(F.struct("side", "grams")).alias("q"))
 
         def intersect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -381,49 +444,53 @@ def jaccard_classes(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame
     mixed = rest.groupBy("leader").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("holders")).filter("low != high").select("leader", "holders")
     rest = rest.join(mixed, "leader")
     whole = F.struct(F.lit(0).alias("band"), F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(0).alias("side"), F.lit(0).alias("next"))
-    few = rest.filter(F.col("holders") <= BLOCK).select("leader", "class_key", "n", "label", whole.alias("tile"))
-    # More holders than a block: tiles of block i of a size band against block j of the same band (i <= j) or of the next one.
     ratio = -math.log(percent / 100) * 1.0001  # a little wide, for rounding
-    many = rest.filter(F.col("holders") > BLOCK).withColumns({"band": F.floor(F.log(F.col("n").cast("double")) / F.lit(ratio)).cast("int"), "blocks": F.ceil(F.col("holders") / BLOCK).cast("int")}).withColumn("block", F.pmod(F.xxhash64("class_key"), F.col("blocks")).cast("int"))
     place = lambda band, i, j, side, follows: F.struct(band.cast("int").alias("band"), i.cast("int").alias("i"), j.cast("int").alias("j"), side.cast("int").alias("side"), F.lit(follows).alias("next"))
     span, mine, zero, one = F.sequence(F.lit(0), F.col("blocks") - 1), F.col("block"), F.lit(0), F.lit(1)
     same = F.transform(span, lambda j: place(F.col("band"), F.least(j, mine), F.greatest(j, mine), F.when(j >= mine, zero).otherwise(one), 0))
     lower = F.transform(span, lambda j: place(F.col("band"), mine, j, zero, 1))
     upper = F.transform(span, lambda i: place(F.col("band") - 1, i, mine, one, 1))
-    many = many.select("leader", "class_key", "n", "label", F.explode(F.concat(same, lower, upper)).alias("tile"))
-    spread = few.unionByName(many).select("leader", "class_key", "n", "label", "tile.*")
     tile = ["leader", "band", "i", "j", "next"]
-    dealt = spread.join(indexed.select("class_key", "bitmap", "wide"), "class_key").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), *tile).sortWithinPartitions(*tile, "n")
 
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Tiles come one after the other, their rows by size; a chunk ends where a tile does."""
-        held: list[pa.RecordBatch] = []
-        rows = 0
-        for b in batches:
-            held.append(b)
-            rows += b.num_rows
-            if rows < 4096:
-                continue
-            table = pa.Table.from_batches(held).combine_chunks()
-            border = np.flatnonzero(tile_starts(table))[-1]
-            if border:
-                yield pairs_of(table.slice(0, border), percent)
-                table = table.slice(border)
-            held, rows = table.to_batches(), table.num_rows
-        if held:
-            yield pairs_of(pa.Table.from_batches(held).combine_chunks(), percent)
+    def in_tiles(rows: DataFrame) -> DataFrame:
+        """Rows (leader, class_key, n, label, blocks), each in every tile it has to be in.
+
+        A leader of more than a block: tiles of block i of a size band against block j of the same band (i <= j) or of the next one.
+        """
+        few = rows.filter("blocks = 1").select("leader", "class_key", "n", "label", whole.alias("tile"))
+        many = rows.filter("blocks > 1").withColumn("band", F.floor(F.log(F.col("n").cast("double")) / F.lit(ratio)).cast("int")).withColumn("block", F.pmod(F.xxhash64("class_key"), F.col("blocks")).cast("int"))
+        many = many.select("leader", "class_key", "n", "label", F.explode(F.concat(same, lower, upper)).alias("tile"))
+        return few.unionByName(many).select("leader", "class_key", "n", "label", "tile.*")
+
+    def dealt(rows: DataFrame) -> DataFrame:
+        return rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), *tile).sortWithinPartitions(*tile, "n")
 
-    open_pairs = dealt.mapInArrow(compare, "a binary, b binary").distinct()
-    links = star_links.unionByName(exact(open_pairs, "jaccard-rest"))
+    spread = in_tiles(rest.withColumn("blocks", F.ceil(F.col("holders") / BLOCK).cast("int")))
+    open_pairs = dealt(spread.join(indexed.select("class_key", "bitmap", "wide"), "class_key")).mapInArrow(by_tiles(lambda t: pairs_of(t, percent)), "a binary, b binary").distinct()
+    links = materialize(star_links.unionByName(exact(open_pairs, "jaccard-rest")).distinct(), "jaccard-all-links")
 
     found = components(links)
     in_class = found.join(stands.withColumnRenamed("class_key", "node"), "node")
     least = in_class.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    degree = links.select(F.col("a").alias("class_key")).unionByName(links.select(F.col("b").alias("class_key"))).groupBy("class_key").agg(F.count("*").alias("class_links"))
-    linked = found.join(least, "root").select(F.col("node").alias("class_key"), "component_id").join(degree, "class_key")
-    per_class = stands.withColumnRenamed("doc_id", "own_id").join(linked, "class_key", "left").select("class_key", F.coalesce("component_id", "own_id").alias("component_id"), F.coalesce("class_links", F.lit(0)).cast("long").alias("class_links"))
-    out = members.join(per_class, "class_key", "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("class_links", F.lit(0)).cast("long").alias("class_links"), F.hex("class_key").alias("class_key"))
+    linked = found.join(least, "root").select(F.col("node").alias("class_key"), "component_id")
+    per_class = stands.withColumnRenamed("doc_id", "own_id").join(linked, "class_key", "left").select("class_key", F.coalesce("component_id", "own_id").alias("component_id"))
+    named = members.join(per_class, "class_key", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
+    if not count:
+        return named.select("doc_id", "n_shingles", "component_id", F.hex("class_key").alias("class_key"))
+
+    # Every pair of different labels that links is in links; those of one label are counted in the label's own tiles.
+    sized_label = label.join(indexed.select("class_key", "n"), "class_key")
+    groups = sized_label.groupBy("label").agg(F.count("*").alias("holders"), F.sum("n").alias("all_grams")).filter("holders > 1")
+    blocks = F.greatest(F.ceil(F.col("holders") / COUNT_BLOCK), F.ceil(F.col("all_grams") / COUNT_GRAMS)).cast("int")
+    grouped = sized_label.join(groups.select("label", blocks.alias("blocks")), "label").withColumn("leader", F.col("label"))
+    inside = dealt(in_tiles(grouped).join(sets_of(grouped.select("class_key")), "class_key")).mapInArrow(by_tiles(lambda t: counts_of(t, percent)), "class_key binary, links long")
+    own = label.select(F.col("class_key").alias("a"), F.col("label").alias("label_a"))
+    other = label.select(F.col("class_key").alias("b"), F.col("label").alias("label_b"))
+    across = links.join(own, "a", "left").join(other, "b", "left").filter("coalesce(label_a, a) != coalesce(label_b, b)")
+    each = across.select(F.explode(F.array("a", "b")).alias("class_key"), F.lit(1).cast("long").alias("links")).unionByName(inside)
+    degrees = materialize(each.groupBy("class_key").agg(F.sum("links").alias("class_links")), "jaccard-degrees")
+    out = named.join(degrees, "class_key", "left")
+    return out.select("doc_id", "n_shingles", "component_id", F.coalesce("class_links", F.lit(0)).alias("class_links"), F.hex("class_key").alias("class_key"))
 
 
 def keep_one_each(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
@@ -431,5 +498,5 @@ def keep_one_each(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
 
     Rows that repeat doc_id and text stay once. Rows without a doc_id can't be told apart by it: their distinct texts stay.
     """
-    kept = jaccard_classes(docs, n, percent).filter("doc_id <=> component_id").select(F.col("doc_id").alias("__id")).distinct()
+    kept = jaccard_classes(docs, n, percent, count=False).filter("doc_id <=> component_id").select(F.col("doc_id").alias("__id")).distinct()
     return docs.join(kept, docs["doc_id"].eqNullSafe(F.col("__id"))).drop("__id").dropDuplicates(["doc_id", "text"])
