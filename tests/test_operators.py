@@ -36,6 +36,14 @@ def test_ladder_is_monotonic(spark):
     assert n["path"] >= n["path_method"] >= n["path_method_query"]
 
 
+def test_ordered_sequence_is_whole(spark):
+    at = F.timestamp_millis(F.lit(-7_200_000) + F.col("id") * 3_777)
+    f = spark.range(2_500).select(F.lit("192.0.2.1").alias("source_ip"), at.alias("ts"), F.lit("GET").alias("method"), F.explode(F.array(F.lit("/b"), F.lit("/a"))).alias("uri_path"))
+    got = sorted((r.place, r.ms, r.pattern) for r in FD.ordered_sequence(f).collect())
+    assert got == [(i + 1, *x) for i, x in enumerate(sorted((-7_200_000 + i * 3_777, p) for i in range(2_500) for p in ("GET /a", "GET /b")))]
+    assert FD.ordered_sequence(f, most=3).count() == 3
+
+
 def test_condition_null_and_not(spark):
     e = events(spark, {"host": "a"}, {"host": None})
     has = {"kind": "host_equals", "value": "a"}

@@ -140,10 +140,21 @@ def sequence_summary(findings: DataFrame, key: str = "source_ip") -> DataFrame:
     return rows.withColumn("gap", gap).groupBy(key).agg(F.count("*").alias("observations"), F.min("gap").alias("min_gap"), F.expr("percentile(gap, 0.5)").alias("median_gap"))
 
 
-def ordered_sequence(findings: DataFrame, key: str = "source_ip", most: int = 1000) -> DataFrame:
-    """Per entity its first ``most`` (time, pattern) in order, as rows."""
+def ordered_sequence(findings: DataFrame, key: str = "source_ip", most: int | None = None) -> DataFrame:
+    """Per entity its (time, pattern) in order, as rows with their place; all of them, or the first ``most`` where given.
+
+    A place is the number of rows in the hours before, in the seconds before of the hour, and within the second, so no
+    window holds more than an entity's hours, an hour's seconds or a second's rows.
+    """
     rows = findings.filter(F.col(key).isNotNull() & F.col("ts").isNotNull()).select(key, F.unix_millis("ts").alias("ms"), F.concat_ws(" ", "method", "uri_path").alias("pattern")).distinct()
-    return rows.withColumn("place", F.row_number().over(Window.partitionBy(key).orderBy("ms", "pattern"))).filter(F.col("place") <= most)
+    rows = rows.withColumns({"hour": F.expr("ms div 3600000") - (F.col("ms") % 3600000 < 0).cast("long"), "second": F.expr("ms div 1000") - (F.col("ms") % 1000 < 0).cast("long")})
+    before = lambda *by: F.coalesce(F.sum("n").over(Window.partitionBy(*by[:-1]).orderBy(by[-1]).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    seconds = rows.groupBy(key, "hour", "second").agg(F.count("*").alias("n"))
+    hours = seconds.groupBy(key, "hour").agg(F.sum("n").alias("n")).select(key, "hour", before(key, "hour").alias("hours_before"))
+    offsets = seconds.withColumn("seconds_before", before(key, "hour", "second")).join(hours, [key, "hour"]).select(key, "second", (F.col("hours_before") + F.col("seconds_before")).alias("ahead"))
+    within = F.row_number().over(Window.partitionBy(key, "second").orderBy("ms", "pattern"))
+    placed = rows.withColumn("within", within).join(offsets, [key, "second"]).select(key, "ms", "pattern", (F.col("ahead") + F.col("within")).alias("place"))
+    return placed if most is None else placed.filter(F.col("place") <= most)
 
 
 def triage_view(groups: DataFrame, reputation: DataFrame | None = None, key: str = "source_ip") -> DataFrame:
