@@ -369,6 +369,23 @@ def test_automaton_parses_like_substring_search():
     assert got.tolist() == [[brute(t, samples[k]) for k in ("x", "y")] for t in texts]
 
 
+def test_every_letter_of_the_samples_counts():
+    # 62 frequent letters of one language; the others' letters are all rarer.
+    rng = random.Random(8)
+    sets = {"aa": [chr(0x4E00 + i) for i in range(62)], "bb": [chr(0x430 + i) for i in range(30)], "cc": [chr(0x3B1 + i) for i in range(17)], "dd": [chr(0xAC00 + i) for i in range(500)]}
+    text = {k: [" ".join("".join(rng.choices(v, k=5)) for _ in range(400 if k == "aa" else 100)) for _ in range(2)] for k, v in sets.items()}
+    model = language.Model({k: v[0] for k, v in text.items()})
+    counts = model.phrases([model.encode(v[1]) for v in text.values()])
+    assert [model.languages[i] for i in counts.argmin(1)] == list(sets)
+    assert model.phrases([model.encode(text["dd"][0])])[0][3] < 5
+
+
+def test_samples_are_not_cut_to_the_head(spark):
+    rows = [(i, "1 " * 2_000 + s) for i, s in enumerate(["der hund und die katze", "the dog and the cat"])]
+    docs = spark.createDataFrame([(i, t, "de" if i == 0 else "en") for i, t in rows], "doc_id long, text string, lang string")
+    assert language.train(docs).languages == ["de", "en"]
+
+
 def test_language(spark):
     rng = random.Random(5)
     make = lambda alphabet: " ".join("".join(rng.choice(alphabet) for _ in range(5)) for _ in range(40))

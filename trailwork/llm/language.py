@@ -2,8 +2,9 @@
 
 A suffix automaton is built over a bounded sample of labelled text of every language. A text is then cut, from left to
 right, into the longest phrases that occur in a language's sample: the automaton walks on while it can, and starts a new
-phrase where it can't. The language that needs the fewest phrases a letter wins. Automata are dense transition tables, so
-that numpy walks thousands of text pieces through them in lockstep.
+phrase where it can't. The language that needs the fewest phrases a letter wins. Automata are transition tables, dense for
+the most frequent letters and sorted lists for all others, so that numpy walks thousands of text pieces through them in
+lockstep.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from trailwork.llm.common import fold
 
 #: Letters of sample a language (a documented bound), and how much of one text may enter it.
 SAMPLE, FROM_ONE_TEXT = 24_000, 1_500
-#: Most different letters that the tables tell apart; others count as unknown and end a phrase.
+#: Letters with columns of their own in the tables; transitions by other letters are looked up in a sorted list.
 ALPHABET = 62
 #: Most languages: the model's size is bounded by this times SAMPLE.
 LANGUAGES = 64
@@ -35,7 +36,10 @@ def clean(text: str) -> str:
 
 
 class Automaton:
-    """Suffix automaton of one string over small integers, as a table next[state, symbol] (-1: none); the root is 0."""
+    """Suffix automaton of one string over small integers, as a table next[state, symbol] (-1: none); the root is 0.
+
+    Transitions by symbols of width and above are rows (state, symbol, to) of ``rare``.
+    """
 
     def __init__(self, symbols: list[int], width: int):
         after: list[dict[int, int]] = [{}]
@@ -64,9 +68,14 @@ class Automaton:
                     link[to] = link[new] = copy
             last = new
         self.next = np.full((len(after), width), -1, np.int32)
+        rare = []
         for state, edges in enumerate(after):
             for c, to in edges.items():
-                self.next[state, c] = to
+                if c < width:
+                    self.next[state, c] = to
+                else:
+                    rare.append((state, c, to))
+        self.rare = np.array(rare, np.int64).reshape(-1, 3)
 
 
 class Model:
@@ -74,17 +83,30 @@ class Model:
         self.languages = sorted(samples)
         letters = Counter("".join(samples.values()))
         letters.pop(" ", None)
-        known = sorted(letters, key=lambda c: (-letters[c], c))[:ALPHABET]
-        self.code = np.array([UNKNOWN if chr(i).isalpha() else GAP for i in range(0x110000)], np.uint8)
+        known = sorted(letters, key=lambda c: (-letters[c], c))
+        self.code = np.array([UNKNOWN if chr(i).isalpha() else GAP for i in range(0x110000)], np.uint32)
         for i, c in enumerate(known):
             self.code[ord(c)] = i + 2
-        width = len(known) + 2
-        tables = [Automaton(self.encode(samples[k]).tolist(), width).next for k in self.languages]
+        self.symbols = len(known) + 2
+        width = min(len(known), ALPHABET) + 2
+        automata = [Automaton(self.encode(samples[k]).tolist(), width) for k in self.languages]
+        tables = [a.next for a in automata]
         for t in tables:
             t[:, UNKNOWN] = -1
         # All tables one below the other, so that one walk serves all languages.
         self.roots = np.cumsum([0, *[len(t) for t in tables[:-1]]]).astype(np.int32)
         self.table = np.concatenate([np.where(t >= 0, t + r, -1) for t, r in zip(tables, self.roots, strict=True)]).astype(np.int32)
+        # state * symbols + symbol, sorted, and the states they lead to.
+        rare = np.concatenate([a.rare + [r, 0, r] for a, r in zip(automata, self.roots, strict=True)])
+        keys = rare[:, 0] * self.symbols + rare[:, 1]
+        order = np.argsort(keys)
+        self.rare_keys, self.rare_to = keys[order], rare[order, 2].astype(np.int32)
+
+    def after(self, state: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+        """The states that rare symbols lead to, -1 where none."""
+        keys = state.astype(np.int64) * self.symbols + symbol
+        at = np.minimum(np.searchsorted(self.rare_keys, keys), len(self.rare_keys) - 1)
+        return np.where(self.rare_keys[at] == keys, self.rare_to[at], -1)
 
     def encode(self, text: str) -> np.ndarray:
         """Symbols of a whole text in lower case; a run of characters that are no letters is one GAP, at the ends none."""
@@ -108,7 +130,7 @@ class Model:
         lengths, owner = lengths[order], np.array(owner)[order]
         for lo in range(0, len(order), 2048):
             size = lengths[lo : lo + 2048]
-            grid = np.zeros((int(size[0]), len(size)), np.uint8)
+            grid = np.zeros((int(size[0]), len(size)), np.uint32)
             for k, i in enumerate(order[lo : lo + 2048]):
                 grid[: size[k], k] = pieces[i]
             out_part = self._walk(grid, size)
@@ -121,11 +143,18 @@ class Model:
         state = np.repeat(self.roots[None, :], grid.shape[1], 0)
         count = np.ones(state.shape, np.int64)
         alive = np.searchsorted(-size, -np.arange(1, len(grid) + 1), side="right")
-        fresh = np.where(flat.reshape(-1, width)[self.roots] >= 0, flat.reshape(-1, width)[self.roots], self.roots[:, None]).T  # symbol -> state after it as a new phrase
+        first = self.table[self.roots]
+        if self.symbols > width:
+            others = np.arange(width, self.symbols)[None, :]
+            first = np.concatenate([first, self.after(self.roots[:, None], others)], 1)
+        fresh = np.where(first >= 0, first, self.roots[:, None]).T  # symbol -> state after it as a new phrase
         for t in range(len(grid)):
             n = alive[t]
             symbol = grid[t, :n]
-            to = flat[state[:n].astype(np.int64) * width + symbol[:, None]]
+            to = flat[state[:n].astype(np.int64) * width + np.minimum(symbol, width - 1)[:, None]]
+            rare = np.flatnonzero(symbol >= width)
+            if len(rare):
+                to[rare] = self.after(state[rare], symbol[rare, None])
             stop = to < 0
             count[:n] += stop
             state[:n] = np.where(stop, fresh[symbol], to)
@@ -137,7 +166,7 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Model | None:
 
     What reaches the driver is about sample letters a language, for at most LANGUAGES languages (ValueError beyond).
     """
-    labelled = docs.filter("lang is not null and text is not null").select("lang", "doc_id", F.substring("text", 1, FROM_ONE_TEXT).alias("text"))
+    labelled = docs.filter("lang is not null and text is not null").select("lang", "doc_id", "text")
     labelled = labelled.filter(F.col("text").rlike(r"\p{L}")).withColumn("draw", F.xxhash64("doc_id", "text"))
     counts = {r.lang: r.n for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).limit(LANGUAGES + 1).collect()}
     if len(counts) > LANGUAGES:
@@ -148,7 +177,11 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Model | None:
     want = 8 * sample // 100
     limit = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, want / n))])
     part = F.pmod("draw", F.lit(1 << 30)) / float(1 << 30)
-    rows = labelled.filter(part < limit[F.col("lang")]).orderBy("lang", "draw").limit(2 * want * len(counts)).collect()
+    # A piece from anywhere in the text, by the draw; what isn't a letter doesn't count.
+    letters = F.trim(F.regexp_replace("text", r"\P{L}+", " "))
+    begin = F.pmod(F.xxhash64("draw"), F.greatest(F.length("letters") - FROM_ONE_TEXT, F.lit(0)) + 1) + 1
+    drawn = labelled.filter(part < limit[F.col("lang")]).select("lang", "draw", letters.alias("letters"))
+    rows = drawn.select("lang", "draw", F.col("letters").substr(begin.cast("int"), F.lit(FROM_ONE_TEXT)).alias("text")).orderBy("lang", "draw").limit(2 * want * len(counts)).collect()
     samples: dict[str, str] = {k: "" for k in counts}
     for r in rows:
         if len(samples[r.lang]) < sample:
@@ -170,7 +203,7 @@ def language_of(docs: DataFrame, model: Model | None, out: str = "language") ->
         for texts in batches:
             rows = []
             for lo in range(0, len(texts), 1024):
-                encoded = [m.encode(x) if x and m else np.zeros(0, np.uint8) for x in texts.iloc[lo : lo + 1024]]
+                encoded = [m.encode(x) if x and m else np.zeros(0, np.uint32) for x in texts.iloc[lo : lo + 1024]]
                 counts = m.phrases(encoded) if m else None
                 for i, x in enumerate(encoded):
                     if not len(x) or m is None:
