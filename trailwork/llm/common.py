@@ -16,9 +16,11 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a scratch one where it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a scratch folder in local mode only."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("trailwork.scratch", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("trailwork.scratch", found)
     return found
@@ -72,23 +74,80 @@ class Powers:
         return self.up[:n], self.down[:n]
 
 
-def word_hashes(data: np.ndarray, borders: np.ndarray, powers: Powers, fold: bool = True) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of all words of texts side by side in ``data`` (with fold: A-Z as a-z), and where each text's words begin and end.
-
-    A word's hash is a difference of prefix sums of a polynomial over its bytes, shifted back to its start.
-    """
+def word_spans(data: np.ndarray, borders: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the words of texts side by side in ``data`` begin and end."""
     space = _SPACE[data]
     before, after = np.r_[True, space[:-1]], np.r_[space[1:], True]
     filled = borders[:-1] < borders[1:]
     before[borders[:-1][filled]] = True
     after[borders[1:][filled] - 1] = True
-    starts, ends = np.flatnonzero(~space & before), np.flatnonzero(~space & after) + 1
+    return np.flatnonzero(~space & before), np.flatnonzero(~space & after) + 1
+
+
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, powers: Powers, fold: bool = True) -> np.ndarray:
+    """64-bit hashes of spans of bytes (with fold: A-Z as a-z): differences of prefix sums of a polynomial, shifted back to their starts."""
     up, down = powers.upto(len(data))
     total = np.zeros(len(data) + 1, np.uint64)
     np.cumsum((_FOLDED if fold else _BYTE)[data] * up, out=total[1:])
     hashes = (total[ends] - total[starts]) * down[starts]
     hashes = (hashes ^ (hashes >> np.uint64(32)) ^ (ends - starts).astype(np.uint64)) * _MIX
-    return hashes ^ (hashes >> np.uint64(29)), np.searchsorted(starts, borders)
+    return hashes ^ (hashes >> np.uint64(29))
+
+
+def word_hashes(data: np.ndarray, borders: np.ndarray, powers: Powers, fold: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words of texts side by side in ``data``, and where each text's words begin and end among them."""
+    starts, ends = word_spans(data, borders)
+    return span_hashes(data, starts, ends, powers, fold), np.searchsorted(starts, borders)
+
+
+def text_blocks(texts: pa.Array, size: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(bytes, borders, rows) of whole texts side by side, about ``size`` bytes a block.
+
+    A longer text is cut at white space, so that a block holds ``size`` bytes or one word; ``rows`` tells whose each piece is.
+    Null texts have no bytes.
+    """
+    texts = texts.cast(pa.large_binary()).fill_null(b"")
+    ends = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)
+    lo = 0
+    while lo < len(texts):
+        hi = max(lo + 1, int(np.searchsorted(ends, ends[lo] + size, side="right")) - 1)
+        at, stop = int(ends[lo]), int(ends[hi])
+        while hi == lo + 1 and stop - at > size:
+            cut = at + size
+            space = np.zeros(0, np.int64)
+            while cut < stop and not len(space):
+                space = np.flatnonzero(_SPACE[data[cut : min(cut + size, stop)]])
+                cut += int(space[0]) if len(space) else size
+            cut = min(cut, stop)
+            yield data[at:cut], np.array([0, cut - at]), np.array([lo])
+            at = cut
+        if hi > lo + 1:
+            yield data[at:stop], ends[lo : hi + 1] - at, np.arange(lo, hi)
+        elif stop > at:
+            yield data[at:stop], np.array([0, stop - at]), np.array([lo])
+        lo = hi
+
+
+def in_order(rows: DataFrame, keys: list[Column | str], name: str, out: str = "place") -> DataFrame:
+    """The rows, written, with their place (0, 1, ...) in the order of the keys.
+
+    They are range-partitioned and sorted; a row's place is its number in its partition on top of the rows of the partitions
+    before, whose counts are one small row a partition. No key has to fit one task; equal rows are in any order.
+    """
+    spark = rows.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ordered = rows.repartitionByRange(n, *keys).sortWithinPartitions(*keys).withColumn("__id", F.monotonically_increasing_id())
+    kept = materialize(ordered, name)
+    part = F.shiftright("__id", 33).alias("__part")
+    counts = sorted((r["__part"], r.n) for r in kept.groupBy(part).agg(F.count("*").alias("n")).collect())  # one row a partition
+    offsets, before = [], 0
+    for p, n in counts:
+        offsets.append((p, before))
+        before += n
+    ahead = F.broadcast(spark.createDataFrame(offsets, "__part long, __ahead long"))
+    placed = kept.withColumn("__part", F.shiftright("__id", 33)).join(ahead, "__part")
+    return placed.withColumn(out, F.col("__ahead") + F.col("__id").bitwiseAND(F.lit((1 << 33) - 1))).drop("__id", "__part", "__ahead")
 
 
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:

@@ -3,46 +3,69 @@
 Every word is a bag of hashed character n-grams with its borders marked, and the word itself; a text is the average of
 their vectors, and a two-class softmax sits on top. Vectors and weights are trained jointly in numpy on a bounded sample,
 so an unseen misspelling shares most of its n-grams' vectors with the word it distorts. Since the classifier is linear, a
-word adds a fixed amount to the logit, which is worked out once for each distinct word of a task.
+word adds a fixed amount to the logit, which is worked out once for each distinct word of a task; the words of a block of
+texts are found, hashed and summed in numpy.
 """
 
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
-import xxhash
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trailwork.llm.common import fold
+from trailwork.llm.common import Powers, fold, span_hashes, text_blocks, word_spans, words_of
 
 BUCKETS, SIZE = 1 << 16, 8
 SHORTEST, LONGEST = 3, 5
-#: Rows of each label in the training sample (a documented bound).
-PER_LABEL = 2_000
-EPOCHS, BATCH, RATE = 12, 128, 0.1
+#: Rows of each label in the training sample, and bytes of their texts in all (documented bounds).
+PER_LABEL, SAMPLE_BYTES = 3_000, 64 << 20
+EPOCHS, BATCH, RATE = 20, 128, 0.05
 #: Pull of the vectors towards 0, each time one is used.
 DECAY = 0.03
 THRESHOLD = 0.3
-#: A word longer than this many characters is cut into pieces of this many, so no word makes unbounded work.
-WORD = 64
+#: Bytes of text that are scored at once.
+BLOCK = 1 << 20
 
 
-def subwords(word: str) -> list[int]:
-    """Buckets of the character n-grams of <word> and of the word itself."""
-    out = []
-    for at in range(0, len(word), WORD):
-        marked = f"<{word[at : at + WORD]}>"
-        grams = [marked] + [marked[i : i + n] for n in range(SHORTEST, LONGEST + 1) for i in range(len(marked) - n + 1)]
-        out += [xxhash.xxh32_intdigest(g.encode("utf-8", "surrogatepass")) % BUCKETS for g in grams]
-    return out
+_FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
 
-def words(text: str | None) -> list[str]:
-    return text.lower().split() if text else []
+def _bucket(hashes: np.ndarray) -> np.ndarray:
+    hashes = (hashes ^ (hashes >> np.uint64(29))) * _FACTOR
+    return (hashes >> np.uint64(40)).astype(np.int64) % BUCKETS
+
+
+def subwords(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(buckets, words they belong to) of the character n-grams of <word> and of the word itself, for all words at once."""
+    codes = np.frombuffer("".join(f"<{w}>" for w in words).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64) + np.uint64(1)
+    sizes = np.fromiter(map(len, words), np.int64, len(words)) + 2
+    starts = np.cumsum(sizes) - sizes
+    owner = np.repeat(np.arange(len(words)), sizes)
+    left = np.repeat(starts + sizes, sizes) - np.arange(len(codes))
+    rolling = np.zeros(len(codes), np.uint64)
+    ids, owners = [], []
+    for k in range(LONGEST):
+        rolling = rolling[: len(codes) - k] * _FACTOR + codes[k:]
+        if k + 1 >= SHORTEST:
+            whole = left[: len(rolling)] > k
+            ids.append(_bucket(rolling[whole] + np.uint64(k)))
+            owners.append(owner[: len(rolling)][whole])
+    # The whole word: a sum over its letters, each mixed with its place in the word.
+    place = (np.arange(len(codes)) - np.repeat(starts, sizes)).astype(np.uint64)
+    mixed = (codes + place * np.uint64(0x632BE59BD9B4E019)) * _FACTOR
+    if len(words):
+        ids.append(_bucket(np.add.reduceat(mixed ^ (mixed >> np.uint64(31)), starts)))
+        owners.append(np.arange(len(words)))
+    return np.concatenate(ids), np.concatenate(owners)
+
+
+def words(text: str | bytes | None) -> list[str]:
+    """Words in lower case, cut at ASCII white space."""
+    return [w.decode("utf-8", "surrogatepass").lower() for w in (words_of(text) if isinstance(text, str) else (text or b"").split())]
 
 
 class Model:
@@ -52,43 +75,52 @@ class Model:
         self.gain, self.bias = (vectors @ weights).astype(np.float64), float(bias)
 
 
-class Bags(dict):
-    """(summed gain, number of subwords) of a word."""
+class Gains:
+    """Summed gain and number of subwords of words, by their hashes; kept from block to block."""
 
-    MOST = 1 << 19
+    MOST = 1 << 20
 
     def __init__(self, gain: np.ndarray):
-        super().__init__()
         self.gain = gain
-
-    def __missing__(self, word: str) -> tuple[float, int]:
-        if len(self) >= self.MOST:
-            self.clear()
-        ids = subwords(word)
-        value = self[word] = (float(self.gain[ids].sum()), len(ids))
-        return value
+        self.hashes, self.values = np.zeros(0, np.uint64), np.zeros((0, 2))
+
+    def of(self, hashes: np.ndarray, spell: Callable[[int], str]) -> np.ndarray:
+        """A row (gain, subwords) for each hash; ``spell`` gives the word at a place where its hash is new."""
+        if not len(hashes):
+            return np.zeros((0, 2))
+        distinct, first, where = np.unique(hashes, return_index=True, return_inverse=True)
+        new = ~np.isin(distinct, self.hashes, assume_unique=True)
+        if len(self.hashes) + new.sum() > self.MOST:
+            self.hashes, self.values, new = self.hashes[:0], self.values[:0], np.ones(len(distinct), bool)
+        if new.any():
+            ids, owner = subwords([spell(i) for i in first[new].tolist()])
+            found = np.stack([np.bincount(owner, self.gain[ids], int(new.sum())), np.bincount(owner, minlength=int(new.sum()))], 1)
+            self.hashes = np.r_[self.hashes, distinct[new]]
+            order = np.argsort(self.hashes)
+            self.hashes, self.values = self.hashes[order], np.r_[self.values, found][order]
+        return self.values[np.searchsorted(self.hashes, distinct)][where]
 
 
 def fit(texts: list[str], labels: np.ndarray, prior: float, seed: int = 5) -> Model:
     """Adam on the log loss, vectors and weights together; the bias is then moved from the sample's share to ``prior``."""
     rng = np.random.default_rng(seed)
-    cache: dict[str, list[int]] = {}
+    counts = [Counter(words(text)) for text in texts]
+    spelt = {w: i for i, w in enumerate(dict.fromkeys(w for c in counts for w in c))}
+    ids, owner = subwords(list(spelt))
+    order = np.argsort(owner, kind="stable")
+    ids, cut = ids[order], np.searchsorted(owner[order], np.arange(len(spelt) + 1))
     bags = []
-    for text in texts:
-        found: Counter[int] = Counter()
-        for w, k in Counter(words(text)).items():
-            if w not in cache:
-                cache[w] = subwords(w)
-            for b in cache[w]:
-                found[b] += k
-        ids = np.fromiter(found, np.int32, len(found))
-        share = np.fromiter(found.values(), np.float32, len(found))
-        bags.append((ids, share / max(1.0, share.sum())))
+    for c in counts:
+        held = [spelt[w] for w in c]
+        sizes = cut[1:][held] - cut[:-1][held]
+        found = np.bincount(np.concatenate([ids[cut[i] : cut[i + 1]] for i in held] or [ids[:0]]), np.repeat(np.fromiter(c.values(), float, len(c)), sizes), BUCKETS)
+        used = np.flatnonzero(found)
+        bags.append((used.astype(np.int32), (found[used] / max(1.0, found.sum())).astype(np.float32)))
     vectors = rng.uniform(-1 / SIZE, 1 / SIZE, (BUCKETS, SIZE)).astype(np.float32)
     weights = rng.normal(0, 1, SIZE).astype(np.float32)
-    bias = np.float32(0)
-    m = [np.zeros_like(vectors), np.zeros_like(weights), np.float32(0)]
-    v = [np.zeros_like(vectors), np.zeros_like(weights), np.float32(0)]
+    bias = np.zeros(1, np.float32)
+    first, second = [np.zeros_like(vectors), np.zeros_like(weights), np.zeros(1, np.float32)], [np.zeros_like(vectors), np.zeros_like(weights), np.zeros(1, np.float32)]
+    shares = np.zeros((BATCH, BUCKETS), np.float32)
     step = 0
     for _ in range(EPOCHS):
         order = rng.permutation(len(bags))
@@ -97,66 +129,77 @@ def fit(texts: list[str], labels: np.ndarray, prior: float, seed: int = 5) -> Mo
             if not part:
                 continue
             step += 1
-            ids = np.concatenate([bags[i][0] for i in part])
-            share = np.concatenate([bags[i][1] for i in part])
-            begin = np.cumsum([0, *[len(bags[i][0]) for i in part[:-1]]])
-            hidden = np.add.reduceat(vectors[ids] * share[:, None], begin, axis=0)
+            used = np.zeros((BUCKETS, 1), np.float32)
+            for row, i in enumerate(part):
+                shares[row, bags[i][0]] = bags[i][1]
+                used[bags[i][0]] = 1
+            batch = shares[: len(part)]
+            hidden = batch @ vectors
             p = 1 / (1 + np.exp(-(hidden @ weights + bias)))
             error = ((p - labels[part]) / len(part)).astype(np.float32)
-            g_hidden = error[:, None] * weights
-            rows = np.repeat(np.arange(len(part)), np.diff(np.r_[begin, len(ids)]))
-            touched, where = np.unique(ids, return_inverse=True)
-            g_vectors = np.stack([np.bincount(where, g_hidden[rows, d] * share, len(touched)) for d in range(SIZE)], 1).astype(np.float32)
-            for k, (x, g) in enumerate(((vectors, g_vectors), (weights, error @ hidden), (bias, error.sum()))):
-                at = touched if k == 0 else slice(None) if k == 1 else None
-                fix = np.sqrt(1 - 0.999**step) / (1 - 0.9**step)
-                if at is None:
-                    m[k], v[k] = 0.9 * m[k] + 0.1 * g, 0.999 * v[k] + 0.001 * g * g
-                    bias = np.float32(bias - RATE * fix * m[k] / (np.sqrt(v[k]) + 1e-8))
-                else:
-                    m[k][at] = 0.9 * m[k][at] + 0.1 * g
-                    v[k][at] = 0.999 * v[k][at] + 0.001 * g * g
-                    x[at] -= RATE * (fix * m[k][at] / (np.sqrt(v[k][at]) + 1e-8) + (DECAY * x[at] if k == 0 else 0))
+            slopes = (batch.T @ (error[:, None] * weights), error @ hidden, error.sum(keepdims=True))
+            fix = np.float32(np.sqrt(1 - 0.999**step) / (1 - 0.9**step))
+            for k, (x, g) in enumerate(zip((vectors, weights, bias), slopes, strict=True)):
+                first[k] = 0.9 * first[k] + 0.1 * g
+                second[k] = 0.999 * second[k] + 0.001 * g * g
+                x -= RATE * fix * first[k] / (np.sqrt(second[k]) + 1e-8)
+            vectors *= 1 - RATE * DECAY * used
+            for row, i in enumerate(part):
+                shares[row, bags[i][0]] = 0
     share_1 = float(np.clip(labels.mean(), 1e-6, 1 - 1e-6))
     prior = float(np.clip(prior, 1e-6, 1 - 1e-6))
-    return Model(vectors, weights, float(bias) + np.log(prior / (1 - prior)) - np.log(share_1 / (1 - share_1)))
+    return Model(vectors, weights, float(bias[0]) + np.log(prior / (1 - prior)) - np.log(share_1 / (1 - share_1)))
+
 
+def train(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL, most_bytes: int = SAMPLE_BYTES) -> Model | None:
+    """Learn from at most per_label rows of each label and most_bytes bytes of text, drawn by a seeded hash.
 
-def train(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL) -> Model | None:
-    """Learn from at most per_label rows of each label, drawn by a seeded hash; None where nothing is labelled."""
-    marks = labels.filter("toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    None where nothing is labelled. Lengths are looked at first, so that no more text than that leaves its task.
+    """
+    marks = labels.filter("toxic in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     counts = {r.toxic: r.n for r in marks.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     if not counts:
         return None
     limit = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, per_label / n))])
-    part = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)
-    drawn = marks.filter(part < limit[F.col("toxic")]).orderBy("toxic", F.xxhash64("doc_id")).limit(4 * per_label)
-    texts = docs.filter("text is not null").select("doc_id", "text")
-    rows = texts.join(F.broadcast(drawn), "doc_id").orderBy("doc_id").limit(4 * per_label).collect()  # drawn: at most 4 * per_label rows
-    if not rows:
+    draw = F.xxhash64("doc_id")
+    part = F.pmod(draw, F.lit(1 << 30)) / float(1 << 30)
+    drawn = F.broadcast(marks.filter(part < limit[F.col("toxic")]).orderBy("toxic", draw).limit(4 * per_label))  # so many rows at most
+    texts = docs.filter("text is not null").select("doc_id", "text", F.octet_length("text").alias("size"), F.crc32(F.col("text").cast("binary")).alias("crc"))
+    offered = texts.join(drawn, "doc_id").select("doc_id", "toxic", "size", "crc", draw.alias("draw")).distinct().orderBy("draw", "doc_id", "size", "crc").limit(4 * per_label).collect()
+    left, chosen = most_bytes, []
+    for r in offered:
+        if r["size"] <= left:
+            chosen.append((r.doc_id, r["size"], r.crc, r.toxic))
+            left -= r["size"]
+    if not chosen:
         return None
+    wanted = F.broadcast(docs.sparkSession.createDataFrame(chosen, "doc_id long, size int, crc long, toxic int"))
+    rows = texts.join(wanted, ["doc_id", "size", "crc"]).dropDuplicates(["doc_id", "size", "crc"]).collect()  # at most most_bytes of text
+    rows.sort(key=lambda r: (r.doc_id, r["size"], r.crc))
     return fit([r.text for r in rows], np.array([r.toxic for r in rows], np.float32), counts.get(1, 0) / sum(counts.values()))
 
 
 def with_toxicity(docs: DataFrame, model: Model | None, out: str = "toxicity") -> DataFrame:
-    """Add a double: probability of label 1 for the whole text. Null and empty texts get the model's bias alone."""
+    """Add a double: probability of label 1 for the whole text. Null, empty and wordless texts get the model's bias alone.
+
+    Without a model it is 0.5. Extra columns stay; repeated rows get the same answer.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf("double")
-    def toxicity(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("double")
+    def toxicity(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         m = shared.value
-        bags = Bags(m.gain if m else np.zeros(BUCKETS))
-        bias = m.bias if m else 0.0
+        gains, powers = Gains(m.gain if m else np.zeros(BUCKETS)), Powers()
         for texts in batches:
-            out = []
-            for text in texts:
-                total, n = 0.0, 0
-                for w in words(text):
-                    g, k = bags[w]
-                    total += g
-                    n += k
-                out.append(bias + (total / n if n else 0.0))
-            yield pd.Series(1 / (1 + np.exp(-np.clip(np.array(out, float), -500, 500))))
+            total, subs = np.zeros(len(texts)), np.zeros(len(texts))
+            for data, borders, rows in text_blocks(texts, BLOCK) if m else ():
+                starts, ends = word_spans(data, borders)
+                found = gains.of(span_hashes(data, starts, ends, powers), lambda i: data[starts[i] : ends[i]].tobytes().decode("utf-8", "replace").lower())
+                owner = rows[np.searchsorted(borders, starts, side="right") - 1]
+                total += np.bincount(owner, found[:, 0], len(texts))
+                subs += np.bincount(owner, found[:, 1], len(texts))
+            logit = (m.bias if m else 0.0) + total / np.maximum(subs, 1)
+            yield pa.array(1 / (1 + np.exp(-np.clip(logit, -500, 500))))
 
     return docs.withColumn(out, toxicity.asNondeterministic()(F.col("text")))
 
