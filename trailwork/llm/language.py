@@ -2,9 +2,11 @@
 
 A suffix automaton is built over a bounded sample of labelled text of every language. A text is then cut, from left to
 right, into the longest phrases that occur in a language's sample: the automaton walks on while it can, and starts a new
-phrase where it can't. The language that needs the fewest phrases a letter wins. Automata are transition tables, dense for
-the most frequent letters and sorted lists for all others, so that numpy walks thousands of text pieces through them in
-lockstep.
+phrase where it can't. Phrase counts of samples of different lengths and languages of different richness don't compare, so
+they are normalised by the number of phrases that a text of the language itself needs for as many letters, which
+cross-validation on the sample tells; the language needing fewest normalised phrases wins. Automata are transition tables,
+dense for the most frequent letters and sorted lists for all others, so that numpy walks thousands of text pieces through
+them in lockstep.
 """
 
 from __future__ import annotations
@@ -21,6 +23,8 @@ from trailwork.llm.common import fold
 
 #: Letters of sample a language (a documented bound), and how much of one text may enter it.
 SAMPLE, FROM_ONE_TEXT = 24_000, 1_500
+#: Parts of a sample that are parsed by the others to learn how many phrases a language's own text needs.
+PARTS = 4
 #: Letters with columns of their own in the tables; transitions by other letters are looked up in a sorted list.
 ALPHABET = 62
 #: Most languages: the model's size is bounded by this times SAMPLE.
@@ -80,7 +84,8 @@ class Automaton:
 
 class Model:
     def __init__(self, samples: dict[str, str]):
-        self.languages = sorted(samples)
+        self.languages = sorted(k for k in samples if samples[k].strip())
+        samples = {k: samples[k] for k in self.languages}
         letters = Counter("".join(samples.values()))
         letters.pop(" ", None)
         known = sorted(letters, key=lambda c: (-letters[c], c))
@@ -88,12 +93,17 @@ class Model:
         for i, c in enumerate(known):
             self.code[ord(c)] = i + 2
         self.symbols = len(known) + 2
-        width = min(len(known), ALPHABET) + 2
-        automata = [Automaton(self.encode(samples[k]).tolist(), width) for k in self.languages]
+        self.width = min(len(known), ALPHABET) + 2
+        encoded = [self.encode(samples[k]) for k in self.languages]
+        self.own = np.array([self.own_rate(x) for x in encoded])
+        self.load(encoded)
+
+    def load(self, samples: list[np.ndarray]) -> None:
+        """The automata of encoded samples, one below the other, so that one walk serves all languages."""
+        automata = [Automaton(x.tolist(), self.width) for x in samples]
         tables = [a.next for a in automata]
         for t in tables:
             t[:, UNKNOWN] = -1
-        # All tables one below the other, so that one walk serves all languages.
         self.roots = np.cumsum([0, *[len(t) for t in tables[:-1]]]).astype(np.int32)
         self.table = np.concatenate([np.where(t >= 0, t + r, -1) for t, r in zip(tables, self.roots, strict=True)]).astype(np.int32)
         # state * symbols + symbol, sorted, and the states they lead to.
@@ -102,6 +112,29 @@ class Model:
         order = np.argsort(keys)
         self.rare_keys, self.rare_to = keys[order], rare[order, 2].astype(np.int32)
 
+    def own_rate(self, sample: np.ndarray) -> float:
+        """Phrases a letter that a language's own text needs: parts of its sample parsed by the rest, the median of stretches.
+
+        Phrases grow with the logarithm of the sample, so the rate of a shorter sample is carried over to the whole one.
+        """
+        stretches = [sample[i : i + 200] for i in range(0, len(sample), 200)]
+        if len(stretches) < PARTS:
+            stretches = np.array_split(sample, PARTS)
+        rates = []
+        for part in range(PARTS):
+            tried = [x for x in stretches[part::PARTS] if len(x)]
+            rest = [x for i, x in enumerate(stretches) if i % PARTS != part and len(x)]
+            if not tried or not rest:
+                continue
+            self.load([np.concatenate(rest)])
+            longer = np.log(2 + sum(map(len, rest))) / np.log(2 + len(sample))
+            rates += [(n / len(x) * longer, len(x)) for n, x in zip(self.phrases(tried)[:, 0].tolist(), tried, strict=True)]
+        if not rates:
+            return 1.0
+        rates.sort()
+        reach = np.cumsum([n for _, n in rates])
+        return rates[int(np.searchsorted(reach, reach[-1] / 2))][0]
+
     def after(self, state: np.ndarray, symbol: np.ndarray) -> np.ndarray:
         """The states that rare symbols lead to, -1 where none."""
         keys = state.astype(np.int64) * self.symbols + symbol
@@ -161,39 +194,46 @@ class Model:
         return count
 
 
-def train(docs: DataFrame, sample: int = SAMPLE) -> Model | None:
+def train(docs: DataFrame, sample: int = SAMPLE, most: int = LANGUAGES) -> Model | None:
     """Learn from a bounded sample of labelled texts, seeded by doc_id; None where no text is labelled.
 
-    What reaches the driver is about sample letters a language, for at most LANGUAGES languages (ValueError beyond).
+    What reaches the driver is about sample letters a language, for at most ``most`` languages (ValueError beyond). Equal
+    pieces enter a sample once. Rows with a null text, a null lang or without a letter are not learned from.
     """
     labelled = docs.filter("lang is not null and text is not null").select("lang", "doc_id", "text")
     labelled = labelled.filter(F.col("text").rlike(r"\p{L}")).withColumn("draw", F.xxhash64("doc_id", "text"))
-    counts = {r.lang: r.n for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).limit(LANGUAGES + 1).collect()}
-    if len(counts) > LANGUAGES:
-        raise ValueError(f"more than {LANGUAGES} languages")
+    size = F.least(F.length("text"), F.lit(FROM_ONE_TEXT))
+    counts = {r.lang: (r.n, r.size) for r in labelled.groupBy("lang").agg(F.count("*").alias("n"), F.avg(size).alias("size")).limit(most + 1).collect()}
+    if len(counts) > most:
+        raise ValueError(f"more than {most} languages")
     if not counts:
         return None
-    # Enough texts of each language at an average of 100 letters, by a threshold on the draw; no sort, no window.
-    want = 8 * sample // 100
-    limit = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, want / n))])
+    # Enough texts of each language by a threshold on the draw; no sort, no window. Some of what is drawn are no letters.
+    want = {k: 2 * sample / size + 50 for k, (_, size) in counts.items()}
+    limit = F.create_map(*[F.lit(x) for k, (n, _) in counts.items() for x in (k, min(1.0, want[k] / n))])
     part = F.pmod("draw", F.lit(1 << 30)) / float(1 << 30)
     # A piece from anywhere in the text, by the draw; what isn't a letter doesn't count.
     letters = F.trim(F.regexp_replace("text", r"\P{L}+", " "))
     begin = F.pmod(F.xxhash64("draw"), F.greatest(F.length("letters") - FROM_ONE_TEXT, F.lit(0)) + 1) + 1
     drawn = labelled.filter(part < limit[F.col("lang")]).select("lang", "draw", letters.alias("letters"))
-    rows = drawn.select("lang", "draw", F.col("letters").substr(begin.cast("int"), F.lit(FROM_ONE_TEXT)).alias("text")).orderBy("lang", "draw").limit(2 * want * len(counts)).collect()
-    samples: dict[str, str] = {k: "" for k in counts}
+    rows = drawn.select("lang", "draw", F.col("letters").substr(begin.cast("int"), F.lit(FROM_ONE_TEXT)).alias("text")).orderBy("lang", "draw").limit(int(2 * sum(want.values()))).collect()
+    pieces: dict[str, dict[str, None]] = {k: {} for k in counts}
+    held = dict.fromkeys(counts, 0)
     for r in rows:
-        if len(samples[r.lang]) < sample:
-            samples[r.lang] += " " + clean(r.text)
-    return Model({k: v[:sample] for k, v in samples.items() if v.strip()})
+        text = clean(r.text)
+        if held[r.lang] < sample and text not in pieces[r.lang]:
+            pieces[r.lang][text] = None
+            held[r.lang] += len(text) + 1
+    samples = {k: " ".join(v)[:sample] for k, v in pieces.items()}
+    return Model(samples) if any(v.strip() for v in samples.values()) else None
 
 
 def language_of(docs: DataFrame, model: Model | None, out: str = "language") -> DataFrame:
     """Add a struct (lang_pred, score, phrases, letters): und and 0 where the text is null or has no letter.
 
-    score is the winner's share of the inverse phrase counts, 0 to 1. Ties go to the first language in order. Extra
-    columns stay; repeated rows get the same answer.
+    score is the winner's share of the inverse normalised counts, 0 to 1; phrases are the winner's, not normalised. Ties go
+    to the first language in order. A text longer than PIECE is parsed in pieces, all of them. Extra columns stay; repeated
+    rows get the same answer.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -205,12 +245,13 @@ def language_of(docs: DataFrame, model: Model | None, out: str = "language") ->
             for lo in range(0, len(texts), 1024):
                 encoded = [m.encode(x) if x and m else np.zeros(0, np.uint32) for x in texts.iloc[lo : lo + 1024]]
                 counts = m.phrases(encoded) if m else None
+                relative = counts / m.own if m else None
                 for i, x in enumerate(encoded):
                     if not len(x) or m is None:
                         rows.append(("und", 0.0, 0, 0))
                         continue
-                    best = int(counts[i].argmin())
-                    inverse = 1.0 / counts[i]
+                    best = int(relative[i].argmin())
+                    inverse = 1.0 / relative[i]
                     rows.append((m.languages[best], float(inverse[best] / inverse.sum()), int(counts[i][best]), len(x)))
             yield pd.DataFrame(rows, columns=["lang_pred", "score", "phrases", "letters"])
 
@@ -218,7 +259,10 @@ def language_of(docs: DataFrame, model: Model | None, out: str = "language") ->
 
 
 def language_report(docs: DataFrame) -> DataFrame:
-    """doc_id, held_out, lang_pred, score of every row; learned from the rows that are not held out."""
+    """doc_id, held_out, lang_pred, score of every row; learned from the rows that are not held out.
+
+    A null doc_id is not held out. Repeated rows each get a row; an empty table gives none.
+    """
     held = fold(F.col("doc_id"), 3, 1)
     model = train(docs.filter(~held))
     rows = docs.select("doc_id", held.alias("held_out"), "text")
