@@ -10,6 +10,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from trailwork.llm import chat, components, decontamination, hmm, jaccard, language, mixing, quality, sharding, tokens, toxicity
 
@@ -87,15 +88,17 @@ def test_shards_of_nothing(spark):
 # mixing
 
 
-@pytest.mark.parametrize("seed", range(6))
-def test_fit_reaches_what_brute_force_reaches(seed):
-    rng = random.Random(seed)
-    counts = {rng.randrange(1, 60): rng.randrange(1, 4) for _ in range(5)}
-    budget = rng.randrange(1, sum(k * n for k, n in counts.items()) + 5)
-    best = max(s for s in (sum(k * j for k, j in zip(counts, pick, strict=True)) for pick in itertools.product(*(range(n + 1) for n in counts.values()))) if s <= budget)
-    taken = mixing.fit(budget, counts)
-    total = sum(k * j for k, j in taken.items())
-    assert all(0 <= taken[k] <= counts[k] for k in counts) and total <= budget and best - total <= max(counts)
+@pytest.mark.parametrize("left", [200_000, 20])
+def test_fit_reaches_what_brute_force_reaches(monkeypatch, left):
+    monkeypatch.setattr(mixing, "MOST_LEFT", left)
+    rng = random.Random(left)
+    for _ in range(300):
+        counts = {rng.randrange(0, 60): rng.randrange(0, 4) for _ in range(5)}
+        budget = rng.randrange(1, sum(k * n for k, n in counts.items()) + 5)
+        best = max(s for s in (sum(k * j for k, j in zip(counts, pick, strict=True)) for pick in itertools.product(*(range(n + 1) for n in counts.values()))) if s <= budget)
+        taken = mixing.fit(budget, counts)
+        assert all(0 <= taken[k] <= counts[k] for k in counts) and sum(k * j for k, j in taken.items()) == best
+    assert mixing.fit(12, {7: 4, 6: 2}) == {7: 0, 6: 2}
 
 
 @pytest.mark.parametrize(
@@ -114,9 +117,28 @@ def test_fit_of_long_texts_only(budget, counts, best):
     assert all(0 <= taken[k] <= counts[k] for k in counts) and sum(k * j for k, j in taken.items()) == best
 
 
-def test_water_fill():
-    assert mixing.water_fill([10, 10, 10], [3, 1, 2], 45) == [20.0, 25 / 3, 50 / 3]
-    assert mixing.water_fill([0, 10], [3, 1], 15) == [0.0, 15.0]
+def brute_targets(sizes, weights):
+    target, capped = [0.0] * len(sizes), set()
+    while True:
+        free = [i for i in range(len(sizes)) if i not in capped]
+        left = 1.5 * sum(sizes) - sum(2 * sizes[i] for i in capped)
+        for i in free:
+            target[i] = left * weights[i] / sum(weights[j] for j in free)
+        over = [i for i in free if target[i] > 2 * sizes[i]]
+        if not over:
+            return target
+        for i in over:
+            target[i] = 2.0 * sizes[i]
+        capped.update(over)
+
+
+def test_water_fill(spark):
+    rng = random.Random(4)
+    for sizes in ([10, 10, 10], [0, 10], [0, 0], [1, 2, 3, 500, 40, 9, 0, 77], [rng.randrange(1000) ** 2 for _ in range(40)]):
+        weights = [mixing.WEIGHTS[i % 3] for i in range(len(sizes))]
+        rows = spark.createDataFrame(list(enumerate(sizes)), "i long, size long").withColumn("weight", F.get(F.array(*map(F.lit, mixing.WEIGHTS)), (F.col("i") % 3).cast("int")))
+        got = [r.target for r in mixing.water_fill(rows).orderBy("i").collect()]
+        assert got == pytest.approx(brute_targets(sizes, weights))
 
 
 def test_mix(spark):
@@ -142,7 +164,18 @@ def test_mixed_rows_follow_the_plan(spark):
         plan[r.doc_id] += r.copies
     out = mixing.mixed(docs)
     assert out.columns == docs.columns and Counter(r.doc_id for r in out.collect()) == Counter({k: n for k, n in plan.items() if n})
-    assert mixing.mixed(docs.limit(0)).count() == 0
+    assert mixing.mixed(docs.limit(0)).count() == 0 and mixing.mix_report(docs.limit(0)).count() == 0
+
+
+def test_mix_of_equal_rows_and_empty_sources(spark):
+    rows = [(None, "same words in all of these", None, None, None)] * 60 + [(i, " ".join(["w"] * (i % 9 + 1)), None, "b", None) for i in range(50)] + [(i, None, None, "none", None) for i in range(5)]
+    docs = spark.createDataFrame(rows, DOCS).repartition(7)
+    plan = Counter()
+    for r in mixing.mix_plan(docs).collect():
+        plan[r.doc_id, r.source] += r.copies
+    out = mixing.mixed(docs).collect()
+    assert Counter((r.doc_id, r.source) for r in out) == Counter({k: n for k, n in plan.items() if n}) and 0 < plan[None, None] < 120
+    assert {r.target for r in mixing.mix_report(docs.filter("source = 'none'")).collect()} == {0.0}
 
 
 # Jaccard join
