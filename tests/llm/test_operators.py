@@ -322,6 +322,36 @@ def test_decontamination_equals_brute_force(spark):
     assert decontamination.contaminated(documents(spark, texts).limit(0), benchmark).count() == 0
 
 
+def test_repetitive_items_are_all_found(spark):
+    texts, items = [], []
+    for k in range(2000):
+        a, b = f"a{k}", f"b{k}"
+        words_ = [(a, b)[i % 2] for i in range(15)]
+        items.append(" ".join(words_))
+        texts.append(" ".join(["changed", *words_[1:]]))
+    benchmark = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    rows = decontamination.contaminated(documents(spark, texts), benchmark).collect()
+    assert sorted((r.doc_id, r.item_id) for r in rows) == [(k, k) for k in range(2000)]
+    assert {round(r.similarity, 9) for r in rows} == {round(10 / 12, 9)}
+
+
+def test_decontamination_without_broadcast_and_of_odd_rows(spark, monkeypatch):
+    rng = random.Random(5)
+    vocabulary = [f"v{i}" for i in range(400)]
+    items = [" ".join(rng.choice(vocabulary) for _ in range(20)) for _ in range(6)]
+    hit, clean = f"before {items[0]} after", " ".join(rng.choice(vocabulary) for _ in range(60))
+    rows = [(1, hit), (1, hit), (1, items[1]), (None, hit), (2, clean), (None, None), (3, f"{clean} {items[2]} " * 3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as key", "2 as __id", "3 as w", "4 as start")
+    benchmark = spark.createDataFrame([*enumerate(items), (None, clean), (9, None)], "item_id long, text string")
+    want = [(1, 0, 1), (1, 1, 1), (3, 2, 3)]
+    for most in (decontamination.MOST_BROADCAST, 0):
+        monkeypatch.setattr(decontamination, "MOST_BROADCAST", most)
+        exact = [(r.doc_id, r.item_id, r.windows) for r in decontamination.contaminated(docs, benchmark, percent=100).collect()]
+        assert sorted(exact) == want
+        kept = decontamination.decontaminated(docs, benchmark)
+        assert kept.columns == docs.columns and sorted(str(r.doc_id) for r in kept.collect()) == ["2", "None"]
+
+
 # language model
 
 

@@ -1,12 +1,15 @@
 """Benchmark decontamination by SimHash over item-sized windows, with DataFrame functions only.
 
-A benchmark item of w words is compared with every window of w words of a document (the whole document where it is
-shorter). A window is fingerprinted when it holds enough of the benchmark's word 5-grams to be able to reach the wanted
-similarity with an item of that size: windows below that count can't, so none that matter is left out. The 64-bit SimHash
-of a window meets the items of its size through a multi-index: eight blocks of eight bits, and by the pigeonhole
-principle two fingerprints at most ``radius`` bits apart have a block at most radius // 8 bits apart, so the items are
-entered under every block value that near. Pairs within the radius are verified exactly: Jaccard similarity of the 5-gram
-bags, each 5-gram weighted by how often it occurs.
+A benchmark item of w words is compared with every window of w words of a text (the whole text where it is shorter). A
+window is fingerprinted when it holds enough of the benchmark's word 5-grams to be able to reach the wanted similarity with
+an item of that size; this prefilter is exact, windows below that count can't reach it. The bag of a window's 5-grams is
+made a set by numbering the occurrences of each, so that a repeated 5-gram weighs no more in one bit than as many different
+ones, and Jaccard similarity of the sets is the weighted one of the bags. The 64-bit SimHash of the set meets the items of
+its size through a multi-index: eight blocks of eight bits, and by the pigeonhole principle two fingerprints at most
+``radius`` bits apart have a block at most radius // 8 bits apart, so the items are entered under every block value that
+near. Pairs within the radius are verified exactly.
+
+The work is done once for each different text, whatever the number of its copies.
 """
 
 from __future__ import annotations
@@ -18,9 +21,10 @@ from trailwork.llm.common import materialize
 
 SHINGLE = 5
 BITS, BLOCKS = 64, 8
-#: Windows at similarity 0.8 differ in 9.7 of 64 bits on average with a deviation of 2.9; 23 is 4.6 deviations above.
-RADIUS = 23
-#: The shingles of the benchmark are broadcast up to this many, else joined by a shuffle.
+#: As the members of the sets are all different, bits differ independently: with a probability of 0.161 at most at similarity
+#: 0.8 (0.188 where a text is a word shorter than an item of nine), so more than 27 of 64 differ once in millions of such pairs.
+RADIUS = 27
+#: The shingles of the benchmark, and the texts found, are broadcast up to this many, else joined by a shuffle.
 MOST_BROADCAST = 2_000_000
 
 
@@ -36,8 +40,13 @@ def shingles_column(words: Column, size: int = SHINGLE) -> Column:
     return F.when(F.size(words) > 0, several).otherwise(F.array().cast("array<bigint>"))
 
 
+def numbered_column(ordered: Column) -> Column:
+    """A sorted bag as a set: every member hashed with the number of equal ones before it."""
+    return F.transform(ordered, lambda h, i: F.xxhash64(h, i + 1 - F.array_position(ordered, h)))
+
+
 def simhash_column(bag: str) -> Column:
-    """64-bit SimHash of an array column: a bit is set where more than half of the shingle occurrences have it set."""
+    """64-bit SimHash of an array column: a bit is set where more than half of its members have it set."""
     ones = f"aggregate({bag}, 0L, (n, h) -> n + (shiftrightunsigned(h, b) & 1L))"
     return F.expr(f"aggregate(transform(sequence(0, {BITS - 1}), b -> if(2 * {ones} > size({bag}), shiftleft(1L, b), 0L)), 0L, (x, y) -> x | y)")
 
@@ -51,70 +60,95 @@ def near_masks(bits: int) -> list[int]:
     return [m for m in range(256) if m.bit_count() <= bits]
 
 
+def fingerprinted(rows: DataFrame) -> DataFrame:
+    """Rows with an array ``bag`` of shingles: the bag as a set, with its fingerprint ``print``."""
+    sets = rows.withColumn("bag", F.array_sort("bag")).withColumn("bag", numbered_column(F.col("bag")))
+    return sets.withColumn("print", simhash_column("bag"))
+
+
 def benchmark_items(benchmark: DataFrame) -> DataFrame:
-    """item_id, w (words), shingles; items without words are left out."""
-    words = benchmark.select("item_id", words_column("text").alias("words")).filter(F.size("words") > 0)
-    return words.select("item_id", F.size("words").alias("w"), shingles_column(F.col("words")).alias("shingles"))
+    """item, item_id, w (words), shingles; items without words or without an item_id are left out."""
+    words = benchmark.filter("item_id is not null").select(F.monotonically_increasing_id().alias("item"), "item_id", words_column("text").alias("words")).filter(F.size("words") > 0)
+    return words.select("item", "item_id", F.size("words").alias("w"), shingles_column(F.col("words")).alias("shingles"))
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, percent: int = 80, radius: int = RADIUS) -> DataFrame:
-    """doc_id, item_id, similarity, start_word, windows: the best window of each pair, and how many windows reach percent.
+def window_starts(at: Column, need: Column, m: Column, last: Column) -> Column:
+    """Where windows of m shingles begin (up to ``last``) that hold ``need`` of the sorted hits or more.
 
-    Null, empty and wordless texts and items match nothing. A text or item of fewer than five words is one shingle, so such
-    an item, too short to be told from chance inside a longer text, matches documents of just its words. Rows
-    that repeat a doc_id add up under it; rows without a doc_id are left out, since they couldn't be named.
+    A window that holds hits k .. k + need - 1 begins at or before hit k and ends at or after the other.
     """
-    items = materialize(benchmark_items(benchmark), "benchmark-items")
-    by_shingle = items.select(F.explode_outer("shingles").alias("shingle"), "w").filter("shingle is not null").distinct()
-    known = by_shingle.groupBy("shingle").agg(F.sort_array(F.collect_set("w")).alias("sizes"))
-    known = materialize(known, "benchmark-shingles")
-    if known.count() <= MOST_BROADCAST:
-        known = F.broadcast(known)
+    low = lambda k: F.greatest(F.get(at, k + need - 1) - m + 1, F.lit(0))
+    high = lambda k: F.least(F.get(at, k), last)
+    spans = F.transform(F.sequence(F.lit(0), F.size(at) - need), lambda k: F.when(high(k) >= low(k), F.sequence(low(k), high(k))).otherwise(F.array().cast("array<int>")))
+    return F.array_distinct(F.flatten(spans))
+
 
-    texts = docs.filter("doc_id is not null").select("doc_id", F.crc32(F.col("text").cast("binary")).alias("crc"), words_column("text").alias("words"))
-    texts = texts.select("doc_id", "crc", F.size("words").alias("n"), shingles_column(F.col("words")).alias("shingles"))
+def windows_of(texts: DataFrame, known: DataFrame, percent: int, carry: bool) -> DataFrame:
+    """(key, w, start, bag) of the windows that could reach percent; texts: key, words; known: shingle, sizes of the items that have it.
+
+    With ``carry`` the few hits take their text's shingles along; else they are fetched again by key.
+    """
+    made = texts.select("key", F.size("words").alias("n"), shingles_column(F.col("words")).alias("shingles"))
+    along = ["shingles"] if carry else []
     # Outer, as the optimizer would test the arrays of an inner explode before it, by computing them once more a word.
-    hits = texts.select("doc_id", "crc", "n", "shingles", F.posexplode_outer("shingles").alias("at", "shingle")).join(known, "shingle")
-    by_size = hits.select("doc_id", "crc", "n", "shingles", "at", F.explode("sizes").alias("w"))
-    found = by_size.groupBy("doc_id", "crc", "w").agg(F.first("n").alias("n"), F.first("shingles").alias("shingles"), F.sort_array(F.collect_set("at")).alias("at"))
-
-    # Shingles in a window of w words; a shorter document is one window of its own.
-    window = F.greatest(F.least("w", "n") - (SHINGLE - 1), F.lit(1))
-    item_shingles = F.greatest(F.col("w") - (SHINGLE - 1), F.lit(1))
-    found = found.withColumns({"m": window, "last": F.greatest(F.col("n") - F.col("w"), F.lit(0))})
-    need = F.ceil(percent * (F.col("m") + item_shingles) / F.lit(100 + percent)).cast("int")
+    hits = made.select("key", "n", *along, F.posexplode_outer("shingles").alias("at", "shingle")).join(known, "shingle")
+    by_size = hits.select("key", "n", *along, "at", F.explode("sizes").alias("w"))
+    found = by_size.groupBy("key", "w").agg(F.first("n").alias("n"), F.sort_array(F.collect_set("at")).alias("at"), *[F.first(c).alias(c) for c in along])
+    # Shingles in a window of w words; a shorter text is one window of its own.
+    found = found.withColumns({"m": F.greatest(F.least("w", "n") - (SHINGLE - 1), F.lit(1)), "last": F.greatest(F.col("n") - F.col("w"), F.lit(0))})
+    need = F.ceil(percent * (F.col("m") + F.greatest(F.col("w") - (SHINGLE - 1), F.lit(1))) / F.lit(100 + percent)).cast("int")
     found = found.withColumn("need", need).filter(F.size("at") >= F.col("need"))
-    # A window that holds hits k .. k + need - 1 begins at or before hit k and ends at or after the other.
-    starts = F.array_distinct(
-        F.flatten(
-            F.transform(
-                F.sequence(F.lit(0), F.size("at") - F.col("need")),
-                lambda k: F.when(
-                    F.least(F.get("at", k), F.col("last")) >= F.greatest(F.get("at", k + F.col("need") - 1) - F.col("m") + 1, F.lit(0)),
-                    F.sequence(F.greatest(F.get("at", k + F.col("need") - 1) - F.col("m") + 1, F.lit(0)), F.least(F.get("at", k), F.col("last"))),
-                ).otherwise(F.array().cast("array<int>")),
-            )
-        )
-    )
-    windows = found.select("doc_id", "w", "shingles", "m", F.explode_outer(starts).alias("start")).filter("start is not null").select("doc_id", "w", "start", F.slice("shingles", F.col("start") + 1, F.col("m")).alias("bag"))
-    windows = windows.withColumn("print", simhash_column("bag"))
+    starts = found.select("key", "w", "m", *along, window_starts(F.col("at"), F.col("need"), F.col("m"), F.col("last")).alias("starts"))
+    if not carry:
+        starts = texts.join(starts, "key").select("key", "w", "m", "starts", shingles_column(F.col("words")).alias("shingles")).dropDuplicates(["key", "w"])
+    spread = starts.select("key", "w", "m", "shingles", F.explode_outer("starts").alias("start")).filter("start is not null")
+    return spread.select("key", "w", "start", F.slice("shingles", F.col("start") + 1, F.col("m")).alias("bag"))
 
+
+def contaminated_texts(docs: DataFrame, benchmark: DataFrame, percent: int = 80, radius: int = RADIUS) -> DataFrame:
+    """key (MD5 of the text), item_id, similarity, start_word, windows: the best window of each text and item that reach percent."""
+    items = materialize(fingerprinted(benchmark_items(benchmark).withColumn("bag", F.col("shingles"))), "benchmark-items")
+    by_shingle = items.select(F.explode_outer("shingles").alias("shingle"), "w").filter("shingle is not null").distinct()
+    known = materialize(by_shingle.groupBy("shingle").agg(F.sort_array(F.collect_set("w")).alias("sizes")), "benchmark-shingles")
+    few = known.count() <= MOST_BROADCAST
+    texts = docs.select(F.md5(F.col("text").cast("binary")).alias("key"), words_column("text").alias("words")).filter("key is not null")
+    windows = materialize(fingerprinted(windows_of(texts, F.broadcast(known) if few else known, percent, carry=few)), "benchmark-windows")
+
+    near_bits = radius // BLOCKS
     blocks = F.explode(F.sequence(F.lit(0), F.lit(BLOCKS - 1))).alias("block")
-    masks = F.explode(F.array(*[F.lit(m) for m in near_masks(radius // BLOCKS)])).alias("mask")
-    prints = items.withColumn("item_print", simhash_column("shingles"))
-    index = prints.select("item_id", "w", "shingles", "item_print", blocks).select("*", masks)
-    index = index.select("item_id", "w", F.col("shingles").alias("item_bag"), "item_print", "block", block_column(F.col("item_print"), F.col("block")).bitwiseXOR(F.col("mask")).alias("value"))
-    probes = windows.select("*", blocks).withColumn("value", block_column(F.col("print"), F.col("block")))
-    near = probes.join(index, ["w", "block", "value"]).filter(F.bit_count(F.col("print").bitwiseXOR(F.col("item_print"))) <= radius)
-
-    count = lambda bag, x: F.size(F.filter(bag, lambda y: y == x))
-    both = F.aggregate(F.array_intersect("bag", "item_bag"), F.lit(0), lambda n, x: n + F.least(count(F.col("bag"), x), count(F.col("item_bag"), x)))
-    judged = near.dropDuplicates(["doc_id", "item_id", "w", "start", "print"]).withColumn("both", both).withColumn("all", F.size("bag") + F.size("item_bag") - F.col("both"))
+    index = items.select("item", "w", F.col("print").alias("item_print"), blocks).withColumn("mask", F.explode(F.array(*[F.lit(m) for m in near_masks(near_bits)])))
+    index = index.select("item", "w", "item_print", "block", block_column(F.col("item_print"), F.col("block")).bitwiseXOR(F.col("mask")).alias("value"))
+    probes = windows.select("key", "w", "start", "print", blocks).withColumn("value", block_column(F.col("print"), F.col("block")))
+    apart = F.col("print").bitwiseXOR(F.col("item_print"))
+    # A pair may meet in several blocks; the first of them counts.
+    first = F.forall(F.filter(F.sequence(F.lit(0), F.lit(BLOCKS - 1)), lambda b: b < F.col("block")), lambda b: F.bit_count(block_column(apart, b)) > near_bits)
+    near = probes.join(index, ["w", "block", "value"]).filter((F.bit_count(apart) <= radius) & first).select("key", "w", "start", "item")
+
+    judged = near.join(windows.select("key", "w", "start", "bag"), ["key", "w", "start"]).join(items.select("item", "item_id", F.col("bag").alias("item_bag")), "item")
+    both = F.size(F.array_intersect("bag", "item_bag"))
+    judged = judged.select("key", "item_id", "start", both.alias("both"), (F.size("bag") + F.size("item_bag") - both).alias("all"))
     good = judged.filter(100 * F.col("both") >= percent * F.col("all")).withColumn("similarity", F.col("both") / F.col("all"))
-    return good.groupBy("doc_id", "item_id").agg(F.max("similarity").alias("similarity"), F.min_by("start", F.struct(-F.col("similarity"), "start")).cast("long").alias("start_word"), F.countDistinct("start").alias("windows"))
+    return good.groupBy("key", "item_id").agg(F.max("similarity").alias("similarity"), F.min_by("start", F.struct(-F.col("similarity"), "start")).cast("long").alias("start_word"), F.countDistinct("start").alias("windows"))
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, percent: int = 80, radius: int = RADIUS) -> DataFrame:
+    """doc_id, item_id, similarity, start_word, windows: the best window of each pair, and how many windows reach percent.
+
+    Null, empty and wordless texts and items match nothing. A text or item of fewer than five words is one shingle, so such
+    an item, too short to be told from chance inside a longer text, matches documents of just its words. Rows that repeat a
+    doc_id add up under it, equal texts once; rows without a doc_id are left out here, since they couldn't be named, but
+    not in ``decontaminated``. Items of one item_id add up too.
+    """
+    found = contaminated_texts(docs, benchmark, percent, radius)
+    named = docs.filter("doc_id is not null").select("doc_id", F.md5(F.col("text").cast("binary")).alias("key")).distinct()
+    pairs = named.join(found, "key")
+    best = F.struct(-F.col("similarity"), F.col("start_word"))
+    return pairs.groupBy("doc_id", "item_id").agg(F.max("similarity").alias("similarity"), F.min_by("start_word", best).alias("start_word"), F.sum("windows").alias("windows"))
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, percent: int = 80) -> DataFrame:
-    """The documents without those that hold a benchmark item, with their own columns; rows without a doc_id stay."""
-    found = contaminated(docs, benchmark, percent).select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(found, docs["doc_id"] == F.col("__id"), "left_anti")
+    """The documents whose text holds no benchmark item, with their own columns; null texts stay."""
+    found = materialize(contaminated_texts(docs, benchmark, percent).select(F.col("key").alias("__key")).distinct(), "benchmark-found")
+    if found.count() <= MOST_BROADCAST:
+        found = F.broadcast(found)
+    return docs.join(found, F.md5(docs["text"].cast("binary")) == F.col("__key"), "left_anti")
