@@ -527,25 +527,65 @@ def brute_cost(roles):
         best = now
 
 
+def enumerated_cost(roles):
+    """Least cost over all repairs with at most two turns put in at a place, by trying every one of them."""
+    puts = [p for k in range(3) for p in itertools.product((1, 2), repeat=k)]
+    best = 1 << 30
+    steps = [[(put, given, merge) for put in puts for given in range(3) for merge in (False, True) if not (merge and put)] for _ in roles]
+    for plan in itertools.product(*steps):
+        out, cost = [], 0
+        for role, (put, given, merge) in zip(roles, plan, strict=True):
+            cost += chat.INSERT * len(put) + (0 if given == role else chat.NAME if role < 0 else chat.RELABEL)
+            out += put
+            if merge and (not out or out[-1] != given):
+                cost = 1 << 30
+                break
+            cost += chat.MERGE * merge
+            out += [] if merge else [given]
+        for put in puts if cost < best else ():
+            if cost + chat.INSERT * len(put) < best and re.fullmatch("0?(12)+", "".join(map(str, [*out, *put]))):
+                best = cost + chat.INSERT * len(put)
+    return best
+
+
+def test_repair_costs_equal_enumeration():
+    for n in (1, 2):
+        for roles in itertools.product((-1, 0, 1, 2), repeat=n):
+            assert brute_cost(roles) == enumerated_cost(roles)
+    for roles in ((2, 2, 1), (0, 0, -1), (1, 0, 1), (-1, 2, 2)):
+        assert brute_cost(roles) == enumerated_cost(roles)
+
+
+def whole(rows):
+    """conv_id -> (turns, cost, out, text) of conversations from their parts."""
+    found = defaultdict(list)
+    for r in sorted(rows, key=lambda r: r.part):
+        found[r.conv_id].append(r)
+    assert all([r.part for r in v] == list(range(v[0].parts)) and len({r.cost for r in v}) == 1 for v in found.values())
+    return {k: (sum(r.n_turns for r in v), v[0].cost, sum(r.n_out for r in v), "".join(r.rendered for r in v)) for k, v in found.items()}
+
+
 @pytest.mark.parametrize("block", [4096, 3])
 def test_chat_repair(spark, monkeypatch, block):
     monkeypatch.setattr(chat, "BLOCK", block)
     rng = random.Random(6)
     convs = [[rng.choice(["system", "user", "assistant", "User", "tool", None]) for _ in range(rng.randrange(1, 9))] for _ in range(40)]
+    convs.append([rng.choice(["system", "user", "assistant", None]) for _ in range(700)])  # over several partitions
     rows = [(c, t, role, rng.choice([f"t{t}", None, ""])) for c, roles in enumerate(convs) for t, role in enumerate(roles)]
-    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
-    got = {r.conv_id: r for r in chat.rendered(df).collect()}
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").selectExpr("*", "1 as part", "2 as block", "3 as nth").repartition(5)
+    got = whole(chat.rendered(df).collect())
     code = {"system": 0, "user": 1, "assistant": 2}
     for c, roles in enumerate(convs):
-        assert got[c].cost == brute_cost([code.get((x or "").lower(), -1) for x in roles])
-        assert got[c].n_turns == len(roles)
-        turns = re.findall(r"<\|(system|user|assistant)\|>\n", got[c].rendered)
-        assert re.fullmatch(r"(system )?(user assistant )+", "".join(x + " " for x in turns)) and len(turns) == got[c].n_out
+        n_turns, cost, n_out, text = got[c]
+        assert cost == brute_cost([code.get((x or "").lower(), -1) for x in roles]) and n_turns == len(roles)
+        turns = re.findall(r"<\|(system|user|assistant)\|>\n", text)
+        assert re.fullmatch(r"(system )?(user assistant )+", "".join(x + " " for x in turns)) and len(turns) == n_out
+        assert [int(x) for x in re.findall(r"\bt(\d+)\b", text)] == [t for k, t, _, x in rows if k == c and x]
     acts = chat.repaired_turns(df).collect()
     paid = Counter()
     for r in acts:
         paid[r.conv_id] += chat.INSERT * (r.act == "insert") + chat.MERGE * ("merge" in r.act)
-    assert all(paid[c] <= got[c].cost for c in paid)
+    assert all(paid[c] <= got[c][1] for c in paid)
 
 
 def test_chat_odd_rows(spark):
@@ -554,6 +594,8 @@ def test_chat_odd_rows(spark):
     got = {r.conv_id: r for r in chat.rendered(spark.createDataFrame(rows, schema)).collect()}
     assert got[1].rendered == "<|user|>\nb\nb<|end|>\n<|assistant|>\n<|end|>\n" and got[None].n_inserted == 1
     assert chat.rendered(spark.createDataFrame([], schema)).count() == 0
+    many = spark.range(5000).selectExpr("cast(null as long) as conv_id", "id as turn", "if(id % 2 = 0, 'user', 'assistant') as role", "cast(id as string) as text").repartition(9)
+    assert whole(chat.rendered(many).collect())[None][:3] == (5000, 0, 5000)
 
 
 # toxicity
