@@ -83,6 +83,30 @@ def test_shards(spark):
 
 def test_shards_of_nothing(spark):
     assert sharding.shard_by_bytes(documents(spark, ["x"]).limit(0)).count() == 0
+    assert sharding.shard_by_bytes(documents(spark, ["x"]).limit(0), keep=True).count() == 0
+
+
+def test_written_shards_hold_every_row(spark, tmp_path):
+    rows = [(i, f"text {i % 40} " * (i % 7), "en", None, None) for i in range(300)] + [(7, "again", None, "a", 1)] * 90 + [(None, None, None, None, None)] * 3 + [(8, "", None, None, None)]
+    docs = spark.createDataFrame(rows, DOCS).selectExpr("*", "5 as slot", "6 as part", "7 as row", "8 as before")
+    sharding.write_shards(docs, str(tmp_path / "out"), 4)
+    back = spark.read.parquet(str(tmp_path / "out"))
+    assert {"text", "lang", "source", "n_chars", "part", "row", "before", "shard", "slot"} <= set(back.columns)
+    got = back.collect()
+    assert Counter((r.doc_id, r.text, r.lang, r.source, r.n_chars) for r in got) == Counter(rows)
+    slots = defaultdict(list)
+    for r in got:
+        slots[r.shard].append(r.slot)
+    assert sorted(slots) == [0, 1, 2, 3] and all(sorted(v) == list(range(len(v))) for v in slots.values())
+    narrow = {(r.shard, r.slot): (r.doc_id, r.text_crc32) for r in sharding.shard_by_bytes(docs, 4).collect()}
+    assert {(r.shard, r.slot): (r.doc_id, r.text_crc32) for r in got} == narrow
+
+
+def test_equal_crc_of_different_texts(spark):
+    # Both have crc32 0x4ddb0c25.
+    pair = ["plumless", "buckeroo"]
+    rows = sharding.shard_by_bytes(documents(spark, pair * 20), 3).collect()
+    assert len({r.text_crc32 for r in rows}) == 1 and sorted(Counter(r.shard for r in rows).values()) == [13, 13, 14]
 
 
 # mixing

@@ -34,6 +34,7 @@ BINS = 1 << 18
 #: Bins travel in chunks of this many; tasks are summed in this many groups first.
 CHUNK = 1 << 14
 SALT = 64
+LEADER_SALT = 16
 BITMAP = 1024
 #: Places of the filters of shared n-grams and of wanted classes.
 FILTER = 1 << 24
@@ -442,7 +443,9 @@ def jaccard_classes(docs: DataFrame, n: int = 3, percent: int = 90, count: bool
     rest = shared_grams.filter((F.col("holders") > 2) & (F.col("class_key") != F.col("leader"))).select("leader", "class_key", "n").distinct()
     rest = rest.join(label, "class_key", "left").withColumn("label", F.coalesce("label", "class_key"))
     mixed = rest.groupBy("leader").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("holders")).filter("low != high").select("leader", "holders")
-    rest = rest.join(mixed, "leader")
+    # A leader's holders are dealt to LEADER_SALT tasks; its one row is sent to all of them.
+    mixed = mixed.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(LEADER_SALT - 1))))
+    rest = rest.withColumn("salt", F.pmod(F.xxhash64("class_key"), F.lit(LEADER_SALT)).cast("int")).join(mixed, ["leader", "salt"]).drop("salt")
     whole = F.struct(F.lit(0).alias("band"), F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(0).alias("side"), F.lit(0).alias("next"))
     ratio = -math.log(percent / 100) * 1.0001  # a little wide, for rounding
     place = lambda band, i, j, side, follows: F.struct(band.cast("int").alias("band"), i.cast("int").alias("i"), j.cast("int").alias("j"), side.cast("int").alias("side"), F.lit(follows).alias("next"))

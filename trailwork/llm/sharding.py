@@ -15,12 +15,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from trailwork.llm.common import materialize
 
 
+NAMES = ("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
+
+
 def with_prefix(rows: DataFrame, partitions: int) -> DataFrame:
-    """Rows (doc_id, size, text_crc32) in global order, with partition, running bytes and running count in the partition."""
+    """Rows in the order of text_crc32 and doc_id, with partition, running bytes and running count in the partition."""
 
     def running(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -37,17 +41,22 @@ def with_prefix(rows: DataFrame, partitions: int) -> DataFrame:
                 size, count = int(ends[-1]), count + len(sizes)
 
     ordered = rows.repartitionByRange(partitions, "text_crc32", "doc_id").sortWithinPartitions("text_crc32", "doc_id")
-    return ordered.mapInArrow(running, "doc_id long, size long, text_crc32 long, part int, before long, at long")
+    schema = T.StructType(list(rows.schema.fields)).add("part", T.IntegerType()).add("before", T.LongType()).add("at", T.LongType())
+    return ordered.mapInArrow(running, schema)
 
 
-def shard_by_bytes(docs: DataFrame, shards: int = 8, snap: float = 0.005) -> DataFrame:
-    """doc_id, size, text_crc32, law, shard, slot, grown_shard of every row.
+def shard_by_bytes(docs: DataFrame, shards: int = 8, snap: float = 0.005, keep: bool = False) -> DataFrame:
+    """doc_id, size, text_crc32, law, shard, slot, grown_shard of every row; with ``keep`` after the columns of the row.
 
     Size is the UTF-8 bytes of the text (null: none) plus 1; a null text has no crc and comes first, a null doc_id comes
-    before others of the same text. Repeated rows each get a slot of their own. An empty table gives no rows.
+    before others of the same text. Repeated rows each get a slot of their own. Columns of the row that have the name of one
+    of these give way to it. An empty table gives no rows.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long").alias("size"), F.crc32(F.col("text").cast("binary")).alias("text_crc32"))
+    measured = [F.col("doc_id").cast("long").alias("doc_id"), (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long").alias("size"), F.crc32(F.col("text").cast("binary")).alias("text_crc32")]
+    own = [c for c in docs.columns if c not in NAMES] if keep else []
+    rows = docs.select(*measured, *([F.struct(*[F.col(f"`{c}`") for c in own]).alias("row")] if own else []))
+    along = ["row"] if own else []
     kept = materialize(with_prefix(rows, int(spark.conf.get("spark.sql.shuffle.partitions"))), "shard-prefix")
     # One row a partition: bounded by the number of partitions, whatever the number of documents.
     totals = sorted((r.part, r.bytes, r.n) for r in kept.groupBy("part").agg(F.sum("size").alias("bytes"), F.count("*").alias("n")).collect())
@@ -56,7 +65,7 @@ def shard_by_bytes(docs: DataFrame, shards: int = 8, snap: float = 0.005) -> Dat
         offsets.append((part, total, count))
         total, count = total + size, count + n
     where = F.broadcast(spark.createDataFrame(offsets, "part int, part_bytes long, part_rows long"))
-    placed = kept.join(where, "part").select("doc_id", "size", "text_crc32", (F.col("before") + F.col("part_bytes")).alias("before"), (F.col("at") + F.col("part_rows")).alias("at"))
+    placed = kept.join(where, "part").select(*along, "doc_id", "size", "text_crc32", (F.col("before") + F.col("part_bytes")).alias("before"), (F.col("at") + F.col("part_rows")).alias("at"))
 
     targets = [total * i // shards for i in range(1, shards)]
     reach = int(total / shards * snap)
@@ -78,9 +87,12 @@ def shard_by_bytes(docs: DataFrame, shards: int = 8, snap: float = 0.005) -> Dat
     begin = F.lit(0).cast("long")
     for s, at in begins.items():
         begin = F.when(F.col("shard") == s, F.lit(at)).otherwise(begin)
-    return sharded.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), F.col("shard").cast("int").alias("shard"), (F.col("at") - begin).alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
+    out = sharded.select(*along, "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), F.col("shard").cast("int").alias("shard"), (F.col("at") - begin).alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
+    return out.select("doc_id", *[F.col(f"row.`{c}`").alias(c) for c in own], *NAMES[1:])
 
 
-def write_shards(docs: DataFrame, assigned: DataFrame, path: str) -> None:
-    """Write documents into one folder a shard; ``assigned`` from ``shard_by_bytes``, doc_id unique."""
-    docs.join(assigned.select("doc_id", "shard", "slot"), "doc_id").write.partitionBy("shard").parquet(path)
+def write_shards(docs: DataFrame, path: str, shards: int = 8) -> None:
+    """Write the documents into one folder a shard, in the order of their slots; repeated rows are written as often as they come."""
+    sharded = shard_by_bytes(docs, shards, keep=True)
+    n = max(shards, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    sharded.repartitionByRange(n, "shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
