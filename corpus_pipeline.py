@@ -12,23 +12,28 @@ from trailwork.llm.common import materialize
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass the quality rules; null, empty and wordless texts go."""
     return quality.keep_good(docs)
 
 
 def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies; rows without a doc_id stay once for each text."""
     return jaccard.keep_one_each(docs, n=5, percent=80)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose text holds no benchmark item; null texts stay."""
     return decontamination.decontaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def to_target_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix takes them; null is a source of its own."""
     return mixing.mixed(docs)
 
 
 def into_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return sharding.shard_by_bytes(docs, shards=8)
+    """Documents with their texts and their shard and slot; each of a document's copies has a slot."""
+    return sharding.shard_by_bytes(docs, shards=8, keep=True)
 
 
 STAGES = [
