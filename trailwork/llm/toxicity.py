@@ -22,13 +22,15 @@ from trailwork.llm.common import Powers, fold, span_hashes, text_blocks, word_sp
 BUCKETS, SIZE = 1 << 16, 8
 SHORTEST, LONGEST = 3, 5
 #: Rows of each label in the training sample, and bytes of their texts in all (documented bounds).
-PER_LABEL, SAMPLE_BYTES = 3_000, 64 << 20
+PER_LABEL, SAMPLE_BYTES = 3_000, 24 << 20
 EPOCHS, BATCH, RATE = 20, 128, 0.05
 #: Pull of the vectors towards 0, each time one is used.
 DECAY = 0.03
 THRESHOLD = 0.3
 #: Bytes of text that are scored at once.
 BLOCK = 1 << 20
+#: Training texts whose words are spelt at once.
+CHUNK = 500
 
 
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
@@ -101,21 +103,27 @@ class Gains:
         return self.values[np.searchsorted(self.hashes, distinct)][where]
 
 
-def fit(texts: list[str], labels: np.ndarray, prior: float, seed: int = 5) -> Model:
-    """Adam on the log loss, vectors and weights together; the bias is then moved from the sample's share to ``prior``."""
-    rng = np.random.default_rng(seed)
+def bags_of(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, float]]:
+    """(buckets, counts, factor that makes them shares) of each text, in two bytes each; counts above 65,535 are scaled down."""
     counts = [Counter(words(text)) for text in texts]
     spelt = {w: i for i, w in enumerate(dict.fromkeys(w for c in counts for w in c))}
     ids, owner = subwords(list(spelt))
     order = np.argsort(owner, kind="stable")
-    ids, cut = ids[order], np.searchsorted(owner[order], np.arange(len(spelt) + 1))
-    bags = []
+    ids, cut = ids[order].astype(np.uint16), np.searchsorted(owner[order], np.arange(len(spelt) + 1))
     for c in counts:
         held = [spelt[w] for w in c]
         sizes = cut[1:][held] - cut[:-1][held]
         found = np.bincount(np.concatenate([ids[cut[i] : cut[i + 1]] for i in held] or [ids[:0]]), np.repeat(np.fromiter(c.values(), float, len(c)), sizes), BUCKETS)
         used = np.flatnonzero(found)
-        bags.append((used.astype(np.int32), (found[used] / max(1.0, found.sum())).astype(np.float32)))
+        held = found[used]
+        held = np.rint(held * min(1.0, 65535 / held.max(initial=1.0)))
+        yield used.astype(np.uint16), held.astype(np.uint16), 1 / max(1.0, held.sum())
+
+
+def fit(texts: list[str], labels: np.ndarray, prior: float, seed: int = 5) -> Model:
+    """Adam on the log loss, vectors and weights together; the bias is then moved from the sample's share to ``prior``."""
+    rng = np.random.default_rng(seed)
+    bags = [bag for lo in range(0, len(texts), CHUNK) for bag in bags_of(texts[lo : lo + CHUNK])]
     vectors = rng.uniform(-1 / SIZE, 1 / SIZE, (BUCKETS, SIZE)).astype(np.float32)
     weights = rng.normal(0, 1, SIZE).astype(np.float32)
     bias = np.zeros(1, np.float32)
@@ -131,7 +139,7 @@ def fit(texts: list[str], labels: np.ndarray, prior: float, seed: int = 5) -> Mo
             step += 1
             used = np.zeros((BUCKETS, 1), np.float32)
             for row, i in enumerate(part):
-                shares[row, bags[i][0]] = bags[i][1]
+                shares[row, bags[i][0]] = bags[i][1] * np.float32(bags[i][2])
                 used[bags[i][0]] = 1
             batch = shares[: len(part)]
             hidden = batch @ vectors
