@@ -15,13 +15,36 @@ GOOD = '192.0.2.1 - - [10/Oct/2023:13:55:36 +0200] "GET /a?b=1#c HTTP/1.1" 200 1
 
 
 def test_combined(spark):
-    bad = ["nonsense", GOOD.replace("GET /a", "GET"), GOOD.replace("/a?", "a?"), GOOD.replace("/a?", "/%zz?"), GOOD.replace("Oct", "Foo"), GOOD + "x" * logs.LONGEST_LINE]
+    bad = ["nonsense", GOOD.replace("GET /a", "GET"), GOOD.replace("/a?", "a?"), GOOD.replace("/a?", "/%zz?"), GOOD.replace("Oct", "Foo"), GOOD + "x" * logs.LONGEST_LINE, GOOD + " more"]
     rows = logs.parse_combined(lines(spark, GOOD, *bad))
     good, errors = logs.split_errors(rows)
     r = good.first()
     assert (r.source_ip, r.method, r.uri_path, r.uri_query, r.uri_fragment, r.status, r.response_bytes, r.referer, r.user_agent) == ("192.0.2.1", "GET", "/a", "b=1", "c", 200, 12, None, 'x "y"')
     assert good.select(F.unix_timestamp("ts")).first()[0] == 1696938936
-    assert [r.reason for r in errors.orderBy("line_number").collect()] == ["not-combined", "request-line", "target", "percent-escape", "timestamp", "line-too-long"]
+    assert [r.reason for r in errors.orderBy("line_number").collect()] == ["not-combined", "request-line", "target", "percent-escape", "timestamp", "line-too-long", "not-combined"]
+
+
+@pytest.mark.parametrize("size", [3_000, 8_000, 60_000, 70_000])
+def test_long_lines_are_events_or_errors(spark, size):
+    path = "/" + "a" * (size - 300)
+    escaped = '/\\"' * ((size - 300) // 3)
+    combined = GOOD.replace("/a?b=1#c", path)
+    agent = GOOD.replace('x \\"y\\"', escaped)
+    post = ' "text/plain" "-" "-" 0.1 postdata[' + "b" * (size // 2) + "]"
+    alb = f'https 2023-01-01T00:00:00.1Z lb 192.0.2.1:99 - -1 -1 -1 200 200 0 5 "GET https://h:443{path} HTTP/1.1" "{escaped[: size // 4 * 3]}" - - - "-"'
+    want = None if size < 65_000 else "line-too-long"
+    for parse, texts in ((logs.parse_combined, [combined, agent]), (logs.parse_vhost_combined, ["h:80 " + combined, "h " + agent]), (logs.parse_nginx_postdata, [GOOD + post.replace("b" * 9, '/\\"')]), (logs.parse_alb, [alb])):
+        rows = parse(lines(spark, *texts)).collect()
+        assert [r.reason for r in rows if r.reason != "line-too-long"] == [None] * sum(r.reason is None for r in rows) and (want is None or parse is logs.parse_nginx_postdata or rows[0].reason == want)
+    assert logs.parse_combined(lines(spark, combined)).first().uri_path == (path if want is None else path)
+    assert {r.reason for r in logs.parse_combined(lines(spark, '"' * size, "\\" * size, GOOD[:-1] + "\\" * size)).collect()} <= {"not-combined", "line-too-long"}
+    assert logs.detect_format(lines(spark, combined)).first().sources == ["nginx-combined", "apache-combined"]
+
+
+def test_escapes_of_logs(spark):
+    texts = ['a\\"b\\\\c\\n', "\\x41\\x0a\\xe9\\x4", "plain", None]
+    got = [tuple(r) for r in lines(spark, *texts).select(logs.unescaped(F.col("line")), logs.log_text(F.col("line"))).collect()]
+    assert got == [('a"b\\c\\n', 'a"b\\c\\n'), ("\\x41\\x0a\\xe9\\x4", "A\n\\xe9\\x4"), ("plain", "plain"), (None, None)]
 
 
 def test_missing_status_is_null(spark):

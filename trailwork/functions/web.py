@@ -86,11 +86,11 @@ def path_distinctiveness(path: Column) -> Column:
 
 
 def split_target(target: Column) -> tuple[Column, Column, Column]:
-    """(path, query, fragment) of a request target; absent parts are NULL, empty ones are empty."""
-    before = F.split_part(target, F.lit("#"), F.lit(1))
-    fragment = F.when(target.contains("#"), F.regexp_extract(target, r"#(.*)$", 1))
-    query = F.when(before.contains("?"), F.regexp_extract(before, r"\?(.*)$", 1))
-    return F.split_part(before, F.lit("?"), F.lit(1)), query, fragment
+    """(path, query, fragment) of a request target; absent and empty parts are NULL."""
+    before = F.substring_index(target, "#", 1)
+    rest = lambda whole, head: F.nullif(F.substring(whole, F.length(head) + 2, F.length(whole)), F.lit(""))
+    path = F.substring_index(before, "?", 1)
+    return path, rest(before, path), rest(target, before)
 
 
 def query_keys(query: Column) -> Column:

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from trailwork.functions import network as N
 from trailwork.functions import web as W
 from trailwork.functions.spelling import features, size_shape
+from trailwork.functions.tables import small
 
 #: Public conventions, which never count as probes.
 CONVENTIONS = ["/robots.txt", "/favicon.ico", "/sitemap.xml", "/.well-known"]
@@ -25,12 +29,12 @@ def catalog_paths(paths: DataFrame, catalog: DataFrame) -> DataFrame:
     A subtree pattern has a fixed number of segments, so a path is cut at the numbers of segments that occur.
     """
     p = paths.select("uri_path").filter("uri_path is not null").distinct().filter(~F.col("uri_path").isin(CONVENTIONS) & ~F.col("uri_path").startswith("/.well-known/"))
-    exact = p.join(F.broadcast(catalog.filter("mode = 'exact'")), F.col("uri_path") == F.col("pattern"))
-    base = p.join(F.broadcast(catalog.filter("mode = 'basename'")), W.last_segment(F.col("uri_path")) == F.col("pattern"))
+    exact = p.join(small(catalog.filter("mode = 'exact'")), F.col("uri_path") == F.col("pattern"))
+    base = p.join(small(catalog.filter("mode = 'basename'")), W.last_segment(F.col("uri_path")) == F.col("pattern"))
     trees = catalog.filter("mode = 'root-tree'").withColumn("parts", F.size(F.split("pattern", "/")))
     depths = trees.select("parts").distinct()
     cut = F.concat_ws("/", F.slice(F.split("uri_path", "/"), F.lit(1), F.col("parts")))
-    tree = p.join(F.broadcast(depths), F.size(F.split("uri_path", "/")) >= F.col("parts")).withColumn("cut", cut).join(F.broadcast(trees.withColumnRenamed("parts", "tree_parts")), (F.col("cut") == F.col("pattern")) & (F.col("parts") == F.col("tree_parts")))
+    tree = p.join(small(depths), F.size(F.split("uri_path", "/")) >= F.col("parts")).withColumn("cut", cut).join(small(trees.withColumnRenamed("parts", "tree_parts")), (F.col("cut") == F.col("pattern")) & (F.col("parts") == F.col("tree_parts")))
     return exact.select("uri_path", "category").unionByName(base.select("uri_path", "category")).unionByName(tree.select("uri_path", "category")).distinct()
 
 
@@ -133,8 +137,9 @@ def writes_before_read(events: DataFrame, writes: tuple[str, ...] = ("POST", "PU
 
 
 def request_features(events: DataFrame) -> DataFrame:
-    """(feature, part) of every request whose spelling is unusual; bytes are inspected in Arrow batches."""
-    found = events.filter("uri_path is not null").withColumn("__f", features(F.col("uri_path"), F.coalesce("uri_query", F.lit(""))))
+    """(feature, part) of every request whose spelling is unusual, its request line included where the events have one."""
+    line = F.col("request_line") if "request_line" in events.columns else None
+    found = events.withColumn("__f", features(F.col("uri_path"), F.col("uri_query"), line)).filter(F.size("__f") > 0)
     return found.select(*events.columns, F.explode("__f").alias("__x")).select(*events.columns, F.col("__x.feature").alias("feature"), F.col("__x.part").alias("part"))
 
 
@@ -151,26 +156,35 @@ def anomaly_sources(events: DataFrame) -> DataFrame:
 
 
 def response_size_pairs(events: DataFrame) -> DataFrame:
-    """Reads of a repeated expression against a constant control of the same host, peer, method, path, status and shape.
+    """Reads of a repeated expression against a constant control of the same host, peer, method, path, status, shape and multiplier.
 
     A query value like repeat(x,7) has a shape and a multiplier; the earliest constant of the group (time, then physical
-    order) is the control, and the length a read fits is (response difference - request difference) / multiplier + control.
+    order) is the control, every other row of the group a read, constants too. The length that a read fits is (response
+    difference - request difference) / multiplier + the control's length. Texts are compared without case; what lacks a
+    peer, method, path, status, size or time is left out. A body may stand in ``request_body``; its text is part of the shape.
     """
-    shaped = events.filter("uri_query is not null and response_bytes is not null").withColumn("__s", size_shape(F.col("uri_query"))).filter("__s is not null").select("*", F.col("__s.shape").alias("shape"), F.col("__s.multiplier").alias("multiplier"), F.col("__s.constant").alias("constant"), F.length("uri_query").alias("request_bytes")).drop("__s")
-    key = ["host", "source_ip", "method", "uri_path", "status", "shape"]
-    first = F.min_by(F.struct("response_bytes", "request_bytes", "constant", "event_id"), F.struct(F.col("ts").isNull(), "ts", "event_id"))
+    body = F.coalesce(F.lower("request_body"), F.lit("")) if "request_body" in events.columns else F.lit("")
+    needed = ("source_ip", "method", "uri_path", "status", "response_bytes", "ts", "uri_query")
+    whole = events.filter(" and ".join(f"{c} is not null" for c in needed)).withColumns({"source_ip": N.canonical_or_raw(F.col("source_ip")), "uri_path": F.lower("uri_path"), "body": body})
+    shaped = whole.withColumn("__s", size_shape(F.col("uri_query"))).filter("__s.shape is not null").select("*", F.lower("__s.shape").alias("shape"), F.col("__s.multiplier").alias("multiplier"), F.col("__s.constant").alias("constant"), (F.octet_length("uri_query") + F.octet_length("body")).alias("request_bytes")).drop("__s")
+    key = ["host", "source_ip", "method", "uri_path", "status", "shape", "body", "multiplier"]
+    first = F.min_by(F.struct("response_bytes", "request_bytes", "constant", "event_id"), F.struct("ts", "event_id"))
     control = shaped.filter("constant is not null").groupBy(*key).agg(first.alias("control"))
-    on = [F.col(f"r.{c}").eqNullSafe(F.col(f"c.{c}")) for c in key]
-    cond = on[0]
-    for c in on[1:]:
-        cond &= c
-    pairs = shaped.filter("constant is null").alias("r").join(control.alias("c"), cond).select(F.col("r.event_id"), *[F.col(f"r.{c}") for c in key], (F.col("r.response_bytes") - F.col("control.response_bytes")).alias("more"), (F.col("r.request_bytes") - F.col("control.request_bytes")).alias("asked"), "r.multiplier", "control.constant")
+    cond = reduce(lambda a, b: a & b, [F.col(f"r.{c}").eqNullSafe(F.col(f"c.{c}")) for c in key])
+    reads = shaped.alias("r").join(control.alias("c"), cond).filter("r.event_id != control.event_id")
+    pairs = reads.select(F.col("r.event_id"), *[F.col(f"r.{c}") for c in key], (F.col("r.response_bytes") - F.col("control.response_bytes")).alias("more"), (F.col("r.request_bytes") - F.col("control.request_bytes")).alias("asked"), "control.constant")
     rest = F.col("more") - F.col("asked")
     fits = F.pmod(rest, F.col("multiplier")) == 0
     length = F.when(fits, (rest / F.col("multiplier")).cast("long") + F.col("constant"))
     return pairs.withColumn("length", length).withColumn("outcome", F.when(F.col("length").isNull(), "not-fitting").when(F.col("length") < 0, "negative").when(F.col("length") == 0, "empty").otherwise("length"))
 
 
+def host_fit(pairs: DataFrame) -> DataFrame:
+    """Per host: reads of multiplier 2 whose difference is even (fitting) or odd, and reads of other multipliers, which parity can't check."""
+    two, fits = F.col("multiplier") == 2, F.col("outcome") != "not-fitting"
+    return pairs.groupBy("host").agg(F.count_if(two & fits).alias("fitting"), F.count_if(two & ~fits).alias("not_fitting"), F.count_if(~two).alias("parity_unchecked"))
+
+
 def bot_range_check(events: DataFrame, operators: DataFrame) -> DataFrame:
     """Per operator: requests that declare it in the user agent, inside and outside its published v4 networks, outside share (NULL without ranges).
 
@@ -180,12 +194,15 @@ def bot_range_check(events: DataFrame, operators: DataFrame) -> DataFrame:
 
     agents = events.select("user_agent").filter("user_agent is not null").distinct()
     patterns = operators.select("operator_id", "pattern").distinct()
-    declared = agents.join(F.broadcast(patterns), F.contains(F.col("user_agent"), F.col("pattern"))).select("user_agent", "operator_id").distinct()
+    # A pattern begins with one of a few pieces: agents are cut at every place where such a piece stands and joined on the cut.
+    lengths = [r.n for r in patterns.select(F.length("pattern").alias("n")).distinct().collect()]  # a handful of lengths
+    pieces = F.flatten(F.array(*[F.transform(F.sequence(F.lit(1), F.greatest(F.length("user_agent") - (n - 1), F.lit(1))), lambda i: F.substring("user_agent", i, F.lit(n))) for n in lengths])) if lengths else F.array().cast("array<string>")
+    declared = agents.select("user_agent", F.explode(F.array_distinct(pieces)).alias("pattern")).join(small(patterns), "pattern").select("user_agent", "operator_id").distinct()
     rows = events.select("event_id", "user_agent", "source_ip").join(declared, "user_agent")
     inside = longest_prefix(events.select(F.col("source_ip").alias("ip")), operators.filter("network is not null").select("operator_id", "network").distinct()).select(F.col("ip").alias("source_ip"), "operator_id").distinct().withColumn("inside", F.lit(True))
     known = operators.groupBy("operator_id").agg(F.count("network").alias("networks"))
     per = rows.join(inside, ["source_ip", "operator_id"], "left").groupBy("operator_id").agg(F.count("*").alias("declared"), F.count("inside").alias("inside"), F.countDistinct("source_ip").alias("peers"), F.countDistinct(F.when(F.col("inside").isNull(), F.col("source_ip"))).alias("outside_peers"))
-    out = per.join(F.broadcast(known), "operator_id")
+    out = per.join(small(known), "operator_id")
     has = F.col("networks") > 0
     return out.select("operator_id", "declared", F.when(has, F.col("inside")).alias("inside"), F.when(has, F.col("declared") - F.col("inside")).alias("outside"), "peers", F.when(has, F.col("outside_peers")).alias("outside_peers"), F.when(has, W.share(F.col("declared") - F.col("inside"), F.col("declared"), None)).alias("outside_share"))
 
@@ -197,13 +214,16 @@ def browser_family(agent: Column) -> Column:
 def consistency(events: DataFrame, families: DataFrame) -> DataFrame:
     """Declared browser family against the families a fingerprint is known for: match, mismatch or unavailable with its reason.
 
-    families: ja4, family. Without a fingerprint the observed value is missing; an unlisted fingerprint lacks reference data.
+    families: ja4, family. Where nothing of the log source has a fingerprint its telemetry doesn't expose one; otherwise
+    without a fingerprint the observed value is missing. An unlisted fingerprint lacks reference data.
     """
     f = families.select(F.col("ja4").alias("__ja4"), "family").distinct()
     known = f.groupBy("__ja4").agg(F.collect_set("family").alias("families"))
-    rows = events.withColumn("declared", browser_family(F.col("user_agent"))).filter("declared is not null").join(F.broadcast(known), F.col("ja4") == F.col("__ja4"), "left")
+    source = F.col("log_source") if "log_source" in events.columns else F.lit("log")
+    exposed = events.groupBy(source.alias("__source")).agg((F.count("ja4") > 0).alias("exposed"))  # one row a log source
+    rows = events.withColumn("declared", browser_family(F.col("user_agent"))).filter("declared is not null").join(small(known), F.col("ja4") == F.col("__ja4"), "left").join(small(exposed), source.eqNullSafe(F.col("__source")))
     outcome = F.when(F.col("ja4").isNull() | F.col("families").isNull(), "unavailable").when(F.array_contains("families", F.col("declared")), "match").otherwise("mismatch")
-    reason = F.when(F.col("ja4").isNull(), "observed_value_missing").when(F.col("families").isNull(), "reference_data_missing")
+    reason = F.when(~F.col("exposed"), "telemetry_does_not_expose").when(F.col("ja4").isNull(), "observed_value_missing").when(F.col("families").isNull(), "reference_data_missing")
     return rows.groupBy("declared", outcome.alias("outcome"), reason.alias("reason")).agg(F.count("*").alias("requests"), F.countDistinct("source_ip").alias("peers"))
 
 

@@ -11,7 +11,7 @@ from trailwork.functions import web as W
 
 
 def asn_lookup(ips: DataFrame, networks: DataFrame) -> DataFrame:
-    """(ip, asn, prefix_len): longest v4 prefix that holds each distinct address. networks: network, asn."""
+    """(ip, asn, prefix_len): longest prefix that holds each distinct address. networks: network, asn."""
     return N.longest_prefix(ips, networks).groupBy("ip").agg(F.max_by("asn", F.struct("prefix_len", "asn")).alias("asn"), F.max("prefix_len").alias("prefix_len"))
 
 
@@ -104,17 +104,28 @@ def comparability(baseline: DataFrame, current: DataFrame) -> DataFrame:
     return both.select(kind.alias("kind"))
 
 
+def path_counts(runs: DataFrame) -> DataFrame:
+    return runs.filter("uri_path is not null").groupBy("run_id", "uri_path").agg(F.count("*").alias("requests"))
+
+
 def path_rank(runs: DataFrame) -> DataFrame:
-    """(run_id, uri_path, requests, rank): 1 + paths with more requests, ties by path."""
-    per = runs.filter("uri_path is not null").groupBy("run_id", "uri_path").agg(F.count("*").alias("requests"))
-    return per.withColumn("rank", F.row_number().over(Window.partitionBy("run_id").orderBy(F.desc("requests"), "uri_path")))
+    """(run_id, uri_path, requests, rank): 1 + paths with more requests, ties by path.
+
+    A window ranks the paths of one (run, requests) only; the paths of the counts above are summed over a run's few counts.
+    """
+    per = path_counts(runs)
+    levels = per.groupBy("run_id", "requests").agg(F.count("*").alias("n"))
+    above = F.coalesce(F.sum("n").over(Window.partitionBy("run_id").orderBy(F.desc("requests")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    within = F.row_number().over(Window.partitionBy("run_id", "requests").orderBy("uri_path"))
+    return per.withColumn("within", within).join(levels.select("run_id", "requests", above.alias("above")), ["run_id", "requests"]).select("run_id", "uri_path", "requests", (F.col("above") + F.col("within")).alias("rank"))
 
 
 def path_trend(runs: DataFrame, path: str) -> DataFrame:
-    """Per run: a path's requests, share, rank and ratio to the run before; NULL where it doesn't occur."""
-    totals = runs.groupBy("run_id").agg(F.count("*").alias("all_requests"))
-    mine = path_rank(runs).filter(F.col("uri_path") == path)
-    out = totals.join(mine, "run_id", "left")
+    """Per run: a path's requests, share, rank and ratio to the run before; NULL where it doesn't occur. The rank is a count, nothing is sorted."""
+    totals = runs.groupBy("run_id").agg(F.count("*").alias("all_requests"), F.sum(F.when(F.col("uri_path") == path, 1)).alias("requests"))
+    more = (F.col("n") > F.col("requests")) | ((F.col("n") == F.col("requests")) & (F.col("uri_path") < path))
+    rank = path_counts(runs).withColumnRenamed("requests", "n").join(F.broadcast(totals), "run_id").groupBy("run_id").agg((F.count_if(more) + 1).alias("place"))  # one row a run
+    out = totals.join(rank, "run_id", "left").withColumn("rank", F.when(F.col("requests").isNotNull(), F.col("place")))
     before = F.lag("requests").over(Window.orderBy("run_id"))  # one row a run
     return out.select("run_id", "requests", F.when(F.col("requests").isNotNull(), W.share(F.col("requests"), F.col("all_requests"))).alias("share"), "rank", W.share(F.col("requests"), before, None).alias("ratio"))
 
@@ -126,10 +137,16 @@ def latest_per_key(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
 
 
 def apply_dispositions(findings: DataFrame, store: DataFrame) -> DataFrame:
-    """Findings with their disposition: equal source, template, METHOD and path, null-safe query; no fallback across them."""
-    s = latest_per_key(store, ["source_ip", "template_id", "method", "uri_path", "uri_query"], "recorded_at").select(*[F.col(c).alias(f"s_{c}") for c in ("source_ip", "template_id", "method", "uri_path", "uri_query")], "disposition", "review_after")
-    on = (F.col("source_ip") == F.col("s_source_ip")) & (F.col("template_id") == F.col("s_template_id")) & (F.upper("method") == F.upper("s_method")) & (F.col("uri_path") == F.col("s_uri_path")) & F.col("uri_query").eqNullSafe(F.col("s_uri_query"))
-    return findings.join(s, on, "left").drop(*[f"s_{c}" for c in ("source_ip", "template_id", "method", "uri_path", "uri_query")])
+    """Findings with their disposition: equal source, template, METHOD and path, null-safe query and corpus scope; no fallback across them.
+
+    A table without a column corpus_scope has the scope NULL, so an opinion on one corpus says nothing on another.
+    """
+    scoped = lambda df: df if "corpus_scope" in df.columns else df.withColumn("corpus_scope", F.lit(None).cast("string"))
+    keys = ["source_ip", "template_id", "method", "uri_path", "uri_query", "corpus_scope"]
+    upper = scoped(store).withColumn("method", F.upper("method"))
+    s = latest_per_key(upper, keys, "recorded_at").select(*[F.col(c).alias(f"s_{c}") for c in keys], "disposition", "review_after")
+    on = (F.col("source_ip") == F.col("s_source_ip")) & (F.col("template_id") == F.col("s_template_id")) & (F.upper("method") == F.col("s_method")) & (F.col("uri_path") == F.col("s_uri_path")) & F.col("uri_query").eqNullSafe(F.col("s_uri_query")) & F.col("__scope").eqNullSafe(F.col("s_corpus_scope"))
+    return scoped(findings).withColumn("__scope", F.col("corpus_scope")).join(s, on, "left").select(*findings.columns, "disposition", "review_after")
 
 
 def disposition_counts(findings: DataFrame, store: DataFrame, at) -> DataFrame:
@@ -138,9 +155,9 @@ def disposition_counts(findings: DataFrame, store: DataFrame, at) -> DataFrame:
 
 
 def observations(events: DataFrame, bits: int = 24) -> DataFrame:
-    """What a run adds to the store: (run_id, entity, first_minute, last_minute) of each v4 block."""
+    """What a run adds to the store: (run_id, entity, first_minute, last_minute) of each block, v6 ones of 48 bits."""
     minute = F.floor(W.epoch(F.col("ts")) / 60)
-    e = events.withColumn("entity", N.v4_block(F.col("source_ip"), bits)).filter("entity is not null")
+    e = events.withColumn("entity", N.block(F.col("source_ip"), bits)).filter("entity is not null")
     return e.groupBy("run_id", "entity").agg(F.min(minute).alias("first_minute"), F.max(minute).alias("last_minute"))
 
 

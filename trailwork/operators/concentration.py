@@ -95,9 +95,9 @@ def top_shares(events: DataFrame, k: int = 10) -> DataFrame:
     return n.join(F.broadcast(p)).join(F.broadcast(s)).select("requests", "top_path", "top_path_requests", W.share(F.col("p"), F.col("requests")).alias("top_paths_share"), W.share(F.col("s"), F.col("requests")).alias("top_sources_share"))
 
 
-def prefix_concentration(events: DataFrame, bits: int = 24, asn: DataFrame | None = None) -> DataFrame:
-    """Per v4 block: requests, bytes, peers, most requests of one peer, top path, distinct paths, paths requested once."""
-    e = events.withColumn("block", N.v4_block(F.col("source_ip"), bits)).filter("block is not null")
+def prefix_concentration(events: DataFrame, bits: int = 24, asn: DataFrame | None = None, v6_bits: int = 48) -> DataFrame:
+    """Per block of v4 or v6 addresses: requests, bytes, peers, most requests of one peer, top path, distinct paths, paths requested once."""
+    e = events.withColumn("block", N.block(F.col("source_ip"), bits, v6_bits)).filter("block is not null")
     per_peer = e.groupBy("block", "source_ip").agg(F.count("*").alias("n"), F.sum("response_bytes").alias("b"))
     peers = per_peer.groupBy("block").agg(F.sum("n").alias("requests"), F.sum("b").alias("bytes"), F.count("*").alias("peers"), F.max("n").alias("max_per_peer"))
     per_path = e.filter("uri_path is not null").groupBy("block", "uri_path").agg(F.count("*").alias("n"))

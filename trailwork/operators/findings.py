@@ -164,44 +164,64 @@ def triage_view(groups: DataFrame, reputation: DataFrame | None = None, key: str
     return out.orderBy(F.desc("score"), F.desc_nulls_last("reputation"), key)
 
 
-RUNGS = ("path", "path_method", "path_method_query", "path_method_query_fragment", "all")
+#: Narrower and narrower readings of a detection.
+RUNGS = ("path", "path_query", "path_query_headers", "full", "full_specific")
 
 
 def ladder(events: DataFrame, detections: DataFrame) -> DataFrame:
-    """(event_id, cve, request_id, outcome and one Boolean a rung) of every path hit: narrower rungs lie inside broader ones."""
-    from trailwork.operators.matching import small
+    """(event_id, request_id, outcome, cve and one Boolean a rung) of every path hit.
 
-    d = detections.select("template_id", "cves", F.col("path").alias("d_path"), F.col("method").alias("d_method"), F.col("query").alias("d_query"))
+    path; path and query; path, query and headers; the full match, with method and fragment; the full match of a detection
+    that is request-specific. Parts that the detections or the events have no column for are not asked.
+    """
+    from trailwork.operators.matching import headers_present, request_specificity, small
+
+    have = set(detections.columns)
+    d = detections.select("cves", request_specificity(detections).alias("specificity"), *[F.col(c).alias(f"d_{c}") for c in ("path", "method", "query", "fragment", "headers") if c in have])
     hit = events.join(small(d), F.col("uri_path") == F.col("d_path"))
-    method = F.coalesce(F.lower("method") == F.lower("d_method"), F.lit(False))
-    query = method & F.coalesce(F.col("d_query").isNull() | F.contains(F.col("uri_query"), F.col("d_query")), F.lit(False))
-    return hit.select("event_id", "request_id", W.waf_outcome(F.col("waf_action")).alias("outcome"), F.explode("cves").alias("cve"), F.lit(True).alias("path"), method.alias("path_method"), query.alias("path_method_query"))
+    no = lambda c: F.coalesce(c, F.lit(False))
+    query = no(F.col("d_query").isNull() | F.contains(F.col("uri_query"), F.col("d_query")))
+    headers = query & headers_present(F.col("d_headers"), F.col("headers")) if "headers" in have and "headers" in events.columns else query
+    full = headers & no(F.lower("method") == F.lower("d_method"))
+    if "fragment" in have and "uri_fragment" in events.columns:
+        full &= no(F.col("d_fragment").isNull() | (F.col("uri_fragment") == F.col("d_fragment")))
+    holds = dict(zip(RUNGS, (F.lit(True), query, headers, full, full & (F.col("specificity") == "request-specific")), strict=True))
+    return hit.select("event_id", "request_id", W.waf_outcome(F.col("waf_action")).alias("outcome"), F.explode("cves").alias("cve"), *[c.alias(n) for n, c in holds.items()])
+
+
+def replayed(events: DataFrame, detections: DataFrame) -> DataFrame:
+    """(event_id, request_id, outcome, cve) of full matches, once each."""
+    return ladder(events, detections).filter("full").select("event_id", "request_id", "outcome", "cve").distinct()
+
+
+def _held_rungs() -> Column:
+    return F.explode(F.array_compact(F.array(*[F.when(F.col(r), F.lit(r)) for r in RUNGS]))).alias("rung")
 
 
 def ablation(events: DataFrame, detections: DataFrame) -> DataFrame:
     """Per rung: matched events, distinct (event, CVE), share of all requests."""
-    rows = ladder(events, detections)
-    rungs = F.explode(F.array_compact(F.array(*[F.when(F.col(r), F.lit(r)) for r in RUNGS[:3]]))).alias("rung")
-    pairs = rows.select("event_id", "cve", rungs).distinct()
+    pairs = ladder(events, detections).select("event_id", "cve", _held_rungs()).distinct()
     per = pairs.groupBy("rung").agg(F.countDistinct("event_id").alias("events"), F.count("*").alias("event_cves"))
     return per.join(F.broadcast(events.agg(F.count("*").alias("all_requests")))).withColumn("share", W.share(F.col("events"), F.col("all_requests")))
 
 
 def historical_replay(matches: DataFrame, findings: DataFrame) -> DataFrame:
-    """Per CVE: known findings, re-observed request ids, missed, coverage (NULL without known ones), other matches. Both have cve, request_id."""
+    """Per CVE: known findings, re-observed request ids, missed, coverage (NULL without known ones), other matches and their outcomes.
+
+    Both have cve and request_id, matches also outcome.
+    """
     known = findings.groupBy("cve").agg(F.count("*").alias("known"))
     ids = findings.filter("request_id is not null").select("cve", "request_id").distinct()
     seen = matches.filter("request_id is not null").select("cve", "request_id").distinct()
     again = ids.join(seen, ["cve", "request_id"], "left_semi").groupBy("cve").agg(F.count("*").alias("reobserved"))
-    other = matches.join(ids, ["cve", "request_id"], "left_anti").groupBy("cve").agg(F.count("*").alias("other_matches"))
-    out = known.join(again, "cve", "full").join(other, "cve", "full").fillna(0, ["known", "reobserved", "other_matches"])
+    other = matches.join(ids, ["cve", "request_id"], "left_anti").groupBy("cve").agg(F.count("*").alias("other_matches"), *[F.count_if(F.col("outcome") == o).alias(f"other_{o.replace('-', '_')}") for o in ("blocked", "not-blocked", "unknown")])
+    out = known.join(again, "cve", "full").join(other, "cve", "full").fillna(0, ["known", "reobserved", "other_matches", "other_blocked", "other_not_blocked", "other_unknown"])
     return out.withColumns({"missed": F.greatest(F.col("known") - F.col("reobserved"), F.lit(0)), "coverage": W.share(F.col("reobserved"), F.col("known"), None)})
 
 
 def count_hypotheses(events: DataFrame, detections: DataFrame, findings: DataFrame) -> DataFrame:
     """Per CVE and rung: matched requests, known request ids re-observed, coverage."""
-    rungs = F.explode(F.array_compact(F.array(*[F.when(F.col(r), F.lit(r)) for r in RUNGS[:3]]))).alias("rung")
-    pairs = ladder(events, detections).select("event_id", "request_id", "cve", rungs).distinct()
+    pairs = ladder(events, detections).select("event_id", "request_id", "cve", _held_rungs()).distinct()
     known = findings.filter("request_id is not null").select("cve", "request_id").distinct().withColumn("known", F.lit(True))
     total = findings.groupBy("cve").agg(F.count("*").alias("known_findings"))
     per = pairs.join(known, ["cve", "request_id"], "left").groupBy("cve", "rung").agg(F.count("*").alias("matches"), F.countDistinct(F.when(F.col("known"), F.col("request_id"))).alias("reobserved"))
@@ -254,7 +274,7 @@ def request_context(events: DataFrame, ips: DataFrame, start, end, cap: int) ->
 
 
 def evidence_examples(findings: DataFrame, key: str, k: int) -> DataFrame:
-    """The first k rows of each group, with the number left out."""
-    w = Window.partitionBy(key)
-    ranked = findings.withColumns({"place": F.row_number().over(w.orderBy("event_id", "template_id")), "n": F.count("*").over(w)})
-    return ranked.filter(F.col("place") <= k).withColumn("omitted", F.greatest(F.col("n") - k, F.lit(0))).drop("n")
+    """The first k rows of each group, with the number left out. The count is an aggregate of its own, so that the rank limits its groups early."""
+    ranked = findings.withColumn("place", F.row_number().over(Window.partitionBy(key).orderBy("event_id", "template_id"))).filter(F.col("place") <= k)
+    counts = findings.groupBy(F.col(key).alias("__key")).agg(F.count("*").alias("__n"))
+    return ranked.join(counts, F.col(key).eqNullSafe(F.col("__key"))).withColumn("omitted", F.greatest(F.col("__n") - k, F.lit(0))).drop("__key", "__n")

@@ -1,7 +1,7 @@
 """Matching requests against detections, rules, indicators and conditions.
 
-Rule-side tables are small, but their size is checked: up to MOST_BROADCAST rows they are broadcast, beyond that the same
-equi-joins run by shuffle.
+Rule-side tables are small, but their size is checked (``small``): up to a number of rows they are broadcast, beyond that
+the same equi-joins run by shuffle.
 """
 
 from __future__ import annotations
@@ -13,14 +13,7 @@ from pyspark.sql import functions as F
 
 from trailwork.functions import network as N
 from trailwork.functions import web as W
-
-MOST_BROADCAST = 200_000
-
-
-def small(table: DataFrame) -> DataFrame:
-    """Broadcast a rule-side table if it is small."""
-    return F.broadcast(table) if table.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST else table
-
+from trailwork.functions.tables import small
 
 def request_specificity(detections: DataFrame) -> Column:
     has = F.col("query").isNotNull()
@@ -31,6 +24,12 @@ def request_specificity(detections: DataFrame) -> Column:
     return F.when(has, "request-specific").otherwise("response-unverified")
 
 
+def headers_present(wanted: Column, headers: Column) -> Column:
+    """Whether every wanted header is there, some header of its name having its value, without case; true where none is wanted."""
+    same = lambda h, w: (F.lower(h["name"]) == F.lower(w["name"])) & (F.lower(h["value"]) == F.lower(w["value"]))
+    return F.when(F.coalesce(F.size(wanted), F.lit(0)) <= 0, True).otherwise(F.coalesce(F.forall(wanted, lambda w: F.coalesce(F.exists(headers, lambda h: same(h, w)), F.lit(False))), F.lit(False)))
+
+
 def match_detections(events: DataFrame, detections: DataFrame) -> DataFrame:
     """One finding for each (event, template): exact path, then method without case, query contained, fragment equal, headers present.
 
@@ -42,8 +41,7 @@ def match_detections(events: DataFrame, detections: DataFrame) -> DataFrame:
     if "fragment" in detections.columns and "uri_fragment" in events.columns:
         on &= F.coalesce(F.col("d_fragment").isNull() | (F.col("uri_fragment") == F.col("d_fragment")), F.lit(False))
     if "headers" in detections.columns and "headers" in events.columns:
-        present = F.forall(F.coalesce("d_headers", F.array()), lambda w: F.exists(F.col("headers"), lambda h: (F.lower(h["name"]) == F.lower(w["name"])) & h["value"].contains(w["value"])))
-        on &= F.col("d_headers").isNull() | present
+        on &= headers_present(F.col("d_headers"), F.col("headers"))
     hit = events.join(small(d), on, "inner").drop("d_method", "d_query", "d_fragment", "d_headers", "path")
     least = hit.groupBy("event_id", "template_id").agg(F.min("ordinal").alias("ordinal"))
     kept = hit.join(least, ["event_id", "template_id", "ordinal"])
@@ -84,28 +82,67 @@ def match_rules(events: DataFrame, rules: list[dict]) -> DataFrame:
     return ids.withColumn("rule_id", F.explode("rule_ids")).drop("rule_ids").withColumn("level", meta[F.col("rule_id")])
 
 
+#: The event columns that an indicator type is compared with.
+_PLAIN_FIELDS = {"path": "uri_path", "user-agent": "user_agent", "ja3": "ja3", "ja4": "ja4"}
+
+
+def host_and_port(host: Column) -> tuple[Column, Column]:
+    """A host in lower case without port and last dot, and its explicit numeric port or NULL; a bare v6 address has none."""
+    port = F.nullif(F.regexp_extract(host, r"^(?:[^:]*|\[.*\]):(\d+)$", 1), F.lit(""))
+    name = F.when(port.isNotNull(), F.regexp_replace(host, r":\d+$", "")).otherwise(host)
+    return F.lower(F.regexp_replace(name, r"\.$", "")), port
+
+
+def url_parts(url: Column) -> tuple[Column, Column]:
+    """(authority, path) of an http or https URL without query and fragment, the scheme's own port left out; NULLs for any other."""
+    good = url.rlike(r"^https?://[^/?#@\s]+(/[^?#]*)?$")
+    name, port = host_and_port(F.regexp_extract(url, r"^https?://([^/]+)", 1))
+    own = F.when(url.startswith("https:"), "443").otherwise("80")
+    authority = F.when(port.isNotNull() & (port != own), F.concat(name, F.lit(":"), port)).otherwise(name)
+    path = F.regexp_extract(url, r"^https?://[^/]+(/.*)$", 1)
+    return F.when(good, authority), F.when(good, F.when(path == "", "/").otherwise(path))
+
+
 def match_indicators(events: DataFrame, indicators: DataFrame) -> DataFrame:
-    """(event_id, indicator_id, fields): which fields an indicator hit. Types: ip, cidr, path, path-prefix, user-agent, ja3, ja4, host.
+    """(event_id, indicator_id, fields): which fields an indicator hit. Types: ip, cidr, path, path-prefix, user-agent, ja3, ja4, host, url.
 
-    Addresses, networks and prefixes are matched on the distinct values first, by equi-joins on the values or on the
-    lengths that occur, and the hits are joined back to the requests.
+    Addresses, networks, prefixes, hosts and URLs are matched on the distinct values first, by equi-joins on canonical
+    values or on the lengths that occur. What they give are pairs of a field's raw value and an indicator, and one scan of
+    the events meets all of them by equality on (field, value).
     """
-    parts = []
-    for kind, column in (("ip", "source_ip"), ("path", "uri_path"), ("user-agent", "user_agent"), ("ja3", "ja3"), ("ja4", "ja4"), ("host", "host")):
-        if column in events.columns:
-            rows = small(indicators.filter(F.col("type") == kind).select("indicator_id", F.col("value").alias("__value")))
-            parts.append(events.select("event_id", column).join(rows, F.col(column) == F.col("__value")).select("event_id", "indicator_id", F.lit(column).alias("field")))
-    nets = indicators.filter("type = 'cidr'").select("indicator_id", F.col("value").alias("network"))
-    in_nets = N.longest_prefix(events.select(F.col("source_ip").alias("ip")), nets).select("ip", "indicator_id")
-    parts.append(events.select("event_id", "source_ip").join(in_nets, F.col("source_ip") == F.col("ip")).select("event_id", "indicator_id", F.lit("source_ip").alias("field")))
-    prefixes = indicators.filter("type = 'path-prefix'").select("indicator_id", F.col("value").alias("cut"), F.length("value").alias("cut_length"))
-    lengths = prefixes.select("cut_length").distinct()
-    paths = events.select("uri_path").filter("uri_path is not null").distinct()
-    cuts = paths.join(small(lengths), F.length("uri_path") >= F.col("cut_length")).withColumn("cut", F.expr("left(uri_path, cut_length)"))
-    in_prefix = cuts.join(small(prefixes), ["cut", "cut_length"]).select("uri_path", "indicator_id")
-    parts.append(events.select("event_id", "uri_path").join(in_prefix, "uri_path").select("event_id", "indicator_id", F.lit("uri_path").alias("field")))
-    all_hits = reduce(DataFrame.unionByName, parts)
-    return all_hits.groupBy("event_id", "indicator_id").agg(F.sort_array(F.collect_set("field")).alias("fields"))
+    have = set(events.columns)
+    kind = lambda *names: indicators.filter(F.col("type").isin(*names))
+    atoms = [kind(t).select(F.lit(c).alias("field"), "value", "indicator_id") for t, c in _PLAIN_FIELDS.items() if c in have]
+    for field in ("source_ip", "client_ip"):
+        if field in have:
+            ips = events.select(F.col(field).alias("ip")).filter("ip is not null").distinct()
+            exact = ips.withColumn("canonical", N.canonical_ip(F.col("ip"))).join(small(kind("ip").select("indicator_id", N.canonical_ip(F.col("value")).alias("canonical"))), "canonical")
+            nets = N.longest_prefix(ips, kind("cidr").select("indicator_id", F.col("value").alias("network")))
+            atoms += [x.select(F.lit(field).alias("field"), F.col("ip").alias("value"), "indicator_id") for x in (exact, nets)]
+    if "uri_path" in have:
+        prefixes = kind("path-prefix").select("indicator_id", F.col("value").alias("cut"), F.length("value").alias("cut_length"))
+        paths = events.select("uri_path").filter("uri_path is not null").distinct()
+        cuts = paths.join(small(prefixes.select("cut_length").distinct()), F.length("uri_path") >= F.col("cut_length")).withColumn("cut", F.expr("left(uri_path, cut_length)"))
+        atoms.append(cuts.join(small(prefixes), ["cut", "cut_length"]).select(F.lit("uri_path").alias("field"), F.col("uri_path").alias("value"), "indicator_id"))
+    fields = {c: F.col(c).cast("string") for c in (*_PLAIN_FIELDS.values(), "source_ip", "client_ip", "host") if c in have}
+    if "host" in have:
+        name, port = host_and_port(F.col("host"))
+        hosts = events.select("host").filter("host is not null").distinct().withColumn("name", name)
+        atoms.append(hosts.join(small(kind("host").select("indicator_id", host_and_port(F.col("value"))[0].alias("name"))), "name").select(F.lit("host").alias("field"), F.col("host").alias("value"), "indicator_id"))
+    if {"host", "uri_path"} <= have:
+        both = F.concat("host", F.lit(" "), "uri_path")
+        fields["url"] = both
+        authority, path = url_parts(F.col("value"))
+        urls = kind("url").select("indicator_id", authority.alias("authority"), path.alias("path")).filter("authority is not null")
+        # Without a port or with a default one a request meets a URL without a port, with an explicit one also a URL of that port.
+        mine = F.array_compact(F.array(F.when(port.isNull() | port.isin("80", "443"), name), F.concat(name, F.lit(":"), port)))
+        asked = events.filter("host is not null and uri_path is not null").select("host", F.col("uri_path").alias("path")).distinct().withColumn("authority", F.explode(mine))
+        atoms.append(asked.join(small(urls), ["authority", "path"]).select(F.lit("url").alias("field"), F.concat("host", F.lit(" "), "path").alias("value"), "indicator_id"))
+    wanted = reduce(DataFrame.unionByName, atoms).distinct()
+    given = F.array_compact(F.array(*[F.when(v.isNotNull(), F.struct(F.lit(c).alias("field"), v.alias("value"))) for c, v in fields.items()]))
+    rows = events.select("event_id", F.explode(given).alias("x")).select("event_id", "x.field", "x.value")
+    hits = rows.join(wanted, ["field", "value"])
+    return hits.groupBy("event_id", "indicator_id").agg(F.sort_array(F.collect_set("field")).alias("fields"))
 
 
 def indicator_validity(at: Column, begin: Column, end: Column) -> Column:
@@ -136,8 +173,8 @@ def condition(tree: dict, columns: list[str]) -> Column:
     if kind == "source_address_set":
         test = N.in_any_v4(F.col("source_ip"), tree["networks"]) | F.coalesce(N.canonical_or_raw(F.col("source_ip")).isin(tree.get("addresses", [])), F.lit(False))
     elif kind.startswith("header_"):
-        value = W.header_value(F.col("headers"), tree["name"])
-        test = value == tree["value"] if kind.endswith("equals") else value.contains(tree["value"])
+        holds = (lambda v: v == tree["value"]) if kind.endswith("equals") else (lambda v: v.contains(tree["value"]))
+        test = F.exists(F.col("headers"), lambda h: (F.lower(h["name"]) == tree["name"].lower()) & holds(h["value"])) if "headers" in columns else F.lit(False)
     else:
         column = F.col(name) if name in columns else F.lit(None).cast("string")
         value = tree["value"]
@@ -161,11 +198,14 @@ def absent_condition_fields(tree: dict) -> Column:
 
 
 def resolve_client_ip(events: DataFrame, proxies: list[str]) -> DataFrame:
-    """client_ip: the right-most forwarded address outside the trusted networks, if the peer is trusted and every hop parses."""
+    """client_ip: the right-most forwarded address outside the trusted networks, if the peer is trusted and every hop parses.
+
+    Addresses of both families count, and are given in canonical spelling.
+    """
     hops = F.transform(F.split(W.header_value(F.col("headers"), "x-forwarded-for"), ","), lambda h: F.trim(h))
-    parse = F.forall(hops, lambda h: N.v4_number(h).isNotNull())
-    outside = F.filter(hops, lambda h: ~N.in_any_v4(h, proxies))
-    found = F.when(N.in_any_v4(F.col("source_ip"), proxies) & parse & (F.size(outside) > 0), F.element_at(outside, -1))
+    parse = F.forall(hops, lambda h: N.ip_hex(h).isNotNull())
+    outside = F.filter(hops, lambda h: ~N.in_any(h, proxies))
+    found = F.when(N.in_any(F.col("source_ip"), proxies) & parse & (F.size(outside) > 0), N.canonical_ip(F.element_at(outside, -1)))
     return events.withColumn("client_ip", found)
 
 

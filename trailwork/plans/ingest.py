@@ -48,13 +48,20 @@ def _(t):
 
 @query("parse_nginx_postdata", f"SELECT event_id, coalesce(host, 'none') AS host, 'text/plain' AS content_type, 'TLSv1.3' AS tls_protocol, event_id % 7 / 10.0 AS request_time_seconds, 'a=1' AS request_body, uri_path FROM e WHERE {_WHOLE}")
 def _(t):
-    line = F.concat(F.lit("Jan  2 03:04:05 "), F.coalesce("host", F.lit("none")), F.lit(" nginx: "), _combined_line(), F.lit(' "text/plain" "TLSv1.3" "AES" '), (F.col("event_id") % 7 / 10.0).cast("string"), F.lit(" postdata[a=1]"))
+    line = F.concat(F.lit("2024 Jan 02 03:04:05 (x) a->/var/log/"), F.coalesce("host", F.lit("none")), F.lit("_access_2.log "), _combined_line(), F.lit(' "text/plain" "TLSv1.3" "AES" '), (F.col("event_id") % 7 / 10.0).cast("string"), F.lit(" postdata[a=1]"))
     return logs.split_errors(logs.parse_nginx_postdata(_lines(t, line)))[0].select(F.col("line_number").alias("event_id"), "host", "content_type", "tls_protocol", "request_time_seconds", "request_body", "uri_path")
 
 
-@query("parse_error_summary", "SELECT 'request-line' AS reason, count(*) AS lines FROM e WHERE ts IS NOT NULL AND source_ip IS NOT NULL AND uri_path IS NULL HAVING count(*) > 0")
+#: What is wrong with the lines of events by event_id % 9, and the reason it has.
+_BAD = {1: "not-combined", 2: "timestamp", 3: "request-line", 4: "target", 5: "percent-escape", 6: "line-too-long"}
+
+
+@query("parse_error_summary", "SELECT reason, count(*) AS lines FROM (SELECT CASE event_id % 9 " + " ".join(f"WHEN {k} THEN '{r}'" for k, r in _BAD.items()) + " ELSE CASE WHEN uri_path IS NULL THEN 'request-line' END END AS reason FROM e WHERE ts IS NOT NULL AND source_ip IS NOT NULL) WHERE reason IS NOT NULL GROUP BY 1")
 def _(t):
-    return logs.parse_error_summary(logs.split_errors(logs.parse_combined(_lines(t, _combined_line())))[1])
+    k, good = F.col("event_id") % 9, _combined_line()
+    line = F.when(k == 1, F.lit("no log line")).when(k == 2, F.replace(good, F.lit("/2024:"), F.lit("/x024:"))).when(k == 3, F.replace(good, F.lit(" HTTP/1.1"), F.lit(" GOPHER")))
+    line = line.when(k == 4, F.regexp_replace(good, r'"[A-Z]+ .* HTTP', '"GET a HTTP')).when(k == 5, F.regexp_replace(good, r'"[A-Z]+ .* HTTP', '"GET /%zz HTTP')).when(k == 6, F.concat(good, F.repeat(F.lit("x"), F.lit(logs.LONGEST_LINE)))).otherwise(good)
+    return logs.parse_error_summary(logs.split_errors(logs.parse_combined(_lines(t, line)))[1])
 
 
 @query("parse_waf_json", "SELECT event_id, CAST(floor(epoch_us(ts) / 1000.0) AS BIGINT) AS ms, source_ip, method, uri_path, uri_query, coalesce(uri_path || '?' || uri_query, uri_path) AS uri, status, ja4, waf_action, request_id, host, user_agent FROM e WHERE ts IS NOT NULL AND source_ip IS NOT NULL")
@@ -83,11 +90,18 @@ def _(t):
     return _seen(logs.split_errors(logs.parse_cloudfront(lines.unionByName(header)))[0])
 
 
-@query("detect_format", "SELECT kind AS input_file, CASE kind WHEN 'c' THEN 'combined' ELSE 'unknown' END AS format FROM (SELECT DISTINCT CASE event_id % 2 WHEN 0 THEN 'c' ELSE 'u' END AS kind FROM e WHERE ts IS NOT NULL AND source_ip IS NOT NULL)")
+#: A line of each format, by event_id % 7.
+_KINDS = ["combined", "vhost", "nginx-postdata", "waf", "alb", "cloudfront", "unknown"]
+
+
+@query("detect_format", "SELECT DISTINCT CASE event_id % 7 " + " ".join(f"WHEN {i} THEN '{k}'" for i, k in enumerate(_KINDS)) + " END AS input_file, input_file AS format, CASE event_id % 7 WHEN 0 THEN 2 WHEN 6 THEN 0 ELSE 1 END AS sources FROM e WHERE ts IS NOT NULL AND source_ip IS NOT NULL AND event_id <= 1000")
 def _(t):
     e = t.events.filter("ts is not null and source_ip is not null")
-    lines = e.select(F.when(F.col("event_id") % 2 == 0, "c").otherwise("u").alias("input_file"), F.col("event_id").alias("line_number"), F.when(F.col("event_id") % 2 == 0, _combined_line()).otherwise(F.lit("free text")).alias("line"))
-    return logs.detect_format(lines)
+    k, good = F.col("event_id") % 7, F.regexp_replace(_combined_line(), "bad path", "/x")
+    kind = F.get(F.array(*map(F.lit, _KINDS)), k.cast("int"))
+    line = F.when(k == 0, good).when(k == 1, F.concat(F.lit("www.example.org:80 "), good)).when(k == 2, F.concat(good, F.lit(' "text/plain" "-" "-" 0.1 postdata[a=1]'))).when(k == 3, F.lit('{"timestamp": 1, "httpRequest": {}}')).when(k == 4, F.lit("https 2024-01-01T00:00:00Z lb")).when(k == 5, F.lit("#Version: 1.0")).otherwise(F.lit("free text"))
+    found = logs.detect_format(e.select(kind.alias("input_file"), F.col("event_id").alias("line_number"), line.alias("line")))
+    return found.select("input_file", "format", F.size("sources").alias("sources"))
 
 
 @query("read_indicators", "SELECT type, value, CASE WHEN type = 'hash' THEN 'unknown-type' WHEN type = 'path' AND NOT starts_with(value, '/') THEN 'invalid-path' END AS reason FROM (SELECT DISTINCT CASE event_id % 4 WHEN 0 THEN 'ip' WHEN 1 THEN 'path' WHEN 2 THEN 'hash' ELSE 'host' END AS type, CASE event_id % 4 WHEN 0 THEN source_ip WHEN 1 THEN event_type WHEN 2 THEN 'x' ELSE 'h' || CAST(event_id % 5 AS VARCHAR) END AS value FROM (SELECT e.*, v.event_type FROM e JOIN events v USING (event_id)) WHERE source_ip IS NOT NULL)")

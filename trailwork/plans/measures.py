@@ -180,7 +180,7 @@ def _(t):
     return C.daily_summary(t.events)
 
 
-@query("url_split", """SELECT page_id, split_part(split_part(url, '#', 1), '?', 1) AS path, CASE WHEN contains(split_part(url, '#', 1), '?') THEN regexp_extract(split_part(url, '#', 1), '\\?(.*)$', 1) END AS query, CASE WHEN contains(url, '#') THEN regexp_extract(url, '#(.*)$', 1) END AS fragment,
+@query("url_split", """SELECT page_id, split_part(split_part(url, '#', 1), '?', 1) AS path, nullif(CASE WHEN contains(split_part(url, '#', 1), '?') THEN regexp_extract(split_part(url, '#', 1), '\\?(.*)$', 1) END, '') AS query, nullif(CASE WHEN contains(url, '#') THEN regexp_extract(url, '#(.*)$', 1) END, '') AS fragment,
     lower(regexp_extract(url, '^[a-z]+://([^/:?#]+)', 1)) AS host, CAST(len([split_part(p, '=', 1) for p in string_split(coalesce(CASE WHEN contains(split_part(url, '#', 1), '?') THEN regexp_extract(split_part(url, '#', 1), '\\?(.*)$', 1) END, ''), '&') if split_part(p, '=', 1) <> '']) AS INT) AS n_keys FROM pages""", "")
 def _(t):
     path, q, fragment = W.split_target(F.col("url"))

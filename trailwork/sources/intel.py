@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from trailwork.functions import network as N
 
-TYPES = ("ip", "cidr", "path", "path-prefix", "user-agent", "ja3", "ja4", "host")
+TYPES = ("ip", "cidr", "path", "path-prefix", "user-agent", "ja3", "ja4", "host", "url")
 
 
 def _kept_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -20,6 +20,8 @@ def parse_indicators(lines: DataFrame) -> DataFrame:
     rows = lines.filter((F.trim("line") != "") & ~F.col("line").startswith("#")).select(F.lower(F.trim(F.get(cells, F.lit(0)))).alias("type"), F.trim(F.get(cells, F.lit(1))).alias("value"), F.get(cells, F.lit(2)).alias("label"))
     v = F.col("value")
     reason = F.when(~F.col("type").isin(*TYPES), "unknown-type").when(v.isNull() | (v == ""), "empty-value").when((F.col("type") == "ip") & N.canonical_ip(v).isNull(), "invalid-ip").when((F.col("type") == "cidr") & ~v.rlike(r"^[0-9A-Fa-f:.]+/\d{1,3}$"), "invalid-cidr").when(F.col("type").startswith("path") & ~v.startswith("/"), "invalid-path")
+    url = F.col("type") == "url"
+    reason = reason.when(url & v.contains("?"), "url-query-unsupported").when(url & v.contains("#"), "url-fragment-unsupported").when(url & ~v.rlike("^https?://"), "unsupported-url").when(url & ~v.rlike(r"^https?://[^/@\s]+(/.*)?$"), "invalid-value")
     return rows.withColumn("reason", reason).dropDuplicates(["type", "value"])
 
 
@@ -79,13 +81,11 @@ def read_bot_ranges(spark: SparkSession, path: str, operator_id: str) -> DataFra
 
 
 def parse_address_set(lines: DataFrame) -> DataFrame:
-    """network (v4 truncated to its length), reason; comments and blanks are gone, duplicates stay once."""
+    """network (truncated to its length, canonical), reason; comments and blanks are gone, duplicates stay once."""
     text = F.trim(F.regexp_replace("line", "#.*$", ""))
-    rows = lines.select(text.alias("text")).filter("text != ''")
-    bits = F.coalesce(F.regexp_extract("text", r"/(\d+)$", 1).try_cast("int"), F.lit(32))
-    number = N.v4_number(F.regexp_replace("text", r"/\d+$", ""))
-    good = number.isNotNull() & bits.between(0, 32)
-    return rows.select(F.when(good, F.concat(N.v4_text(N.v4_mask(number, F.least(F.greatest(bits, F.lit(0)), F.lit(32)))), F.lit("/"), bits)).alias("network"), F.when(~good, "invalid").alias("reason")).distinct()
+    rows = lines.select(text.alias("text")).filter("text != ''").distinct()
+    known = N.networks(rows, "text").select("text", F.concat(N.hex_text(F.rpad("base", F.when(F.col("family") == 4, 8).otherwise(32), F.lit("0"))), F.lit("/"), "prefix_len").alias("network"))
+    return rows.join(known, "text", "left").select("network", F.when(F.col("network").isNull(), "invalid").alias("reason")).distinct()
 
 
 def read_address_set(spark: SparkSession, path: str) -> DataFrame:

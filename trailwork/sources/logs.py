@@ -11,14 +11,24 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from trailwork.functions import web as W
+from trailwork.functions.tables import small
 
 LONGEST_LINE = 64 * 1024
 EXTENSIONS = ("log", "txt", "json", "jsonl", "gz")
+#: A quoted value: runs without quotes and backslashes, and escaped characters. Possessive, so that no length of it recurses.
+_QUOTED = r'"([^"\\]*+(?:\\.[^"\\]*+)*+)"'
 #: The Combined format and what some formats put around it.
-COMBINED = r'^(\S+) (\S+) (\S+) \[([^\]]+)\] "((?:[^"\\]|\\.)*)" (\d{3}|-) (\d+|-) "((?:[^"\\]|\\.)*)" "((?:[^"\\]|\\.)*)"'
-VHOST = r"^(\S+?)(?::\d+)? (\S+ \S+ \S+ \[.*)$"
-POSTDATA = COMBINED + r' "([^"]*)" "([^"]*)" "([^"]*)" ([0-9.]+|-) (?:postdata)?\[(.*)\]$'
+_COMBINED = rf'(\S++) \S++ \S++ \[([^\]]++)\] {_QUOTED} (\d{{3}}|-) (\d++|-) {_QUOTED} {_QUOTED}'
+COMBINED = f"^{_COMBINED}$"
+VHOST = rf"^(\S++) {_COMBINED}$"
+POSTDATA = rf"^{_COMBINED} {_QUOTED} {_QUOTED} {_QUOTED} (\S++) postdata\[(.*)\]$"
+POSTDATA_PREFIX = r"^\d{4} [A-Z][a-z]{2} \d{2} \d{2}:\d{2}:\d{2} \([^)]*+\) \S+->\S*/(?:([^/ ]+?)_access(?:_\d+)?\.log|[^/ ]*\.log) "
+ERROR_LOG = r"^\d{4}/\d{2}/\d{2} \d{2}:\d{2}:\d{2} \[[a-z]+\] "
 CLOUDFRONT_FIELDS = "date time x-edge-location sc-bytes c-ip cs-method cs(Host) cs-uri-stem sc-status cs(Referer) cs(User-Agent) cs-uri-query cs(Cookie) x-edge-result-type x-edge-request-id x-host-header cs-protocol cs-bytes time-taken".split()
+#: Parts of a matched line are joined by this character; where a line has one itself, it is written as an escape before.
+_MARK = "\x01"
+#: Most file splits whose line counts are broadcast.
+MOST_SPLITS = 500_000
 
 
 def discover_inputs(spark: SparkSession, path: str) -> DataFrame:
@@ -44,7 +54,8 @@ def read_log_lines(spark: SparkSession, path: str) -> DataFrame:
     ahead = Window.partitionBy("input_file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.withColumn("ahead", F.coalesce(F.sum("n").over(ahead), F.lit(0))).drop("n")
     # Rows of one split follow each other, so their ids differ by one.
-    numbered = raw.join(F.broadcast(offsets), ["input_file", "block"]).withColumn("line_number", F.col("ahead") + F.col("row") - F.col("first") + 1)
+    splits = len(raw.inputFiles()) + raw.rdd.getNumPartitions()  # as many as there can be; nothing is read for it
+    numbered = raw.join(F.broadcast(offsets) if splits <= MOST_SPLITS else offsets, ["input_file", "block"]).withColumn("line_number", F.col("ahead") + F.col("row") - F.col("first") + 1)
     return numbered.filter(F.trim("line") != "").select("input_file", "line_number", "line")
 
 
@@ -56,24 +67,45 @@ def _dash(value: Column) -> Column:
     return F.when((value == "-") | (value == ""), None).otherwise(value)
 
 
-def _combined(line: Column, pattern: str = COMBINED) -> dict[str, Column]:
-    g = lambda i: F.regexp_extract(line, pattern, i)
-    request = g(5)
-    parts = F.split(request, " ")
-    target = F.get(parts, F.lit(1))
+def _parts(line: Column, pattern: str, groups: int) -> Column:
+    """The groups of a pattern that matches the whole line, in one pass; an array of another size where it doesn't."""
+    marked = F.regexp_replace(F.replace(line, F.lit(_MARK), F.lit("\\x01")), pattern, _MARK.join(f"${i}" for i in range(1, groups + 1)))
+    return F.split(marked, _MARK, -1)
+
+
+def unescaped(text: Column) -> Column:
+    """A quoted value with \\" and \\\\ as what they stand for; other escapes stay."""
+    return F.when(text.contains("\\"), F.regexp_replace(text, r'\\(["\\])', "$1")).otherwise(text)
+
+
+def log_text(text: Column) -> Column:
+    """As unescaped, with \\xHH of ASCII characters undone too, as a server writes them that logs bytes."""
+    pieces = F.regexp_extract_all(text, F.lit(r"(?s)\\x[0-7][0-9A-Fa-f]|\\.|[^\\]++|."), F.lit(0))
+    one = lambda p: F.when(p.rlike(r"^\\x..$"), F.decode(F.unhex(F.substring(p, 3, 2)), "UTF-8")).when(p.rlike(r'^\\["\\]$'), F.substring(p, 2, 1)).otherwise(p)
+    return F.when(text.contains("\\"), F.array_join(F.transform(pieces, one), "")).otherwise(text)
+
+
+def _combined(rows: DataFrame, first: int, groups: int, reason: Column | None = None) -> tuple[DataFrame, dict[str, Column]]:
+    """Rows with the parts of a line (``p``) read as Combined from place ``first`` on, and the columns of an event."""
+    g = lambda i: F.get("p", F.lit(first + i))
+    control = r"[\p{Cntrl}]"
+    rows = rows.withColumn("matched", F.size("p") == groups).withColumn("request", F.when(F.col("matched"), g(2))).withColumn("words", F.filter(F.split(unescaped(F.col("request")), r"\s+"), lambda w: w != ""))
+    rows = rows.withColumns({"target": F.get("words", F.lit(1)), "ts": F.when(F.col("matched"), clf_time(g(1)))})
+    target = F.col("target")
     path, query, fragment = W.split_target(target)
-    unescape = lambda c: F.regexp_replace(c, r'\\"', '"')
-    reason = (
-        F.when(F.octet_length(line) > LONGEST_LINE, "line-too-long")
-        .when(~line.rlike(pattern), "not-combined")
-        .when(F.size(parts) != 3, "request-line")
-        .when(~target.startswith("/"), "target")
-        .when(~W.valid_percent_escapes(target), "percent-escape")
-        .when(clf_time(g(4)).isNull(), "timestamp")
-    )
-    return {
-        "source_ip": g(1), "ts": clf_time(g(4)), "method": F.get(parts, F.lit(0)), "uri": target, "uri_path": path, "uri_query": query, "uri_fragment": fragment, "protocol": F.get(parts, F.lit(2)),
-        "status": F.try_to_number(_dash(g(6)), F.lit("999")).cast("int"), "response_bytes": F.try_to_number(_dash(g(7)), F.lit("9" * 18)).cast("long"), "referer": _dash(unescape(g(8))), "user_agent": _dash(unescape(g(9))), "reason": reason,
+    text = lambda c: F.when(~c.rlike(control), unescaped(_dash(c)))
+    referer, agent = text(g(5)), text(g(6))
+    why = F.when(F.octet_length("line") > LONGEST_LINE, "line-too-long")
+    if reason is not None:
+        why = F.coalesce(why, reason)
+    why = F.coalesce(why, (
+        F.when(~F.col("matched") | F.col("request").rlike(control), "not-combined").when(F.col("ts").isNull(), "timestamp")
+        .when((F.size("words") != 3) | ~F.get("words", F.lit(2)).startswith("HTTP/"), "request-line").when(~target.startswith("/"), "target").when(~W.valid_percent_escapes(target), "percent-escape")
+    ))
+    header = lambda name, c: F.when(c.isNotNull(), F.struct(F.lit(name).alias("name"), c.alias("value")))
+    return rows, {
+        "source_ip": g(0), "ts": F.col("ts"), "method": F.get("words", F.lit(0)), "uri": target, "uri_path": path, "uri_query": query, "uri_fragment": fragment, "protocol": F.get("words", F.lit(2)), "request_line": F.col("request"),
+        "status": _dash(g(3)).try_cast("int"), "response_bytes": _dash(g(4)).try_cast("long"), "referer": referer, "user_agent": agent, "headers": F.array_compact(F.array(header("Referer", referer), header("User-Agent", agent))), "reason": why,
     }
 
 
@@ -87,26 +119,32 @@ def split_errors(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def parse_combined(lines: DataFrame, source: str = "nginx") -> DataFrame:
-    return _rows(lines, _combined(F.col("line")), source)
+    rows, columns = _combined(lines.withColumn("p", _parts(F.col("line"), COMBINED, 7)), 0, 7)
+    return _rows(rows, columns, source)
 
 
 def parse_vhost_combined(lines: DataFrame, plain_first: bool = False) -> DataFrame:
-    """Combined with ``host[:port]`` before it; with plain_first each line is tried as plain Combined before."""
-    host, rest = F.regexp_extract("line", VHOST, 1), F.regexp_extract("line", VHOST, 2)
-    plain = F.col("line").rlike(COMBINED) if plain_first else F.lit(False)
-    columns = _combined(F.when(plain, F.col("line")).otherwise(rest)) | {"host": F.when(~plain, host)}
-    return _rows(lines, columns, "apache")
+    """Combined with ``host[:port]`` or a dash before it; with plain_first each line is tried as plain Combined before."""
+    with_host = _parts(F.col("line"), VHOST, 8)
+    if plain_first:
+        plain = _parts(F.col("line"), COMBINED, 7)
+        with_host = F.when(F.col("line").rlike(COMBINED), F.concat(F.array(F.lit("-")), plain)).otherwise(with_host)
+    rows, columns = _combined(lines.withColumn("p", with_host), 1, 8)
+    host = F.regexp_replace(_dash(F.get("p", F.lit(0))), r"(?<=.):\d{1,5}$", "")
+    return _rows(rows, columns | {"host": host}, "apache")
 
 
 def parse_nginx_postdata(lines: DataFrame) -> DataFrame:
-    """Combined with content type, TLS, cipher, seconds and body; an optional syslog prefix gives the host."""
-    syslog = r"^\w{3} +\d+ [\d:]{8} (\S+) \S+: (.*)$"
-    prefixed = F.col("line").rlike(syslog)
-    line = F.when(prefixed, F.regexp_extract("line", syslog, 2)).otherwise(F.col("line"))
-    g = lambda i: _dash(F.regexp_extract(line, POSTDATA, i))
-    base = _combined(line, POSTDATA)
-    reason = F.when(line.rlike(r"^\d{4}/\d\d/\d\d \d\d:\d\d:\d\d \["), "error-log").when(line.rlike(COMBINED) & ~line.rlike(POSTDATA), "truncated").otherwise(base["reason"])
-    return _rows(lines, base | {"host": F.when(prefixed, F.regexp_extract("line", syslog, 1)), "content_type": g(10), "tls_protocol": g(11), "tls_cipher": g(12), "request_time_seconds": g(13).cast("double"), "request_body": g(14), "reason": reason}, "nginx-postdata")
+    """Combined with content type, TLS, cipher, seconds and body; an optional transport prefix gives the host by its file name."""
+    rows = lines.withColumn("bare", F.regexp_replace("line", POSTDATA_PREFIX, ""))
+    rows = rows.withColumn("p", _parts(F.col("bare"), POSTDATA, 12))
+    g = lambda i: unescaped(_dash(F.get("p", F.lit(i))))
+    seconds = F.get("p", F.lit(10))
+    special = F.when(F.col("bare").rlike(ERROR_LOG), "error-log").when(F.col("bare").contains("postdata[") & ~F.col("bare").endswith("]"), "truncated")
+    bad_time = F.when((F.size("p") == 12) & (seconds != "-") & ~F.coalesce(seconds.try_cast("double").between(0.0, 1e300), F.lit(False)), "request-time")
+    rows, columns = _combined(rows, 0, 12, F.coalesce(special, bad_time))
+    host = F.nullif(F.regexp_extract("line", POSTDATA_PREFIX, 1), F.lit(""))
+    return _rows(rows, columns | {"host": host, "content_type": g(7), "tls_protocol": g(8), "tls_cipher": g(9), "request_time_seconds": seconds.try_cast("double"), "request_body": F.nullif(F.get("p", F.lit(11)), F.lit(""))}, "nginx-postdata")
 
 
 WAF_SCHEMA = T.StructType().add("timestamp", T.LongType()).add("action", T.StringType()).add("terminatingRuleId", T.StringType()).add("terminatingRuleType", T.StringType()).add("responseCodeSent", T.IntegerType()).add("ja3Fingerprint", T.StringType()).add("ja4Fingerprint", T.StringType())
@@ -137,7 +175,7 @@ def _address(text: Column) -> Column:
 
 def parse_alb(lines: DataFrame) -> DataFrame:
     """Space-separated with quotes: type, time, balancer, client, target, three times, two codes, two sizes, request, agent, cipher, protocol, group, trace."""
-    fields = F.transform(F.regexp_extract_all("line", F.lit(r'"(?:[^"\\]|\\.)*"|\S+'), F.lit(0)), lambda x: F.regexp_replace(x, r'^"|"$', ""))
+    fields = F.transform(F.regexp_extract_all("line", F.lit(r'"[^"\\]*+(?:\\.[^"\\]*+)*+"|\S++'), F.lit(0)), lambda x: F.regexp_replace(x, r'^"|"$', ""))
     f = lambda i: F.get(fields, F.lit(i))
     parts = F.split(f(12), " ")
     url = F.get(parts, F.lit(1))
@@ -148,7 +186,7 @@ def parse_alb(lines: DataFrame) -> DataFrame:
     keep = lambda c: F.when(~none, c)
     columns = {
         "ts": F.try_to_timestamp(f(1)), "source_ip": _address(f(3)), "source_port": F.regexp_extract(f(3), r":(\d+)$", 1).try_cast("int"), "host": keep(_dash(host)), "method": keep(F.get(parts, F.lit(0))), "uri": keep(url), "uri_path": keep(path), "uri_query": keep(query), "uri_fragment": keep(fragment), "protocol": keep(F.get(parts, F.lit(2))),
-        "status": F.try_to_number(_dash(f(8)), F.lit("999")).cast("int"), "response_bytes": F.try_to_number(_dash(f(11)), F.lit("9" * 18)).cast("long"), "user_agent": _dash(f(13)), "tls_cipher": _dash(f(14)), "tls_protocol": _dash(f(15)), "request_id": _dash(f(17)),
+        "status": _dash(f(8)).try_cast("int"), "response_bytes": _dash(f(11)).try_cast("long"), "user_agent": _dash(f(13)), "tls_cipher": _dash(f(14)), "tls_protocol": _dash(f(15)), "request_id": _dash(f(17)),
         "reason": F.when(F.octet_length("line") > LONGEST_LINE, "line-too-long").when(F.size(fields) < 18, "too-few-fields").when(F.try_to_timestamp(f(1)).isNull(), "timestamp"),
     }
     return _rows(lines, columns, "aws-alb")
@@ -156,9 +194,13 @@ def parse_alb(lines: DataFrame) -> DataFrame:
 
 def parse_cloudfront(lines: DataFrame) -> DataFrame:
     """Tab-separated by the latest #Fields: line of the same file, else the default order; cookies are never kept."""
-    header = F.when(F.col("line").startswith("#Fields:"), F.split(F.trim(F.regexp_replace("line", "^#Fields:", "")), r"\s+"))
-    latest = F.last(header, ignorenulls=True).over(Window.partitionBy("input_file").orderBy("line_number"))
-    rows = lines.withColumn("names", F.coalesce(latest, F.array(*map(F.lit, CLOUDFRONT_FIELDS)))).filter(~F.col("line").startswith("#")).withColumn("cells", F.split("line", "\t"))
+    header = F.split(F.trim(F.regexp_replace("line", "^#Fields:", "")), r"\s+")
+    # The few header lines become intervals of line numbers.
+    after = F.lead("line_number").over(Window.partitionBy("input_file").orderBy("line_number"))
+    headers = lines.filter(F.col("line").startswith("#Fields:")).select(F.col("input_file").alias("__file"), F.col("line_number").alias("__from"), F.coalesce(after, F.lit((1 << 63) - 1)).alias("__to"), header.alias("__names"))
+    inside = (F.col("input_file") == F.col("__file")) & (F.col("line_number") > F.col("__from")) & (F.col("line_number") < F.col("__to"))
+    rows = lines.filter(~F.col("line").startswith("#")).join(small(headers), inside, "left")
+    rows = rows.withColumn("names", F.coalesce("__names", F.array(*map(F.lit, CLOUDFRONT_FIELDS)))).withColumn("cells", F.split("line", "\t"))
     enough = F.size("cells") >= F.size("names")
     named = F.when(enough, F.map_from_arrays("names", F.slice("cells", F.lit(1), F.size("names"))))
     rows = rows.withColumn("m", named)
@@ -171,15 +213,18 @@ def parse_cloudfront(lines: DataFrame) -> DataFrame:
     return _rows(rows, columns, "aws-cloudfront")
 
 
-FORMATS = {"combined": COMBINED, "waf": r"^\s*\{.*\"httpRequest\"", "alb": r"^(http|https|h2|ws|wss|grpcs) \d{4}-\d\d-\d\dT", "cloudfront": r"^#(Version|Fields):"}
+#: What a line of each format looks like. Two servers write Combined alike, so it can't be told whose it is.
+FORMATS = {"combined": COMBINED, "vhost": VHOST, "nginx-postdata": POSTDATA, "waf": r"^\s*\{.*\"httpRequest\"", "alb": r"^(http|https|h2|ws|wss|grpcs) \d{4}-\d\d-\d\dT", "cloudfront": r"^#(Version|Fields):"}
+SERVERS = {"combined": ["nginx-combined", "apache-combined"], "vhost": ["apache-vhost-combined"], "nginx-postdata": ["nginx-postdata"], "waf": ["aws-waf"], "alb": ["aws-alb"], "cloudfront": ["aws-cloudfront"]}
 
 
 def detect_format(lines: DataFrame, sample: int = 1000) -> DataFrame:
-    """Per file which formats any of its first ``sample`` lines shows; ambiguous where more than one does."""
-    first = lines.withColumn("nth", F.row_number().over(Window.partitionBy("input_file").orderBy("line_number"))).filter(F.col("nth") <= sample)
-    votes = first.groupBy("input_file").agg(*[F.bool_or(F.col("line").rlike(p)).alias(n) for n, p in FORMATS.items()])
+    """Per file which formats any of its lines numbered up to ``sample`` shows, and which sources may have written them; ambiguous where more than one format does."""
+    bare = F.regexp_replace("line", POSTDATA_PREFIX, "")
+    votes = lines.filter(F.col("line_number") <= sample).groupBy("input_file").agg(*[F.bool_or(bare.rlike(p)).alias(n) for n, p in FORMATS.items()])
     names = F.array_compact(F.array(*[F.when(F.col(n), F.lit(n)) for n in FORMATS]))
-    return votes.select("input_file", F.when(F.size(names) == 1, names[0]).when(F.size(names) > 1, "ambiguous").otherwise("unknown").alias("format"))
+    servers = F.flatten(F.array_compact(F.array(*[F.when(F.col(n), F.array(*map(F.lit, SERVERS[n]))) for n in FORMATS])))
+    return votes.select("input_file", F.when(F.size(names) == 1, names[0]).when(F.size(names) > 1, "ambiguous").otherwise("unknown").alias("format"), servers.alias("sources"))
 
 
 def parse_error_summary(errors: DataFrame) -> DataFrame:

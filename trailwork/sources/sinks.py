@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from trailwork.functions import network as N
+
 
 def flat_findings(findings: DataFrame) -> DataFrame:
     """Arrays of text joined by ; and anything else nested as JSON, for CSV."""
@@ -37,7 +39,8 @@ def write_run(run_id: str, tables: dict[str, DataFrame], path: str) -> None:
 
 
 def write_address_list(sources: DataFrame, path: str, column: str = "source_ip") -> None:
-    sources.select(column).filter(F.col(column).isNotNull()).distinct().orderBy(column).write.mode("errorifexists").text(path)
+    """Distinct addresses in canonical spelling, one a line; what is no address is left out."""
+    sources.select(N.canonical_ip(F.col(column)).alias(column)).filter(F.col(column).isNotNull()).distinct().orderBy(column).write.mode("errorifexists").text(path)
 
 
 #: Columns with raw values, which sanitized tables never hold.
