@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 
 from trailwork.functions import network as N
 from trailwork.functions import web as W
-from trailwork.functions.spelling import features, size_shape
+from trailwork.functions.spelling import character_call, features, size_shape
 from trailwork.functions.tables import small
 
 #: Public conventions, which never count as probes.
@@ -234,13 +234,26 @@ def unserved_paths(events: DataFrame) -> DataFrame:
     return asked.join(served, "uri_path", "left_anti")
 
 
-def char_position_reads(events: DataFrame) -> DataFrame:
-    """Per (host, expression): character positions probed by substr(expression,position,length), the largest, sources, commonest size.
+def character_reads(events: DataFrame) -> DataFrame:
+    """Requests whose query (or body) has exactly one ascii(substr((select ...), position, 1)), with its expression and position.
 
-    Positions are those in the query text; requests without such an expression are left out.
+    ord, substring and mid count too, and spaces and case don't matter. Requests that lack a peer, method, path, status, size
+    or time are left out.
     """
-    call = r"(?i)substr(?:ing)?\(([^,()]+),(\d{1,6}),(\d{1,3})\)"
-    rows = events.filter(F.col("uri_query").rlike(call)).withColumns({"expression": F.regexp_extract("uri_query", call, 1), "position": F.regexp_extract("uri_query", call, 2).cast("long")})
-    sizes = rows.filter("response_bytes is not null").groupBy("host", "expression", "response_bytes").agg(F.count("*").alias("n")).groupBy("host", "expression").agg(F.min_by("response_bytes", F.struct(-F.col("n"), "response_bytes")).alias("top_size"))
-    per = rows.groupBy("host", "expression").agg(F.count("*").alias("reads"), F.countDistinct("position").alias("positions"), F.max("position").alias("last_position"), F.countDistinct("source_ip").alias("sources"))
-    return per.join(sizes.withColumnsRenamed({"host": "__host", "expression": "__expression"}), F.col("host").eqNullSafe(F.col("__host")) & (F.col("expression") == F.col("__expression")), "left").drop("__host", "__expression")
+    text = F.concat_ws("\n", *[c for c in ("uri_query", "request_body") if c in events.columns])
+    whole = events.filter(" and ".join(f"{c} is not null" for c in ("source_ip", "method", "uri_path", "status", "response_bytes", "ts")))
+    asked = whole.filter(text.rlike(r"(?i)\b(ascii|ord)")).withColumn("__c", character_call(text)).filter("__c.expression is not null")
+    return asked.select("*", "__c.expression", "__c.position").drop("__c")
+
+
+def char_position_reads(events: DataFrame) -> DataFrame:
+    """Per (host, expression): reads of character positions, distinct ones, the last, sources, first and last time."""
+    at = W.epoch(F.col("ts"))
+    return character_reads(events).groupBy("host", "expression").agg(F.count("*").alias("reads"), F.countDistinct("position").alias("positions"), F.max("position").alias("last_position"), F.countDistinct(N.canonical_or_raw(F.col("source_ip"))).alias("sources"), F.min(at).alias("first_seen"), F.max(at).alias("last_seen"))
+
+
+def char_position_sizes(events: DataFrame, most: int = 3) -> DataFrame:
+    """The commonest response sizes of each (host, expression, status), ties by size; a report of the first ``most``."""
+    sizes = character_reads(events).groupBy("host", "expression", "status", "response_bytes").agg(F.count("*").alias("requests"))
+    rank = F.row_number().over(Window.partitionBy("host", "expression", "status").orderBy(F.desc("requests"), "response_bytes"))
+    return sizes.withColumn("rank", rank).filter(F.col("rank") <= most)

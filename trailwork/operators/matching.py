@@ -30,19 +30,24 @@ def headers_present(wanted: Column, headers: Column) -> Column:
     return F.when(F.coalesce(F.size(wanted), F.lit(0)) <= 0, True).otherwise(F.coalesce(F.forall(wanted, lambda w: F.coalesce(F.exists(headers, lambda h: same(h, w)), F.lit(False))), F.lit(False)))
 
 
-def match_detections(events: DataFrame, detections: DataFrame) -> DataFrame:
-    """One finding for each (event, template): exact path, then method without case, query contained, fragment equal, headers present.
-
-    Of several requests of one template the one of the lowest ordinal counts. Detections: template_id, ordinal, cves,
-    severity, method, path, query and, if there, fragment, headers. A request without a method never matches.
-    """
+def detection_hits(events: DataFrame, detections: DataFrame) -> DataFrame:
+    """Events joined with every detection they match, with its specificity; fragment and headers are asked where both sides have them."""
     d = detections.withColumn("specificity", request_specificity(detections)).withColumnsRenamed({"method": "d_method", "query": "d_query", "fragment": "d_fragment", "headers": "d_headers"})
     on = (F.col("uri_path") == F.col("path")) & (F.lower("method") == F.lower("d_method")) & F.coalesce(F.col("d_query").isNull() | F.contains(F.col("uri_query"), F.col("d_query")), F.lit(False))
     if "fragment" in detections.columns and "uri_fragment" in events.columns:
         on &= F.coalesce(F.col("d_fragment").isNull() | (F.col("uri_fragment") == F.col("d_fragment")), F.lit(False))
     if "headers" in detections.columns and "headers" in events.columns:
         on &= headers_present(F.col("d_headers"), F.col("headers"))
-    hit = events.join(small(d), on, "inner").drop("d_method", "d_query", "d_fragment", "d_headers", "path")
+    return events.join(small(d), on, "inner").drop("d_method", "d_query", "d_fragment", "d_headers", "path")
+
+
+def match_detections(events: DataFrame, detections: DataFrame) -> DataFrame:
+    """One finding for each (event, template): exact path, then method without case, query contained, fragment equal, headers present.
+
+    Of several requests of one template the one of the lowest ordinal counts. Detections: template_id, ordinal, cves,
+    severity, method, path, query and, if there, fragment, headers. A request without a method never matches.
+    """
+    hit = detection_hits(events, detections)
     least = hit.groupBy("event_id", "template_id").agg(F.min("ordinal").alias("ordinal"))
     kept = hit.join(least, ["event_id", "template_id", "ordinal"])
     return kept.withColumns({"distinctiveness": W.path_distinctiveness(F.col("uri_path")), "outcome": W.waf_outcome(F.col("waf_action"))})
@@ -209,12 +214,22 @@ def resolve_client_ip(events: DataFrame, proxies: list[str]) -> DataFrame:
     return events.withColumn("client_ip", found)
 
 
-def select_templates(detections: DataFrame, allow: list[str] = (), deny: list[str] = (), exclude_unknown: bool = False) -> DataFrame:
-    """Add ``reason``: kept, denied, not-allowed or unknown-vendor; deny beats allow, unknown vendors stay unless asked."""
-    v = F.lower("vendor")
-    reason = F.when(v.isin([x.lower() for x in deny]), "denied").when(v.isNull(), "unknown-vendor" if exclude_unknown else "kept")
+def select_templates(detections: DataFrame, allow: dict[str, list[str]] | None = None, deny: dict[str, list[str]] | None = None, exclude_unknown: bool = False) -> DataFrame:
+    """Add ``reason``: kept, denied, not-allowed or unknown-vendor, by lists of vendor, products and tags, compared without case.
+
+    Deny beats allow. With an allow list a template has to be on it by any of the three. Unknown vendors stay unless asked.
+    """
+
+    def listed(name: str, values: list[str]) -> Column:
+        low = [v.lower() for v in values]
+        return F.lower(name).isin(low) if name == "vendor" else F.exists(name, lambda x: F.lower(x).isin(low))
+
+    on = lambda lists: reduce(lambda a, b: a | b, [F.coalesce(listed(n, v), F.lit(False)) for n, v in (lists or {}).items()], F.lit(False))
+    reason = F.when(on(deny), "denied")
+    if exclude_unknown:
+        reason = reason.when(F.col("vendor").isNull(), "unknown-vendor")
     if allow:
-        reason = reason.when(~v.isin([x.lower() for x in allow]), "not-allowed")
+        reason = reason.when(~on(allow) & F.col("vendor").isNotNull(), "not-allowed")
     return detections.withColumn("reason", reason.otherwise("kept"))
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from trailwork.functions import web as W
 from trailwork.operators import findings as FD
 from trailwork.operators import matching as M
-from trailwork.plans.base import CTES, query, values_sql
+from trailwork.plans.base import CTES, FRAGMENT, HEADER, query
 
 _FD = "e det fd"
 _FC = "e det det_cves fd fc"
@@ -79,7 +79,9 @@ def _(t):
     return M.match_rules(t.events, RULES).select("event_id", "rule_id", "level")
 
 
-_HITS = """hits AS (SELECT event_id, indicator_id, 'source_ip' AS field FROM e JOIN ind ON type = 'ip' AND value = source_ip
+_HITS = """hits AS (SELECT event_id, indicator_id, 'source_ip' AS field FROM e JOIN ind ON type = 'ip' AND replace(value, '::ffff:', '') = source_ip
+    UNION SELECT event_id, 9, 'url' FROM e WHERE host = 'www.example.org' AND uri_path = '/.env'
+    UNION SELECT event_id, 11, 'source_ip' FROM e JOIN ipn ON ip = source_ip WHERE num BETWEEN 3325232384 AND 3325232511
     UNION SELECT event_id, indicator_id, 'source_ip' FROM e JOIN ipn ON ip = source_ip JOIN ind ON type = 'cidr' AND ((value = '198.51.4.0/25' AND num BETWEEN 3325232128 AND 3325232255) OR (value = '198.51.0.0/16' AND num BETWEEN 3325231104 AND 3325296639))
     UNION SELECT event_id, indicator_id, 'uri_path' FROM e JOIN ind ON (type = 'path' AND value = uri_path) OR (type = 'path-prefix' AND starts_with(uri_path, value))
     UNION SELECT event_id, indicator_id, 'user_agent' FROM e JOIN ind ON type = 'user-agent' AND value = user_agent
@@ -116,15 +118,15 @@ def _(t):
     return t.events.filter(M.condition(TREE, t.events.columns)).select("event_id")
 
 
-@query("absent_condition_fields", "SELECT event_id FROM e WHERE uri_path IS NULL OR uri_query IS NULL OR host IS NULL")
+@query("eval_header_condition", "SELECT event_id FROM e WHERE coalesce(contains(h1, 'yes'), false) OR coalesce(contains(h2, 'yes'), false) OR coalesce(h1 = 'no', false)")
 def _(t):
-    return t.events.filter(M.absent_condition_fields(TREE)).select("event_id")
+    tree = {"kind": "or", "conditions": [{"kind": "header_contains", "name": "X-DEBUG", "value": "yes"}, {"kind": "header_equals", "name": "x-debug", "value": "no"}]}
+    return t.events.filter(M.condition(tree, t.events.columns)).select("event_id")
 
 
-@query("select_templates", "SELECT template_id, ordinal, CASE WHEN v = 'acme' THEN 'denied' WHEN v IS NULL THEN 'kept' WHEN v NOT IN ('globex') THEN 'not-allowed' ELSE 'kept' END AS reason FROM (SELECT *, CASE ordinal % 4 WHEN 0 THEN 'acme' WHEN 1 THEN 'globex' WHEN 2 THEN 'initech' END AS v FROM det)", "det")
+@query("absent_condition_fields", "SELECT event_id FROM e WHERE uri_path IS NULL OR uri_query IS NULL OR host IS NULL")
 def _(t):
-    d = t.detections.withColumn("vendor", F.expr("CASE ordinal % 4 WHEN 0 THEN 'Acme' WHEN 1 THEN 'Globex' WHEN 2 THEN 'Initech' END"))
-    return M.select_templates(d, allow=["globex"], deny=["ACME"]).select("template_id", "ordinal", "reason")
+    return t.events.filter(M.absent_condition_fields(TREE)).select("event_id")
 
 
 _OBS = "coalesce('id:' || request_id, concat_ws('|', coalesce(CAST(sec AS VARCHAR), '-'), coalesce(host, '-'), coalesce(method, '-'), coalesce(uri_path, '-'), coalesce(uri_query, '-')))"
@@ -174,8 +176,10 @@ def _(t):
     return FD.ordered_sequence(t.findings)
 
 
-CTES["lad"] = """lad AS (SELECT event_id, request_id, cve, true AS r1, coalesce(lower(method) = lower(d_method), false) AS r2, coalesce(lower(method) = lower(d_method), false) AND (d_query IS NULL OR coalesce(contains(uri_query, d_query), false)) AS r3 FROM e JOIN det ON uri_path = d_path JOIN det_cves USING (template_id, ordinal))"""
-CTES["rungs"] = "rungs AS (SELECT DISTINCT event_id, request_id, cve, 'path' AS rung FROM lad WHERE r1 UNION ALL SELECT DISTINCT event_id, request_id, cve, 'path_method' FROM lad WHERE r2 UNION ALL SELECT DISTINCT event_id, request_id, cve, 'path_method_query' FROM lad WHERE r3)"
+CTES["lad"] = f"""lad AS (SELECT *, r3 AND coalesce(lower(method) = lower(d_method), false) AND {FRAGMENT} AS r4, r3 AND coalesce(lower(method) = lower(d_method), false) AND {FRAGMENT} AND coalesce(d_query, d_fragment, d_header) IS NOT NULL AS r5 FROM
+    (SELECT *, r2 AND {HEADER} AS r3 FROM (SELECT e.*, det.*, cve, true AS r1, d_query IS NULL OR coalesce(contains(uri_query, d_query), false) AS r2 FROM e JOIN det ON uri_path = d_path JOIN det_cves USING (template_id, ordinal))))"""
+CTES["rungs"] = "rungs AS (" + " UNION ALL ".join(f"SELECT DISTINCT event_id, request_id, cve, '{name}' AS rung FROM lad WHERE r{i + 1}" for i, name in enumerate(FD.RUNGS)) + ")"
+CTES["again"] = "again AS (SELECT DISTINCT event_id, request_id, cve, CASE upper(waf_action) WHEN 'BLOCK' THEN 'blocked' WHEN 'ALLOW' THEN 'not-blocked' WHEN 'COUNT' THEN 'not-blocked' ELSE 'unknown' END AS outcome FROM lad WHERE r4)"
 
 
 @query("ablation", "SELECT rung, count(DISTINCT event_id) AS events, count(*) AS event_cves, (SELECT count(*) FROM e) AS all_requests, count(DISTINCT event_id) * 1.0 / (SELECT count(*) FROM e) AS share FROM rungs GROUP BY 1", "e det det_cves lad rungs")
@@ -191,16 +195,19 @@ def _known(t):
 CTES["known"] = "known AS (SELECT event_id, cve, request_id FROM fc WHERE event_id % 2 = 0)"
 
 
-@query("known_rereplay", "SELECT kind, count(*) AS matches FROM (SELECT CASE WHEN k.request_id IS NOT NULL THEN 'known' WHEN m.request_id IS NULL THEN 'other-without-id' ELSE 'other' END AS kind FROM (SELECT DISTINCT event_id, request_id, cve FROM lad) m LEFT JOIN (SELECT DISTINCT cve, request_id FROM known WHERE request_id IS NOT NULL) k USING (cve, request_id)) GROUP BY 1", "e det det_cves fd fc known lad")
+@query("known_rereplay", "SELECT kind, count(*) AS matches FROM (SELECT CASE WHEN k.request_id IS NOT NULL THEN 'known' WHEN m.request_id IS NULL THEN 'other-without-id' ELSE 'other' END AS kind FROM again m LEFT JOIN (SELECT DISTINCT cve, request_id FROM known WHERE request_id IS NOT NULL) k USING (cve, request_id)) GROUP BY 1", "e det det_cves fd fc known lad again")
 def _(t):
-    return M.known_rereplay(FD.ladder(t.events, t.detections).select("event_id", "request_id", "cve").distinct(), _known(t)).groupBy("kind").agg(F.count("*").alias("matches"))
+    return M.known_rereplay(FD.replayed(t.events, t.detections), _known(t)).groupBy("kind").agg(F.count("*").alias("matches"))
+
+
+_OTHER = "count(*) AS other_matches, " + ", ".join(f"count(*) FILTER (outcome = '{o}') AS other_{o.replace('-', '_')}" for o in ("blocked", "not-blocked", "unknown"))
 
 
-@query("historical_replay", """SELECT cve, coalesce(known, 0) AS known, coalesce(reobserved, 0) AS reobserved, coalesce(other_matches, 0) AS other_matches, greatest(coalesce(known, 0) - coalesce(reobserved, 0), 0) AS missed, CASE WHEN known > 0 THEN coalesce(reobserved, 0) * 1.0 / known END AS coverage
-    FROM (SELECT cve, count(*) AS known FROM known GROUP BY 1) a FULL JOIN (SELECT cve, count(*) AS reobserved FROM (SELECT DISTINCT cve, request_id FROM known WHERE request_id IS NOT NULL INTERSECT SELECT DISTINCT cve, request_id FROM lad) GROUP BY 1) b USING (cve)
-    FULL JOIN (SELECT cve, count(*) AS other_matches FROM (SELECT DISTINCT event_id, request_id, cve FROM lad) m WHERE NOT EXISTS (SELECT 1 FROM known k WHERE k.cve = m.cve AND k.request_id = m.request_id) GROUP BY 1) c USING (cve)""", "e det det_cves fd fc known lad")
+@query("historical_replay", f"""SELECT cve, coalesce(known, 0) AS known, coalesce(reobserved, 0) AS reobserved, coalesce(other_matches, 0) AS other_matches, coalesce(other_blocked, 0) AS other_blocked, coalesce(other_not_blocked, 0) AS other_not_blocked, coalesce(other_unknown, 0) AS other_unknown, greatest(coalesce(known, 0) - coalesce(reobserved, 0), 0) AS missed, CASE WHEN known > 0 THEN coalesce(reobserved, 0) * 1.0 / known END AS coverage
+    FROM (SELECT cve, count(*) AS known FROM known GROUP BY 1) a FULL JOIN (SELECT cve, count(*) AS reobserved FROM (SELECT DISTINCT cve, request_id FROM known WHERE request_id IS NOT NULL INTERSECT SELECT DISTINCT cve, request_id FROM again) GROUP BY 1) b USING (cve)
+    FULL JOIN (SELECT cve, {_OTHER} FROM again m WHERE NOT EXISTS (SELECT 1 FROM known k WHERE k.cve = m.cve AND k.request_id = m.request_id) GROUP BY 1) c USING (cve)""", "e det det_cves fd fc known lad again")
 def _(t):
-    return FD.historical_replay(FD.ladder(t.events, t.detections).select("event_id", "request_id", "cve").distinct(), _known(t))
+    return FD.historical_replay(FD.replayed(t.events, t.detections), _known(t))
 
 
 @query("count_hypotheses", "SELECT r.cve, r.rung, r.matches, r.reobserved, coalesce(k.n, 0) AS known_findings, CASE WHEN k.n > 0 THEN r.reobserved * 1.0 / k.n END AS coverage FROM (SELECT cve, rung, count(*) AS matches, count(DISTINCT CASE WHEN k.request_id IS NOT NULL THEN r.request_id END) AS reobserved FROM rungs r LEFT JOIN (SELECT DISTINCT cve, request_id FROM known WHERE request_id IS NOT NULL) k USING (cve, request_id) GROUP BY 1, 2) r LEFT JOIN (SELECT cve, count(*) AS n FROM known GROUP BY 1) k USING (cve)", "e det det_cves fd fc known lad rungs")

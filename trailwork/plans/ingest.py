@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from trailwork.operators import compare as X
 from trailwork.operators import findings as FD
-from trailwork.plans.base import CTES, EVENTS_SPARK, query
+from trailwork.operators import matching as M
+from trailwork.plans.base import CTES, EVENTS_SPARK, FRAGMENT, HEADER, query, with_headers
 from trailwork.sources import intel, logs, sinks
 from trailwork.streaming import streams
 
@@ -156,6 +157,13 @@ def _(t):
     return intel.select_detections(_templates(t)).select("template_id")
 
 
+@query("select_templates", "SELECT p_partkey AS template_id, CASE WHEN v = 'v1' OR p_partkey % 7 = 3 THEN 'denied' WHEN v IS NULL THEN 'unknown-vendor' WHEN v <> 'v2' AND p_partkey % 5 <> 4 THEN 'not-allowed' ELSE 'kept' END AS reason FROM (SELECT *, CASE WHEN p_partkey % 10 > 0 THEN concat('v', CAST(p_size % 4 AS VARCHAR)) END AS v FROM part)", "")
+def _(t):
+    k, numbered = F.col("p_partkey"), lambda name, n: F.concat(F.lit(name), n.cast("string"))
+    rows = t.read("part").select(k.alias("template_id"), F.when(k % 10 > 0, numbered("v", F.col("p_size") % 4)).alias("vendor"), F.array(numbered("p", k % 5)).alias("products"), F.array(numbered("t", k % 7)).alias("tags"))
+    return M.select_templates(rows, allow={"vendor": ["V2"], "products": ["P4"]}, deny={"vendor": ["V1"], "tags": ["T3"]}, exclude_unknown=True).select("template_id", "reason")
+
+
 @query("telemetry_coverage", "SELECT profile, count(*) AS templates, count(*) FILTER (h IN (0, 5) OR (h = 3 AND profile <> 'none') OR (h IN (1, 2) AND profile = 'full')) AS observable FROM tem, (VALUES ('none'), ('combined'), ('full')) p(profile) GROUP BY 1", "tem")
 def _(t):
     profiles = t.spark.createDataFrame([("none", []), ("combined", ["host", "user-agent"]), ("full", ["host", "cookie", "user-agent"])], "profile string, headers array<string>")
@@ -203,7 +211,7 @@ def _stream(t):
     view = f"trailwork_stream_{abs(hash(t.folder))}"
     # As a glob, since a stream's path must be a folder or a glob, and the table may be one file.
     streams.stream_table(t.spark, f"{t.folder}/events.parque[t]", t.read("events").schema).createOrReplaceTempView(view)
-    return t.spark.sql(EVENTS_SPARK.replace("FROM events", f"FROM {view}"))
+    return with_headers(t.spark.sql(EVENTS_SPARK.replace("FROM events", f"FROM {view}")))
 
 
 @query("stream_request_rates", "SELECT CAST(floor(sec / 3600) AS BIGINT) * 3600 AS start, count(*) AS requests FROM e WHERE ts IS NOT NULL GROUP BY 1 HAVING (CAST(floor(any_value(sec) / 3600) AS BIGINT) + 1) * 3600 <= (SELECT max(epoch_us(ts)) / 1000000.0 - 7200 FROM e)")
@@ -211,6 +219,6 @@ def _(t):
     return streams.run_available(streams.stream_request_rates(_stream(t)))
 
 
-@query("stream_match", "SELECT event_id, template_id FROM e JOIN det ON uri_path = d_path AND lower(method) = lower(d_method) AND (d_query IS NULL OR contains(uri_query, d_query))", "e det")
+@query("stream_match", f"SELECT event_id, template_id FROM e JOIN det ON uri_path = d_path AND lower(method) = lower(d_method) AND (d_query IS NULL OR contains(uri_query, d_query)) AND {HEADER} AND {FRAGMENT}", "e det")
 def _(t):
     return streams.run_available(streams.stream_match(_stream(t), t.detections).select("event_id", "template_id"))

@@ -23,7 +23,7 @@ def _(t):
     return C.time_filter_counts(t.events, "2024-01-05", "2024-01-20")
 
 
-@query("field_availability", "SELECT count(*) AS requests, count(ts) AS has_ts, count(source_ip) AS has_source_ip, count(method) AS has_method, count(host) AS has_host, count(uri_path) AS has_uri_path, count(uri_query) AS has_uri_query, count(status) AS has_status, count(response_bytes) AS has_response_bytes, count(user_agent) AS has_user_agent, count(ja4) AS has_ja4, count(waf_action) AS has_waf_action, count(request_id) AS has_request_id FROM e")
+@query("field_availability", "SELECT count(*) AS requests, count(ts) AS has_ts, count(source_ip) AS has_source_ip, count(method) AS has_method, count(host) AS has_host, count(uri_path) AS has_uri_path, count(uri_query) AS has_uri_query, count(status) AS has_status, count(response_bytes) AS has_response_bytes, count(user_agent) AS has_user_agent, count(ja4) AS has_ja4, count(waf_action) AS has_waf_action, count(request_id) AS has_request_id, count(uri_fragment) AS has_uri_fragment, count(*) AS has_headers FROM e")
 def _(t):
     return C.field_availability(t.events)
 

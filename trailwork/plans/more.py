@@ -11,9 +11,9 @@ from trailwork.operators import behaviour as B
 from trailwork.operators import compare as X
 from trailwork.operators import findings as FD
 from trailwork.operators import matching as M
-from trailwork.plans.base import query
+from trailwork.plans.base import CTES, query
 from trailwork.plans.measures import _CLASS
-from trailwork.plans.shapes import _RARE, _probes, _runs, _store
+from trailwork.plans.shapes import _RARE, _probes, _runs, _store, odd_paths
 from trailwork.sources import sinks
 from trailwork.streaming import streams
 
@@ -28,7 +28,7 @@ def _(t):
     return t.events.groupBy(W.waf_outcome(F.col("waf_action")).alias("outcome")).agg(F.count("*").alias("requests"))
 
 
-@query("request_specificity", "SELECT template_id, ordinal, CASE WHEN d_query IS NULL THEN 'response-unverified' ELSE 'request-specific' END AS specificity, count(event_id) AS path_requests FROM det LEFT JOIN e ON uri_path = d_path GROUP BY 1, 2, 3", "e det")
+@query("request_specificity", "SELECT template_id, ordinal, CASE WHEN coalesce(d_query, d_fragment, d_header) IS NULL THEN 'response-unverified' ELSE 'request-specific' END AS specificity, count(event_id) AS path_requests FROM det LEFT JOIN e ON uri_path = d_path GROUP BY 1, 2, 3", "e det")
 def _(t):
     d = t.detections.withColumn("specificity", M.request_specificity(t.detections))
     hits = t.events.groupBy(F.col("uri_path").alias("path")).agg(F.count("*").alias("n"))
@@ -59,9 +59,11 @@ def _(t):
     return M.resolve_client_ip(e, ["10.0.0.0/8"]).select("event_id", "client_ip")
 
 
-@query("unserved_paths", "SELECT DISTINCT source_ip, uri_path FROM e WHERE source_ip IS NOT NULL AND uri_path IS NOT NULL AND uri_path NOT IN (SELECT uri_path FROM e WHERE status BETWEEN 200 AND 299 AND uri_path IS NOT NULL)")
+@query("unserved_paths", "SELECT DISTINCT source_ip, uri_path FROM e WHERE source_ip IS NOT NULL AND uri_path IS NOT NULL AND uri_path NOT IN (SELECT uri_path FROM e WHERE status BETWEEN 200 AND 299 AND uri_path IS NOT NULL AND uri_path NOT LIKE '/%/%1')")
 def _(t):
-    return B.unserved_paths(t.events)
+    # Nobody is served what ends in 1.
+    status = F.when(~F.coalesce(F.col("uri_path").like("/%/%1"), F.lit(False)), F.col("status")).otherwise(404)
+    return B.unserved_paths(t.events.withColumn("status", status))
 
 
 @query("rank_rare_success", f"SELECT path, preceded, successful_sources, requesting_sources FROM ({_RARE}) ORDER BY preceded DESC, successful_sources, requesting_sources, path LIMIT 10", "e listed probes tpl rtpl")
@@ -81,22 +83,55 @@ def _(t):
     return FD.entity_groups(t.findings).select("source_ip", "observations", "templates").orderBy(F.desc("observations"), F.desc("templates"), "source_ip").limit(20)
 
 
-@query("rank_anomaly_sources")
+@query("rank_anomaly_sources", "SELECT source_ip, count(DISTINCT event_id) AS requests_with_features, count(DISTINCT feature) AS features FROM odd WHERE source_ip IS NOT NULL GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 20", "e odd")
 def _(t):
-    odd = F.when(F.col("event_id") % 9 == 0, F.concat("uri_path", F.lit("/%2e%2e/x"))).otherwise(F.col("uri_path"))
-    return B.anomaly_sources(t.events.withColumn("uri_path", odd)).limit(20)
+    return B.anomaly_sources(odd_paths(t)).limit(20)
 
 
-@query("response_size_pairs", "SELECT r.event_id, CASE WHEN (r.response_bytes - c.response_bytes - (length(r.q) - length(c.q))) % 7 <> 0 THEN 'not-fitting' WHEN (r.response_bytes - c.response_bytes - (length(r.q) - length(c.q))) / 7 + 2 < 0 THEN 'negative' WHEN (r.response_bytes - c.response_bytes - (length(r.q) - length(c.q))) / 7 + 2 = 0 THEN 'empty' ELSE 'length' END AS outcome FROM (SELECT *, CASE WHEN event_id % 8 = 0 THEN 'q=repeat(''ab'',7)' ELSE 'q=repeat(name,7)' END AS q FROM e) r JOIN (SELECT host, source_ip, method, uri_path, status, arg_min(response_bytes, k) AS response_bytes, 'q=repeat(''ab'',7)' AS q FROM (SELECT *, row_number() OVER (ORDER BY ts IS NULL, ts, event_id) AS k FROM e WHERE event_id % 8 = 0) GROUP BY 1, 2, 3, 4, 5) c ON r.host IS NOT DISTINCT FROM c.host AND r.source_ip IS NOT DISTINCT FROM c.source_ip AND r.method IS NOT DISTINCT FROM c.method AND r.uri_path IS NOT DISTINCT FROM c.uri_path AND r.status IS NOT DISTINCT FROM c.status WHERE r.event_id % 8 <> 0")
+#: Expressions of event_id % 8 in 0, 1 are constants of 2 or 3 letters; every third event repeats twice, others seven times.
+CTES["sized"] = """sized AS (SELECT *, length(q) AS qlen FROM (SELECT *, CASE WHEN event_id % 3 = 0 THEN 2 ELSE 7 END AS m, CASE WHEN event_id % 8 < 2 THEN CAST(event_id % 8 + 2 AS INT) END AS k, CASE WHEN event_id % 8 < 2 THEN concat('q=repeat(', chr(39), repeat('a', CAST(event_id % 8 + 2 AS INT)), chr(39), ',2)') ELSE 'q=repeat(name,2)' END AS q FROM e)
+    WHERE source_ip IS NOT NULL AND method IS NOT NULL AND uri_path IS NOT NULL AND status IS NOT NULL AND response_bytes IS NOT NULL AND ts IS NOT NULL),
+    ctl AS (SELECT host, source_ip, method, uri_path, status, m, arg_min(event_id, o) AS c_id, arg_min(response_bytes, o) AS c_bytes, arg_min(qlen, o) AS c_len, arg_min(k, o) AS c_k FROM (SELECT *, row_number() OVER (ORDER BY ts, event_id) AS o FROM sized WHERE k IS NOT NULL) GROUP BY ALL),
+    reads AS (SELECT event_id, host, m, response_bytes - c_bytes - (qlen - c_len) AS d, c_k FROM (SELECT s.*, c.c_id, c.c_bytes, c.c_len, c.c_k FROM sized s JOIN ctl c ON s.host IS NOT DISTINCT FROM c.host AND s.source_ip = c.source_ip AND s.method = c.method AND s.uri_path = c.uri_path AND s.status = c.status AND s.m = c.m) WHERE event_id <> c_id),
+    told AS (SELECT event_id, host, m, CASE WHEN d % m <> 0 THEN 'not-fitting' WHEN d // m + c_k < 0 THEN 'negative' WHEN d // m + c_k = 0 THEN 'empty' ELSE 'length' END AS outcome FROM reads)"""
+
+
+def _size_pairs(t):
+    m = F.when(F.col("event_id") % 3 == 0, "2").otherwise("7")
+    constant = F.concat(F.lit("'"), F.repeat(F.lit("a"), (F.col("event_id") % 8 + 2).cast("int")), F.lit("'"))
+    q = F.concat(F.lit("Q=repeat("), F.when(F.col("event_id") % 8 < 2, constant).otherwise("name"), F.lit(","), m, F.lit(")"))
+    return B.response_size_pairs(t.events.withColumn("uri_query", q))
+
+
+@query("response_size_pairs", "SELECT event_id, m AS multiplier, outcome FROM told", "e sized")
+def _(t):
+    return _size_pairs(t).select("event_id", F.col("multiplier").cast("int").alias("multiplier"), "outcome")
+
+
+@query("host_fit", "SELECT host, count(*) FILTER (m = 2 AND outcome <> 'not-fitting') AS fitting, count(*) FILTER (m = 2 AND outcome = 'not-fitting') AS not_fitting, count(*) FILTER (m <> 2) AS parity_unchecked FROM told GROUP BY 1", "e sized")
+def _(t):
+    return B.host_fit(_size_pairs(t))
+
+
+CTES["chars"] = "chars AS (SELECT *, event_id % 12 AS p, concat('select c', CAST(event_id % 3 AS VARCHAR), ' from t') AS expression FROM e WHERE event_id % 12 > 0 AND event_id % 5 > 0 AND response_bytes IS NOT NULL AND status IS NOT NULL AND ts IS NOT NULL AND source_ip IS NOT NULL AND uri_path IS NOT NULL)"
+
+
+def _char_events(t):
+    """One call of various spellings; a fifth of the requests has two calls, which can't be told apart."""
+    k = F.col("event_id")
+    inner = F.concat(F.lit("(SELECT  c"), (k % 3).cast("string"), F.lit(" FROM t)"))
+    call = F.concat(F.when(k % 2 == 0, "ascii( substr(").otherwise("ORD(mid("), inner, F.lit(" , "), (k % 12).cast("string"), F.lit(", 1) )"))
+    return t.events.withColumn("uri_query", F.concat(F.lit("x="), call, F.when(k % 5 == 0, F.concat(F.lit("&y="), call)).otherwise("")))
+
+
+@query("char_position_reads", "SELECT host, expression, count(*) AS reads, count(DISTINCT p) AS positions, max(p) AS last_position, count(DISTINCT source_ip) AS sources, min(sec) AS first_seen, max(sec) AS last_seen FROM chars GROUP BY 1, 2", "e chars")
 def _(t):
-    q = F.when(F.col("event_id") % 8 == 0, "q=repeat('ab',7)").otherwise("q=repeat(name,7)")
-    return B.response_size_pairs(t.events.withColumn("uri_query", q)).select("event_id", "outcome")
+    return B.char_position_reads(_char_events(t))
 
 
-@query("char_position_reads", "SELECT host, expression, count(*) AS reads, count(DISTINCT p) AS positions, max(p) AS last_position, count(DISTINCT source_ip) AS sources, arg_min(response_bytes, k) AS top_size FROM (SELECT a.*, row_number() OVER (PARTITION BY host, expression ORDER BY n DESC, response_bytes) AS k FROM (SELECT *, count(*) OVER (PARTITION BY host, expression, response_bytes) AS n FROM (SELECT host, source_ip, response_bytes, event_id % 12 AS p, concat('c', CAST(event_id % 3 AS VARCHAR)) AS expression FROM e)) a) GROUP BY 1, 2")
+@query("char_position_sizes", "SELECT host, expression, status, response_bytes, n AS requests, rank FROM (SELECT *, row_number() OVER (PARTITION BY host, expression, status ORDER BY n DESC, response_bytes) AS rank FROM (SELECT host, expression, status, response_bytes, count(*) AS n FROM chars GROUP BY 1, 2, 3, 4)) WHERE rank <= 3", "e chars")
 def _(t):
-    q = F.concat(F.lit("x=substr(c"), (F.col("event_id") % 3).cast("string"), F.lit(","), (F.col("event_id") % 12).cast("string"), F.lit(",1)"))
-    return B.char_position_reads(t.events.withColumn("uri_query", q))
+    return B.char_position_sizes(_char_events(t))
 
 
 @query("record_dispositions", "SELECT fd.event_id, fd.template_id FROM fd LEFT JOIN disp ON fd.source_ip = disp.source_ip AND fd.template_id = disp.template_id AND upper(fd.method) = disp.method AND fd.uri_path = disp.uri_path AND fd.uri_query IS NOT DISTINCT FROM disp.uri_query WHERE disposition IS NULL OR disposition <> 'expected'", "e det fd disp")

@@ -136,10 +136,27 @@ def _(t):
     return B.writes_before_read(t.events)
 
 
-@query("request_anomalies")
+#: What is added to the paths of events by event_id % 9, and the features it has.
+ODD = [
+    ("/%2e%2e/x", ["traversal-encoded"]), ("/..%c0%af", ["invalid-utf8", "overlong-traversal", "overlong-utf8"]), ("/%zz", ["invalid-percent-escape"]), ("/../y", ["traversal"]), ("/%252e", ["double-encoding"]),
+    ("/a%00\\b", ["backslash-path", "nul-byte"]), ("/..;/%0a", ["crlf", "path-parameter-traversal"]), ("/caf%c3%a9", []), ("", []),
+]
+CTES["odd"] = "odd AS (SELECT e.*, unnest([" + ", ".join(f"[{', '.join(repr(x) for x in f)}]" if f else "CAST([] AS VARCHAR[])" for _, f in ODD) + "][event_id % 9 + 1]) AS feature FROM e WHERE uri_path IS NOT NULL)"
+
+
+def odd_paths(t):
+    added = F.get(F.array(*[F.lit(x) for x, _ in ODD]), (F.col("event_id") % 9).cast("int"))
+    return t.events.withColumn("uri_path", F.concat("uri_path", added))
+
+
+@query("request_anomalies", "SELECT feature, count(*) AS requests, count(DISTINCT source_ip) AS peers, count(DISTINCT concat(uri_path, CAST(event_id % 9 AS VARCHAR))) AS paths, min(sec) AS first_seen, max(sec) AS last_seen, count(*) FILTER (status BETWEEN 200 AND 299) AS ok FROM odd GROUP BY 1", "e odd")
+def _(t):
+    return B.request_anomalies(odd_paths(t))
+
+
+@query("request_features", "SELECT event_id, feature, 'path' AS part FROM odd", "e odd")
 def _(t):
-    odd = F.when(F.col("event_id") % 9 == 0, F.concat("uri_path", F.lit("/%2e%2e/x"))).when(F.col("event_id") % 9 == 1, F.concat("uri_path", F.lit("/..%c0%af"))).when(F.col("event_id") % 9 == 2, F.concat("uri_path", F.lit("/%zz"))).otherwise(F.col("uri_path"))
-    return B.request_anomalies(t.events.withColumn("uri_path", odd))
+    return B.request_features(odd_paths(t)).select("event_id", "feature", "part")
 
 
 @query("bot_range_check", f"SELECT 'examplebot' AS operator_id, count(*) AS declared, count(*) FILTER (inside) AS inside, count(*) FILTER (NOT inside) AS outside, count(DISTINCT source_ip) AS peers, count(DISTINCT source_ip) FILTER (NOT inside) AS outside_peers, count(*) FILTER (NOT inside) * 1.0 / count(*) AS outside_share FROM (SELECT source_ip, coalesce(num BETWEEN {_range('198.51.2.0/25')[0]} AND {_range('198.51.2.0/25')[1]} OR num BETWEEN {_range('198.51.4.0/24')[0]} AND {_range('198.51.4.0/24')[1]}, false) AS inside FROM e LEFT JOIN ipn ON ip = source_ip WHERE contains(user_agent, 'ExampleBot')) UNION ALL SELECT 'curl', count(*), NULL, NULL, count(DISTINCT source_ip), NULL, NULL FROM e WHERE contains(user_agent, 'curl/')", "e ipn")
@@ -162,10 +179,10 @@ def _halves(df):
     return df.filter("ts < timestamp'2024-01-16'"), df.filter("ts >= timestamp'2024-01-16'")
 
 
-@query("first_seen", f"SELECT source_ip, count(*) AS requests FROM e WHERE {_C} AND source_ip IS NOT NULL AND source_ip NOT IN (SELECT source_ip FROM e WHERE {_B} AND event_id % 50 <> 0 AND source_ip IS NOT NULL AND event_id % 3 = 0) GROUP BY 1")
+@query("first_seen", f"SELECT source_ip, count(*) AS requests FROM e WHERE {_C} AND source_ip IS NOT NULL AND source_ip NOT IN (SELECT source_ip FROM e WHERE {_B} AND source_ip IS NOT NULL AND source_ip LIKE '%7') GROUP BY 1")
 def _(t):
     b, c = _halves(t.events)
-    return X.first_seen(c, b.filter("event_id % 50 <> 0 and event_id % 3 = 0"), "source_ip")
+    return X.first_seen(c, b.filter("source_ip like '%7'").withColumn("source_ip", F.concat(F.lit("::ffff:"), "source_ip")), "source_ip")
 
 
 @query("entity_difference", f"SELECT DISTINCT uri_path FROM e WHERE {_C} AND uri_path IS NOT NULL AND uri_path NOT IN (SELECT uri_path FROM e WHERE {_B} AND uri_path IS NOT NULL AND event_id % 20 = 0)")

@@ -28,9 +28,7 @@ def stream_request_rates(events: DataFrame, width: str = "1 hour", late: str = "
 
 def stream_match(events: DataFrame, detections: DataFrame) -> DataFrame:
     """Stream-static join on the path with its residual conditions; stateless, so a template may match by several ordinals."""
-    d = matching.small(detections.select("template_id", "severity", F.col("method").alias("d_method"), F.col("path").alias("d_path"), F.col("query").alias("d_query")))
-    on = (F.col("uri_path") == F.col("d_path")) & (F.lower("method") == F.lower("d_method")) & F.coalesce(F.col("d_query").isNull() | F.contains(F.col("uri_query"), F.col("d_query")), F.lit(False))
-    return events.join(d, on).drop("d_method", "d_path", "d_query")
+    return matching.detection_hits(events, detections)
 
 
 def stream_observation_store(events: DataFrame, store_path: str, bits: int = 24):
@@ -48,7 +46,10 @@ def shared_folder(spark: SparkSession) -> str:
     """spark.checkpoint.dir where the cluster sets it, else a scratch folder (tests)."""
     import tempfile
 
-    return spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-")
+    found = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not found and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return found or tempfile.mkdtemp(prefix="spark-")
 
 
 def run_available(frame: DataFrame, mode: str = "append") -> DataFrame:
