@@ -33,7 +33,8 @@ def test_detection_rules_of_case(spark):
 def test_ladder_is_monotonic(spark):
     t = Tables(spark, "/root/testdata/sf0.001")
     n = {r.rung: r.events for r in FD.ablation(t.events, t.detections).collect()}
-    assert n["path"] >= n["path_method"] >= n["path_method_query"]
+    counts = [n[r] for r in FD.RUNGS]
+    assert counts == sorted(counts, reverse=True) and counts[0] > counts[1] > counts[2] > counts[3] > counts[4] > 0
 
 
 def test_ordered_sequence_is_whole(spark):
@@ -147,3 +148,35 @@ def test_streamed_lines(spark, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in" / "a.log").write_text('192.0.2.1 - - [10/Oct/2023:13:55:36 +0200] "GET /a HTTP/1.1" 200 12 "-" "x"\n')
     assert streams.run_available(streams.stream_events(spark, str(tmp_path / "in"), parse_combined)).first().uri_path == "/a"
+
+
+def test_header_values_are_compared_without_case_and_by_any_header(spark):
+    headers = "array<struct<name:string,value:string>>"
+    events = spark.createDataFrame([(1, "GET", "/a", None, [("x", "no"), ("X", "YES")]), (2, "GET", "/a", None, [("x", "yes, no")]), (3, "GET", "/a", None, []), (4, "GET", "/a", None, None)], f"event_id long, method string, uri_path string, uri_query string, headers {headers}").withColumn("waf_action", F.lit("ALLOW"))
+    detections = spark.createDataFrame([("t", 1, ["CVE-2024-1"], "get", "/a", None, [("X", "yes")]), ("none", 2, ["CVE-2024-2"], "get", "/a", None, None)], f"template_id string, ordinal int, cves array<string>, method string, path string, query string, headers {headers}")
+    got = {(r.event_id, r.template_id, r.specificity) for r in M.match_detections(events, detections).collect()}
+    assert got == {(1, "t", "request-specific"), *((i, "none", "response-unverified") for i in (1, 2, 3, 4))}
+    holds = M.condition({"kind": "header_contains", "name": "X", "value": "YES"}, events.columns)
+    assert [r.event_id for r in events.filter(holds).collect()] == [1]
+
+
+def test_indicators_of_addresses_and_urls(spark):
+    events = spark.createDataFrame([(1, "::ffff:192.0.2.1", "www.example.org", "/a"), (2, "2001:db8::5", "WWW.Example.org.:8443", "/a"), (3, "192.0.2.77", "www.example.org:443", "/"), (4, None, None, None), (5, "host.example", "[2001:db8::1]:80", "/b")], "event_id long, source_ip string, host string, uri_path string")
+    rows = [(1, "ip", "192.0.2.1"), (2, "cidr", "2001:db8::/32"), (3, "url", "https://www.example.org/a"), (4, "url", "http://www.example.org:8443/a"), (5, "url", "https://www.example.org"), (6, "host", "www.example.org"), (7, "cidr", "192.0.2.0/24"), (8, "url", "ftp://www.example.org/a"), (9, "url", "http://[2001:DB8::1]/b")]
+    found = M.match_indicators(events, spark.createDataFrame(rows, "indicator_id long, type string, value string")).collect()
+    assert {(r.event_id, r.indicator_id, *r.fields) for r in found} == {(1, 1, "source_ip"), (1, 7, "source_ip"), (3, 7, "source_ip"), (2, 2, "source_ip"), (1, 3, "url"), (2, 4, "url"), (3, 5, "url"), (1, 6, "host"), (2, 6, "host"), (3, 6, "host"), (5, 9, "url")}
+
+
+def test_client_behind_proxies_of_both_families(spark):
+    header = lambda v: [("X-Forwarded-For", v)]
+    rows = [(1, "10.0.0.9", header("192.0.2.1, 2001:DB8::1, 10.0.0.7")), (2, "2001:db8:ffff::1", header("192.0.2.5")), (3, "192.0.2.9", header("192.0.2.5")), (4, "10.0.0.9", header("unknown, 192.0.2.5")), (5, "10.0.0.9", header("10.0.0.1"))]
+    events = spark.createDataFrame(rows, "event_id long, source_ip string, headers array<struct<name:string,value:string>>")
+    got = {r.event_id: r.client_ip for r in M.resolve_client_ip(events, ["10.0.0.0/8", "2001:db8:ffff::/48"]).collect()}
+    assert got == {1: "2001:db8::1", 2: "192.0.2.5", 3: None, 4: None, 5: None}
+
+
+def test_dispositions_stay_in_their_corpus(spark):
+    schema = "source_ip string, template_id string, method string, uri_path string, uri_query string, corpus_scope string"
+    findings = spark.createDataFrame([("a", "t", "GET", "/", None, "one"), ("a", "t", "GET", "/", None, "two")], schema)
+    store = spark.createDataFrame([("a", "t", "get", "/", None, "one", "expected", 1, None)], schema + ", disposition string, recorded_at long, review_after timestamp")
+    assert {r.corpus_scope: r.disposition for r in X.apply_dispositions(findings, store).collect()} == {"one": "expected", "two": None}
