@@ -22,7 +22,7 @@ from trailwork.llm.common import materialize
 SHINGLE = 5
 BITS, BLOCKS = 64, 8
 #: As the members of the sets are all different, bits differ independently: with a probability of 0.161 at most at similarity
-#: 0.8 (0.188 where a text is a word shorter than an item of nine), so more than 27 of 64 differ once in millions of such pairs.
+#: 0.8 (0.188 where a text is a word shorter than an item of nine), so more than 27 of 64 differ in four of a million such pairs at most.
 RADIUS = 27
 #: The shingles of the benchmark, and the texts found, are broadcast up to this many, else joined by a shuffle.
 MOST_BROADCAST = 2_000_000
