@@ -12,7 +12,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from trailwork.llm import chat, components, decontamination, hmm, jaccard, language, mixing, quality, sharding, tokens, toxicity
+from trailwork.llm import chat, common, components, decontamination, hmm, jaccard, language, mixing, quality, sharding, tokens, toxicity
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -485,6 +485,27 @@ def test_language(spark):
     assert language.language_report(documents(spark, texts, [None] * 64)).select("lang_pred").distinct().collect()[0][0] == "und"
 
 
+def test_long_texts_are_parsed_in_pieces():
+    rng = random.Random(9)
+    sample = "".join(rng.choice("abc ") for _ in range(400))
+    model = language.Model({"x": language.clean(sample), "y": "ab"})
+    text = language.clean("".join(rng.choice("abc ") for _ in range(2 * language.PIECE + 300)))
+    codes = model.encode(text)
+    pieces = [codes[i : i + language.PIECE] for i in range(0, len(codes), language.PIECE)]
+    assert len(pieces) == 3 and model.phrases([codes])[0].tolist() == model.phrases(pieces).sum(0).tolist()
+
+
+def test_uneven_samples_are_normalised():
+    rng = random.Random(2)
+    words_ = ["".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randrange(2, 8))) for _ in range(600)]
+    first, second = words_[:400], words_[:200] + words_[400:]
+    make = lambda vocabulary, n: " ".join(rng.choice(vocabulary) for _ in range(n))
+    model = language.Model({"a": make(first, 6000)[:24_000], "b": make(second, 600)[:1_500]})
+    for k, vocabulary in enumerate((first, second)):
+        relative = model.phrases([model.encode(make(vocabulary, 80)) for _ in range(100)]) / model.own
+        assert (relative.argmin(1) == k).mean() >= 0.85
+
+
 # token counts
 
 
@@ -648,3 +669,36 @@ def test_toxicity_catches_unseen_misspellings(spark):
     wrong = np.mean([rows[i].predicted for i in new if i % 4])
     assert caught >= 0.8 and wrong <= 0.1
     assert toxicity.toxicity_report(docs, labels.limit(0)).filter("score != 0.5").count() == 0
+
+
+@pytest.mark.parametrize("size", [1, 7, 64, 1 << 20])
+def test_blocks_hold_every_word(size):
+    texts = [None, "", " \n", "a bb  ccc", "é" * 50, "x" * 500 + " y", *sample_texts(3, 12), "w " * 300]
+    found = defaultdict(list)
+    for data, borders, rows in common.text_blocks(pa.array(texts), size):
+        starts, ends = common.word_spans(data, borders)
+        for a, b in zip(starts.tolist(), ends.tolist(), strict=True):
+            found[int(rows[np.searchsorted(borders, a, side="right") - 1])].append(data[a:b].tobytes().decode())
+    assert {i: found[i] for i in found} == {i: w for i, t in enumerate(texts) if (w := WORD.findall(t or ""))}
+
+
+def test_subwords_and_gains_equal_one_word_at_a_time():
+    rng = random.Random(4)
+    vocabulary = ["a", "ab", "grumble", "é", "x" * 3000, *["".join(rng.choice("abcé") for _ in range(rng.randrange(1, 12))) for _ in range(100)]]
+    ids, owner = toxicity.subwords(vocabulary)
+    for i, w in enumerate(vocabulary):
+        alone, _ = toxicity.subwords([w])
+        assert sorted(ids[owner == i]) == sorted(alone) and len(alone) == 1 + sum(max(0, len(w) + 3 - n) for n in (3, 4, 5))
+    gain = np.random.default_rng(1).normal(size=toxicity.BUCKETS)
+    gains, hashes = toxicity.Gains(gain), np.arange(len(vocabulary), dtype=np.uint64) % 60
+    for _ in range(2):  # the second time from what is kept
+        got = gains.of(hashes, lambda i: vocabulary[i % 60])
+        assert np.allclose(got, [(gain[toxicity.subwords([vocabulary[i % 60]])[0]].sum(), len(toxicity.subwords([vocabulary[i % 60]])[0])) for i in range(len(vocabulary))])
+
+
+def test_empty_tables_of_the_classifiers(spark):
+    docs = documents(spark, ["der hund", "the dog"], ["de", "en"])
+    labels = spark.createDataFrame([(0, 1, 1), (1, 1, 0), (0, 1, 1)], "doc_id long, quality int, toxic int")
+    assert language.language_report(docs.limit(0)).count() == 0 and toxicity.toxicity_report(docs.limit(0), labels).count() == 0
+    twice = toxicity.toxicity_report(docs.unionByName(docs), labels).collect()
+    assert len(twice) == 4 and len({(r.doc_id, r.score) for r in twice}) == 2
