@@ -99,32 +99,75 @@ def identifiers(events: DataFrame, exclude: list[str] = ()) -> DataFrame:
     return in_path.unionByName(first.select(*keep, F.concat(F.lit("query:"), F.col("name")).alias("position"), "value"))
 
 
-def identifier_access(events: DataFrame) -> DataFrame:
-    """Per (peer, method, host, template, position): requests, distinct ids, ids with content, rejection or only a redirect, adjacency."""
-    rows = identifiers(events)
-    key = ["source_ip", "method", "host", "template", "position"]
-    s = F.col("status")
-    ids = rows.groupBy(*key, "value").agg(F.count("*").alias("n"), F.max(s.between(200, 299).cast("int")).alias("content"), F.max(s.between(400, 599).cast("int")).alias("rejected"), F.max((s.between(100, 199) | s.between(300, 399)).cast("int")).alias("redirect"))
-    one = lambda c: F.coalesce(F.col(c), F.lit(0)) == 1
-    per = ids.groupBy(*key).agg(F.sum("n").alias("requests"), F.count("*").alias("ids"), F.count_if(one("content")).alias("content_ids"), F.count_if(one("rejected")).alias("rejected_ids"), F.count_if(one("redirect") & ~one("content") & ~one("rejected")).alias("redirect_only_ids"), F.max("n").alias("max_per_id"))
-    pairs = consecutive_ids(events)
-    same = [per[c].eqNullSafe(pairs[c]) for c in key]
-    on = same[0]
-    for c in same[1:]:
-        on &= c
-    return per.join(pairs, on, "left").select(*[per[c] for c in per.columns], *[F.coalesce(pairs[c], F.lit(0)).cast("long").alias(c) for c in ("pairs", "numeric_pairs", "adjacent_pairs", "prefix_pairs")])
+ENTRY = ["source_ip", "method", "host", "template", "position"]
+PAIRS = ("pairs", "numeric_pairs", "adjacent_pairs", "prefix_pairs")
+
+
+def _unsigned(name: str) -> Column:
+    """The digits of a column as a number; NULL beyond 64 bits without a sign."""
+    n = F.when(F.col(name).rlike("^[0-9]{1,20}$"), F.col(name)).try_cast("decimal(20,0)")
+    return F.when(n <= F.lit("18446744073709551615").cast("decimal(20,0)"), n)
+
+
+def _with_pairs(rows: DataFrame) -> DataFrame:
+    """What each identifier is to the one before it in the physical order of its entry: 0 or 1 in each column of PAIRS."""
+    before = F.lag("value").over(Window.partitionBy(*ENTRY).orderBy("event_id"))
+    gap = F.abs(_unsigned("before") - _unsigned("value"))
+    extends = (F.col("before") != F.col("value")) & (F.col("before").startswith(F.col("value")) | F.col("value").startswith(F.col("before")))
+    told = (F.col("before").isNotNull(), gap.isNotNull(), gap.between(1, 2), extends)
+    return rows.withColumn("before", before).withColumns({c: F.coalesce(t, F.lit(False)).cast("int") for c, t in zip(PAIRS, told)})
 
 
 def consecutive_ids(events: DataFrame) -> DataFrame:
     """In physical order within an entry: pairs, numeric pairs, pairs 1 or 2 apart, pairs where one extends the other."""
-    rows = identifiers(events)
-    key = ["source_ip", "method", "host", "template", "position"]
-    before = F.lag("value").over(Window.partitionBy(*key).orderBy("event_id"))
-    number = lambda c: F.try_to_number(F.when(F.length(c) <= 18, F.col(c)), F.lit("9" * 18)).cast("long")
-    rows = rows.withColumn("before", before).filter("before is not null").withColumns({"a": number("before"), "b": number("value")})
-    gap = F.abs(F.col("a") - F.col("b"))
-    extends = (F.col("before") != F.col("value")) & (F.col("before").startswith(F.col("value")) | F.col("value").startswith(F.col("before")))
-    return rows.groupBy(*key).agg(F.count("*").alias("pairs"), F.count(gap).alias("numeric_pairs"), F.count_if(gap.between(1, 2)).alias("adjacent_pairs"), F.count_if(extends).alias("prefix_pairs"))
+    return _with_pairs(identifiers(events)).groupBy(*ENTRY).agg(*[F.sum(c).alias(c) for c in PAIRS]).filter("pairs > 0")
+
+
+def identifier_access(events: DataFrame, min_ids: int = 1) -> DataFrame:
+    """Per (peer, method, host, template, position) how its identifiers were answered; requests without peer or method are left out.
+
+    An entry's dominant size is the 2xx size that most of its identifiers got, two at least, the smallest of equals. Content
+    is a 2xx of another size; an identifier without content was rejected if it got a 2xx or 400 to 599, and is redirect-only
+    if it got 100 to 399 and nothing else. Content seen twice repeats, in one size only it is stable. Where a 2xx has no
+    size, or no request of the entry a status, these counts are NULL. The timestamp share is the part of numeric requests
+    whose identifier, as seconds or milliseconds, lies within a day of the entry's times.
+
+    One shuffle by entry serves the pairs, the sizes and both aggregates.
+    """
+    s, entry = F.col("status"), Window.partitionBy(*ENTRY)
+    ok = s.between(200, 299)
+    rows = _with_pairs(identifiers(events.filter("source_ip is not null and method is not null")))
+    got = {"answered": ok | s.between(400, 599), "redirected": s.between(100, 199) | s.between(300, 399), "odd": ~s.between(100, 599)}
+    by_size = rows.withColumn("size", F.when(ok, F.col("response_bytes"))).groupBy(*ENTRY, "value", "size").agg(
+        F.count("*").alias("n"), *[F.bool_or(F.coalesce(c, F.lit(False))).alias(k) for k, c in got.items()], F.count("status").alias("known"),
+        F.count_if(ok & F.col("response_bytes").isNull()).alias("unsized"), F.min("ts").alias("first"), F.max("ts").alias("last"), *[F.sum(c).alias(c) for c in PAIRS],
+    )
+    by_size = by_size.withColumn("holders", F.count("size").over(Window.partitionBy(*ENTRY, "size")))
+    by_size = by_size.withColumns({"unsized": F.sum("unsized").over(entry), "most": F.min(F.when(F.col("holders") >= 2, F.struct(-F.col("holders"), "size"))).over(entry), "first": F.min("first").over(entry), "last": F.max("last").over(entry)})
+    dominant = F.when(F.col("unsized") == 0, F.col("most")["size"])
+    content = F.col("size").isNotNull() & ~F.col("size").eqNullSafe(dominant)
+    same = ("unsized", "first", "last")
+    ids = by_size.groupBy(*ENTRY, "value").agg(
+        F.sum("n").alias("n"), F.count_if(content).alias("sizes"), F.sum(F.when(content, F.col("n"))).alias("content_n"), *[F.bool_or(k).alias(k) for k in got],
+        F.sum("known").alias("known"), F.max(dominant).alias("dominant"), *[F.max(c).alias(c) for c in same], *[F.sum(c).alias(c) for c in PAIRS],
+    )
+    has, number = F.col("sizes") > 0, F.when(F.col("value").rlike("^[0-9]{1,20}$"), F.col("value")).cast("decimal(24,0)")
+    day = 86_400_000
+    near = lambda v: v.between(F.unix_millis("first") - day, F.unix_millis("last") + day)
+    repeats = has & (F.col("content_n") >= 2)
+    per = ids.groupBy(*ENTRY).agg(
+        F.sum("n").alias("requests"), F.count("*").alias("ids"), F.count_if(has).alias("content_ids"), F.count_if(~has & F.col("answered")).alias("rejected_ids"),
+        F.count_if(~has & ~F.col("answered") & F.col("redirected") & ~F.col("odd")).alias("redirect_only_ids"), F.count_if(repeats).alias("repeated_ids"), F.count_if(repeats & (F.col("sizes") == 1)).alias("stable_ids"),
+        F.max("dominant").alias("dominant_bytes"), F.sum(F.when(number.isNotNull(), F.col("n"))).alias("numeric"), F.sum(F.when(near(number) | near(number * 1000), F.col("n")).otherwise(0)).alias("timely"),
+        F.sum("known").alias("known"), *[F.max(c).alias(c) for c in same], *[F.sum(c).alias(c) for c in PAIRS],
+    )
+    measured = (F.col("unsized") == 0) & (F.col("known") > 0)
+    counts = [F.when(measured, F.col(c)).alias(c) for c in ("content_ids", "rejected_ids", "redirect_only_ids", "repeated_ids", "stable_ids")]
+    answered = F.col("content_ids") + F.col("rejected_ids")
+    return per.filter(F.col("ids") >= min_ids).select(
+        *ENTRY, "requests", "ids", *counts, F.when(measured & (answered > 0), F.col("rejected_ids") / answered).alias("rejected_share"), "dominant_bytes", F.col("unsized").alias("ok_without_bytes"),
+        F.when(F.col("first").isNotNull() & (F.col("numeric") > 0), F.col("timely") / F.col("numeric")).alias("timestamp_share"), *PAIRS, W.epoch(F.col("first")).alias("first_seen"), W.epoch(F.col("last")).alias("last_seen"),
+    )
 
 
 def writes_before_read(events: DataFrame, writes: tuple[str, ...] = ("POST", "PUT", "PATCH", "DELETE")) -> DataFrame:

@@ -179,24 +179,49 @@ def status_minute_series(events: DataFrame) -> DataFrame:
     return events.filter("ts is not null").groupBy(W.bucket(F.col("ts"), 60).alias("minute"), W.status_class(F.col("status")).alias("class")).agg(F.count("*").alias("requests"))
 
 
-STACK_FIELDS = ("method", "host", "uri_path", "uri_query", "query_key", "extension", "first_segment", "depth", "status", "user_agent", "ja4", "waf_action", "source_ip", "referer", "country")
+#: The fields that can be stacked.
+STACK_FIELDS = ("content-type", "country", "header-name", "host", "ja3", "ja4", "method", "path-depth", "path-extension", "protocol", "query-key", "status", "tls-cipher", "tls-protocol", "user-agent")
 
 
-def stack_long(events: DataFrame) -> DataFrame:
-    """(field, value) of every request in long form; a key that a request repeats counts once."""
-    have = set(events.columns)
-    named = [(c, F.col(c).cast("string")) for c in ("method", "host", "uri_path", "uri_query", "status", "user_agent", "ja4", "waf_action", "source_ip", "referer", "country") if c in have]
+def _stack_values(field: str, have: set[str]) -> Column | None:
+    """The values of a field in one request as an array, or None where no column of the events can hold it."""
     path = F.col("uri_path")
-    named += [("extension", W.extension(path)), ("first_segment", W.first_segment(path)), ("depth", W.path_depth(path).cast("string"))]
-    single = F.array(*[F.struct(F.lit(n).alias("field"), v.alias("value")) for n, v in named])
-    keys = F.transform(F.array_distinct(W.query_keys(F.col("uri_query"))), lambda k: F.struct(F.lit("query_key").alias("field"), k.alias("value")))
-    return events.select("source_ip", "ts", "status", F.explode(F.concat(single, keys)).alias("x")).select("source_ip", "ts", "status", "x.field", "x.value").filter("value is not null")
+    header = lambda test, value: F.transform(F.filter(F.coalesce("headers", F.array()), test), value)
+    if field == "path-depth":
+        return F.array(F.when(path != "", W.path_depth(path).cast("string")))
+    if field == "path-extension":
+        found = F.regexp_extract(W.last_segment(path), r"(?s)^.+\.([^.]+)$", 1)
+        return F.array(F.when(path != "", F.when(found == "", "(none)").otherwise(F.lower(found))))
+    if field == "query-key":
+        return W.query_keys(F.col("uri_query")) if "uri_query" in have else None
+    if field == "header-name":
+        return header(lambda h: F.lit(True), lambda h: F.lower(h["name"])) if "headers" in have else None
+    column = field.replace("-", "_")
+    found = [F.array(F.col(column).cast("string"))] if column in have else []
+    if field == "content-type" and "headers" in have:
+        found.append(header(lambda h: F.lower(h["name"]) == field, lambda h: h["value"]))
+    return F.concat(*found) if found else None
+
+
+def _named(field: str, values: Column) -> Column:
+    return F.transform(values, lambda v: F.struct(F.lit(field).alias("field"), v.alias("value")))
+
+
+def stack_long(events: DataFrame, fields: tuple[str, ...] = STACK_FIELDS) -> DataFrame:
+    """(field, value) of every request in long form; a value that a request repeats counts once, empty values and a dash not at all."""
+    have = set(events.columns)
+    made = {f: v for f in fields if (v := _stack_values(f, have)) is not None}
+    recorded = lambda values: F.filter(F.array_distinct(F.coalesce(values, F.array())), lambda v: v.isNotNull() & ~v.isin("", "-"))
+    pairs = F.concat(*[_named(f, recorded(v)) for f, v in made.items()])
+    keep = [c for c in ("source_ip", "client_ip", "ts", "status") if c in have]
+    return events.select(*keep, F.explode(pairs).alias("x")).select(*keep, "x.field", "x.value")
 
 
-def stack(events: DataFrame) -> DataFrame:
-    """Per field value: requests, distinct peers, first and last seen (epoch seconds), undated, successes."""
-    at = W.epoch(F.col("ts"))
-    return stack_long(events).groupBy("field", "value").agg(F.count("*").alias("requests"), F.countDistinct("source_ip").alias("peers"), F.min(at).alias("first_seen"), F.max(at).alias("last_seen"), F.count_if(F.col("ts").isNull()).alias("undated"), F.count_if(F.col("status").between(200, 299)).alias("ok"))
+def stack(events: DataFrame, fields: tuple[str, ...] = STACK_FIELDS) -> DataFrame:
+    """Per field value: requests, distinct peers (and clients, where resolved), first and last seen (epoch seconds), undated, status classes."""
+    at, rows = W.epoch(F.col("ts")), stack_long(events, fields)
+    clients = [F.countDistinct("client_ip").alias("clients")] if "client_ip" in rows.columns else []
+    return rows.groupBy("field", "value").agg(F.count("*").alias("requests"), F.countDistinct("source_ip").alias("peers"), *clients, F.count_if(F.col("source_ip").isNull()).alias("without_peer"), F.min(at).alias("first_seen"), F.max(at).alias("last_seen"), F.count_if(F.col("ts").isNull()).alias("undated"), *_class_counts())
 
 
 def stack_histogram(events: DataFrame) -> DataFrame:
@@ -217,6 +242,28 @@ def waf_summary(events: DataFrame) -> DataFrame:
     return events.groupBy(W.waf_action_name(F.col("waf_action")).alias("action")).agg(F.count("*").alias("requests"), F.countDistinct("source_ip").alias("peers"), F.countDistinct("ja4").alias("fingerprints"))
 
 
+#: The value counts kept beside the firewall's actions, and the columns that hold them.
+WAF_VALUES = {"ja3": "ja3", "ja4": "ja4", "label": "waf_labels", "country": "country"}
+
+
+def waf_values(events: DataFrame, key: str | None = None) -> DataFrame:
+    """Requests by value of fingerprints, labels and countries, of the corpus or of each key; the value is NULL for requests that have none."""
+    have = set(events.columns)
+    several = {f for f, c in WAF_VALUES.items() if c in have and events.schema[c].dataType.typeName() == "array"}
+    lists = {f: F.when(F.size(c) > 0, F.col(c)).otherwise(F.array(F.lit(None).cast("string"))) if f in several else F.array(F.col(c)) for f, c in WAF_VALUES.items() if c in have}
+    pairs = F.concat(*[_named(f, v) for f, v in lists.items()])
+    by = [key] if key else []
+    rows = events.filter(F.col(key).isNotNull()) if key else events
+    return rows.select(*by, F.explode(pairs).alias("x")).groupBy(*by, F.col("x.field").alias("field"), F.col("x.value").alias("value")).agg(F.count("*").alias("requests"))
+
+
+def waf_value_summary(events: DataFrame, key: str | None = None) -> DataFrame:
+    """Per field (and key): distinct values, their occurrences, and observations without a value."""
+    there = F.col("value").isNotNull()
+    n = lambda test: F.coalesce(F.sum(F.when(test, F.col("requests"))), F.lit(0))
+    return waf_values(events, key).groupBy(*([key] if key else []), "field").agg(F.count("value").alias("values"), n(there).alias("occurrences"), n(~there).alias("without_value"))
+
+
 def ja4_sources(events: DataFrame) -> DataFrame:
     return events.filter("ja4 is not null").groupBy("ja4").agg(F.count("*").alias("requests"), F.countDistinct("source_ip").alias("peers"))
 

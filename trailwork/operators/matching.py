@@ -60,15 +60,16 @@ def filter_findings(findings: DataFrame, outcome: str | None = None, include_gen
 
 
 def selection_predicate(selection: dict, columns: list[str]) -> Column:
-    """All fields of a selection; a field's values are OR-ed, or AND-ed with all; compares without ASCII case. No field: keywords."""
+    """All fields of a selection; a field's values are OR-ed, or AND-ed with all; compares without ASCII case. Of keywords, any."""
     lowered = lambda c: F.lower(c)
     parts = []
     for field in selection.get("fields", []):
         value = lowered(W.field_value(field["field"], columns))
         tests = [value.contains(v.lower()) if field.get("contains") else value == v.lower() for v in field["values"]]
         parts.append(reduce(lambda a, b: a & b if field.get("all") else a | b, tests))
-    for word in selection.get("keywords", []):
-        parts.append(lowered(W.keyword_text(columns)).contains(word.lower()))
+    words = [lowered(W.keyword_text(columns)).contains(w.lower()) for w in selection.get("keywords", [])]
+    if words:
+        parts.append(reduce(lambda a, b: a | b, words))
     return F.coalesce(reduce(lambda a, b: a & b, parts), F.lit(False)) if parts else F.lit(False)
 
 
@@ -79,9 +80,30 @@ def rule_predicate(rule: dict, columns: list[str]) -> Column:
     return reduce(lambda a, b: a | b, clauses)
 
 
+def source_predicate(logsource: dict, source: Column) -> Column:
+    """Whether a rule's log source (category, product, service, each optional, compared without case) is that of a request.
+
+    Every category but webserver holds for none. A service counts for the AWS sources only.
+    """
+    want = {k: v.lower() for k, v in logsource.items() if v is not None}
+    if want.get("category", "webserver") != "webserver":
+        return F.lit(False)
+    product, service = want.get("product"), want.get("service")
+    aws = source.startswith("aws-") if product in (None, "aws") else F.lit(False)
+    if service is not None:
+        aws = aws & (source == f"aws-{service}")
+    nginx = source.startswith("nginx") if product in (None, "nginx") else F.lit(False)
+    apache = source.startswith("apache") if product in (None, "apache", "apache_httpd") else F.lit(False)
+    return F.coalesce(aws | nginx | apache, F.lit(False))
+
+
 def match_rules(events: DataFrame, rules: list[dict]) -> DataFrame:
-    """One row for each (event, rule): every rule's predicate is one Boolean of the same projection, then the ids that hold are exploded."""
-    holds = [F.when(rule_predicate(r, events.columns), F.lit(r["rule_id"])) for r in rules]
+    """One row for each (event, rule): every rule's predicate is one Boolean of the same projection, then the ids that hold are exploded.
+
+    Where the events tell their log source, a rule that names one is tried on its requests only.
+    """
+    gated = "log_source" in events.columns
+    holds = [F.when((source_predicate(r["logsource"], F.col("log_source")) if gated and r.get("logsource") else F.lit(True)) & rule_predicate(r, events.columns), F.lit(r["rule_id"])) for r in rules]
     meta = F.create_map(*[x for r in rules for x in (F.lit(r["rule_id"]), F.lit(r.get("level", "unknown")))])
     ids = events.withColumn("rule_ids", F.array_compact(F.array(*holds))).filter(F.size("rule_ids") > 0)
     return ids.withColumn("rule_id", F.explode("rule_ids")).drop("rule_ids").withColumn("level", meta[F.col("rule_id")])

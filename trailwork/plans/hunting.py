@@ -90,6 +90,21 @@ _HITS = """hits AS (SELECT event_id, indicator_id, 'source_ip' AS field FROM e J
 CTES["hits"] = _HITS
 
 
+#: Rules that name a log source, over requests of three.
+SOURCED = [
+    {"rule_id": "waf-only", "logsource": {"category": "WebServer", "product": "aws", "service": "WAF"}, "selections": [{"name": "p", "fields": [{"field": "uri_path", "values": ["/.env"]}]}], "condition": [[("p", False)]]},
+    {"rule_id": "apache", "logsource": {"product": "apache_httpd", "service": "any"}, "selections": [{"name": "k", "keywords": ["head", "shop"]}], "condition": [[("k", False)]]},
+    {"rule_id": "proxy", "logsource": {"category": "proxy"}, "selections": [{"name": "p", "fields": [{"field": "uri_path", "values": ["/.env"]}]}], "condition": [[("p", False)]]},
+    {"rule_id": "anywhere", "logsource": {"category": "webserver"}, "selections": [{"name": "p", "fields": [{"field": "uri_path", "values": ["/login"]}]}], "condition": [[("p", False)]]},
+]
+
+
+@query("match_rules_by_source", "SELECT event_id, 'waf-only' AS rule_id FROM e WHERE event_id % 3 = 0 AND uri_path = '/.env' UNION ALL SELECT event_id, 'apache' FROM e WHERE event_id % 3 = 1 AND (method = 'HEAD' OR coalesce(contains(host, 'shop'), false)) UNION ALL SELECT event_id, 'anywhere' FROM e WHERE uri_path = '/login'")
+def _(t):
+    source = F.element_at(F.array(*map(F.lit, ("aws-waf", "apache-combined", "aws-alb"))), (F.col("event_id") % 3 + 1).cast("int"))
+    return M.match_rules(t.events.withColumn("log_source", source), SOURCED).select("event_id", "rule_id")
+
+
 @query("match_indicators", "SELECT event_id, indicator_id, string_agg(field, ';' ORDER BY field) AS fields FROM hits GROUP BY 1, 2", "e ipn ind hits")
 def _(t):
     return M.match_indicators(t.events, t.indicators).select("event_id", "indicator_id", F.array_join("fields", ";").alias("fields"))

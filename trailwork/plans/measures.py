@@ -134,9 +134,9 @@ def _(t):
 
 
 _LONG = """long AS (SELECT source_ip, ts, sec, status, field, value FROM (
-    SELECT *, unnest(['method','host','uri_path','uri_query','status','user_agent','ja4','waf_action','source_ip','extension','first_segment','depth','query_key']) AS field,
-      unnest([method, host, uri_path, uri_query, CAST(status AS VARCHAR), user_agent, ja4, waf_action, source_ip, nullif(lower(regexp_extract(split_part(uri_path, '/', -1), '\\.([A-Za-z0-9]{1,10})$', 1)), ''), concat('/', nullif(split_part(uri_path, '/', 2), '')), CAST(len([x for x in string_split(uri_path, '/') if x <> '']) AS VARCHAR), nullif(split_part(uri_query, '=', 1), '')]) AS value FROM e) WHERE value IS NOT NULL AND (field <> 'first_segment' OR uri_path IS NOT NULL))"""
-_STACK = "SELECT field, value, count(*) AS requests, count(DISTINCT source_ip) AS peers, min(sec) AS first_seen, max(sec) AS last_seen, count(*) FILTER (ts IS NULL) AS undated, count(*) FILTER (status BETWEEN 200 AND 299) AS ok FROM long GROUP BY 1, 2"
+    SELECT *, unnest(['method','host','status','user-agent','ja4','path-extension','path-depth','query-key','header-name']) AS field,
+      unnest([method, host, CAST(status AS VARCHAR), user_agent, ja4, CASE WHEN regexp_matches(split_part(uri_path, '/', -1), '^.+[.][^.]+$') THEN lower(split_part(uri_path, '.', -1)) WHEN uri_path IS NOT NULL THEN '(none)' END, CAST(len([x for x in string_split(uri_path, '/') if x <> '']) AS VARCHAR), nullif(split_part(uri_query, '=', 1), ''), CASE WHEN h1 IS NOT NULL OR h2 IS NOT NULL THEN 'x-debug' END]) AS value FROM e) WHERE value IS NOT NULL)"""
+_STACK = f"SELECT field, value, count(*) AS requests, count(DISTINCT source_ip) AS peers, count(*) FILTER (source_ip IS NULL) AS without_peer, min(sec) AS first_seen, max(sec) AS last_seen, count(*) FILTER (ts IS NULL) AS undated, {_COUNTS} FROM long GROUP BY 1, 2"
 from trailwork.plans.base import CTES  # noqa: E402
 
 CTES["long"] = _LONG
@@ -167,6 +167,26 @@ def _(t):
     return C.waf_summary(t.events)
 
 
+CTES["waf_long"] = """waf_long AS (SELECT source_ip, unnest(['ja4', 'country']) AS field, unnest([ja4, CASE event_id % 3 WHEN 0 THEN 'NL' WHEN 1 THEN 'JP' END]) AS value FROM e
+    UNION ALL SELECT source_ip, 'label', unnest(CASE event_id % 4 WHEN 0 THEN ['bot', 'scanner'] WHEN 1 THEN ['bot'] ELSE [NULL] END) FROM e)"""
+
+
+def _labelled(t):
+    k = F.col("event_id")
+    labels = F.when(k % 4 == 0, F.array(F.lit("bot"), F.lit("scanner"))).when(k % 4 == 1, F.array(F.lit("bot"))).when(k % 4 == 2, F.array().cast("array<string>"))
+    return t.events.withColumns({"country": F.when(k % 3 == 0, "NL").when(k % 3 == 1, "JP"), "waf_labels": labels})
+
+
+@query("waf_values", "SELECT field, value, count(*) AS requests FROM waf_long GROUP BY 1, 2", "e waf_long")
+def _(t):
+    return C.waf_values(_labelled(t))
+
+
+@query("waf_value_summary", "SELECT source_ip, field, count(DISTINCT value) AS values, count(value) AS occurrences, count(*) FILTER (value IS NULL) AS without_value FROM waf_long WHERE source_ip IS NOT NULL GROUP BY 1, 2", "e waf_long")
+def _(t):
+    return C.waf_value_summary(_labelled(t), "source_ip")
+
+
 @query("ja4_sources", "SELECT ja4, count(*) AS requests, count(DISTINCT source_ip) AS peers FROM e WHERE ja4 IS NOT NULL GROUP BY 1")
 def _(t):
     return C.ja4_sources(t.events)

@@ -13,7 +13,7 @@ from trailwork.operators import findings as FD
 from trailwork.operators import matching as M
 from trailwork.plans.base import CTES, query
 from trailwork.plans.measures import _CLASS
-from trailwork.plans.shapes import _RARE, _probes, _runs, _store, odd_paths
+from trailwork.plans.shapes import _RARE, _probes, _runs, _store, entries, odd_paths
 from trailwork.sources import sinks
 from trailwork.streaming import streams
 
@@ -72,10 +72,10 @@ def _(t):
     return rows.select("path", "preceded", "successful_sources", "requesting_sources").orderBy(F.desc("preceded"), "successful_sources", "requesting_sources", "path").limit(10)
 
 
-@query("rank_identifier_entries", "SELECT source_ip, method, host, template, position, count(*) FILTER (r) AS rejected_ids, count(*) AS ids FROM (SELECT source_ip, method, host, template, position, value, coalesce(bool_or(status BETWEEN 400 AND 599), false) AS r FROM ids GROUP BY ALL) GROUP BY ALL ORDER BY rejected_ids DESC, ids DESC, source_ip NULLS LAST, method, host NULLS LAST, template, position LIMIT 20", "e tpl ids")
+@query("rank_identifier_entries", "SELECT source_ip, method, host, template, position, rejected_ids, ids FROM access ORDER BY rejected_ids DESC NULLS LAST, ids DESC, source_ip, method, host NULLS FIRST, template, position LIMIT 20", "e tpl ids entries")
 def _(t):
-    rows = B.identifier_access(t.events).select("source_ip", "method", "host", "template", "position", "rejected_ids", "ids")
-    return rows.orderBy(F.desc("rejected_ids"), F.desc("ids"), F.asc_nulls_last("source_ip"), "method", F.asc_nulls_last("host"), "template", "position").limit(20)
+    rows = entries(t).select("source_ip", "method", "host", "template", "position", "rejected_ids", "ids")
+    return rows.orderBy(F.desc_nulls_last("rejected_ids"), F.desc("ids"), "source_ip", "method", F.asc_nulls_first("host"), "template", "position").limit(20)
 
 
 @query("rank_entities", "SELECT source_ip, observations, templates FROM groups ORDER BY observations DESC, templates DESC, source_ip LIMIT 20", "e det det_cves fd groups")
