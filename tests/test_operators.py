@@ -180,3 +180,14 @@ def test_dispositions_stay_in_their_corpus(spark):
     findings = spark.createDataFrame([("a", "t", "GET", "/", None, "one"), ("a", "t", "GET", "/", None, "two")], schema)
     store = spark.createDataFrame([("a", "t", "get", "/", None, "one", "expected", 1, None)], schema + ", disposition string, recorded_at long, review_after timestamp")
     assert {r.corpus_scope: r.disposition for r in X.apply_dispositions(findings, store).collect()} == {"one": "expected", "two": None}
+
+
+def test_consecutive_ids_reads_64_bits_without_a_sign(spark):
+    ids = ["18446744073709551614", "18446744073709551615", "18446744073709551616", "18446744073709551617"]
+    rows = [(i, "192.0.2.1", "GET", "h", None, f"/a/{v}", None, 200, 5) for i, v in enumerate(ids)]
+    e = spark.createDataFrame(rows, "event_id long, source_ip string, method string, host string, ts timestamp, uri_path string, uri_query string, status int, response_bytes long")
+    got = B.consecutive_ids(e).collect()
+    assert [(r.pairs, r.numeric_pairs, r.adjacent_pairs) for r in got] == [(3, 1, 1)]
+    entry = B.identifier_access(e).collect()[0]
+    # Everybody got the one size, so nothing is content and all are rejected; without times no timestamp share.
+    assert (entry.ids, entry.dominant_bytes, entry.content_ids, entry.rejected_ids, entry.timestamp_share) == (4, 5, 0, 4, None)
