@@ -74,9 +74,9 @@ class Powers:
         return self.up[:n], self.down[:n]
 
 
-def word_spans(data: np.ndarray, borders: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Where the words of texts side by side in ``data`` begin and end."""
-    space = _SPACE[data]
+def word_spans(data: np.ndarray, borders: np.ndarray, breaks: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray]:
+    """Where the words of texts side by side in ``data`` begin and end; ``breaks`` tells of each byte whether it parts words."""
+    space = breaks[data]
     before, after = np.r_[True, space[:-1]], np.r_[space[1:], True]
     filled = borders[:-1] < borders[1:]
     before[borders[:-1][filled]] = True
@@ -100,10 +100,11 @@ def word_hashes(data: np.ndarray, borders: np.ndarray, powers: Powers, fold: boo
     return span_hashes(data, starts, ends, powers, fold), np.searchsorted(starts, borders)
 
 
-def text_blocks(texts: pa.Array, size: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def text_blocks(texts: pa.Array, size: int, breaks: np.ndarray = _SPACE) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(bytes, borders, rows) of whole texts side by side, about ``size`` bytes a block.
 
-    A longer text is cut at white space, so that a block holds ``size`` bytes or one word; ``rows`` tells whose each piece is.
+    A longer text is cut at white space (or other ``breaks``), so that a block holds ``size`` bytes or one word; ``rows`` tells whose
+    each piece is.
     Null texts have no bytes.
     """
     texts = texts.cast(pa.large_binary()).fill_null(b"")
@@ -117,7 +118,7 @@ def text_blocks(texts: pa.Array, size: int) -> Iterator[tuple[np.ndarray, np.nda
             cut = at + size
             space = np.zeros(0, np.int64)
             while cut < stop and not len(space):
-                space = np.flatnonzero(_SPACE[data[cut : min(cut + size, stop)]])
+                space = np.flatnonzero(breaks[data[cut : min(cut + size, stop)]])
                 cut += int(space[0]) if len(space) else size
             cut = min(cut, stop)
             yield data[at:cut], np.array([0, cut - at]), np.array([lo])

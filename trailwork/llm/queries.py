@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from trailwork.llm import chat, decontamination, hmm, jaccard, language, mixing, quality, sharding, sql, tokens, toxicity
+from trailwork.llm import chat, decontamination, hmm, infilling, jaccard, language, mixing, quality, ranking, resampling, sharding, sql, tokens, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,8 +53,23 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity_report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op11_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.importance_report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op12_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranking.quality_ranking_report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op13_infilling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return infilling.infilling_report(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_decontamination, op2_repetition, op3_hmm, op4_language, op5_token_counts, op6_byte_shards, op7_chat, op8_mix, op9_jaccard, op10_toxicity)
+    found = (
+        op1_decontamination, op2_repetition, op3_hmm, op4_language, op5_token_counts, op6_byte_shards, op7_chat, op8_mix, op9_jaccard,
+        op10_toxicity, op11_resampling, op12_ranking, op13_infilling,
+    )
     return {f.__name__: f for f in found}
 
 

@@ -44,6 +44,17 @@ JACCARD = f"""WITH RECURSIVE x AS (SELECT doc_id, regexp_extract_all({_FOLD.form
     r AS (SELECT doc_id, doc_id AS root FROM documents UNION SELECT e.v, r.root FROM r JOIN e ON e.u = r.doc_id)
     SELECT doc_id, coalesce(any_value(n), 0) AS n_shingles, min(root) AS component_id FROM r LEFT JOIN z USING (doc_id) GROUP BY 1"""
 
+#: Eight hex digits of ``digest``, from number ``k``, as a whole number.
+_DIGITS = "list_reduce(list_transform(range(1, 9), lambda i: strpos('0123456789abcdef', substr(digest, 8 * {k} + i, 1)) - 1), lambda x, y: x * 16 + y)"
+
+INFILLING = f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS units, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS digest FROM documents),
+    h AS (SELECT doc_id, text, units, CAST(len(units) AS BIGINT) AS n, {", ".join(f"{_DIGITS.format(k=k)} AS h{k + 1}" for k in range(4))} FROM d),
+    c AS (SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+        CASE WHEN n = 0 OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= 90 THEN 'plain' WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM h),
+    p AS (SELECT doc_id, text, n, form, coalesce(array_to_string(units[1:a], ''), '') AS prefix, coalesce(array_to_string(units[a + 1:b], ''), '') AS middle, coalesce(array_to_string(units[b + 1:n], ''), '') AS suffix FROM c)
+    SELECT doc_id, n, form, CAST(CASE WHEN form <> 'plain' THEN length(prefix) END AS BIGINT) AS prefix_chars, CAST(CASE WHEN form <> 'plain' THEN length(middle) END AS BIGINT) AS middle_chars,
+        sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256, sha256(text) AS restored_sha256 FROM p"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontamination": DECONTAMINATION, "op2_repetition": quality_sql(), "op9_jaccard": JACCARD}
+    return {"op1_decontamination": DECONTAMINATION, "op2_repetition": quality_sql(), "op9_jaccard": JACCARD, "op13_infilling": INFILLING}
