@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from trailwork.functions import network as N
 from trailwork.functions import web as W
-from trailwork.functions.spelling import decoded, features, shape_of
+from trailwork.functions.expressions import held_length, innermost_select, may_hold_expression, read_request
+from trailwork.functions.spelling import decoded, features
 
 
 def values(spark, rows, schema, column):
@@ -168,9 +169,3 @@ def test_request_lines(spark):
     cases = {"GET /a HTTP/1.1": set(), "": {"empty-request"}, " - ": {"empty-request"}, "GET /a": {"non-http-request-line"}, "\x16\x03 /x HTTP/1.1": {"non-http-request-line"}, "GET http://h/a HTTP/1.1": {"absolute-form"}, "CONNECT h:443 HTTP/1.1": {"authority-form"}, "OPTIONS * HTTP/1.1": {"asterisk-form"}, "GET a HTTP/1.1": {"non-http-request-line"}}
     rows = spark.createDataFrame([(k,) for k in cases], "r string").select("r", features(F.lit("/a"), F.lit(None).cast("string"), F.col("r")).alias("f")).collect()
     assert {r.r: {x.feature for x in r.f} for r in rows} == cases
-
-
-def test_size_shape():
-    assert shape_of("q=repeat(id,7)&x=1") == {"shape": "q=repeat(_,7)&x=1", "multiplier": 7, "constant": None}
-    assert shape_of("q=repeat('ab',7)")["constant"] == 2
-    assert shape_of("q=1") is None

@@ -99,9 +99,26 @@ def test_catalog_skips_conventions(spark):
 
 def test_size_pairs(spark):
     base = {"host": "h", "source_ip": "192.0.2.1", "uri_path": "/q", "status": 200}
-    rows = [base | {"ts": "2024-01-01 00:00:00", "uri_query": "q=repeat('ab',10)", "response_bytes": 120}, base | {"ts": "2024-01-01 00:00:01", "uri_query": "q=repeat(name,10)", "response_bytes": 150}]
-    r = B.response_size_pairs(events(spark, *rows)).collect()
-    assert [(x.outcome, x.length) for x in r] == [("length", 5)]
+    asked = lambda x: f"q=hex(cast(({x})as char))"
+    given = [("select 0x4f4b", 50, 9999), ("select 0x4f4b", 0, 2000), ("select value from site_settings", 1, 2000 + 18 + 38), ("select missing from items", 2, 2000 + 12 - 8), ("select blank from items", 3, 2000 + 10 - 4), ("select variable from items", 4, 2000 + 13 + 11)]
+    rows = [base | {"ts": f"2024-01-01 00:00:{at:02d}", "uri_query": asked(x), "response_bytes": size} for x, at, size in given]
+    rows += [base | change | {"ts": "2024-01-01 00:00:10", "uri_query": asked("select x from items"), "response_bytes": 2200} for change in ({"source_ip": "203.0.113.9"}, {"status": 403}, {"host": None}, {"uri_path": "/r"})]
+    pairs = B.response_size_pairs(events(spark, *rows))
+    got = {r.expression: (r.outcome, r.length) for r in pairs.collect()}
+    assert got == {
+        "select 0x4f4b": ("not_fitting", None), "select value from site_settings": ("length", 21), "select missing from items": ("negative_estimate", -2),
+        "select blank from items": ("empty_or_null", 0), "select variable from items": ("not_fitting", None),
+    }
+    fit = B.host_fit(pairs).collect()
+    assert [(r.host, r.fitting, r.not_fitting, r.fit_rate) for r in fit] == [("h", 3, 2, 0.6)]
+    one = B.paired_expressions(pairs).filter("expression = 'select value from site_settings'").first()
+    assert (one.requests, one.sources, one.lengths, one.longest) == (1, 1, 1, 21)
+
+
+def test_size_pairs_of_clients_apart_from_peers(spark):
+    row = {"host": "h", "source_ip": "192.0.2.1", "uri_path": "/q", "status": 200, "uri_query": "q=cast((select 1)as char)", "response_bytes": 10}
+    e = events(spark, row | {"ts": "2024-01-01 00:00:00"}, row | {"ts": "2024-01-01 00:00:01"}, row | {"ts": "2024-01-01 00:00:02"}).withColumn("client_ip", F.when(F.second("ts") > 0, "192.0.2.1"))
+    assert [(r.identity, r.source, r.length) for r in B.response_size_pairs(e).collect()] == [("validated-client", "192.0.2.1", 1)]
 
 
 def test_range_lookup_ends_and_overlaps(spark):
@@ -189,5 +206,5 @@ def test_consecutive_ids_reads_64_bits_without_a_sign(spark):
     got = B.consecutive_ids(e).collect()
     assert [(r.pairs, r.numeric_pairs, r.adjacent_pairs) for r in got] == [(3, 1, 1)]
     entry = B.identifier_access(e).collect()[0]
-    # Everybody got the one size, so nothing is content and all are rejected; without times no timestamp share.
-    assert (entry.ids, entry.dominant_bytes, entry.content_ids, entry.rejected_ids, entry.timestamp_share) == (4, 5, 0, 4, None)
+    # Everybody got the one size, so nothing is content and all are rejected; a corpus without times has no timestamp share.
+    assert (entry.ids, entry.dominant_bytes, entry.content_ids, entry.rejected_ids, entry.timestamp_share) == (4, 5, 0, 4, None) and entry.beyond_64_bits == 2

@@ -6,12 +6,8 @@ of the private range from U+E000 on, so that one pattern can ask both what a byt
 
 from __future__ import annotations
 
-import re
-
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from trailwork.functions.network import let
 
@@ -123,60 +119,3 @@ def features(path: Column, query: Column, request_line: Column | None = None, mo
     none = F.array().cast("array<struct<feature:string,part:string>>")
     return F.array_sort(F.concat(*[F.coalesce(x, none) for x in out], F.array_compact(F.array(*target))))
 
-
-_REPEAT = re.compile(r"(?i)repeat\(([^,()]*),(\d{1,9})\)")
-_LITERAL = re.compile(r"^'[^']*'$|^\d+$")
-
-
-def shape_of(query: str) -> dict | None:
-    """Shape of the first repeat(x,n) of a query: the text with x as a blank, n, and the length of x if it is a literal."""
-    m = _REPEAT.search(query)
-    if not m or int(m[2]) == 0:
-        return None
-    inner = m[1]
-    constant = len(inner.strip("'")) if _LITERAL.match(inner) else None
-    return {"shape": f"{query[: m.start(1)]}_{query[m.end(1) :]}", "multiplier": int(m[2]), "constant": constant}
-
-
-@F.pandas_udf(T.StructType().add("shape", T.StringType()).add("multiplier", T.LongType()).add("constant", T.LongType()))
-def size_shape(query: pd.Series) -> pd.DataFrame:
-    rows = [shape_of(q) if q else None for q in query]
-    return pd.DataFrame([r or {"shape": None, "multiplier": None, "constant": None} for r in rows], columns=["shape", "multiplier", "constant"]).astype({"multiplier": "Int64", "constant": "Int64"})
-
-
-_CALL = re.compile(r"(?i)\b(?:ascii|ord)\s*\(\s*(?:substring|substr|mid)\s*\(")
-_QUOTED_TEXT = re.compile(r"""'(?:[^'\\]|\\.|'')*'|"(?:[^"\\]|\\.|"")*"|`[^`]*`""")
-
-
-def call_arguments(text: str) -> tuple[list[str], str] | None:
-    """Arguments of a call whose text begins after its opening parenthesis, and what follows its closing one; None if it isn't closed."""
-    blank = _QUOTED_TEXT.sub(lambda m: "_" * len(m[0]), text)
-    depth, cuts = 0, [-1]
-    for m in re.finditer(r"[(),]", blank):
-        depth += {"(": 1, ")": -1}.get(m[0], 0)
-        if depth < 0 or (m[0] == "," and depth == 0):
-            cuts.append(m.start())
-        if depth < 0:
-            return [text[a + 1 : b].strip() for a, b in zip(cuts, cuts[1:], strict=False)], text[m.end() :]
-    return None
-
-
-def read_character(text: str) -> tuple[str, int] | None:
-    """(expression, position) of the only character read of a text."""
-    found = []
-    for m in _CALL.finditer(text):
-        call = call_arguments(text[m.end() :])
-        if call is None:
-            continue
-        arguments, rest = call
-        good = len(arguments) == 3 and arguments[2] == "1" and re.fullmatch("[0-9]{1,18}", arguments[1]) and int(arguments[1]) > 0 and rest.lstrip().startswith(")")
-        inner = re.fullmatch(r"(?is)\(\s*(select\s.*\S)\s*\)", arguments[0]) if good else None
-        if inner:
-            found.append((" ".join(inner[1].lower().split()), int(arguments[1])))
-    return found[0] if len(found) == 1 else None
-
-
-@F.pandas_udf(T.StructType().add("expression", T.StringType()).add("position", T.LongType()))
-def character_call(text: pd.Series) -> pd.DataFrame:
-    rows = [(read_character(x) if x else None) or (None, None) for x in text]
-    return pd.DataFrame(rows, columns=["expression", "position"]).astype({"position": "Int64"})

@@ -10,8 +10,10 @@ from pyspark.sql.window import Window
 
 from trailwork.functions import network as N
 from trailwork.functions import web as W
-from trailwork.functions.spelling import character_call, features, size_shape
+from trailwork.functions.expressions import may_hold_expression, sql_read
+from trailwork.functions.spelling import features
 from trailwork.functions.tables import small
+from trailwork.operators.ordering import with_previous
 
 #: Public conventions, which never count as probes.
 CONVENTIONS = ["/robots.txt", "/favicon.ico", "/sitemap.xml", "/.well-known"]
@@ -86,21 +88,41 @@ def rare_success(events: DataFrame, probes: DataFrame, max_sources: int = 2, max
     return out.join(sizes, "path").withColumn("preceded", F.col("preceded") == 1).drop("without_source")
 
 
+def peer_key(columns: list[str]) -> Column:
+    """(identity, source) of whom a request came from: the validated client, else the observed peer, in canonical spelling; NULL for nobody."""
+    named = lambda kind, c: F.when(~F.coalesce(F.col(c).isin("", "-"), F.lit(False)), F.struct(F.lit(kind).alias("identity"), N.canonical_or_raw(F.col(c)).alias("source")))
+    peer = F.when(F.col("source_ip").isNotNull(), named("observed-peer", "source_ip"))
+    return F.when(F.col("client_ip").isNotNull(), named("validated-client", "client_ip")).otherwise(peer) if "client_ip" in columns else peer
+
+
 def identifiers(events: DataFrame, exclude: list[str] = ()) -> DataFrame:
     """A row for each identifier of a request: template, position (path:i or query:name), value. A repeated parameter counts once."""
     parts = F.split("uri_path", "/")
     e = events.filter("uri_path is not null").withColumn("template", W.path_template(F.col("uri_path")))
-    keep = [c for c in ("event_id", "source_ip", "method", "host", "ts", "status", "response_bytes", "template") if c in e.columns]
+    keep = [c for c in ("event_id", "source_ip", "identity", "source", "method", "host", "ts", "status", "response_bytes", "template") if c in e.columns]
     in_path = e.select(*keep, F.posexplode(F.transform(parts, lambda s: W.path_id(s)[0])).alias("i", "value")).filter("value is not null").select(*keep, F.concat(F.lit("path:"), F.col("i")).alias("position"), "value")
-    pairs = F.filter(F.split(F.coalesce("uri_query", F.lit("")), "&"), lambda p: p.contains("="))
-    named = e.select(*keep, F.posexplode(pairs).alias("nth", "pair")).select(*keep, "nth", F.split_part("pair", F.lit("="), F.lit(1)).alias("name"), F.regexp_extract("pair", "=(.*)$", 1).alias("value"))
-    named = named.filter(W.id_kind(F.col("value")).isNotNull() & ~F.col("name").isin(list(exclude)))
-    first = named.groupBy(*keep, "name").agg(F.min_by("value", "nth").alias("value"))
-    return in_path.unionByName(first.select(*keep, F.concat(F.lit("query:"), F.col("name")).alias("position"), "value"))
+    pair = lambda p: F.struct(F.split_part(p, F.lit("="), F.lit(1)).alias("name"), F.regexp_extract(p, "(?s)=(.*)$", 1).alias("value"))
+    named = F.transform(F.filter(F.split(F.coalesce("uri_query", F.lit("")), "&"), lambda p: p.contains("=")), pair)
+    named = F.filter(named, lambda p: W.id_kind(p["value"]).isNotNull() & ~p["name"].isin(list(exclude)))
+    # Of several parameters of a name the first counts, which is found within the row.
+    names = F.transform("__named", lambda p: p["name"])
+    in_query = e.withColumn("__named", named).select(*keep, F.explode(F.filter("__named", lambda p, i: F.array_position(names, p["name"]) == i + 1)).alias("p"))
+    return in_path.unionByName(in_query.select(*keep, F.concat(F.lit("query:"), F.col("p.name")).alias("position"), F.col("p.value").alias("value")))
 
 
-ENTRY = ["source_ip", "method", "host", "template", "position"]
+ENTRY = ["identity", "source", "method", "host", "template", "position"]
 PAIRS = ("pairs", "numeric_pairs", "adjacent_pairs", "prefix_pairs")
+#: Requests of an entry that are put in physical order together: so many event numbers.
+ORDER_BUCKET = 1 << 16
+WRITES = ("POST", "PUT", "PATCH", "DELETE")
+#: Path segments by which a caller means itself.
+SELF = ("me", "my", "self", "mine", "current")
+
+
+def entry_identifiers(events: DataFrame) -> DataFrame:
+    """Identifiers of requests that have a peer and a method, with their entry's key."""
+    known = events.withColumn("__peer", peer_key(events.columns)).filter("__peer is not null and method is not null")
+    return identifiers(known.select(*events.columns, "__peer.*"))
 
 
 def _unsigned(name: str) -> Column:
@@ -110,17 +132,43 @@ def _unsigned(name: str) -> Column:
 
 
 def _with_pairs(rows: DataFrame) -> DataFrame:
-    """What each identifier is to the one before it in the physical order of its entry: 0 or 1 in each column of PAIRS."""
-    before = F.lag("value").over(Window.partitionBy(*ENTRY).orderBy("event_id"))
+    """What each identifier is to the one before it in the physical order of its entry: 0 or 1 in each column of PAIRS.
+
+    The order is taken in buckets of event numbers with the last identifier of the bucket before carried over.
+    """
+    rows = with_previous(rows, ENTRY, F.floor(F.col("event_id") / ORDER_BUCKET), "event_id", "value")
     gap = F.abs(_unsigned("before") - _unsigned("value"))
     extends = (F.col("before") != F.col("value")) & (F.col("before").startswith(F.col("value")) | F.col("value").startswith(F.col("before")))
     told = (F.col("before").isNotNull(), gap.isNotNull(), gap.between(1, 2), extends)
-    return rows.withColumn("before", before).withColumns({c: F.coalesce(t, F.lit(False)).cast("int") for c, t in zip(PAIRS, told)})
+    return rows.withColumns({c: F.coalesce(t, F.lit(False)).cast("int") for c, t in zip(PAIRS, told, strict=True)})
 
 
 def consecutive_ids(events: DataFrame) -> DataFrame:
     """In physical order within an entry: pairs, numeric pairs, pairs 1 or 2 apart, pairs where one extends the other."""
-    return _with_pairs(identifiers(events)).groupBy(*ENTRY).agg(*[F.sum(c).alias(c) for c in PAIRS]).filter("pairs > 0")
+    return _with_pairs(entry_identifiers(events)).groupBy(*ENTRY).agg(*[F.sum(c).alias(c) for c in PAIRS]).filter("pairs > 0")
+
+
+def _null_safe(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """A join on keys that may be NULL; the right side's keys are dropped."""
+    renamed = right.withColumnsRenamed({k: f"__{k}" for k in keys})
+    on = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys])
+    return left.join(renamed, on, how).drop(*[f"__{k}" for k in keys])
+
+
+def prior_writes(rows: DataFrame) -> DataFrame:
+    """(identity, source, value, entry, has_other, written_at): whether a peer wrote an identifier under another entry too, and when first.
+
+    Of the entries that wrote it the two earliest are enough to leave out any one; undated ones come last.
+    """
+    entry = F.struct("method", "host", "template", "position")
+    wrote = rows.filter(F.col("method").isin(*WRITES)).groupBy("identity", "source", "value", entry.alias("entry")).agg(F.min(F.unix_micros("ts")).alias("at"))
+    rank = F.struct(F.col("at").isNull().alias("undated"), "at", "entry")
+    first = wrote.groupBy("identity", "source", "value").agg(F.min(rank).alias("first"))
+    rest = wrote.join(first, ["identity", "source", "value"]).filter(~F.col("entry").eqNullSafe(F.col("first.entry"))).groupBy("identity", "source", "value").agg(F.min(rank).alias("second"))
+    both = first.join(rest, ["identity", "source", "value"], "left")
+    mine = rows.select("identity", "source", "value", entry.alias("entry")).distinct().join(both, ["identity", "source", "value"])
+    other = F.when(F.col("entry").eqNullSafe(F.col("first.entry")), F.col("second")).otherwise(F.col("first"))
+    return mine.select("identity", "source", "value", "entry", other.alias("other")).filter("other is not null").select("identity", "source", "value", "entry.*", F.lit(True).alias("has_other"), F.col("other.at").alias("written_at"))
 
 
 def identifier_access(events: DataFrame, min_ids: int = 1) -> DataFrame:
@@ -130,47 +178,53 @@ def identifier_access(events: DataFrame, min_ids: int = 1) -> DataFrame:
     is a 2xx of another size; an identifier without content was rejected if it got a 2xx or 400 to 599, and is redirect-only
     if it got 100 to 399 and nothing else. Content seen twice repeats, in one size only it is stable. Where a 2xx has no
     size, or no request of the entry a status, these counts are NULL. The timestamp share is the part of numeric requests
-    whose identifier, as seconds or milliseconds, lies within a day of the entry's times.
+    whose identifier, as seconds or milliseconds, lies within a day of the corpus's times. written_ids were also written by
+    the same peer under another entry; of those, written_before_content strictly before their first content.
 
-    One shuffle by entry serves the pairs, the sizes and both aggregates.
+    What an entry has in common comes from aggregates that are joined back, so no entry has to fit one task.
     """
-    s, entry = F.col("status"), Window.partitionBy(*ENTRY)
+    s = F.col("status")
     ok = s.between(200, 299)
-    rows = _with_pairs(identifiers(events.filter("source_ip is not null and method is not null")))
+    rows = entry_identifiers(events)
     got = {"answered": ok | s.between(400, 599), "redirected": s.between(100, 199) | s.between(300, 399), "odd": ~s.between(100, 599)}
-    by_size = rows.withColumn("size", F.when(ok, F.col("response_bytes"))).groupBy(*ENTRY, "value", "size").agg(
-        F.count("*").alias("n"), *[F.bool_or(F.coalesce(c, F.lit(False))).alias(k) for k, c in got.items()], F.count("status").alias("known"),
+    by_size = _with_pairs(rows).withColumn("size", F.when(ok, F.col("response_bytes"))).groupBy(*ENTRY, "value", "size").agg(
+        F.count("*").alias("n"), *[F.bool_or(F.coalesce(c, F.lit(False))).alias(k) for k, c in got.items()], F.count("status").alias("known"), F.count("ts").alias("dated"),
         F.count_if(ok & F.col("response_bytes").isNull()).alias("unsized"), F.min("ts").alias("first"), F.max("ts").alias("last"), *[F.sum(c).alias(c) for c in PAIRS],
     )
-    by_size = by_size.withColumn("holders", F.count("size").over(Window.partitionBy(*ENTRY, "size")))
-    by_size = by_size.withColumns({"unsized": F.sum("unsized").over(entry), "most": F.min(F.when(F.col("holders") >= 2, F.struct(-F.col("holders"), "size"))).over(entry), "first": F.min("first").over(entry), "last": F.max("last").over(entry)})
-    dominant = F.when(F.col("unsized") == 0, F.col("most")["size"])
-    content = F.col("size").isNotNull() & ~F.col("size").eqNullSafe(dominant)
-    same = ("unsized", "first", "last")
-    ids = by_size.groupBy(*ENTRY, "value").agg(
-        F.sum("n").alias("n"), F.count_if(content).alias("sizes"), F.sum(F.when(content, F.col("n"))).alias("content_n"), *[F.bool_or(k).alias(k) for k in got],
-        F.sum("known").alias("known"), F.max(dominant).alias("dominant"), *[F.max(c).alias(c) for c in same], *[F.sum(c).alias(c) for c in PAIRS],
+    held = by_size.groupBy(*ENTRY, "size").agg(F.count("*").alias("holders"), F.sum("unsized").alias("unsized"))
+    common = held.groupBy(*ENTRY).agg(F.min(F.when(F.col("size").isNotNull() & (F.col("holders") >= 2), F.struct(-F.col("holders"), "size"))).alias("most"), F.sum("unsized").alias("entry_unsized"))
+    common = common.select(*ENTRY, F.when(F.col("entry_unsized") == 0, F.col("most")["size"]).alias("dominant"))
+    content = F.col("size").isNotNull() & ~F.col("size").eqNullSafe(F.col("dominant"))
+    ids = _null_safe(by_size, common, ENTRY).groupBy(*ENTRY, "value").agg(
+        F.sum("n").alias("n"), F.count_if(content).alias("sizes"), F.sum(F.when(content, F.col("n"))).alias("content_n"), *[F.bool_or(k).alias(k) for k in got], F.sum("unsized").alias("unsized"), F.sum("dated").alias("dated"),
+        F.sum("known").alias("known"), F.max("dominant").alias("dominant"), F.min("first").alias("first"), F.max("last").alias("last"), F.min(F.when(content, F.unix_micros("first"))).alias("content_at"), F.bool_or(content & (F.col("dated") < F.col("n"))).alias("content_undated"), *[F.sum(c).alias(c) for c in PAIRS],
     )
+    ids = _null_safe(ids, prior_writes(rows), [*ENTRY, "value"], "left")
+    corpus = F.broadcast(events.agg((F.unix_millis(F.min("ts")) - 86_400_000).alias("earliest"), (F.unix_millis(F.max("ts")) + 86_400_000).alias("latest")))  # one row
     has, number = F.col("sizes") > 0, F.when(F.col("value").rlike("^[0-9]{1,20}$"), F.col("value")).cast("decimal(24,0)")
-    day = 86_400_000
-    near = lambda v: v.between(F.unix_millis("first") - day, F.unix_millis("last") + day)
+    near = lambda v: v.between(F.col("earliest"), F.col("latest"))
     repeats = has & (F.col("content_n") >= 2)
-    per = ids.groupBy(*ENTRY).agg(
+    other = F.coalesce("has_other", F.lit(False))
+    per = ids.join(corpus).groupBy(*ENTRY).agg(
         F.sum("n").alias("requests"), F.count("*").alias("ids"), F.count_if(has).alias("content_ids"), F.count_if(~has & F.col("answered")).alias("rejected_ids"),
         F.count_if(~has & ~F.col("answered") & F.col("redirected") & ~F.col("odd")).alias("redirect_only_ids"), F.count_if(repeats).alias("repeated_ids"), F.count_if(repeats & (F.col("sizes") == 1)).alias("stable_ids"),
         F.max("dominant").alias("dominant_bytes"), F.sum(F.when(number.isNotNull(), F.col("n"))).alias("numeric"), F.sum(F.when(near(number) | near(number * 1000), F.col("n")).otherwise(0)).alias("timely"),
-        F.sum("known").alias("known"), *[F.max(c).alias(c) for c in same], *[F.sum(c).alias(c) for c in PAIRS],
+        F.sum("known").alias("known"), F.sum("unsized").alias("unsized"), F.sum("dated").alias("dated"), F.min("first").alias("first"), F.max("last").alias("last"), F.max("earliest").alias("earliest"), *[F.sum(c).alias(c) for c in PAIRS],
+        F.sum(F.when(number.isNotNull() & _unsigned("value").isNull(), F.col("n")).otherwise(0)).alias("beyond_64_bits"), F.count_if(other).alias("written_ids"), F.count_if(other & has & ~F.col("content_undated") & (F.col("written_at") < F.col("content_at"))).alias("written_before_content"),
     )
     measured = (F.col("unsized") == 0) & (F.col("known") > 0)
-    counts = [F.when(measured, F.col(c)).alias(c) for c in ("content_ids", "rejected_ids", "redirect_only_ids", "repeated_ids", "stable_ids")]
+    counts = [F.when(measured, F.col(c)).alias(c) for c in ("content_ids", "rejected_ids", "redirect_only_ids", "repeated_ids", "stable_ids", "written_before_content")]
     answered = F.col("content_ids") + F.col("rejected_ids")
+    before = F.when(F.col("position").startswith("path:"), F.slice(F.split("template", "/"), F.lit(1), F.substring("position", 6, 10).cast("int"))).otherwise(F.split("template", "/"))
+    itself = F.try_element_at(F.filter(before, lambda x: F.lower(x).isin(*SELF)), F.lit(-1))
     return per.filter(F.col("ids") >= min_ids).select(
-        *ENTRY, "requests", "ids", *counts, F.when(measured & (answered > 0), F.col("rejected_ids") / answered).alias("rejected_share"), "dominant_bytes", F.col("unsized").alias("ok_without_bytes"),
-        F.when(F.col("first").isNotNull() & (F.col("numeric") > 0), F.col("timely") / F.col("numeric")).alias("timestamp_share"), *PAIRS, W.epoch(F.col("first")).alias("first_seen"), W.epoch(F.col("last")).alias("last_seen"),
+        *ENTRY, "requests", "ids", *counts, "written_ids", F.when(measured & (answered > 0), F.col("rejected_ids") / answered).alias("rejected_share"), "dominant_bytes", F.col("unsized").alias("ok_without_bytes"),
+        (F.col("requests") - F.col("known")).alias("without_status"), (F.col("requests") - F.col("dated")).alias("undated"), F.when(F.col("earliest").isNotNull() & (F.col("numeric") > 0), F.col("timely") / F.col("numeric")).alias("timestamp_share"), *PAIRS, "beyond_64_bits",
+        W.share(F.col("adjacent_pairs"), F.col("numeric_pairs"), None).alias("adjacent_share"), W.share(F.col("prefix_pairs"), F.col("pairs"), None).alias("prefix_share"), itself.alias("self_reference"), W.epoch(F.col("first")).alias("first_seen"), W.epoch(F.col("last")).alias("last_seen"),
     )
 
 
-def writes_before_read(events: DataFrame, writes: tuple[str, ...] = ("POST", "PUT", "PATCH", "DELETE")) -> DataFrame:
+def writes_before_read(events: DataFrame, writes: tuple[str, ...] = WRITES) -> DataFrame:
     """Per (peer, id): earliest write under another entry, strictly before the first content response under this one."""
     rows = identifiers(events).filter("source_ip is not null and ts is not null").withColumns({"entry": F.concat_ws("|", "template", "position"), "at": F.unix_micros("ts")})
     reads = rows.filter(F.col("status").between(200, 299) & ~F.col("method").isin(*writes)).groupBy("source_ip", "value", "entry").agg(F.min("at").alias("read_at"))
@@ -198,34 +252,73 @@ def anomaly_sources(events: DataFrame) -> DataFrame:
     return rows.groupBy("source_ip").agg(F.countDistinct("event_id").alias("requests_with_features"), F.countDistinct("feature").alias("features")).orderBy(F.desc("requests_with_features"), "source_ip")
 
 
+def sql_reads(events: DataFrame) -> DataFrame:
+    """Requests with what their target and body read by size or by character, in a struct ``read`` (see ``read_request``).
+
+    The target is ``uri`` where the events have it, else put together. ``peer`` is (identity, source): the validated client,
+    else the observed peer, in canonical spelling. Requests that can't have one have a NULL kind without being decoded.
+    """
+    none = F.lit(None).cast("string")
+    has = lambda c: F.col(c) if c in events.columns else none
+    after = lambda mark, c: F.coalesce(F.concat(F.lit(mark), has(c)), F.lit(""))
+    target, body = F.coalesce(has("uri"), F.concat("uri_path", after("?", "uri_query"), after("#", "uri_fragment"))), has("request_body")
+    possible = F.coalesce(may_hold_expression(target), F.lit(False)) | F.coalesce(may_hold_expression(body), F.lit(False))
+    # Nondeterministic only so that filters on the result don't run the function a second time.
+    read = F.when(possible, sql_read.asNondeterministic()(target, body, has("content_type")))
+    return events.withColumn("read", read).withColumn("peer", peer_key(events.columns))
+
+
+def _complete(reads: DataFrame, kind: str) -> DataFrame:
+    needed = " and ".join(f"{c} is not null" for c in ("peer", "method", "uri_path", "status", "response_bytes", "ts"))
+    return reads.filter((F.col("read.kind") == kind) & F.expr(needed))
+
+
+def read_outcomes(events: DataFrame) -> DataFrame:
+    """Requests by what became of them: size, character, incomplete (a field is missing), multiple, undecodable, none."""
+    reads = sql_reads(events)
+    whole = F.expr(" and ".join(f"{c} is not null" for c in ("peer", "method", "uri_path", "status", "response_bytes", "ts")))
+    kind = F.coalesce("read.kind", F.lit("none"))
+    return reads.groupBy(F.when(kind.isin("size", "character") & ~whole, "incomplete").otherwise(kind).alias("kind")).agg(F.count("*").alias("requests"))
+
+
+SIZE_GROUP = ["host", "identity", "source", "method", "path", "status", "target_shape", "body_shape", "multiplier"]
+
+
 def response_size_pairs(events: DataFrame) -> DataFrame:
-    """Reads of a repeated expression against a constant control of the same host, peer, method, path, status, shape and multiplier.
+    """Reads of CAST((expression) AS CHAR), also inside HEX(..), against a constant control of the same group.
 
-    A query value like repeat(x,7) has a shape and a multiplier; the earliest constant of the group (time, then physical
-    order) is the control, every other row of the group a read, constants too. The length that a read fits is (response
-    difference - request difference) / multiplier + the control's length. Texts are compared without case; what lacks a
-    peer, method, path, status, size or time is left out. A body may stand in ``request_body``; its text is part of the shape.
+    A group is host, peer, method, path, status, the decoded target and body without the expression, and the multiplier: 2
+    inside HEX, else 1. Its earliest constant (time, then physical order) is the control, every other row a read, constants
+    too. The length that a read fits is (response difference - request difference) / multiplier + the control's length.
+    Requests with several reads, or that lack a field, are left out. Lengths are told, never content.
     """
-    body = F.coalesce(F.lower("request_body"), F.lit("")) if "request_body" in events.columns else F.lit("")
-    needed = ("source_ip", "method", "uri_path", "status", "response_bytes", "ts", "uri_query")
-    whole = events.filter(" and ".join(f"{c} is not null" for c in needed)).withColumns({"source_ip": N.canonical_or_raw(F.col("source_ip")), "uri_path": F.lower("uri_path"), "body": body})
-    shaped = whole.withColumn("__s", size_shape(F.col("uri_query"))).filter("__s.shape is not null").select("*", F.lower("__s.shape").alias("shape"), F.col("__s.multiplier").alias("multiplier"), F.col("__s.constant").alias("constant"), (F.octet_length("uri_query") + F.octet_length("body")).alias("request_bytes")).drop("__s")
-    key = ["host", "source_ip", "method", "uri_path", "status", "shape", "body", "multiplier"]
-    first = F.min_by(F.struct("response_bytes", "request_bytes", "constant", "event_id"), F.struct("ts", "event_id"))
-    control = shaped.filter("constant is not null").groupBy(*key).agg(first.alias("control"))
-    cond = reduce(lambda a, b: a & b, [F.col(f"r.{c}").eqNullSafe(F.col(f"c.{c}")) for c in key])
-    reads = shaped.alias("r").join(control.alias("c"), cond).filter("r.event_id != control.event_id")
-    pairs = reads.select(F.col("r.event_id"), *[F.col(f"r.{c}") for c in key], (F.col("r.response_bytes") - F.col("control.response_bytes")).alias("more"), (F.col("r.request_bytes") - F.col("control.request_bytes")).alias("asked"), "control.constant")
+    reads = _complete(sql_reads(events), "size").select("event_id", "host", "peer.*", "method", F.lower("uri_path").alias("path"), "status", "read.*", "response_bytes", "ts").drop("kind", "position")
+    order = F.struct("ts", "event_id")
+    control = reads.filter("constant is not null").groupBy(*SIZE_GROUP).agg(F.min_by(F.struct("response_bytes", "request_bytes", "constant", "event_id", "ts"), order).alias("control"))
+    on = reduce(lambda a, b: a & b, [F.col(f"r.{c}").eqNullSafe(F.col(f"c.{c}")) for c in SIZE_GROUP])
+    pairs = reads.alias("r").join(control.alias("c"), on).filter("r.event_id != control.event_id").select("r.*", "control")
+    pairs = pairs.withColumns({"more": F.col("response_bytes") - F.col("control.response_bytes"), "asked": F.col("request_bytes") - F.col("control.request_bytes")})
     rest = F.col("more") - F.col("asked")
-    fits = F.pmod(rest, F.col("multiplier")) == 0
-    length = F.when(fits, (rest / F.col("multiplier")).cast("long") + F.col("constant"))
-    return pairs.withColumn("length", length).withColumn("outcome", F.when(F.col("length").isNull(), "not-fitting").when(F.col("length") < 0, "negative").when(F.col("length") == 0, "empty").otherwise("length"))
+    length = F.when(F.pmod(rest, "multiplier") == 0, F.expr("(more - asked) div multiplier") + F.col("control.constant"))
+    outcome = F.when(F.col("length").isNull(), "not_fitting").when(F.col("length") < 0, "negative_estimate").when(F.col("length") == 0, "empty_or_null").otherwise("length")
+    return pairs.select("event_id", *SIZE_GROUP, "expression", "ts", F.col("control.ts").alias("control_ts"), F.col("control.constant").alias("control_length"), "more", "asked", length.alias("length")).withColumn("outcome", outcome)
+
+
+def paired_expressions(pairs: DataFrame) -> DataFrame:
+    """Per (host, expression): reads, sources, distinct lengths and the longest, the other outcomes, first and last time."""
+    at, is_length = W.epoch(F.col("ts")), F.col("outcome") == "length"
+    count = lambda name: F.count_if(F.col("outcome") == name).alias(name)
+    return pairs.groupBy("host", "expression").agg(
+        F.count("*").alias("requests"), F.countDistinct("identity", "source").alias("sources"), F.countDistinct(F.when(is_length, F.col("length"))).alias("lengths"), F.max(F.when(is_length, F.col("length"))).alias("longest"),
+        count("negative_estimate"), count("empty_or_null"), count("not_fitting"), F.min(at).alias("first_seen"), F.max(at).alias("last_seen"),
+    )
 
 
 def host_fit(pairs: DataFrame) -> DataFrame:
-    """Per host: reads of multiplier 2 whose difference is even (fitting) or odd, and reads of other multipliers, which parity can't check."""
-    two, fits = F.col("multiplier") == 2, F.col("outcome") != "not-fitting"
-    return pairs.groupBy("host").agg(F.count_if(two & fits).alias("fitting"), F.count_if(two & ~fits).alias("not_fitting"), F.count_if(~two).alias("parity_unchecked"))
+    """Per host: reads of multiplier 2 whose difference is even (fitting) or odd, their rate, and reads that parity can't check."""
+    two, fits = F.col("multiplier") == 2, F.col("outcome") != "not_fitting"
+    per = pairs.groupBy("host").agg(F.count_if(two & fits).alias("fitting"), F.count_if(two & ~fits).alias("not_fitting"), F.count_if(~two).alias("parity_unchecked"))
+    return per.withColumn("fit_rate", W.share(F.col("fitting"), F.col("fitting") + F.col("not_fitting"), None))
 
 
 def bot_range_check(events: DataFrame, operators: DataFrame) -> DataFrame:
@@ -278,21 +371,18 @@ def unserved_paths(events: DataFrame) -> DataFrame:
 
 
 def character_reads(events: DataFrame) -> DataFrame:
-    """Requests whose query (or body) has exactly one ascii(substr((select ...), position, 1)), with its expression and position.
+    """Requests whose decoded target and body have exactly one ascii(substr((select ...), position, 1)), with expression and position.
 
-    ord, substring and mid count too, and spaces and case don't matter. Requests that lack a peer, method, path, status, size
-    or time are left out.
+    ord, substring and mid count too, and spaces and case don't matter. Requests with another read beside it, or that lack a
+    peer, method, path, status, size or time, are left out.
     """
-    text = F.concat_ws("\n", *[c for c in ("uri_query", "request_body") if c in events.columns])
-    whole = events.filter(" and ".join(f"{c} is not null" for c in ("source_ip", "method", "uri_path", "status", "response_bytes", "ts")))
-    asked = whole.filter(text.rlike(r"(?i)\b(ascii|ord)")).withColumn("__c", character_call(text)).filter("__c.expression is not null")
-    return asked.select("*", "__c.expression", "__c.position").drop("__c")
+    return _complete(sql_reads(events), "character").select(*events.columns, "peer", "read.expression", "read.position")
 
 
 def char_position_reads(events: DataFrame) -> DataFrame:
     """Per (host, expression): reads of character positions, distinct ones, the last, sources, first and last time."""
     at = W.epoch(F.col("ts"))
-    return character_reads(events).groupBy("host", "expression").agg(F.count("*").alias("reads"), F.countDistinct("position").alias("positions"), F.max("position").alias("last_position"), F.countDistinct(N.canonical_or_raw(F.col("source_ip"))).alias("sources"), F.min(at).alias("first_seen"), F.max(at).alias("last_seen"))
+    return character_reads(events).groupBy("host", "expression").agg(F.count("*").alias("reads"), F.countDistinct("position").alias("positions"), F.max("position").alias("last_position"), F.countDistinct("peer").alias("sources"), F.min(at).alias("first_seen"), F.max(at).alias("last_seen"))
 
 
 def char_position_sizes(events: DataFrame, most: int = 3) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from trailwork.functions import network as N
 from trailwork.functions import web as W
+from trailwork.operators.ordering import numbered
 
 
 def asn_lookup(ips: DataFrame, networks: DataFrame) -> DataFrame:
@@ -111,13 +112,11 @@ def path_counts(runs: DataFrame) -> DataFrame:
 def path_rank(runs: DataFrame) -> DataFrame:
     """(run_id, uri_path, requests, rank): 1 + paths with more requests, ties by path.
 
-    A window ranks the paths of one (run, requests) only; the paths of the counts above are summed over a run's few counts.
+    All runs' paths are sorted by range together; a run's places begin after those of the runs before it.
     """
-    per = path_counts(runs)
-    levels = per.groupBy("run_id", "requests").agg(F.count("*").alias("n"))
-    above = F.coalesce(F.sum("n").over(Window.partitionBy("run_id").orderBy(F.desc("requests")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    within = F.row_number().over(Window.partitionBy("run_id", "requests").orderBy("uri_path"))
-    return per.withColumn("within", within).join(levels.select("run_id", "requests", above.alias("above")), ["run_id", "requests"]).select("run_id", "uri_path", "requests", (F.col("above") + F.col("within")).alias("rank"))
+    placed = numbered(path_counts(runs).select("run_id", "uri_path", "requests"), ["run_id", F.desc("requests"), "uri_path"])
+    first = placed.groupBy("run_id").agg(F.min("place").alias("first"))  # one row a run
+    return placed.join(F.broadcast(first), "run_id").select("run_id", "uri_path", "requests", (F.col("place") - F.col("first") + 1).alias("rank"))
 
 
 def path_trend(runs: DataFrame, path: str) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from trailwork.functions import web as W
+from trailwork.operators.ordering import sliding_distinct, with_previous
 
 SEVERITIES = ("unknown", "info", "low", "medium", "high", "critical")
 #: Caps of the score's components.
@@ -115,29 +116,45 @@ def behavior_score(groups: DataFrame, burst: Column | None = None, spread: bool
     return groups.withColumn("score", score).withColumn("tier", F.when(F.col("score") >= 75, "high").when(F.col("score") >= 50, "medium").when(F.col("score") >= 25, "low").otherwise("info"))
 
 
-def windowed_burst(findings: DataFrame, widths: tuple[int, ...], key: str = "source_ip", breadth: int = 3, depth: int = 10) -> DataFrame:
-    """Per entity and width: most distinct templates and patterns within any window of that width, both ends included.
+def windowed_burst(findings: DataFrame, widths: tuple[int, ...], key: str = "source_ip", breadth_observations: int = 3, breadth_templates: int = 2, depth_observations: int = 10) -> DataFrame:
+    """Per entity and width in seconds: most distinct observations and templates within any such window, both ends included.
 
-    Rows are first reduced to distinct (entity, second, pattern, template). A window's set is bounded by what the width
-    holds, not by the entity.
+    Breadth: some window holds so many observations and so many templates at once; depth: some window holds so many
+    observations. Times count in whole milliseconds. See ``sliding_distinct`` for how entities of any size are spread.
     """
-    pattern = F.concat_ws(" ", "method", "uri_path")
-    rows = findings.filter(F.col(key).isNotNull() & F.col("ts").isNotNull()).select(key, W.epoch(F.col("ts")).alias("at"), pattern.alias("pattern"), "template_id").distinct()
-    wide = rows.withColumn("width", F.explode(F.array(*map(F.lit, widths))))
-    parts = []
-    for w in widths:
-        win = Window.partitionBy(key).orderBy("at").rangeBetween(-w, 0)
-        one = wide.filter(F.col("width") == w).select(key, "width", F.size(F.collect_set("template_id").over(win)).alias("t"), F.size(F.collect_set("pattern").over(win)).alias("p"))
-        parts.append(one.groupBy(key, "width").agg(F.max("t").alias("max_templates"), F.max("p").alias("max_patterns")))
-    out = reduce(DataFrame.unionByName, parts)
-    return out.withColumn("basis", F.when(F.col("max_templates") >= breadth, "breadth").when(F.col("max_patterns") >= depth, "depth").otherwise("none"))
-
-
-def sequence_summary(findings: DataFrame, key: str = "source_ip") -> DataFrame:
-    """Per entity: observations in time, least and median seconds between consecutive ones."""
-    rows = findings.filter(F.col(key).isNotNull() & F.col("ts").isNotNull()).withColumn("observation", observation_key()).groupBy(key, "observation").agg(F.min(F.unix_millis("ts")).alias("ms"))
-    gap = (F.col("ms") - F.lag("ms").over(Window.partitionBy(key).orderBy("ms", "observation"))) / 1000.0
-    return rows.withColumn("gap", gap).groupBy(key).agg(F.count("*").alias("observations"), F.min("gap").alias("min_gap"), F.expr("percentile(gap, 0.5)").alias("median_gap"))
+    rows = findings.filter(F.col(key).isNotNull() & F.col("ts").isNotNull()).select(key, F.unix_millis("ts").alias("ms"), observation_key().alias("o"), "template_id")
+    counts = sliding_distinct(rows, [key], widths, {"observations": F.col("o"), "templates": F.col("template_id")})
+    wide, deep = (F.col("observations") >= breadth_observations) & (F.col("templates") >= breadth_templates), F.col("observations") >= depth_observations
+    out = counts.groupBy(key, "width").agg(F.max("observations").alias("max_observations"), F.max("templates").alias("max_templates"), F.bool_or(wide).alias("breadth"), F.bool_or(deep).alias("depth"))
+    return out.withColumn("basis", basis(F.col("breadth"), F.col("depth"), "windowed "))
+
+
+def basis(breadth: Column, depth: Column, before: str = "") -> Column:
+    return F.when(breadth & depth, f"{before}breadth + depth").when(breadth, f"{before}breadth").when(depth, f"{before}depth")
+
+
+def visible_pattern() -> Column:
+    """What a request looks like: method, path and query."""
+    return F.concat(F.coalesce("method", F.lit("<method unavailable>")), F.lit(" "), F.coalesce("uri_path", F.lit("<path unavailable>")), F.coalesce(F.concat(F.lit("?"), "uri_query"), F.lit("")))
+
+
+def sequence_summary(findings: DataFrame, width: int = 10, key: str = "source_ip") -> DataFrame:
+    """Per entity: observations, undated ones, most distinct patterns and distinctive patterns within ``width`` seconds, least and median seconds between consecutive observations.
+
+    An observation counts once, at its earliest time. Without two dated observations there is no gap, without a dated one no maximum.
+    """
+    named = findings.filter(F.col(key).isNotNull()).select(key, F.unix_millis("ts").alias("ms"), observation_key().alias("o"), visible_pattern().alias("pattern"), (F.col("distinctiveness") == "distinctive").alias("distinctive"))
+    seen = named.groupBy(key, "o").agg(F.min_by(F.struct("ms", "pattern", "distinctive"), F.struct(F.coalesce("ms", F.lit((1 << 63) - 1)), "pattern")).alias("s")).select(key, "s.*")
+    totals = seen.groupBy(key).agg(F.count("*").alias("observations"), F.count_if(F.col("ms").isNull()).alias("undated"))
+    most = sliding_distinct(seen, [key], [width], {"patterns": F.col("pattern"), "distinctive_patterns": F.when(F.col("distinctive"), F.col("pattern"))})
+    most = most.groupBy(key).agg(F.max("patterns").alias("max_patterns"), F.max("distinctive_patterns").alias("max_distinctive_patterns"))
+    # Only distinct times are neighbours; the other observations of a time are 0 apart.
+    times = seen.filter("ms is not null").groupBy(key, "ms").agg(F.count("*").alias("n"))
+    times = with_previous(times, [key], F.floor(F.col("ms") / 3_600_000), "ms", "ms", "before")
+    gap = F.array_compact(F.array(F.when(F.col("before").isNotNull(), F.struct(((F.col("ms") - F.col("before")) / 1000.0).alias("gap"), F.lit(1).cast("long").alias("k"))), F.when(F.col("n") > 1, F.struct(F.lit(0.0).alias("gap"), (F.col("n") - 1).alias("k")))))
+    gaps = times.select(key, F.explode(gap).alias("g")).select(key, "g.*").groupBy(key, "gap").agg(F.sum("k").alias("k"))
+    between = gaps.groupBy(key).agg(F.min("gap").alias("min_gap"), F.expr("percentile(gap, 0.5, k)").alias("median_gap"))
+    return totals.join(most, key, "left").join(between, key, "left")
 
 
 def ordered_sequence(findings: DataFrame, key: str = "source_ip", most: int | None = None) -> DataFrame:

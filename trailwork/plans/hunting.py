@@ -172,18 +172,23 @@ def _(t):
     return FD.triage_view(FD.entity_groups(t.findings), reputation).select("source_ip", "score", "reputation").limit(25)
 
 
-CTES["pats"] = "pats AS (SELECT DISTINCT source_ip, sec, concat_ws(' ', method, uri_path) AS pattern, template_id FROM fd WHERE source_ip IS NOT NULL AND ts IS NOT NULL)"
+CTES["seen"] = f"seen AS (SELECT source_ip, CAST(floor(epoch_us(ts) / 1000.0) AS BIGINT) AS ms, {_OBS} AS o, template_id, coalesce(method, '<method unavailable>') || ' ' || coalesce(uri_path, '<path unavailable>') || coalesce('?' || uri_query, '') AS pattern, distinctiveness FROM fd WHERE source_ip IS NOT NULL)"
 
 
-@query("windowed_burst", """SELECT *, CASE WHEN max_templates >= 3 THEN 'breadth' WHEN max_patterns >= 10 THEN 'depth' ELSE 'none' END AS basis FROM (SELECT source_ip, width, max(t) AS max_templates, max(p) AS max_patterns FROM
-    (SELECT a.source_ip, width, a.sec, count(DISTINCT b.template_id) AS t, count(DISTINCT b.pattern) AS p FROM (SELECT DISTINCT source_ip, sec FROM pats) a, (VALUES (3600), (86400)) w(width), pats b WHERE a.source_ip = b.source_ip AND b.sec BETWEEN a.sec - width AND a.sec GROUP BY 1, 2, 3) GROUP BY 1, 2)""", "e det fd pats")
+CTES["once"] = "once AS (SELECT source_ip, o, min(ms) AS ms, any_value(pattern) AS pattern, any_value(distinctiveness) = 'distinctive' AS distinctive FROM seen GROUP BY 1, 2)"
+
+
+@query("windowed_burst", """SELECT *, CASE WHEN breadth AND depth THEN 'windowed breadth + depth' WHEN breadth THEN 'windowed breadth' WHEN depth THEN 'windowed depth' END AS basis FROM (SELECT source_ip, width, max(n) AS max_observations, max(t) AS max_templates, bool_or(n >= 3 AND t >= 2) AS breadth, bool_or(n >= 10) AS depth FROM
+    (SELECT a.source_ip, width, a.ms, count(DISTINCT b.o) AS n, count(DISTINCT b.template_id) AS t FROM (SELECT DISTINCT source_ip, ms FROM seen WHERE ms IS NOT NULL) a, (VALUES (3600), (86400)) w(width), seen b WHERE a.source_ip = b.source_ip AND b.ms BETWEEN a.ms - width * 1000 AND a.ms GROUP BY 1, 2, 3) GROUP BY 1, 2)""", "e det fd seen")
 def _(t):
     return FD.windowed_burst(t.findings, (3600, 86400))
 
 
-@query("sequence_summary", f"SELECT source_ip, count(*) AS observations, min(gap) AS min_gap, median(gap) AS median_gap FROM (SELECT source_ip, (ms - lag(ms) OVER (PARTITION BY source_ip ORDER BY ms, o)) / 1000.0 AS gap FROM (SELECT source_ip, {_OBS} AS o, min(CAST(floor(epoch_us(ts) / 1000.0) AS BIGINT)) AS ms FROM fd WHERE source_ip IS NOT NULL AND ts IS NOT NULL GROUP BY 1, 2)) GROUP BY 1", _FD)
+@query("sequence_summary", """SELECT t.*, max_patterns, max_distinctive_patterns, min_gap, median_gap FROM (SELECT source_ip, count(*) AS observations, count(*) FILTER (ms IS NULL) AS undated FROM once GROUP BY 1) t
+    LEFT JOIN (SELECT source_ip, max(p) AS max_patterns, max(d) AS max_distinctive_patterns FROM (SELECT a.source_ip, a.ms, count(DISTINCT b.pattern) AS p, count(DISTINCT b.pattern) FILTER (b.distinctive) AS d FROM (SELECT DISTINCT source_ip, ms FROM once WHERE ms IS NOT NULL) a JOIN once b ON a.source_ip = b.source_ip AND b.ms BETWEEN a.ms - 86400000 AND a.ms GROUP BY 1, 2) GROUP BY 1) m USING (source_ip)
+    LEFT JOIN (SELECT source_ip, min(gap) AS min_gap, median(gap) AS median_gap FROM (SELECT source_ip, (ms - lag(ms) OVER (PARTITION BY source_ip ORDER BY ms)) / 1000.0 AS gap FROM once WHERE ms IS NOT NULL) WHERE gap IS NOT NULL GROUP BY 1) g USING (source_ip)""", "e det fd seen once")
 def _(t):
-    return FD.sequence_summary(t.findings)
+    return FD.sequence_summary(t.findings, 86400)
 
 
 @query("ordered_sequence", "SELECT source_ip, ms, pattern, row_number() OVER (PARTITION BY source_ip ORDER BY ms, pattern) AS place FROM (SELECT DISTINCT source_ip, CAST(floor(epoch_us(ts) / 1000.0) AS BIGINT) AS ms, concat_ws(' ', method, uri_path) AS pattern FROM fd WHERE source_ip IS NOT NULL AND ts IS NOT NULL)", _FD)

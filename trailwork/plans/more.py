@@ -72,10 +72,10 @@ def _(t):
     return rows.select("path", "preceded", "successful_sources", "requesting_sources").orderBy(F.desc("preceded"), "successful_sources", "requesting_sources", "path").limit(10)
 
 
-@query("rank_identifier_entries", "SELECT source_ip, method, host, template, position, rejected_ids, ids FROM access ORDER BY rejected_ids DESC NULLS LAST, ids DESC, source_ip, method, host NULLS FIRST, template, position LIMIT 20", "e tpl ids entries")
+@query("rank_identifier_entries", "SELECT source, method, host, template, position, rejected_ids, ids FROM access ORDER BY rejected_ids DESC NULLS LAST, ids DESC, source, method, host NULLS FIRST, template, position LIMIT 20", "e tpl ids src steps entries")
 def _(t):
-    rows = entries(t).select("source_ip", "method", "host", "template", "position", "rejected_ids", "ids")
-    return rows.orderBy(F.desc_nulls_last("rejected_ids"), F.desc("ids"), "source_ip", "method", F.asc_nulls_first("host"), "template", "position").limit(20)
+    rows = entries(t).select("source", "method", "host", "template", "position", "rejected_ids", "ids")
+    return rows.orderBy(F.desc_nulls_last("rejected_ids"), F.desc("ids"), "source", "method", F.asc_nulls_first("host"), "template", "position").limit(20)
 
 
 @query("rank_entities", "SELECT source_ip, observations, templates FROM groups ORDER BY observations DESC, templates DESC, source_ip LIMIT 20", "e det det_cves fd groups")
@@ -88,40 +88,54 @@ def _(t):
     return B.anomaly_sources(odd_paths(t)).limit(20)
 
 
-#: Expressions of event_id % 8 in 0, 1 are constants of 2 or 3 letters; every third event repeats twice, others seven times.
-CTES["sized"] = """sized AS (SELECT *, length(q) AS qlen FROM (SELECT *, CASE WHEN event_id % 3 = 0 THEN 2 ELSE 7 END AS m, CASE WHEN event_id % 8 < 2 THEN CAST(event_id % 8 + 2 AS INT) END AS k, CASE WHEN event_id % 8 < 2 THEN concat('q=repeat(', chr(39), repeat('a', CAST(event_id % 8 + 2 AS INT)), chr(39), ',2)') ELSE 'q=repeat(name,2)' END AS q FROM e)
-    WHERE source_ip IS NOT NULL AND method IS NOT NULL AND uri_path IS NOT NULL AND status IS NOT NULL AND response_bytes IS NOT NULL AND ts IS NOT NULL),
-    ctl AS (SELECT host, source_ip, method, uri_path, status, m, arg_min(event_id, o) AS c_id, arg_min(response_bytes, o) AS c_bytes, arg_min(qlen, o) AS c_len, arg_min(k, o) AS c_k FROM (SELECT *, row_number() OVER (ORDER BY ts, event_id) AS o FROM sized WHERE k IS NOT NULL) GROUP BY ALL),
-    reads AS (SELECT event_id, host, m, response_bytes - c_bytes - (qlen - c_len) AS d, c_k FROM (SELECT s.*, c.c_id, c.c_bytes, c.c_len, c.c_k FROM sized s JOIN ctl c ON s.host IS NOT DISTINCT FROM c.host AND s.source_ip = c.source_ip AND s.method = c.method AND s.uri_path = c.uri_path AND s.status = c.status AND s.m = c.m) WHERE event_id <> c_id),
-    told AS (SELECT event_id, host, m, CASE WHEN d % m <> 0 THEN 'not-fitting' WHEN d // m + c_k < 0 THEN 'negative' WHEN d // m + c_k = 0 THEN 'empty' ELSE 'length' END AS outcome FROM reads)"""
+#: event_id % 8 in 0, 1 reads a constant of 2 or 3 letters; event_id // 4 % 4 tells how: inside HEX with + for spaces, percent
+#: escapes, escapes of escapes, or a logged JSON body. Escapes and escaped escapes decode to the same shape.
+CTES["sized"] = """asked AS (SELECT *, concat(regexp_extract(source_ip, '^[0-9]+[.][0-9]+[.][0-9]+'), '.9') AS peer, event_id // 4 % 4 AS form, CASE WHEN event_id % 8 < 2 THEN CAST(event_id % 8 + 2 AS INT) END AS k, CASE WHEN event_id % 8 < 2 THEN concat('SELECT ', chr(39), repeat('a', CAST(event_id % 8 + 2 AS INT)), chr(39)) ELSE 'SELECT name  FROM t' END AS x FROM e),
+    sized AS (SELECT *, CASE form WHEN 0 THEN 2 ELSE 1 END AS m, CASE form WHEN 2 THEN 1 ELSE form END AS shape, length(CASE form WHEN 0 THEN concat('x=HEX(CAST((', x, ')AS CHAR))') WHEN 1 THEN concat('x=CAST%28%28', replace(x, ' ', '%20'), '%29AS%20CHAR%29') WHEN 2 THEN concat('x=cast%2528%2528', replace(x, ' ', '%2520'), '%2529as%2520char%2529') ELSE concat('{"q":"CAST( (', x, ')AS CHAR)"}') END) AS asks FROM asked
+      WHERE source_ip IS NOT NULL AND status IS NOT NULL AND response_bytes IS NOT NULL AND ts IS NOT NULL),
+    ctl AS (SELECT host, peer, method, status, shape, arg_min(event_id, o) AS c_id, arg_min(response_bytes, o) AS c_bytes, arg_min(asks, o) AS c_asks, arg_min(k, o) AS c_k FROM (SELECT *, row_number() OVER (ORDER BY ts, event_id) AS o FROM sized WHERE k IS NOT NULL) GROUP BY ALL),
+    reads AS (SELECT event_id, host, peer, sec, m, lower(regexp_replace(x, ' +', ' ', 'g')) AS expression, response_bytes - c_bytes - (asks - c_asks) AS d, c_k FROM (SELECT s.*, c.c_id, c.c_bytes, c.c_asks, c.c_k FROM sized s JOIN ctl c ON s.host IS NOT DISTINCT FROM c.host AND s.peer = c.peer AND s.method = c.method AND s.status = c.status AND s.shape = c.shape) WHERE event_id <> c_id),
+    told AS (SELECT *, CASE WHEN d % m = 0 THEN d // m + c_k END AS fit, CASE WHEN d % m <> 0 THEN 'not_fitting' WHEN d // m + c_k < 0 THEN 'negative_estimate' WHEN d // m + c_k = 0 THEN 'empty_or_null' ELSE 'length' END AS outcome FROM reads)"""
 
 
-def _size_pairs(t):
-    m = F.when(F.col("event_id") % 3 == 0, "2").otherwise("7")
-    constant = F.concat(F.lit("'"), F.repeat(F.lit("a"), (F.col("event_id") % 8 + 2).cast("int")), F.lit("'"))
-    q = F.concat(F.lit("Q=repeat("), F.when(F.col("event_id") % 8 < 2, constant).otherwise("name"), F.lit(","), m, F.lit(")"))
-    return B.response_size_pairs(t.events.withColumn("uri_query", q))
+def _size_events(t):
+    k, form = F.col("event_id"), F.floor(F.col("event_id") / 4) % 4
+    x = F.when(k % 8 < 2, F.concat(F.lit("SELECT '"), F.repeat(F.lit("a"), (k % 8 + 2).cast("int")), F.lit("'"))).otherwise(F.lit("SELECT name  FROM t"))
+    wrapped = lambda before, space, after: F.concat(F.lit(before), F.replace(x, F.lit(" "), F.lit(space)), F.lit(after))
+    query = F.when(form == 0, wrapped("x=HEX(CAST((", "+", ")AS+CHAR))")).when(form == 1, wrapped("x=CAST%28%28", "%20", "%29AS%20CHAR%29")).when(form == 2, wrapped("x=cast%2528%2528", "%2520", "%2529as%2520char%2529"))
+    body = F.when(form == 3, wrapped("{\\x22q\\x22:\\x22CAST( (", " ", ")AS CHAR)\\x22}"))
+    peer = F.concat(F.lit("::ffff:"), F.regexp_extract("source_ip", r"^\d+\.\d+\.\d+", 0), F.lit(".9"))
+    return t.events.withColumns({"uri_path": F.lit("/Batch"), "uri_query": query, "uri_fragment": F.lit(None).cast("string"), "request_body": body, "source_ip": peer})
 
 
-@query("response_size_pairs", "SELECT event_id, m AS multiplier, outcome FROM told", "e sized")
+@query("response_size_pairs", "SELECT event_id, CAST(m AS BIGINT) AS multiplier, fit AS length, outcome FROM told", "e sized")
 def _(t):
-    return _size_pairs(t).select("event_id", F.col("multiplier").cast("int").alias("multiplier"), "outcome")
+    return B.response_size_pairs(_size_events(t)).select("event_id", "multiplier", "length", "outcome")
 
 
-@query("host_fit", "SELECT host, count(*) FILTER (m = 2 AND outcome <> 'not-fitting') AS fitting, count(*) FILTER (m = 2 AND outcome = 'not-fitting') AS not_fitting, count(*) FILTER (m <> 2) AS parity_unchecked FROM told GROUP BY 1", "e sized")
+@query("paired_expressions", """SELECT host, expression, count(*) AS requests, count(DISTINCT peer) AS sources, count(DISTINCT fit) FILTER (outcome = 'length') AS lengths, max(fit) FILTER (outcome = 'length') AS longest, count(*) FILTER (outcome = 'negative_estimate') AS negative_estimate, count(*) FILTER (outcome = 'empty_or_null') AS empty_or_null, count(*) FILTER (outcome = 'not_fitting') AS not_fitting, min(sec) AS first_seen, max(sec) AS last_seen FROM told GROUP BY 1, 2""", "e sized")
 def _(t):
-    return B.host_fit(_size_pairs(t))
+    return B.paired_expressions(B.response_size_pairs(_size_events(t)))
 
 
-CTES["chars"] = "chars AS (SELECT *, event_id % 12 AS p, concat('select c', CAST(event_id % 3 AS VARCHAR), ' from t') AS expression FROM e WHERE event_id % 12 > 0 AND event_id % 5 > 0 AND response_bytes IS NOT NULL AND status IS NOT NULL AND ts IS NOT NULL AND source_ip IS NOT NULL AND uri_path IS NOT NULL)"
+@query("host_fit", "SELECT *, fitting / nullif(fitting + not_fitting, 0) AS fit_rate FROM (SELECT host, count(*) FILTER (m = 2 AND outcome <> 'not_fitting') AS fitting, count(*) FILTER (m = 2 AND outcome = 'not_fitting') AS not_fitting, count(*) FILTER (m <> 2) AS parity_unchecked FROM told GROUP BY 1)", "e sized")
+def _(t):
+    return B.host_fit(B.response_size_pairs(_size_events(t)))
+
+
+_WHOLE_READ = "response_bytes IS NOT NULL AND status IS NOT NULL AND ts IS NOT NULL AND source_ip IS NOT NULL"
+CTES["chars"] = f"chars AS (SELECT *, event_id % 12 AS p, concat('select c', CAST(event_id % 3 AS VARCHAR), ' from t') AS expression FROM e WHERE event_id % 12 > 0 AND event_id % 5 > 0 AND uri_path IS NOT NULL AND {_WHOLE_READ})"
 
 
 def _char_events(t):
-    """One call of various spellings; a fifth of the requests has two calls, which can't be told apart."""
+    """One call of various spellings and escapes; a fifth of the requests has two calls, which can't be told apart."""
     k = F.col("event_id")
     inner = F.concat(F.lit("(SELECT  c"), (k % 3).cast("string"), F.lit(" FROM t)"))
-    call = F.concat(F.when(k % 2 == 0, "ascii( substr(").otherwise("ORD(mid("), inner, F.lit(" , "), (k % 12).cast("string"), F.lit(", 1) )"))
-    return t.events.withColumn("uri_query", F.concat(F.lit("x="), call, F.when(k % 5 == 0, F.concat(F.lit("&y="), call)).otherwise("")))
+    given = F.when(k % 4 == 0, inner).when(k % 4 == 1, F.concat(F.lit("COALESCE("), inner, F.lit(", 0x20)"))).when(k % 4 == 2, F.concat(F.lit("IFNULL(CAST("), inner, F.lit(" AS NCHAR), 'a,)')"))).otherwise(F.concat(F.lit("(SELECT "), inner, F.lit(" LIMIT 1)")))
+    call = F.concat(F.when(k % 2 == 0, "ascii( substr(").otherwise("ORD(mid("), given, F.lit(" , "), (k % 12).cast("string"), F.lit(", 1) )"))
+    text = F.concat(F.lit("x="), call, F.when(k % 5 == 0, F.concat(F.lit("&y="), call)).otherwise(""))
+    spelt = F.when(k % 7 < 2, F.replace(text, F.lit(" "), F.lit("+"))).when(k % 7 < 4, F.replace(text, F.lit("("), F.lit("%28"))).when(k % 7 < 6, F.replace(text, F.lit("("), F.lit("%2528"))).otherwise(text)
+    return t.events.withColumn("uri_query", spelt)
 
 
 @query("char_position_reads", "SELECT host, expression, count(*) AS reads, count(DISTINCT p) AS positions, max(p) AS last_position, count(DISTINCT source_ip) AS sources, min(sec) AS first_seen, max(sec) AS last_seen FROM chars GROUP BY 1, 2", "e chars")
@@ -134,6 +148,12 @@ def _(t):
     return B.char_position_sizes(_char_events(t))
 
 
+@query("read_outcomes", f"SELECT CASE WHEN uri_path IS NULL THEN 'none' WHEN event_id % 12 = 0 THEN 'none' WHEN event_id % 5 = 0 THEN 'multiple' WHEN {_WHOLE_READ} THEN 'character' ELSE 'incomplete' END AS kind, count(*) AS requests FROM e GROUP BY 1")
+def _(t):
+    # A position of 0 isn't a read, and two calls of position 0 aren't two reads.
+    return B.read_outcomes(_char_events(t))
+
+
 @query("record_dispositions", "SELECT fd.event_id, fd.template_id FROM fd LEFT JOIN disp ON fd.source_ip = disp.source_ip AND fd.template_id = disp.template_id AND upper(fd.method) = disp.method AND fd.uri_path = disp.uri_path AND fd.uri_query IS NOT DISTINCT FROM disp.uri_query WHERE disposition IS NULL OR disposition <> 'expected'", "e det fd disp")
 def _(t):
     new = t.findings.select("event_id", "source_ip", "template_id", F.upper("method").alias("method"), "uri_path", "uri_query", F.lit("expected").alias("disposition")).filter("source_ip is not null")

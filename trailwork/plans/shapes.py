@@ -114,34 +114,37 @@ def _(t):
     return B.identifiers(t.events).select("event_id", "template", "position", "value")
 
 
-_KEY = "source_ip, method, host, template, position"
-_CONS = f"SELECT {_KEY}, count(*) AS pairs, count(CAST(value AS BIGINT)) AS numeric_pairs, count(*) FILTER (abs(CAST(value AS BIGINT) - CAST(before AS BIGINT)) BETWEEN 1 AND 2) AS adjacent_pairs, count(*) FILTER (value <> before AND (starts_with(value, before) OR starts_with(before, value))) AS prefix_pairs FROM (SELECT *, lag(value) OVER (PARTITION BY {_KEY} ORDER BY event_id) AS before FROM ids) WHERE before IS NOT NULL GROUP BY ALL"
+_KEY = "source, method, host, template, position"
+CTES["src"] = "src AS (SELECT * EXCLUDE (source_ip) REPLACE (coalesce(host, '') AS host, CASE WHEN event_id % 397 = 0 THEN NULL ELSE event_id % 5 * 100 END AS response_bytes), source_ip AS source FROM ids WHERE source_ip IS NOT NULL AND method IS NOT NULL)"
+CTES["steps"] = f"steps AS (SELECT {_KEY}, count(before) AS pairs, count(before) AS numeric_pairs, count(*) FILTER (abs(CAST(value AS BIGINT) - CAST(before AS BIGINT)) BETWEEN 1 AND 2) AS adjacent_pairs, count(*) FILTER (value <> before AND (starts_with(value, before) OR starts_with(before, value))) AS prefix_pairs FROM (SELECT *, lag(value) OVER (PARTITION BY {_KEY} ORDER BY event_id) AS before FROM src) GROUP BY ALL)"
 
 
-@query("consecutive_ids", _CONS, "e tpl ids")
+@query("consecutive_ids", "SELECT 'observed-peer' AS identity, * REPLACE (nullif(host, '') AS host) FROM steps WHERE pairs > 0", "e tpl ids src steps")
 def _(t):
     return B.consecutive_ids(t.events)
 
 
 #: Response sizes repeat and some are missing, so that entries have dominant sizes and some can't be measured.
-CTES["entries"] = f"""src AS (SELECT * REPLACE (coalesce(host, '') AS host, CASE WHEN event_id % 397 = 0 THEN NULL ELSE event_id % 5 * 100 END AS response_bytes) FROM ids WHERE source_ip IS NOT NULL AND method IS NOT NULL),
-    whole AS (SELECT {_KEY}, count(*) AS requests, count(DISTINCT value) AS ids, count(*) FILTER (status BETWEEN 200 AND 299 AND response_bytes IS NULL) AS ok_without_bytes, count(status) AS known, min(ts) AS t0, max(ts) AS t1 FROM src GROUP BY ALL),
-    sized_ids AS (SELECT {_KEY}, value, response_bytes AS size, count(*) AS n FROM src WHERE status BETWEEN 200 AND 299 AND response_bytes IS NOT NULL GROUP BY ALL),
+CTES["entries"] = f"""whole AS (SELECT {_KEY}, count(*) AS requests, count(DISTINCT value) AS ids, count(*) FILTER (status BETWEEN 200 AND 299 AND response_bytes IS NULL) AS ok_without_bytes, count(status) AS known, count(ts) AS dated, min(ts) AS t0, max(ts) AS t1 FROM src GROUP BY ALL),
+    corpus AS (SELECT epoch_ms(min(ts)) - 86400000 AS c0, epoch_ms(max(ts)) + 86400000 AS c1 FROM e),
+    sized_ids AS (SELECT {_KEY}, value, response_bytes AS size, count(*) AS n, count(ts) AS dated, min(ts) AS seen_at FROM src WHERE status BETWEEN 200 AND 299 AND response_bytes IS NOT NULL GROUP BY ALL),
     dominant AS (SELECT {_KEY}, size AS dominant_bytes FROM (SELECT {_KEY}, size, count(*) AS k FROM sized_ids GROUP BY ALL) JOIN whole USING ({_KEY}) WHERE k >= 2 AND ok_without_bytes = 0 QUALIFY row_number() OVER (PARTITION BY {_KEY} ORDER BY k DESC, size) = 1),
-    content AS (SELECT {_KEY}, value, count(*) AS kinds, sum(n) AS content_n FROM sized_ids LEFT JOIN dominant USING ({_KEY}) WHERE dominant_bytes IS NULL OR size <> dominant_bytes GROUP BY ALL),
-    judged AS (SELECT s.*, kinds, content_n, numeric_n, CASE WHEN epoch_ms(t0) - 86400000 <= CAST(value AS HUGEINT) AND CAST(value AS HUGEINT) <= epoch_ms(t1) + 86400000 OR epoch_ms(t0) - 86400000 <= CAST(value AS HUGEINT) * 1000 AND CAST(value AS HUGEINT) * 1000 <= epoch_ms(t1) + 86400000 THEN numeric_n ELSE 0 END AS timely FROM
-      (SELECT {_KEY}, value, count(*) AS numeric_n, coalesce(bool_or(status BETWEEN 200 AND 299 OR status BETWEEN 400 AND 599), false) AS answered, coalesce(bool_or(status BETWEEN 100 AND 199 OR status BETWEEN 300 AND 399), false) AS redirected, coalesce(bool_or(status < 100 OR status > 599), false) AS odd FROM src GROUP BY ALL) s JOIN whole USING ({_KEY}) LEFT JOIN content USING ({_KEY}, value)),
-    summed AS (SELECT {_KEY}, count(kinds) AS content_ids, count(*) FILTER (kinds IS NULL AND answered) AS rejected_ids, count(*) FILTER (kinds IS NULL AND NOT answered AND redirected AND NOT odd) AS redirect_only_ids, count(*) FILTER (content_n >= 2) AS repeated_ids, count(*) FILTER (content_n >= 2 AND kinds = 1) AS stable_ids, sum(numeric_n) AS numeric_n, sum(timely) AS timely FROM judged GROUP BY ALL),
-    steps AS (SELECT {_KEY}, count(before) AS pairs, count(before) AS numeric_pairs, count(*) FILTER (abs(CAST(value AS BIGINT) - CAST(before AS BIGINT)) BETWEEN 1 AND 2) AS adjacent_pairs, count(*) FILTER (value <> before AND (starts_with(value, before) OR starts_with(before, value))) AS prefix_pairs FROM (SELECT *, lag(value) OVER (PARTITION BY {_KEY} ORDER BY event_id) AS before FROM src) GROUP BY ALL),
-    access AS (SELECT source_ip, method, nullif(host, '') AS host, template, position, requests, ids, CASE WHEN m THEN content_ids END AS content_ids, CASE WHEN m THEN rejected_ids END AS rejected_ids, CASE WHEN m THEN redirect_only_ids END AS redirect_only_ids, CASE WHEN m THEN repeated_ids END AS repeated_ids, CASE WHEN m THEN stable_ids END AS stable_ids, CASE WHEN m AND content_ids + rejected_ids > 0 THEN rejected_ids * 1.0 / (content_ids + rejected_ids) END AS rejected_share,
-      dominant_bytes, ok_without_bytes, CASE WHEN t0 IS NOT NULL THEN CAST(timely AS DOUBLE) / CAST(numeric_n AS DOUBLE) END AS timestamp_share, pairs, numeric_pairs, adjacent_pairs, prefix_pairs, CAST(floor(epoch_us(t0) / 1000000.0) AS BIGINT) AS first_seen, CAST(floor(epoch_us(t1) / 1000000.0) AS BIGINT) AS last_seen FROM (SELECT *, ok_without_bytes = 0 AND known > 0 AS m FROM whole) JOIN summed USING ({_KEY}) JOIN steps USING ({_KEY}) LEFT JOIN dominant USING ({_KEY}))"""
+    content AS (SELECT {_KEY}, value, count(*) AS kinds, sum(n) AS content_n, min(seen_at) AS content_at, bool_or(dated < n) AS content_undated FROM sized_ids LEFT JOIN dominant USING ({_KEY}) WHERE dominant_bytes IS NULL OR size <> dominant_bytes GROUP BY ALL),
+    wrote AS (SELECT {_KEY}, value, min(ts) AS seen_at FROM src WHERE method = 'POST' GROUP BY ALL),
+    prior AS (SELECT s.source, s.method, s.host, s.template, s.position, s.value, true AS has_other, min(w.seen_at) AS written_at FROM (SELECT DISTINCT {_KEY}, value FROM src) s JOIN wrote w ON s.source = w.source AND s.value = w.value AND NOT (s.method = w.method AND s.host = w.host AND s.template = w.template AND s.position = w.position) GROUP BY ALL),
+    judged AS (SELECT s.*, kinds, content_n, content_at, content_undated, coalesce(has_other, false) AS has_other, written_at, CASE WHEN CAST(value AS HUGEINT) BETWEEN c0 AND c1 OR CAST(value AS HUGEINT) * 1000 BETWEEN c0 AND c1 THEN numeric_n ELSE 0 END AS timely FROM
+      (SELECT {_KEY}, value, count(*) AS numeric_n, coalesce(bool_or(status BETWEEN 200 AND 299 OR status BETWEEN 400 AND 599), false) AS answered, coalesce(bool_or(status BETWEEN 100 AND 199 OR status BETWEEN 300 AND 399), false) AS redirected, coalesce(bool_or(status < 100 OR status > 599), false) AS odd FROM src GROUP BY ALL) s LEFT JOIN content USING ({_KEY}, value) LEFT JOIN prior USING ({_KEY}, value), corpus),
+    summed AS (SELECT {_KEY}, count(kinds) AS content_ids, count(*) FILTER (kinds IS NULL AND answered) AS rejected_ids, count(*) FILTER (kinds IS NULL AND NOT answered AND redirected AND NOT odd) AS redirect_only_ids, count(*) FILTER (content_n >= 2) AS repeated_ids, count(*) FILTER (content_n >= 2 AND kinds = 1) AS stable_ids, sum(numeric_n) AS numeric_n, sum(timely) AS timely, count(*) FILTER (has_other) AS written_ids, count(*) FILTER (has_other AND NOT content_undated AND written_at < content_at) AS written_before_content FROM judged GROUP BY ALL),
+    access AS (SELECT 'observed-peer' AS identity, source, method, nullif(host, '') AS host, template, position, requests, ids, CASE WHEN m THEN content_ids END AS content_ids, CASE WHEN m THEN rejected_ids END AS rejected_ids, CASE WHEN m THEN redirect_only_ids END AS redirect_only_ids, CASE WHEN m THEN repeated_ids END AS repeated_ids, CASE WHEN m THEN stable_ids END AS stable_ids, CASE WHEN m THEN written_before_content END AS written_before_content, written_ids, CASE WHEN m AND content_ids + rejected_ids > 0 THEN rejected_ids * 1.0 / (content_ids + rejected_ids) END AS rejected_share,
+      dominant_bytes, ok_without_bytes, requests - known AS without_status, requests - dated AS undated, CAST(timely AS DOUBLE) / CAST(numeric_n AS DOUBLE) AS timestamp_share, pairs, numeric_pairs, adjacent_pairs, prefix_pairs, CAST(0 AS BIGINT) AS beyond_64_bits, adjacent_pairs / nullif(numeric_pairs, 0) AS adjacent_share, prefix_pairs / nullif(pairs, 0) AS prefix_share, CAST(NULL AS VARCHAR) AS self_reference, CAST(floor(epoch_us(t0) / 1000000.0) AS BIGINT) AS first_seen, CAST(floor(epoch_us(t1) / 1000000.0) AS BIGINT) AS last_seen FROM (SELECT *, ok_without_bytes = 0 AND known > 0 AS m FROM whole) JOIN summed USING ({_KEY}) JOIN steps USING ({_KEY}) LEFT JOIN dominant USING ({_KEY}))"""
+_ENTRIES = "e tpl ids src steps entries"
 
 
 def entries(t):
     return B.identifier_access(t.events.withColumn("response_bytes", F.when(F.col("event_id") % 397 != 0, F.col("event_id") % 5 * 100)))
 
 
-@query("identifier_access", "SELECT * FROM access", "e tpl ids entries")
+@query("identifier_access", "SELECT * FROM access", _ENTRIES)
 def _(t):
     return entries(t)
 

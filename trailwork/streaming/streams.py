@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from trailwork.functions.tables import shared_folder
 from trailwork.operators import compare, matching
 
 
@@ -42,16 +43,6 @@ def stream_observation_store(events: DataFrame, store_path: str, bits: int = 24)
     return events.writeStream.foreachBatch(append)
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir where the cluster sets it, else a scratch folder (tests)."""
-    import tempfile
-
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found and not spark.sparkContext.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-    return found or tempfile.mkdtemp(prefix="spark-")
-
-
 def run_available(frame: DataFrame, mode: str = "append") -> DataFrame:
     """Run a streaming query over all input there is, into a Parquet table in the shared folder, and read it."""
     import uuid
