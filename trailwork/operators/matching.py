@@ -45,11 +45,12 @@ def match_detections(events: DataFrame, detections: DataFrame) -> DataFrame:
     """One finding for each (event, template): exact path, then method without case, query contained, fragment equal, headers present.
 
     Of several requests of one template the one of the lowest ordinal counts. Detections: template_id, ordinal, cves,
-    severity, method, path, query and, if there, fragment, headers. A request without a method never matches.
+    severity, method, path, query and, if there, fragment, headers. A request without a method never matches. CVEs come out
+    sorted and once each.
     """
     hit = detection_hits(events, detections)
     least = hit.groupBy("event_id", "template_id").agg(F.min("ordinal").alias("ordinal"))
-    kept = hit.join(least, ["event_id", "template_id", "ordinal"])
+    kept = hit.join(least, ["event_id", "template_id", "ordinal"]).withColumn("cves", F.array_sort(F.array_distinct("cves")))
     return kept.withColumns({"distinctiveness": W.path_distinctiveness(F.col("uri_path")), "outcome": W.waf_outcome(F.col("waf_action"))})
 
 

@@ -96,7 +96,8 @@ DETECTION = "template_id string, ordinal int, cves array<string>, detectability
 
 
 def read_detections(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(DETECTION).json(path)
+    """Detections of a JSON file, the CVEs of each sorted and once each."""
+    return spark.read.schema(DETECTION).json(path).withColumn("cves", F.array_sort(F.array_distinct("cves")))
 
 
 def select_detections(detections: DataFrame) -> DataFrame:

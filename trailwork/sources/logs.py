@@ -73,6 +73,14 @@ def _parts(line: Column, pattern: str, groups: int) -> Column:
     return F.split(marked, _MARK, -1)
 
 
+def once(rows: DataFrame, **columns: Column) -> DataFrame:
+    """Add columns that are worked out once a row, however often they are used later.
+
+    They come out of a generator of one row, which the optimizer moves neither filters nor other columns through.
+    """
+    return rows.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
+
+
 def unescaped(text: Column) -> Column:
     """A quoted value with \\" and \\\\ as what they stand for; other escapes stay."""
     return F.when(text.contains("\\"), F.regexp_replace(text, r'\\(["\\])', "$1")).otherwise(text)
@@ -89,11 +97,12 @@ def _combined(rows: DataFrame, first: int, groups: int, reason: Column | None =
     """Rows with the parts of a line (``p``) read as Combined from place ``first`` on, and the columns of an event."""
     g = lambda i: F.get("p", F.lit(first + i))
     control = r"[\p{Cntrl}]"
-    rows = rows.withColumn("matched", F.size("p") == groups).withColumn("request", F.when(F.col("matched"), g(2))).withColumn("words", F.filter(F.split(unescaped(F.col("request")), r"\s+"), lambda w: w != ""))
-    rows = rows.withColumns({"target": F.get("words", F.lit(1)), "ts": F.when(F.col("matched"), clf_time(g(1)))})
+    whole = F.size("p") == groups
+    rows = once(rows, matched=whole, request=F.when(whole, g(2)), words=F.filter(F.split(unescaped(F.when(whole, g(2))), r"\s+"), lambda w: w != ""), ts=F.when(whole, clf_time(g(1))))
+    rows = rows.withColumn("target", F.get("words", F.lit(1)))
     target = F.col("target")
     path, query, fragment = W.split_target(target)
-    text = lambda c: F.when(~c.rlike(control), unescaped(_dash(c)))
+    text = lambda c: F.when(~c.rlike(control), unescaped(F.nullif(c, F.lit("-"))))
     referer, agent = text(g(5)), text(g(6))
     why = F.when(F.octet_length("line") > LONGEST_LINE, "line-too-long")
     if reason is not None:
@@ -119,7 +128,7 @@ def split_errors(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def parse_combined(lines: DataFrame, source: str = "nginx") -> DataFrame:
-    rows, columns = _combined(lines.withColumn("p", _parts(F.col("line"), COMBINED, 7)), 0, 7)
+    rows, columns = _combined(once(lines, p=_parts(F.col("line"), COMBINED, 7)), 0, 7)
     return _rows(rows, columns, source)
 
 
@@ -127,18 +136,21 @@ def parse_vhost_combined(lines: DataFrame, plain_first: bool = False) -> DataFra
     """Combined with ``host[:port]`` or a dash before it; with plain_first each line is tried as plain Combined before."""
     with_host = _parts(F.col("line"), VHOST, 8)
     if plain_first:
-        plain = _parts(F.col("line"), COMBINED, 7)
-        with_host = F.when(F.col("line").rlike(COMBINED), F.concat(F.array(F.lit("-")), plain)).otherwise(with_host)
-    rows, columns = _combined(lines.withColumn("p", with_host), 1, 8)
+        rows = once(lines, plain=_parts(F.col("line"), COMBINED, 7))
+        with_host = F.when(F.size("plain") == 7, F.concat(F.array(F.lit("-")), "plain")).otherwise(with_host)
+    rows, columns = _combined(once(rows if plain_first else lines, p=with_host), 1, 8)
     host = F.regexp_replace(_dash(F.get("p", F.lit(0))), r"(?<=.):\d{1,5}$", "")
     return _rows(rows, columns | {"host": host}, "apache")
 
 
 def parse_nginx_postdata(lines: DataFrame) -> DataFrame:
-    """Combined with content type, TLS, cipher, seconds and body; an optional transport prefix gives the host by its file name."""
-    rows = lines.withColumn("bare", F.regexp_replace("line", POSTDATA_PREFIX, ""))
-    rows = rows.withColumn("p", _parts(F.col("bare"), POSTDATA, 12))
-    g = lambda i: unescaped(_dash(F.get("p", F.lit(i))))
+    """Combined with content type, TLS, cipher, seconds and body; an optional transport prefix gives the host by its file name.
+
+    Bytes that the server logged as \\xHH stay as they are in all parts.
+    """
+    rows = once(lines, bare=F.regexp_replace("line", POSTDATA_PREFIX, ""))
+    rows = once(rows, p=_parts(F.col("bare"), POSTDATA, 12))
+    g = lambda i: F.nullif(F.get("p", F.lit(i)), F.lit("-"))
     seconds = F.get("p", F.lit(10))
     special = F.when(F.col("bare").rlike(ERROR_LOG), "error-log").when(F.col("bare").contains("postdata[") & ~F.col("bare").endswith("]"), "truncated")
     bad_time = F.when((F.size("p") == 12) & (seconds != "-") & ~F.coalesce(seconds.try_cast("double").between(0.0, 1e300), F.lit(False)), "request-time")
