@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trailwork.llm.common import Powers, materialize, slices, word_hashes
+from trailwork.llm.common import Powers, materialize, slices, unused, word_hashes
 from trailwork.llm.components import components
 
 BINS = 1 << 18
@@ -99,15 +99,12 @@ def key_of(grams: np.ndarray) -> bytes:
 
 
 def pack(grams: np.ndarray) -> bytes:
-    """The sorted low 48 bits of the hashes, six bytes each."""
-    low = np.unique(grams & np.uint64((1 << 48) - 1))
-    return low.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+    """The sorted hashes, eight bytes each."""
+    return grams.astype("<u8").tobytes()
 
 
 def unpack(data: bytes) -> np.ndarray:
-    wide = np.zeros((len(data) // 6, 8), np.uint8)
-    wide[:, :6] = np.frombuffer(data, np.uint8).reshape(-1, 6)
-    return wide.view("<u8").ravel()
+    return np.frombuffer(data, "<u8")
 
 
 def filter_of(bits: DataFrame) -> np.ndarray:
@@ -501,5 +498,6 @@ def keep_one_each(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
 
     Rows that repeat doc_id and text stay once. Rows without a doc_id can't be told apart by it: their distinct texts stay.
     """
-    kept = jaccard_classes(docs, n, percent, count=False).filter("doc_id <=> component_id").select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(F.col("__id"))).drop("__id").dropDuplicates(["doc_id", "text"])
+    own = unused(docs, "own_id")
+    kept = jaccard_classes(docs, n, percent, count=False).filter("doc_id <=> component_id").select(F.col("doc_id").alias(own)).distinct()
+    return docs.join(kept, docs["doc_id"].eqNullSafe(F.col(own))).drop(own).dropDuplicates(["doc_id", "text"])

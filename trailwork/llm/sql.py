@@ -39,10 +39,12 @@ JACCARD = f"""WITH RECURSIVE x AS (SELECT doc_id, regexp_extract_all({_FOLD.form
     s AS (SELECT DISTINCT doc_id, unnest([ws[i:i + 2] for i in range(1, greatest(len(ws) - 2, 1) + 1)]) AS sh FROM x WHERE len(ws) > 0),
     z AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
     p AS (SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS i FROM s a JOIN s b ON a.sh = b.sh AND a.doc_id < b.doc_id GROUP BY 1, 2),
-    l AS (SELECT u, v FROM p JOIN z a ON a.doc_id = u JOIN z b ON b.doc_id = v WHERE 100 * i >= 90 * (a.n + b.n - i)),
-    e AS (SELECT u, v FROM l UNION ALL SELECT v, u FROM l),
-    r AS (SELECT doc_id, doc_id AS root FROM documents UNION SELECT e.v, r.root FROM r JOIN e ON e.u = r.doc_id)
-    SELECT doc_id, coalesce(any_value(n), 0) AS n_shingles, min(root) AS component_id FROM r LEFT JOIN z USING (doc_id) GROUP BY 1"""
+    l AS (SELECT u, v, i = a.n AND i = b.n AS same FROM p JOIN z a ON a.doc_id = u JOIN z b ON b.doc_id = v WHERE 100 * i >= 90 * (a.n + b.n - i)),
+    e AS (SELECT u, v, same FROM l UNION ALL SELECT v, u, same FROM l),
+    r AS (SELECT doc_id, doc_id AS root FROM documents UNION SELECT e.v, r.root FROM r JOIN e ON e.u = r.doc_id),
+    c AS (SELECT doc_id, least(doc_id, coalesce(min(v), doc_id)) AS cls FROM documents LEFT JOIN e ON u = doc_id AND same GROUP BY 1),
+    k AS (SELECT u AS doc_id, count(DISTINCT cls) AS class_links FROM e JOIN c ON c.doc_id = e.v WHERE NOT same GROUP BY 1)
+    SELECT doc_id, coalesce(any_value(n), 0) AS n_shingles, min(root) AS component_id, coalesce(any_value(class_links), 0) AS class_links FROM r LEFT JOIN z USING (doc_id) LEFT JOIN k USING (doc_id) GROUP BY 1"""
 
 #: Eight hex digits of ``digest``, from number ``k``, as a whole number.
 _DIGITS = "list_reduce(list_transform(range(1, 9), lambda i: strpos('0123456789abcdef', substr(digest, 8 * {k} + i, 1)) - 1), lambda x, y: x * 16 + y)"
