@@ -485,14 +485,47 @@ def test_language(spark):
     assert language.language_report(documents(spark, texts, [None] * 64)).select("lang_pred").distinct().collect()[0][0] == "und"
 
 
-def test_long_texts_are_parsed_in_pieces():
+def test_long_texts_are_parsed_as_a_whole(monkeypatch):
     rng = random.Random(9)
     sample = "".join(rng.choice("abc ") for _ in range(400))
-    model = language.Model({"x": language.clean(sample), "y": "ab"})
-    text = language.clean("".join(rng.choice("abc ") for _ in range(2 * language.PIECE + 300)))
-    codes = model.encode(text)
-    pieces = [codes[i : i + language.PIECE] for i in range(0, len(codes), language.PIECE)]
-    assert len(pieces) == 3 and model.phrases([codes])[0].tolist() == model.phrases(pieces).sum(0).tolist()
+    model = language.Model({"x": language.clean(sample), "y": "ab" * 300, "z": "abc"})
+    made = ["".join(rng.choice("abc ") for _ in range(3_000)), sample * 12, "ab" * 2_000, "a" * 1_500 + "b" * 1_500, "abd" * 700, "ab", "d"]
+    texts = [model.encode(language.clean(t)) for t in made]
+    monkeypatch.setattr(language, "PIECE", 1 << 20)
+    whole = model.phrases(texts)
+    for piece in (1, 7, 64, 1_000):
+        monkeypatch.setattr(language, "PIECE", piece)
+        assert (model.phrases(texts) == whole).all(), piece
+
+
+def test_a_very_long_text_equals_an_unbroken_parse(monkeypatch):
+    rng = random.Random(4)
+    vocabulary = ["".join(rng.choice("abcdefgh") for _ in range(rng.randrange(2, 8))) for _ in range(300)]
+    make = lambda n: " ".join(rng.choice(vocabulary) for _ in range(n))
+    model = language.Model({"x": make(3_000), "y": make(200)})
+    codes = model.encode(make(40_000)[:200_000])
+    pieces = model.phrases([codes])
+    monkeypatch.setattr(language, "PIECE", 1 << 20)
+    assert (pieces == model.phrases([codes])).all()
+
+
+def test_a_hundred_languages(spark, monkeypatch):
+    rng = random.Random(6)
+    words_of = {f"l{k:03}": ["".join(rng.choice("abcdefghijklmnop") for _ in range(5)) for _ in range(30)] for k in range(100)}
+    text = lambda k: " ".join(rng.choice(words_of[k]) for _ in range(40))
+    rows = [(i, text(k), k) for i, k in enumerate(sorted(words_of) * 3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = language.language_report(docs).collect()
+    learned = {rows[r.doc_id][2] for r in got if not r.held_out}
+    assert len(learned) > 90 and np.mean([r.lang_pred == rows[r.doc_id][2] for r in got if rows[r.doc_id][2] in learned]) > 0.95
+    # Tables of fewer columns give the same counts.
+    samples = {k: text(k) for k in list(words_of)[:20]}
+    wide = language.Model(samples)
+    monkeypatch.setattr(language, "ENTRIES", 0)
+    narrow = language.Model(samples)
+    texts = [text(k) for k in list(words_of)[:25]]
+    assert narrow.width == 2 < wide.width
+    assert (wide.phrases([wide.encode(t) for t in texts]) == narrow.phrases([narrow.encode(t) for t in texts])).all() and np.allclose(wide.own, narrow.own)
 
 
 def test_uneven_samples_are_normalised():

@@ -11,6 +11,7 @@ them in lockstep.
 
 from __future__ import annotations
 
+import json
 from collections import Counter
 from collections.abc import Iterator
 
@@ -25,11 +26,12 @@ from trailwork.llm.common import fold
 SAMPLE, FROM_ONE_TEXT = 24_000, 1_500
 #: Parts of a sample that are parsed by the others to learn how many phrases a language's own text needs.
 PARTS = 4
-#: Letters with columns of their own in the tables; transitions by other letters are looked up in a sorted list.
-ALPHABET = 62
-#: Most languages: the model's size is bounded by this times SAMPLE.
-LANGUAGES = 64
-#: A phrase never runs on over the border of two pieces of this many characters of a text; all pieces are parsed.
+#: Letters with columns of their own in the tables, fewer where many languages would make the tables larger than so many
+#: entries; transitions by other letters are looked up in a sorted list, with the same result.
+ALPHABET, ENTRIES = 62, 1 << 26
+#: Languages that are learned, those with most labelled texts (a documented bound on the sample: this times SAMPLE letters).
+LANGUAGES = 4_096
+#: Letters of a text that are walked one after the other; its pieces are walked side by side and then joined up.
 PIECE = 2_048
 GAP, UNKNOWN = 0, 1
 
@@ -93,7 +95,8 @@ class Model:
         for i, c in enumerate(known):
             self.code[ord(c)] = i + 2
         self.symbols = len(known) + 2
-        self.width = min(len(known), ALPHABET) + 2
+        states = 2 * sum(map(len, samples.values()))
+        self.width = max(0, min(len(known), ALPHABET, ENTRIES // max(1, states) - 2)) + 2
         encoded = [self.encode(samples[k]) for k in self.languages]
         self.own = np.array([self.own_rate(x) for x in encoded])
         self.load(encoded)
@@ -149,7 +152,12 @@ class Model:
         return codes[:-1] if len(codes) and codes[-1] == GAP else codes
 
     def phrases(self, texts: list[np.ndarray]) -> np.ndarray:
-        """Number of phrases of every encoded text (row) in every language (column)."""
+        """Number of phrases of every encoded text (row) in every language (column), each text cut from left to right as a whole.
+
+        Long texts are walked in pieces side by side, each as if a phrase began with it. A piece is then walked again from
+        the state in which the piece before it really ends, until both walks are in the same state, after which they are
+        one. Only where they never meet, the piece after it has to be looked at again too.
+        """
         pieces, owner = [], []
         for i, codes in enumerate(texts):
             for at in range(0, len(codes), PIECE):
@@ -158,59 +166,99 @@ class Model:
         out = np.zeros((len(texts), len(self.roots)), np.int64)
         if not pieces:
             return out
+        owner = np.array(owner)
+        stops, ends = np.zeros((len(pieces), len(self.roots)), np.int64), np.zeros((len(pieces), len(self.roots)), np.int32)
         lengths = np.array([len(p) for p in pieces])
         order = np.argsort(-lengths, kind="stable")
-        lengths, owner = lengths[order], np.array(owner)[order]
         for lo in range(0, len(order), 2048):
-            size = lengths[lo : lo + 2048]
-            grid = np.zeros((int(size[0]), len(size)), np.uint32)
-            for k, i in enumerate(order[lo : lo + 2048]):
-                grid[: size[k], k] = pieces[i]
-            out_part = self._walk(grid, size)
-            np.add.at(out, owner[lo : lo + 2048], out_part)
+            part = order[lo : lo + 2048]
+            stops[part], ends[part] = self._walk([pieces[i] for i in part])
+        follows = np.flatnonzero(owner[1:] == owner[:-1]) + 1
+        if len(follows):
+            begun = np.repeat(self.roots[None, :], len(pieces), 0)
+            while len(follows):
+                start = ends[follows - 1]
+                new = (start != begun[follows]).any(1)
+                follows, start = follows[new], start[new]
+                if not len(follows):
+                    break
+                before = ends[follows].copy()
+                for lo in range(0, len(follows), 2048):
+                    part = follows[lo : lo + 2048]
+                    more, last, met = self._rejoin([pieces[i] for i in part], begun[part], start[lo : lo + 2048])
+                    stops[part] += more
+                    ends[part] = np.where(met, ends[part], last)
+                begun[follows] = start
+                moved = follows[(ends[follows] != before).any(1)] + 1
+                follows = moved[(moved < len(owner)) & (owner[np.minimum(moved, len(owner) - 1)] == owner[moved - 1])]
+        np.add.at(out, owner, stops)
+        out[np.unique(owner)] += 1  # the first phrase
         return out
 
-    def _walk(self, grid: np.ndarray, size: np.ndarray) -> np.ndarray:
-        """Columns of ``grid`` are pieces, longest first."""
-        flat, width = self.table.ravel(), self.table.shape[1]
-        state = np.repeat(self.roots[None, :], grid.shape[1], 0)
-        count = np.ones(state.shape, np.int64)
-        alive = np.searchsorted(-size, -np.arange(1, len(grid) + 1), side="right")
+    def _fresh(self) -> np.ndarray:
+        """symbol -> state after it as the first of a phrase, for every language."""
         first = self.table[self.roots]
-        if self.symbols > width:
-            others = np.arange(width, self.symbols)[None, :]
+        if self.symbols > self.table.shape[1]:
+            others = np.arange(self.table.shape[1], self.symbols)[None, :]
             first = np.concatenate([first, self.after(self.roots[:, None], others)], 1)
-        fresh = np.where(first >= 0, first, self.roots[:, None]).T  # symbol -> state after it as a new phrase
-        for t in range(len(grid)):
-            n = alive[t]
-            symbol = grid[t, :n]
-            to = flat[state[:n].astype(np.int64) * width + np.minimum(symbol, width - 1)[:, None]]
-            rare = np.flatnonzero(symbol >= width)
-            if len(rare):
-                to[rare] = self.after(state[rare], symbol[rare, None])
-            stop = to < 0
+        return np.where(first >= 0, first, self.roots[:, None]).T
+
+    def _step(self, state: np.ndarray, symbol: np.ndarray, fresh: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(states after a symbol, where a new phrase began with it)."""
+        width = self.table.shape[1]
+        to = self.table.ravel()[state.astype(np.int64) * width + np.minimum(symbol, width - 1)[:, None]]
+        rare = np.flatnonzero(symbol >= width)
+        if len(rare):
+            to[rare] = self.after(state[rare], symbol[rare, None])
+        stop = to < 0
+        return np.where(stop, fresh[symbol], to), stop
+
+    def _walk(self, pieces: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """(phrases that begin within, last state) of each piece, longest first, from the root."""
+        size = np.array([len(p) for p in pieces])
+        grid = np.zeros((int(size[0]), len(size)), np.uint32)
+        for k, p in enumerate(pieces):
+            grid[: size[k], k] = p
+        state, count, fresh = np.repeat(self.roots[None, :], len(size), 0), np.zeros((len(size), len(self.roots)), np.int64), self._fresh()
+        alive = np.searchsorted(-size, -np.arange(1, len(grid) + 1), side="right")
+        for t, n in enumerate(alive):
+            state[:n], stop = self._step(state[:n], grid[t, :n], fresh)
             count[:n] += stop
-            state[:n] = np.where(stop, fresh[symbol], to)
-        return count
+        return count, state
+
+    def _rejoin(self, pieces: list[np.ndarray], was: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(phrases more than from the state ``was``, last state, whether both walks met) of each piece and language, from ``start``."""
+        fresh, on = self._fresh(), np.arange(len(pieces))
+        more, last, met = np.zeros(start.shape, np.int64), start.copy(), was == start
+        was, state = was.copy(), start.copy()
+        for t in range(max(map(len, pieces))):
+            on = on[[t < len(pieces[i]) and not met[i].all() for i in on]]
+            if not len(on):
+                break
+            symbol = np.array([pieces[i][t] for i in on], np.uint32)
+            was[on], stop_was = self._step(was[on], symbol, fresh)
+            state[on], stop = self._step(state[on], symbol, fresh)
+            more[on] += np.where(met[on], 0, stop.astype(np.int64) - stop_was)
+            met[on] |= was[on] == state[on]
+            last[on] = state[on]
+        return more, last, met
 
 
 def train(docs: DataFrame, sample: int = SAMPLE, most: int = LANGUAGES) -> Model | None:
     """Learn from a bounded sample of labelled texts, seeded by doc_id; None where no text is labelled.
 
-    What reaches the driver is about sample letters a language, for at most ``most`` languages (ValueError beyond). Equal
+    What reaches the driver is about sample letters a language, for the ``most`` languages with most labelled texts. Equal
     pieces enter a sample once. Rows with a null text, a null lang or without a letter are not learned from.
     """
     labelled = docs.filter("lang is not null and text is not null").select("lang", "doc_id", "text")
     labelled = labelled.filter(F.col("text").rlike(r"\p{L}")).withColumn("draw", F.xxhash64("doc_id", "text"))
     size = F.least(F.length("text"), F.lit(FROM_ONE_TEXT))
-    counts = {r.lang: (r.n, r.size) for r in labelled.groupBy("lang").agg(F.count("*").alias("n"), F.avg(size).alias("size")).limit(most + 1).collect()}
-    if len(counts) > most:
-        raise ValueError(f"more than {most} languages")
+    counts = {r.lang: (r.n, r.size) for r in labelled.groupBy("lang").agg(F.count("*").alias("n"), F.avg(size).alias("size")).orderBy(F.desc("n"), "lang").limit(most).collect()}
     if not counts:
         return None
     # Enough texts of each language by a threshold on the draw; no sort, no window. Some of what is drawn are no letters.
     want = {k: 2 * sample / size + 50 for k, (_, size) in counts.items()}
-    limit = F.create_map(*[F.lit(x) for k, (n, _) in counts.items() for x in (k, min(1.0, want[k] / n))])
+    limit = F.from_json(F.lit(json.dumps({k: min(1.0, want[k] / n) for k, (n, _) in counts.items()})), "map<string,double>")
     part = F.pmod("draw", F.lit(1 << 30)) / float(1 << 30)
     # A piece from anywhere in the text, by the draw; what isn't a letter doesn't count.
     letters = F.trim(F.regexp_replace("text", r"\P{L}+", " "))
@@ -232,8 +280,7 @@ def language_of(docs: DataFrame, model: Model | None, out: str = "language") ->
     """Add a struct (lang_pred, score, phrases, letters): und and 0 where the text is null or has no letter.
 
     score is the winner's share of the inverse normalised counts, 0 to 1; phrases are the winner's, not normalised. Ties go
-    to the first language in order. A text longer than PIECE is parsed in pieces, all of them. Extra columns stay; repeated
-    rows get the same answer.
+    to the first language in order. Extra columns stay; repeated rows get the same answer.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
