@@ -21,8 +21,8 @@ from trailwork.llm.common import Powers, fold, span_hashes, text_blocks, word_sp
 
 BUCKETS, SIZE = 1 << 16, 8
 SHORTEST, LONGEST = 3, 5
-#: Rows of each label in the training sample, and bytes of their texts in all (documented bounds).
-PER_LABEL, SAMPLE_BYTES = 3_000, 24 << 20
+#: Rows of each label in the training sample, and entries of their bags in all (documented bounds; an entry takes four bytes).
+PER_LABEL, SAMPLE_ENTRIES = 3_000, 48_000_000
 EPOCHS, BATCH, RATE = 20, 128, 0.05
 #: Pull of the vectors towards 0, each time one is used.
 DECAY = 0.03
@@ -120,10 +120,12 @@ def bags_of(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, float]]:
         yield used.astype(np.uint16), held.astype(np.uint16), 1 / max(1.0, held.sum())
 
 
-def fit(texts: list[str], labels: np.ndarray, prior: float, seed: int = 5) -> Model:
-    """Adam on the log loss, vectors and weights together; the bias is then moved from the sample's share to ``prior``."""
+def fit(bags: list[tuple[np.ndarray, np.ndarray, float]], labels: np.ndarray, prior: float, seed: int = 5) -> Model:
+    """Adam on the log loss, vectors and weights together; the bias is then moved from the sample's share to ``prior``.
+
+    A bag is what ``bags_of`` gives for a text.
+    """
     rng = np.random.default_rng(seed)
-    bags = [bag for lo in range(0, len(texts), CHUNK) for bag in bags_of(texts[lo : lo + CHUNK])]
     vectors = rng.uniform(-1 / SIZE, 1 / SIZE, (BUCKETS, SIZE)).astype(np.float32)
     weights = rng.normal(0, 1, SIZE).astype(np.float32)
     bias = np.zeros(1, np.float32)
@@ -159,10 +161,24 @@ def fit(texts: list[str], labels: np.ndarray, prior: float, seed: int = 5) -> Mo
     return Model(vectors, weights, float(bias[0]) + np.log(prior / (1 - prior)) - np.log(share_1 / (1 - share_1)))
 
 
-def train(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL, most_bytes: int = SAMPLE_BYTES) -> Model | None:
-    """Learn from at most per_label rows of each label and most_bytes bytes of text, drawn by a seeded hash.
+def with_bag(docs: DataFrame, out: str = "bag") -> DataFrame:
+    """Add the bag of the whole text in a binary column: its buckets, then their counts, two bytes each."""
+
+    @F.arrow_udf("binary")
+    def bag(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            made = (x for lo in range(0, len(texts), CHUNK) for x in bags_of(texts[lo : lo + CHUNK].to_pylist()))
+            yield pa.array([used.tobytes() + held.tobytes() for used, held, _ in made], pa.binary())
+
+    return docs.withColumn(out, bag.asNondeterministic()(F.col("text")))
+
+
+def train(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL, most_entries: int = SAMPLE_ENTRIES) -> Model | None:
+    """Learn from at most per_label rows of each label, drawn by a seeded hash. None where nothing is labelled.
 
-    None where nothing is labelled. Lengths are looked at first, so that no more text than that leaves its task.
+    Texts are spelt where they lie; their bags reach the driver. Rows are taken in the order of the draw until their bags
+    could have ``most_entries`` entries in all; a text of any length takes as many as there are buckets at most, so it is
+    drawn like any other.
     """
     marks = labels.filter("toxic in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     counts = {r.toxic: r.n for r in marks.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
@@ -172,19 +188,28 @@ def train(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL, most_b
     draw = F.xxhash64("doc_id")
     part = F.pmod(draw, F.lit(1 << 30)) / float(1 << 30)
     drawn = F.broadcast(marks.filter(part < limit[F.col("toxic")]).orderBy("toxic", draw).limit(4 * per_label))  # so many rows at most
-    texts = docs.filter("text is not null").select("doc_id", "text", F.octet_length("text").alias("size"), F.crc32(F.col("text").cast("binary")).alias("crc"))
+    # An n-gram of a text begins at most three times at a letter, but far fewer are different; two a byte is seldom reached.
+    entries = F.least(2 * F.octet_length("text"), F.lit(BUCKETS))
+    texts = docs.filter("text is not null").select("doc_id", "text", entries.alias("size"), F.crc32(F.col("text").cast("binary")).alias("crc"))
     offered = texts.join(drawn, "doc_id").select("doc_id", "toxic", "size", "crc", draw.alias("draw")).distinct().orderBy("draw", "doc_id", "size", "crc").limit(4 * per_label).collect()
-    left, chosen = most_bytes, []
+    left, chosen = most_entries, []
     for r in offered:
-        if r["size"] <= left:
-            chosen.append((r.doc_id, r["size"], r.crc, r.toxic))
-            left -= r["size"]
+        left -= r["size"]
+        if left < 0:
+            break
+        chosen.append((r.doc_id, r["size"], r.crc, r.toxic))
     if not chosen:
         return None
     wanted = F.broadcast(docs.sparkSession.createDataFrame(chosen, "doc_id long, size int, crc long, toxic int"))
-    rows = texts.join(wanted, ["doc_id", "size", "crc"]).dropDuplicates(["doc_id", "size", "crc"]).collect()  # at most most_bytes of text
-    rows.sort(key=lambda r: (r.doc_id, r["size"], r.crc))
-    return fit([r.text for r in rows], np.array([r.toxic for r in rows], np.float32), counts.get(1, 0) / sum(counts.values()))
+    # Equal texts of one id give one bag.
+    rows = with_bag(texts.join(wanted, ["doc_id", "size", "crc"])).groupBy("doc_id", "size", "crc", "toxic").agg(F.min("bag").alias("bag")).select("doc_id", "crc", "toxic", "bag").toArrow()
+    order = np.lexsort((rows.column("crc").to_numpy(), rows.column("doc_id").to_numpy()))
+    bags = []
+    for held in rows.column("bag").combine_chunks().take(pa.array(order)):
+        both = np.frombuffer(held.as_buffer(), np.uint16)
+        counted = both[len(both) // 2 :]
+        bags.append((both[: len(both) // 2], counted, 1 / max(1.0, float(counted.sum(dtype=np.float64)))))
+    return fit(bags, rows.column("toxic").to_numpy()[order].astype(np.float32), counts.get(1, 0) / sum(counts.values()))
 
 
 def with_toxicity(docs: DataFrame, model: Model | None, out: str = "toxicity") -> DataFrame:
