@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 
 from trailwork.functions import network as N
 from trailwork.functions import web as W
-from trailwork.functions.tables import small
+from trailwork.functions.tables import is_small, small, written
+from trailwork.operators import rules as R
 
 def request_specificity(detections: DataFrame) -> Column:
     has = F.col("query").isNotNull()
@@ -60,54 +61,9 @@ def filter_findings(findings: DataFrame, outcome: str | None = None, include_gen
     return out if include_generic else out.filter(~((F.col("distinctiveness") == "generic") & (F.col("specificity") == "response-unverified")))
 
 
-def selection_predicate(selection: dict, columns: list[str]) -> Column:
-    """All fields of a selection; a field's values are OR-ed, or AND-ed with all; compares without ASCII case. Of keywords, any."""
-    lowered = lambda c: F.lower(c)
-    parts = []
-    for field in selection.get("fields", []):
-        value = lowered(W.field_value(field["field"], columns))
-        tests = [value.contains(v.lower()) if field.get("contains") else value == v.lower() for v in field["values"]]
-        parts.append(reduce(lambda a, b: a & b if field.get("all") else a | b, tests))
-    words = [lowered(W.keyword_text(columns)).contains(w.lower()) for w in selection.get("keywords", [])]
-    if words:
-        parts.append(reduce(lambda a, b: a | b, words))
-    return F.coalesce(reduce(lambda a, b: a & b, parts), F.lit(False)) if parts else F.lit(False)
-
-
-def rule_predicate(rule: dict, columns: list[str]) -> Column:
-    """condition: OR of clauses, each an AND of (selection name, negated)."""
-    made = {s["name"]: selection_predicate(s, columns) for s in rule["selections"]}
-    clauses = [reduce(lambda a, b: a & b, [~made[n] if negated else made[n] for n, negated in clause]) for clause in rule["condition"]]
-    return reduce(lambda a, b: a | b, clauses)
-
-
-def source_predicate(logsource: dict, source: Column) -> Column:
-    """Whether a rule's log source (category, product, service, each optional, compared without case) is that of a request.
-
-    Every category but webserver holds for none. A service counts for the AWS sources only.
-    """
-    want = {k: v.lower() for k, v in logsource.items() if v is not None}
-    if want.get("category", "webserver") != "webserver":
-        return F.lit(False)
-    product, service = want.get("product"), want.get("service")
-    aws = source.startswith("aws-") if product in (None, "aws") else F.lit(False)
-    if service is not None:
-        aws = aws & (source == f"aws-{service}")
-    nginx = source.startswith("nginx") if product in (None, "nginx") else F.lit(False)
-    apache = source.startswith("apache") if product in (None, "apache", "apache_httpd") else F.lit(False)
-    return F.coalesce(aws | nginx | apache, F.lit(False))
-
-
-def match_rules(events: DataFrame, rules: list[dict]) -> DataFrame:
-    """One row for each (event, rule): every rule's predicate is one Boolean of the same projection, then the ids that hold are exploded.
-
-    Where the events tell their log source, a rule that names one is tried on its requests only.
-    """
-    gated = "log_source" in events.columns
-    holds = [F.when((source_predicate(r["logsource"], F.col("log_source")) if gated and r.get("logsource") else F.lit(True)) & rule_predicate(r, events.columns), F.lit(r["rule_id"])) for r in rules]
-    meta = F.create_map(*[x for r in rules for x in (F.lit(r["rule_id"]), F.lit(r.get("level", "unknown")))])
-    ids = events.withColumn("rule_ids", F.array_compact(F.array(*holds))).filter(F.size("rule_ids") > 0)
-    return ids.withColumn("rule_id", F.explode("rule_ids")).drop("rule_ids").withColumn("level", meta[F.col("rule_id")])
+def match_rules(events: DataFrame, rules: DataFrame | list[dict]) -> DataFrame:
+    """One row for each (event, rule) that holds; rules come as a table or written out. See ``rules.match_rules``."""
+    return R.match_rules(events, R.rules_table(events.sparkSession, rules) if isinstance(rules, list) else rules)
 
 
 #: The event columns that an indicator type is compared with.
@@ -135,42 +91,50 @@ def match_indicators(events: DataFrame, indicators: DataFrame) -> DataFrame:
     """(event_id, indicator_id, fields): which fields an indicator hit. Types: ip, cidr, path, path-prefix, user-agent, ja3, ja4, host, url.
 
     Addresses, networks, prefixes, hosts and URLs are matched on the distinct values first, by equi-joins on canonical
-    values or on the lengths that occur. What they give are pairs of a field's raw value and an indicator, and one scan of
-    the events meets all of them by equality on (field, value).
+    values or on the lengths that occur. What they give is a table of values with the indicators they hit, one row a value,
+    and each field of the events meets its own part of it: by broadcast where it is small, else by a join on the value, whose
+    frequent values adaptive execution splits. Events stay one row until the hits of all fields are there.
     """
     have = set(events.columns)
+    spread = F.broadcast if is_small(indicators) else (lambda x: x)
     kind = lambda *names: indicators.filter(F.col("type").isin(*names))
     atoms = [kind(t).select(F.lit(c).alias("field"), "value", "indicator_id") for t, c in _PLAIN_FIELDS.items() if c in have]
     for field in ("source_ip", "client_ip"):
         if field in have:
             ips = events.select(F.col(field).alias("ip")).filter("ip is not null").distinct()
-            exact = ips.withColumn("canonical", N.canonical_ip(F.col("ip"))).join(small(kind("ip").select("indicator_id", N.canonical_ip(F.col("value")).alias("canonical"))), "canonical")
+            exact = ips.withColumn("canonical", N.canonical_ip(F.col("ip"))).join(spread(kind("ip").select("indicator_id", N.canonical_ip(F.col("value")).alias("canonical"))), "canonical")
             nets = N.longest_prefix(ips, kind("cidr").select("indicator_id", F.col("value").alias("network")))
             atoms += [x.select(F.lit(field).alias("field"), F.col("ip").alias("value"), "indicator_id") for x in (exact, nets)]
     if "uri_path" in have:
         prefixes = kind("path-prefix").select("indicator_id", F.col("value").alias("cut"), F.length("value").alias("cut_length"))
         paths = events.select("uri_path").filter("uri_path is not null").distinct()
-        cuts = paths.join(small(prefixes.select("cut_length").distinct()), F.length("uri_path") >= F.col("cut_length")).withColumn("cut", F.expr("left(uri_path, cut_length)"))
-        atoms.append(cuts.join(small(prefixes), ["cut", "cut_length"]).select(F.lit("uri_path").alias("field"), F.col("uri_path").alias("value"), "indicator_id"))
+        cuts = paths.join(spread(prefixes.select("cut_length").distinct()), F.length("uri_path") >= F.col("cut_length")).withColumn("cut", F.expr("left(uri_path, cut_length)"))
+        atoms.append(cuts.join(spread(prefixes), ["cut", "cut_length"]).select(F.lit("uri_path").alias("field"), F.col("uri_path").alias("value"), "indicator_id"))
     fields = {c: F.col(c).cast("string") for c in (*_PLAIN_FIELDS.values(), "source_ip", "client_ip", "host") if c in have}
     if "host" in have:
         name, port = host_and_port(F.col("host"))
         hosts = events.select("host").filter("host is not null").distinct().withColumn("name", name)
-        atoms.append(hosts.join(small(kind("host").select("indicator_id", host_and_port(F.col("value"))[0].alias("name"))), "name").select(F.lit("host").alias("field"), F.col("host").alias("value"), "indicator_id"))
+        atoms.append(hosts.join(spread(kind("host").select("indicator_id", host_and_port(F.col("value"))[0].alias("name"))), "name").select(F.lit("host").alias("field"), F.col("host").alias("value"), "indicator_id"))
     if {"host", "uri_path"} <= have:
-        both = F.concat("host", F.lit(" "), "uri_path")
-        fields["url"] = both
+        fields["url"] = F.concat("host", F.lit(" "), "uri_path")
         authority, path = url_parts(F.col("value"))
         urls = kind("url").select("indicator_id", authority.alias("authority"), path.alias("path")).filter("authority is not null")
         # Without a port or with a default one a request meets a URL without a port, with an explicit one also a URL of that port.
         mine = F.array_compact(F.array(F.when(port.isNull() | port.isin("80", "443"), name), F.concat(name, F.lit(":"), port)))
         asked = events.filter("host is not null and uri_path is not null").select("host", F.col("uri_path").alias("path")).distinct().withColumn("authority", F.explode(mine))
-        atoms.append(asked.join(small(urls), ["authority", "path"]).select(F.lit("url").alias("field"), F.concat("host", F.lit(" "), "path").alias("value"), "indicator_id"))
-    wanted = reduce(DataFrame.unionByName, atoms).distinct()
-    given = F.array_compact(F.array(*[F.when(v.isNotNull(), F.struct(F.lit(c).alias("field"), v.alias("value"))) for c, v in fields.items()]))
-    rows = events.select("event_id", F.explode(given).alias("x")).select("event_id", "x.field", "x.value")
-    hits = rows.join(wanted, ["field", "value"])
-    return hits.groupBy("event_id", "indicator_id").agg(F.sort_array(F.collect_set("field")).alias("fields"))
+        atoms.append(asked.join(spread(urls), ["authority", "path"]).select(F.lit("url").alias("field"), F.concat("host", F.lit(" "), "path").alias("value"), "indicator_id"))
+    wanted = written(reduce(DataFrame.unionByName, atoms).groupBy("field", "value").agg(F.collect_set("indicator_id").alias("ids")), "indicator-values")
+    rows = events.select("event_id", *[v.alias(f"key_{c}") for c, v in fields.items()])
+    near = is_small(wanted)
+    for c in fields:
+        mine = wanted.filter(F.col("field") == c).select(F.col("value").alias(f"key_{c}"), F.col("ids").alias(f"ids_{c}"))
+        rows = rows.join(F.broadcast(mine) if near else mine, f"key_{c}", "left")
+    hit = reduce(lambda a, b: a | b, [F.col(f"ids_{c}").isNotNull() for c in fields])
+    none = F.lit(None).cast("string")
+    every = F.array_distinct(F.flatten(F.array_compact(F.array(*[F.col(f"ids_{c}") for c in fields]))))
+    found = rows.filter(hit).select("event_id", *[f"ids_{c}" for c in fields], F.explode(every).alias("indicator_id"))
+    hits = F.array_compact(F.array(*[F.when(F.array_contains(f"ids_{c}", F.col("indicator_id")), F.lit(c)).otherwise(none) for c in fields]))
+    return found.select("event_id", "indicator_id", F.sort_array(hits).alias("fields"))
 
 
 def indicator_validity(at: Column, begin: Column, end: Column) -> Column:
