@@ -45,23 +45,44 @@ def met(value: Column, minimum: float, incomplete: Column) -> Column:
     return F.when(value >= minimum, True).when(value.isNull() | incomplete, F.lit(None).cast("boolean")).otherwise(False)
 
 
-def probe_sources(events: DataFrame, catalog: DataFrame, min_paths: int = 20, min_error_share: float = 0.5, min_catalog: int = 3, min_unserved: float = 0.8, key: str = "source_ip") -> DataFrame:
+def with_source(events: DataFrame) -> DataFrame:
+    """Add identity and source, whom a request is grouped by: validated-client, observed-peer or hostname-peer; NULL for nobody.
+
+    A request has one identity, so grouping by both counts nothing twice.
+    """
+    key = N.source_key(F.col("source_ip"), F.col("client_ip") if "client_ip" in events.columns else None)
+    return events.withColumn("__key", key).select(*events.columns, F.col("__key.identity").alias("identity"), F.col("__key.source").alias("source"))
+
+
+SOURCE = ("identity", "source")
+
+
+def _keys(key: str | tuple[str, ...]) -> list[str]:
+    return [key] if isinstance(key, str) else list(key)
+
+
+def _known(keys: list[str]) -> Column:
+    return reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys])
+
+
+def probe_sources(events: DataFrame, catalog: DataFrame, min_paths: int = 20, min_error_share: float = 0.5, min_catalog: int = 3, min_unserved: float = 0.8, key: str | tuple[str, ...] = "source_ip") -> DataFrame:
     """Per source: requests, distinct and catalog paths, error shares, unserved share, active days, peak a minute, criteria, label.
 
-    Unserved paths are those no source got a 2xx for; without any status the share is unavailable.
+    ``key`` is a column, or ``SOURCE`` for events that ``with_source`` gave an identity. Unserved paths are those no source
+    got a 2xx for; without any status the share is unavailable.
     """
-    s = F.col("status")
-    e = events.filter(F.col(key).isNotNull())
-    per = e.groupBy(key).agg(
+    s, keys = F.col("status"), _keys(key)
+    e = events.filter(_known(keys))
+    per = e.groupBy(*keys).agg(
         F.count("*").alias("requests"), F.count_if(F.col("uri_path").isNull()).alias("paths_unavailable"), F.count("status").alias("with_status"), F.count_if(s.between(400, 498)).alias("client_errors"), F.count_if(s == 404).alias("not_found"),
         F.countDistinct("method").alias("methods"), F.countDistinct("user_agent").alias("user_agents"), F.count("uri_query").alias("query_requests"), F.countDistinct(F.floor(W.epoch(F.col("ts")) / 86400)).alias("active_days"), F.min(W.epoch(F.col("ts"))).alias("earliest"), F.max(W.epoch(F.col("ts"))).alias("latest"),
     )
-    minutes = e.filter("ts is not null").groupBy(key, F.floor(W.epoch(F.col("ts")) / 60).alias("minute")).agg(F.count("*").alias("n")).groupBy(key).agg(F.max("n").alias("peak_per_minute"))
+    minutes = e.filter("ts is not null").groupBy(*keys, F.floor(W.epoch(F.col("ts")) / 60).alias("minute")).agg(F.count("*").alias("n")).groupBy(*keys).agg(F.max("n").alias("peak_per_minute"))
     served = events.filter(s.between(200, 299) & F.col("uri_path").isNotNull()).select("uri_path").distinct().withColumn("served", F.lit(True))
     listed = catalog_paths(events, catalog).select("uri_path").distinct().withColumn("listed", F.lit(True))
-    pairs = e.filter("uri_path is not null").groupBy(key, "uri_path").agg(F.count("*").alias("n")).join(served, "uri_path", "left").join(listed, "uri_path", "left")
-    paths = pairs.groupBy(key).agg(F.count("*").alias("distinct_paths"), F.count_if(F.col("served").isNull()).alias("unserved"), F.count("listed").alias("catalog_paths"), F.sum(F.when(F.col("listed"), F.col("n")).otherwise(0)).alias("catalog_requests"))
-    out = per.join(minutes, key, "left").join(paths, key, "left").fillna(0, ["distinct_paths", "unserved", "catalog_paths", "catalog_requests"])
+    pairs = e.filter("uri_path is not null").groupBy(*keys, "uri_path").agg(F.count("*").alias("n")).join(served, "uri_path", "left").join(listed, "uri_path", "left")
+    paths = pairs.groupBy(*keys).agg(F.count("*").alias("distinct_paths"), F.count_if(F.col("served").isNull()).alias("unserved"), F.count("listed").alias("catalog_paths"), F.sum(F.when(F.col("listed"), F.col("n")).otherwise(0)).alias("catalog_requests"))
+    out = per.join(minutes, keys, "left").join(paths, keys, "left").fillna(0, ["distinct_paths", "unserved", "catalog_paths", "catalog_requests"])
     has_status = F.col("with_status") > 0
     out = out.withColumns({
         "client_error_share": F.when(has_status, W.share(F.col("client_errors"), F.col("requests"))), "not_found_share": F.when(has_status, W.share(F.col("not_found"), F.col("requests"))),
@@ -73,21 +94,47 @@ def probe_sources(events: DataFrame, catalog: DataFrame, min_paths: int = 20, mi
     return out.withColumn("probe_shaped", yes("met_paths") & (~has_status | yes("met_errors")) & (yes("met_catalog") | yes("met_unserved")))
 
 
-def rare_success(events: DataFrame, probes: DataFrame, max_sources: int = 2, max_requesting: int = 5, key: str = "source_ip") -> DataFrame:
-    """Identifier-collapsed paths with few successful and requesting sources; preceded if a probe-shaped source got a 2xx strictly after its first 4xx."""
-    ok = F.col("status").between(200, 299)
+def probe_categories(events: DataFrame, catalog: DataFrame, key: str | tuple[str, ...] = "source_ip") -> DataFrame:
+    """Per source and catalog category: requests and distinct paths. A path of two categories counts in both."""
+    keys = _keys(key)
+    pairs = events.filter(_known(keys) & F.col("uri_path").isNotNull()).groupBy(*keys, "uri_path").agg(F.count("*").alias("n"))
+    return pairs.join(catalog_paths(events, catalog).distinct(), "uri_path").groupBy(*keys, "category").agg(F.sum("n").alias("requests"), F.count("*").alias("paths"))
+
+
+def rare_success(events: DataFrame, probes: DataFrame, max_sources: int = 2, max_requesting: int = 5, key: str | tuple[str, ...] = "source_ip") -> DataFrame:
+    """Identifier-collapsed paths with few successful and requesting sources: methods, sizes, first and last time of all their requests.
+
+    preceded: a probe-shaped source got a 2xx strictly after its first 4xx. ``key`` as for ``probe_sources``.
+    """
+    ok, keys = F.col("status").between(200, 299), _keys(key)
     at = W.epoch(F.col("ts"))
     e = events.filter("uri_path is not null").withColumn("path", W.path_template(F.col("uri_path")))
-    pairs = e.groupBy("path", key).agg(F.count("*").alias("n"), F.count_if(ok).alias("ok"), F.max(F.when(ok, at)).alias("last_ok"))
-    failures = events.filter(F.col("status").between(400, 498) & F.col(key).isNotNull()).groupBy(key).agg(F.min(at).alias("first_failure"))
-    shaped = probes.filter("probe_shaped").select(key).join(failures, key)
-    judged = pairs.join(shaped, key, "left").withColumn("preceded", F.coalesce((F.col("ok") > 0) & (F.col("last_ok") > F.col("first_failure")), F.lit(False)))
-    per = judged.groupBy("path").agg(F.sum("n").alias("requests"), F.sum("ok").alias("successes"), F.count(key).alias("requesting_sources"), F.count_if((F.col("ok") > 0) & F.col(key).isNotNull()).alias("successful_sources"), F.count_if(F.col(key).isNull()).alias("without_source"), F.max(F.col("preceded").cast("int")).alias("preceded"))
-    sizes = e.filter(ok).groupBy("path").agg(F.min("response_bytes").alias("min_bytes"), F.max("response_bytes").alias("max_bytes"))
+    pairs = e.groupBy("path", *keys).agg(F.count("*").alias("n"), F.count_if(ok).alias("ok"), F.max(F.when(ok, at)).alias("last_ok"))
+    failures = events.filter(F.col("status").between(400, 498) & _known(keys)).groupBy(*keys).agg(F.min(at).alias("first_failure"))
+    shaped = probes.filter("probe_shaped").select(*keys).join(failures, keys)
+    judged = pairs.join(shaped, keys, "left").withColumn("preceded", F.coalesce((F.col("ok") > 0) & (F.col("last_ok") > F.col("first_failure")), F.lit(False)))
+    known = _known(keys)
+    per = judged.groupBy("path").agg(
+        F.sum("n").alias("requests"), F.sum("ok").alias("successes"), F.count_if(known).alias("requesting_sources"), F.count_if((F.col("ok") > 0) & known).alias("successful_sources"), F.count_if(~known).alias("without_source"),
+        F.max(F.col("preceded").cast("int")).alias("preceded"),
+    )
+    sizes = e.groupBy("path").agg(F.min("response_bytes").alias("min_bytes"), F.max("response_bytes").alias("max_bytes"), F.array_join(F.sort_array(F.collect_set("method")), ";").alias("methods"), F.min(at).alias("first_seen"), F.max(at).alias("last_seen"))
     out = per.filter((F.col("successes") > 0) & (F.col("without_source") == 0) & (F.col("successful_sources") <= max_sources) & (F.col("requesting_sources") <= max_requesting))
     return out.join(sizes, "path").withColumn("preceded", F.col("preceded") == 1).drop("without_source")
 
 
+def rank_rare_success(rows: DataFrame) -> DataFrame:
+    """Preceded ones first, then few successful and requesting sources, the newest, the path."""
+    return rows.orderBy(F.desc("preceded"), "successful_sources", "requesting_sources", F.desc_nulls_last("first_seen"), "path")
+
+
+def rare_success_sources(events: DataFrame, rare: DataFrame, key: str | tuple[str, ...] = "source_ip") -> DataFrame:
+    """The successful sources of rare paths: successes, first and last one."""
+    keys, at = _keys(key), W.epoch(F.col("ts"))
+    e = events.filter(F.col("status").between(200, 299) & F.col("uri_path").isNotNull() & _known(keys)).withColumn("path", W.path_template(F.col("uri_path")))
+    return e.join(rare.select("path").distinct(), "path", "left_semi").groupBy("path", *keys).agg(F.count("*").alias("successes"), F.min(at).alias("first_success"), F.max(at).alias("last_success"))
+
+
 def peer_key(columns: list[str]) -> Column:
     """(identity, source) of whom a request came from: the validated client, else the observed peer, in canonical spelling; NULL for nobody."""
     named = lambda kind, c: F.when(~F.coalesce(F.col(c).isin("", "-"), F.lit(False)), F.struct(F.lit(kind).alias("identity"), N.canonical_or_raw(F.col(c)).alias("source")))

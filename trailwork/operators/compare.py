@@ -153,10 +153,14 @@ def disposition_counts(findings: DataFrame, store: DataFrame, at) -> DataFrame:
     return f.agg(F.count("*").alias("findings"), F.count("disposition").alias("reviewed"), F.count_if(F.col("disposition") == "expected").alias("expected"), F.count_if(F.col("disposition") == "needs-review").alias("needs_review"), F.count_if(F.col("disposition").isNull()).alias("unclassified"), F.count_if(F.col("review_after") <= F.lit(at).cast("timestamp")).alias("due"))
 
 
-def observations(events: DataFrame, bits: int = 24) -> DataFrame:
-    """What a run adds to the store: (run_id, entity, first_minute, last_minute) of each block, v6 ones of 48 bits."""
+def observations(events: DataFrame, bits: int = 24, asn: DataFrame | None = None) -> DataFrame:
+    """What a run adds to the store: (run_id, entity, first_minute, last_minute) of each block, v6 ones of 48 bits, and with ``asn`` (ip, asn) of each network AS<n>."""
     minute = F.floor(W.epoch(F.col("ts")) / 60)
-    e = events.withColumn("entity", N.block(F.col("source_ip"), bits)).filter("entity is not null")
+    e = events.withColumn("entity", N.block(F.col("source_ip"), bits)).filter("entity is not null").select("run_id", "ts", "source_ip", "entity")
+    if asn is not None:
+        known = asn.select(N.canonical_ip(F.col("ip")).alias("__ip"), "asn").groupBy("__ip").agg(F.concat(F.lit("AS"), F.max("asn")).alias("network"))
+        named = e.withColumn("__ip", N.canonical_ip(F.col("source_ip"))).join(known, "__ip", "left")
+        e = named.select("run_id", "ts", F.explode(F.array_compact(F.array("entity", "network"))).alias("entity"))
     return e.groupBy("run_id", "entity").agg(F.min(minute).alias("first_minute"), F.max(minute).alias("last_minute"))
 
 

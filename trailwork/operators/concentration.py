@@ -10,7 +10,7 @@ from trailwork.functions import network as N
 from trailwork.functions import web as W
 
 CLASSES = ("1xx", "2xx", "3xx", "4xx", "499", "5xx", "other", "unavailable")
-WIDTHS = (60, 3600, 86400)
+WIDTHS = (60, 600, 3600, 86400)
 
 
 def _class_counts() -> list[Column]:
@@ -127,6 +127,33 @@ def focus_summary(events: DataFrame, **what) -> DataFrame:
     return part.join(F.broadcast(events.agg(F.count("*").alias("all_requests")))).withColumn("share", W.share(F.col("requests"), F.col("all_requests")))
 
 
+def focus_groups(events: DataFrame, asn: DataFrame | None = None, bits: int = 24, v6_bits: int = 48, **what) -> DataFrame:
+    """Requests, share and peers of a focus by address block, and with ``asn`` (ip, asn) by network: (kind, name, requests, peers, share).
+
+    Sources that are no address or have no known network are one group of the kind ``unresolved``; shares are of the focus.
+    """
+    sources = focus(events, **what).groupBy(N.canonical_ip(F.col("source_ip")).alias("ip"), F.col("source_ip").isNull().alias("nobody")).agg(F.count("*").alias("n"), F.countDistinct("source_ip").alias("raw"))
+    total = sources.agg(F.sum("n").alias("all_requests"))  # one row
+    placed = [sources.filter("ip is not null").select(F.lit("block").alias("kind"), N.block(F.col("ip"), bits, v6_bits).alias("name"), "n", F.lit(1).alias("sources"))]
+    if asn is not None:
+        known = asn.select(N.canonical_ip(F.col("ip")).alias("ip"), "asn").groupBy("ip").agg(F.max("asn").alias("asn"))
+        named = sources.join(known, "ip", "left")
+        placed.append(named.select(F.when(F.col("asn").isNull(), "unresolved").otherwise("asn").alias("kind"), F.coalesce(F.col("asn").cast("string"), F.lit("unresolved")).alias("name"), "n", F.when(F.col("ip").isNotNull(), 1).otherwise(F.col("raw")).alias("sources")))
+    rows = placed[0] if len(placed) == 1 else placed[0].unionByName(placed[1])
+    per = rows.groupBy("kind", "name").agg(F.sum("n").alias("requests"), F.sum("sources").alias("peers"))
+    return per.join(F.broadcast(total)).withColumn("share", W.share(F.col("requests"), F.col("all_requests"))).drop("all_requests")
+
+
+def path_statuses(events: DataFrame) -> DataFrame:
+    """Exact status codes of each path, in long form."""
+    return status_codes(events, "uri_path")
+
+
+def path_waf_actions(events: DataFrame) -> DataFrame:
+    """What the firewall did on each path: (uri_path, action, requests)."""
+    return events.filter("uri_path is not null").groupBy("uri_path", W.waf_action_name(F.col("waf_action")).alias("action")).agg(F.count("*").alias("requests"))
+
+
 def time_filter(events: DataFrame, start=None, end=None) -> DataFrame:
     """Inclusive at both ends; rows without a time stay only where both bounds are absent."""
     if start is None and end is None:
@@ -149,11 +176,12 @@ def field_availability(events: DataFrame) -> DataFrame:
 
 
 def request_rates(events: DataFrame, widths: tuple[int, ...] = WIDTHS) -> DataFrame:
-    """Per width: peak, median and their ratio over non-empty buckets."""
-    wide = events.filter("ts is not null").select(W.epoch(F.col("ts")).alias("at"), F.explode(F.array(*map(F.lit, widths))).alias("width"))
+    """Per width: peak, median and their ratio over non-empty buckets, and the requests without a time, which are in no bucket."""
+    wide = events.select(W.epoch(F.col("ts")).alias("at"), F.explode(F.array(*map(F.lit, widths))).alias("width"))
     buckets = wide.groupBy("width", F.floor(F.col("at") / F.col("width")).alias("bucket")).agg(F.count("*").alias("n"))
-    out = buckets.groupBy("width").agg(F.count("*").alias("buckets"), F.max("n").alias("peak"), F.expr("percentile(n, 0.5)").alias("median"))
-    return out.withColumn("peak_to_median", W.share(F.col("peak"), F.col("median")))
+    dated = F.when(F.col("bucket").isNotNull(), F.col("n"))
+    out = buckets.groupBy("width").agg(F.count("bucket").alias("buckets"), F.max(dated).alias("peak"), F.percentile(dated, 0.5).alias("median"), F.coalesce(F.sum(F.when(F.col("bucket").isNull(), F.col("n"))), F.lit(0)).alias("undated"))
+    return out.withColumn("peak_to_median", W.share(F.col("peak"), F.col("median"), None))
 
 
 def outcome_windows(events: DataFrame, widths: tuple[int, ...] = WIDTHS, min_requests: int = 20, threshold: float = 0.5) -> DataFrame:

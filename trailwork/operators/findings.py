@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from trailwork.functions import network as N
 from trailwork.functions import web as W
 from trailwork.operators.ordering import sliding_distinct, with_previous
 
@@ -80,22 +81,48 @@ def observation_key() -> Column:
     return F.coalesce(F.concat(F.lit("id:"), F.col("request_id")), rest)
 
 
-def entity_groups(findings: DataFrame, key: str = "source_ip") -> DataFrame:
-    """Per entity: templates, CVEs, observations, records, distinctive and request-specific observations, spread over hosts, unblocked share.
+def entity_groups(findings: DataFrame, key: str | tuple[str, ...] = "source_ip", spread: str = "hosts") -> DataFrame:
+    """Per entity: templates, CVEs, observations, records, distinctive and request-specific observations, clients and peers, spread, unblocked share.
 
-    Observations are deduplicated first, so the distinct counts run over one row each; an observation with both outcomes is
-    left out of the share.
+    ``key`` is a column, or several such as (identity, source). The spread counts hosts, or with "senders" (for fingerprints
+    and networks) the larger of the validated clients and the observed peers, which may be the same. Observations are
+    deduplicated first, so the distinct counts run over one row each; an observation with both outcomes is left out of the
+    share.
     """
-    f = findings.filter(F.col(key).isNotNull()).withColumn("observation", observation_key())
-    per = f.groupBy(key, "observation").agg(F.count("*").alias("records"), F.max((F.col("distinctiveness") == "distinctive").cast("int")).alias("distinctive"), F.max((F.col("specificity") == "request-specific").cast("int")).alias("specific"), F.max((F.col("outcome") == "blocked").cast("int")).alias("blocked"), F.max((F.col("outcome") == "not-blocked").cast("int")).alias("passed"))
+    keys = [key] if isinstance(key, str) else list(key)
+    f = findings.filter(reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys])).withColumn("observation", observation_key())
+    per = f.groupBy(*keys, "observation").agg(F.count("*").alias("records"), F.max((F.col("distinctiveness") == "distinctive").cast("int")).alias("distinctive"), F.max((F.col("specificity") == "request-specific").cast("int")).alias("specific"), F.max((F.col("outcome") == "blocked").cast("int")).alias("blocked"), F.max((F.col("outcome") == "not-blocked").cast("int")).alias("passed"))
     clear = F.col("blocked") + F.col("passed") == 1
-    totals = per.groupBy(key).agg(F.count("*").alias("observations"), F.sum("records").alias("records"), F.sum("distinctive").alias("distinctive_observations"), F.sum("specific").alias("specific_observations"), F.count_if(clear & (F.col("passed") == 1)).alias("unblocked"), F.count_if(clear).alias("with_outcome"))
-    wide = f.groupBy(key).agg(F.countDistinct("template_id").alias("templates"), F.countDistinct("host").alias("spread"))
-    cves = f.select(key, F.explode("cves").alias("cve")).groupBy(key).agg(F.countDistinct("cve").alias("cves"))
-    out = totals.join(wide, key).join(cves, key, "left").fillna(0, ["cves"])
+    totals = per.groupBy(*keys).agg(F.count("*").alias("observations"), F.sum("records").alias("records"), F.sum("distinctive").alias("distinctive_observations"), F.sum("specific").alias("specific_observations"), F.count_if(clear & (F.col("passed") == 1)).alias("unblocked"), F.count_if(clear).alias("with_outcome"))
+    client = N.canonical_or_raw(F.col("client_ip")) if "client_ip" in findings.columns else F.lit(None).cast("string")
+    senders = F.greatest("clients", "peers") if spread == "senders" else F.col("hosts")
+    wide = f.withColumn("__client", client).groupBy(*keys).agg(F.countDistinct("template_id").alias("templates"), F.countDistinct("host").alias("hosts"), F.countDistinct("__client").alias("clients"), F.countDistinct(F.when(F.col("__client").isNull(), N.canonical_or_raw(F.col("source_ip")))).alias("peers"))
+    wide = wide.withColumn("spread", senders).drop("hosts")
+    cves = f.select(*keys, F.explode("cves").alias("cve")).groupBy(*keys).agg(F.countDistinct("cve").alias("cves"))
+    out = totals.join(wide, keys).join(cves, keys, "left").fillna(0, ["cves"])
     return out.withColumn("unblocked_share", W.share(F.col("unblocked"), F.col("with_outcome"), None))
 
 
+def with_asn(findings: DataFrame, asn: DataFrame) -> DataFrame:
+    """Findings with identity (validated-client or observed-peer) and the ASN of that address, NULL where it isn't known. asn: ip, asn."""
+    client = F.col("client_ip") if "client_ip" in findings.columns else F.lit(None).cast("string")
+    named = findings.withColumns({"identity": F.when(client.isNotNull(), "validated-client").when(F.col("source_ip").isNotNull(), "observed-peer"), "__ip": N.canonical_ip(F.coalesce(client, "source_ip"))})
+    known = asn.select(N.canonical_ip(F.col("ip")).alias("__ip"), "asn").filter("__ip is not null").groupBy("__ip").agg(F.max("asn").alias("asn"))
+    return named.join(known, "__ip", "left").drop("__ip")
+
+
+def rank_entities(groups: DataFrame, key: str | tuple[str, ...] = "source_ip") -> DataFrame:
+    """Most observations first, then most templates, then the key."""
+    keys = [key] if isinstance(key, str) else list(reversed(key))
+    return groups.orderBy(F.desc("observations"), F.desc("templates"), *keys)
+
+
+def triage_basis(groups: DataFrame, breadth_observations: int = 3, breadth_templates: int = 2, depth_observations: int = 10) -> DataFrame:
+    """Add ``basis`` over all of an entity's observations: breadth, depth, both or NULL."""
+    wide, deep = (F.col("observations") >= breadth_observations) & (F.col("templates") >= breadth_templates), F.col("observations") >= depth_observations
+    return groups.withColumn("basis", basis(wide, deep))
+
+
 def behavior_score(groups: DataFrame, burst: Column | None = None, spread: bool = True, waf: bool = True) -> DataFrame:
     """Add score (0 to 100) and tier: capped points over what the telemetry can reach; without request-specific evidence at most 74."""
     generic = F.col("observations") - F.col("distinctive_observations")
@@ -174,11 +201,38 @@ def ordered_sequence(findings: DataFrame, key: str = "source_ip", most: int | No
     return placed if most is None else placed.filter(F.col("place") <= most)
 
 
-def triage_view(groups: DataFrame, reputation: DataFrame | None = None, key: str = "source_ip") -> DataFrame:
-    """Scored entities with their reputation, ranked."""
-    out = behavior_score(groups)
-    out = out.join(reputation, key, "left") if reputation is not None else out.withColumn("reputation", F.lit(None).cast("long"))
-    return out.orderBy(F.desc("score"), F.desc_nulls_last("reputation"), key)
+def triage_view(groups: DataFrame, reputation: DataFrame | None = None, first_seen: DataFrame | None = None, sequences: DataFrame | None = None, key: str = "source_ip") -> DataFrame:
+    """Scored entities with basis, reputation, first-seen mark and sequence measures, in the order of review.
+
+    Order: score, then reputation (unknown last), then first-seen ones, then the key, and the identity where groups have one.
+    reputation: key, reputation; first_seen: addresses (a column ``ip``) that earlier runs lack; sequences: see
+    ``sequence_summary``. Addresses are compared in canonical spelling.
+    """
+    spelt = lambda c: N.canonical_or_raw(F.col(c))
+    out = triage_basis(behavior_score(groups)).withColumn("__ip", spelt(key))
+    if reputation is not None:
+        known = reputation.select(spelt(key).alias("__ip"), "reputation").groupBy("__ip").agg(F.max("reputation").alias("reputation"))
+        out = out.join(known, "__ip", "left")
+    else:
+        out = out.withColumn("reputation", F.lit(None).cast("long"))
+    if first_seen is not None:
+        new = first_seen.select(spelt("ip").alias("__ip")).distinct().withColumn("first_seen", F.lit(True))
+        out = out.join(new, "__ip", "left").withColumn("first_seen", F.coalesce("first_seen", F.lit(False)))
+    else:
+        out = out.withColumn("first_seen", F.lit(False))
+    out = out.drop("__ip")
+    if sequences is not None:
+        out = out.join(sequences.select(key, "undated", "max_patterns", "max_distinctive_patterns", "min_gap", "median_gap"), key, "left")
+    last = [key, "identity"] if "identity" in groups.columns else [key]
+    return out.orderBy(F.desc("score"), F.desc_nulls_last("reputation"), F.desc("first_seen"), *last)
+
+
+def triage_summary(view: DataFrame) -> DataFrame:
+    """One row without any key: entities, those to investigate, first-seen ones, a histogram of tiers, sequence maxima (0 without any)."""
+    tiers = [F.count_if(F.col("tier") == t).alias(f"tier_{t}") for t in ("info", "low", "medium", "high")]
+    most = lambda c: (F.coalesce(F.max(c), F.lit(0)) if c in view.columns else F.lit(0)).cast("long").alias(c)
+    undated = (F.coalesce(F.sum("undated"), F.lit(0)) if "undated" in view.columns else F.lit(0)).cast("long").alias("undated")
+    return view.agg(F.count("*").alias("entities"), F.count("basis").alias("to_investigate"), F.count_if("first_seen").alias("first_seen"), *tiers, undated, most("max_patterns"), most("max_distinctive_patterns"))
 
 
 #: Narrower and narrower readings of a detection.

@@ -6,6 +6,7 @@ the same SELECT runs in Spark (over a view) and, as a CTE, in every oracle.
 
 from __future__ import annotations
 
+import ipaddress
 from collections.abc import Callable
 from functools import cached_property
 
@@ -83,7 +84,7 @@ def values_sql(name: str, columns: str, rows: list[tuple]) -> str:
 HEADER = "(d_header IS NULL OR coalesce(lower(h1) = lower(d_header), false) OR coalesce(lower(h2) = lower(d_header), false))"
 FRAGMENT = "(d_fragment IS NULL OR coalesce(uri_fragment = d_fragment, false))"
 
-#: CTEs that an oracle may use: e, det, det_cves, fd (findings), fc (findings by CVE), ind, nets.
+#: CTEs that an oracle may use: e, det, det_cves, fd (findings), fc (findings by CVE), ind, ipn (addresses as numbers), nets.
 CTES = {
     "e": f"e AS (SELECT *, CAST(floor(epoch_us(ts) / 1000000.0) AS BIGINT) AS sec FROM ({_EVENTS.strip()}))",
     "det": values_sql("det", "template_id, ordinal, severity, d_method, d_path, d_query, d_fragment, d_header", [(*r[:6], *r[7:]) for r in DETECTIONS]),
@@ -99,6 +100,14 @@ CTES = {
 }
 
 
+def _ends(cidr: str) -> tuple[int, int]:
+    net = ipaddress.ip_network(cidr)
+    return int(net.network_address), int(net.broadcast_address)
+
+
+CTES["nets"] = values_sql("nets", "network, asn, bits, lo, hi", [(n, a, int(n.split("/")[1]), *_ends(n)) for n, a in NETWORKS])
+
+
 def with_headers(events: DataFrame) -> DataFrame:
     """h1 and h2 as the headers they stand for."""
     one = lambda name, c: F.when(F.col(c).isNotNull(), F.struct(F.lit(name).alias("name"), F.col(c).alias("value")))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from trailwork.functions import web as W
+from trailwork.operators import compare as X
 from trailwork.operators import findings as FD
 from trailwork.operators import matching as M
 from trailwork.plans.base import CTES, FRAGMENT, HEADER, query
@@ -145,10 +146,10 @@ def _(t):
 
 
 _OBS = "coalesce('id:' || request_id, concat_ws('|', coalesce(CAST(sec AS VARCHAR), '-'), coalesce(host, '-'), coalesce(method, '-'), coalesce(uri_path, '-'), coalesce(uri_query, '-')))"
-CTES["groups"] = f"""groups AS (SELECT o.*, w.templates, w.spread, c.cves, CASE WHEN with_outcome > 0 THEN unblocked * 1.0 / with_outcome END AS unblocked_share FROM
+CTES["groups"] = f"""groups AS (SELECT o.*, w.templates, w.clients, w.peers, w.spread, c.cves, CASE WHEN with_outcome > 0 THEN unblocked * 1.0 / with_outcome END AS unblocked_share FROM
     (SELECT source_ip, count(*) AS observations, CAST(sum(records) AS BIGINT) AS records, CAST(sum(distinctive) AS BIGINT) AS distinctive_observations, CAST(sum(specific) AS BIGINT) AS specific_observations, count(*) FILTER (b + p = 1 AND p = 1) AS unblocked, count(*) FILTER (b + p = 1) AS with_outcome FROM
       (SELECT source_ip, {_OBS} AS o, count(*) AS records, max(CAST(distinctiveness = 'distinctive' AS INT)) AS distinctive, max(CAST(specificity = 'request-specific' AS INT)) AS specific, max(CAST(outcome = 'blocked' AS INT)) AS b, max(CAST(outcome = 'not-blocked' AS INT)) AS p FROM fd WHERE source_ip IS NOT NULL GROUP BY 1, 2) GROUP BY 1) o
-    JOIN (SELECT source_ip, count(DISTINCT template_id) AS templates, count(DISTINCT host) AS spread FROM fd WHERE source_ip IS NOT NULL GROUP BY 1) w USING (source_ip)
+    JOIN (SELECT source_ip, count(DISTINCT template_id) AS templates, CAST(0 AS BIGINT) AS clients, CAST(1 AS BIGINT) AS peers, count(DISTINCT host) AS spread FROM fd WHERE source_ip IS NOT NULL GROUP BY 1) w USING (source_ip)
     JOIN (SELECT source_ip, count(DISTINCT cve) AS cves FROM fd JOIN det_cves USING (template_id, ordinal) WHERE source_ip IS NOT NULL GROUP BY 1) c USING (source_ip))"""
 _GROUPS = "e det det_cves fd groups"
 
@@ -166,12 +167,6 @@ def _(t):
     return FD.behavior_score(FD.entity_groups(t.findings)).select("source_ip", "score", "tier")
 
 
-@query("triage_view", "SELECT source_ip, score, CASE source_ip WHEN '198.51.3.17' THEN 95 WHEN '198.51.1.8' THEN 40 END AS reputation FROM scored ORDER BY score DESC, reputation DESC NULLS LAST, source_ip LIMIT 25", _GROUPS + " scored")
-def _(t):
-    reputation = t.reputation.filter("scope = 'ip'").select(F.col("value").alias("source_ip"), F.col("score").alias("reputation"))
-    return FD.triage_view(FD.entity_groups(t.findings), reputation).select("source_ip", "score", "reputation").limit(25)
-
-
 CTES["seen"] = f"seen AS (SELECT source_ip, CAST(floor(epoch_us(ts) / 1000.0) AS BIGINT) AS ms, {_OBS} AS o, template_id, coalesce(method, '<method unavailable>') || ' ' || coalesce(uri_path, '<path unavailable>') || coalesce('?' || uri_query, '') AS pattern, distinctiveness FROM fd WHERE source_ip IS NOT NULL)"
 
 
@@ -184,13 +179,47 @@ def _(t):
     return FD.windowed_burst(t.findings, (3600, 86400))
 
 
-@query("sequence_summary", """SELECT t.*, max_patterns, max_distinctive_patterns, min_gap, median_gap FROM (SELECT source_ip, count(*) AS observations, count(*) FILTER (ms IS NULL) AS undated FROM once GROUP BY 1) t
+CTES["sequences"] = """sequences AS (SELECT t.*, max_patterns, max_distinctive_patterns, min_gap, median_gap FROM (SELECT source_ip, count(*) AS observations, count(*) FILTER (ms IS NULL) AS undated FROM once GROUP BY 1) t
     LEFT JOIN (SELECT source_ip, max(p) AS max_patterns, max(d) AS max_distinctive_patterns FROM (SELECT a.source_ip, a.ms, count(DISTINCT b.pattern) AS p, count(DISTINCT b.pattern) FILTER (b.distinctive) AS d FROM (SELECT DISTINCT source_ip, ms FROM once WHERE ms IS NOT NULL) a JOIN once b ON a.source_ip = b.source_ip AND b.ms BETWEEN a.ms - 86400000 AND a.ms GROUP BY 1, 2) GROUP BY 1) m USING (source_ip)
-    LEFT JOIN (SELECT source_ip, min(gap) AS min_gap, median(gap) AS median_gap FROM (SELECT source_ip, (ms - lag(ms) OVER (PARTITION BY source_ip ORDER BY ms)) / 1000.0 AS gap FROM once WHERE ms IS NOT NULL) WHERE gap IS NOT NULL GROUP BY 1) g USING (source_ip)""", "e det fd seen once")
+    LEFT JOIN (SELECT source_ip, min(gap) AS min_gap, median(gap) AS median_gap FROM (SELECT source_ip, (ms - lag(ms) OVER (PARTITION BY source_ip ORDER BY ms)) / 1000.0 AS gap FROM once WHERE ms IS NOT NULL) WHERE gap IS NOT NULL GROUP BY 1) g USING (source_ip))"""
+
+
+@query("sequence_summary", "SELECT * FROM sequences", "e det fd seen once sequences")
 def _(t):
     return FD.sequence_summary(t.findings, 86400)
 
 
+CTES["view"] = """view AS (SELECT s.*, CASE WHEN score >= 75 THEN 'high' WHEN score >= 50 THEN 'medium' WHEN score >= 25 THEN 'low' ELSE 'info' END AS tier, CASE WHEN observations >= 3 AND templates >= 2 AND observations >= 10 THEN 'breadth + depth' WHEN observations >= 3 AND templates >= 2 THEN 'breadth' WHEN observations >= 10 THEN 'depth' END AS basis,
+    CASE source_ip WHEN '198.51.3.17' THEN 95 WHEN '198.51.1.8' THEN 40 END AS reputation, source_ip LIKE '%7' AS first_seen, undated, max_patterns, max_distinctive_patterns FROM scored s LEFT JOIN sequences USING (source_ip))"""
+
+
+def _view(t):
+    reputation = t.reputation.filter("scope = 'ip'").select(F.concat(F.lit("::ffff:"), "value").alias("source_ip"), F.col("score").alias("reputation"))
+    new = t.events.filter("source_ip like '%7'").select(F.concat(F.lit("::FFFF:"), "source_ip").alias("ip"))
+    return FD.triage_view(FD.entity_groups(t.findings), reputation, new, FD.sequence_summary(t.findings, 86400))
+
+
+@query("triage_view", "SELECT source_ip, score, tier, basis, reputation, first_seen, max_patterns, max_distinctive_patterns FROM view ORDER BY score DESC, reputation DESC NULLS LAST, first_seen DESC, source_ip LIMIT 25", "e det det_cves fd groups scored seen once sequences view")
+def _(t):
+    return _view(t).select("source_ip", "score", "tier", "basis", "reputation", "first_seen", "max_patterns", "max_distinctive_patterns").limit(25)
+
+
+@query("triage_summary", "SELECT count(*) AS entities, count(basis) AS to_investigate, count(*) FILTER (first_seen) AS first_seen, " + ", ".join(f"count(*) FILTER (tier = '{t}') AS tier_{t}" for t in ("info", "low", "medium", "high")) + ", CAST(coalesce(sum(undated), 0) AS BIGINT) AS undated, coalesce(max(max_patterns), 0) AS max_patterns, coalesce(max(max_distinctive_patterns), 0) AS max_distinctive_patterns FROM view", "e det det_cves fd groups scored seen once sequences view")
+def _(t):
+    return FD.triage_summary(_view(t))
+
+
+@query("entity_groups_ja4", "SELECT ja4, count(DISTINCT " + _OBS + ") AS observations, count(DISTINCT template_id) AS templates, count(DISTINCT source_ip) AS spread FROM fd WHERE ja4 IS NOT NULL GROUP BY 1", "e det fd")
+def _(t):
+    return FD.entity_groups(t.findings, "ja4", spread="senders").select("ja4", "observations", "templates", "spread")
+
+
+@query("entity_groups_asn", "SELECT 'observed-peer' AS identity, asn, count(DISTINCT " + _OBS + ") AS observations, count(DISTINCT template_id) AS templates, count(DISTINCT source_ip) AS spread FROM fd JOIN (SELECT ip, arg_max(asn, bits) AS asn FROM ipn JOIN nets ON num BETWEEN lo AND hi GROUP BY ip) ON ip = source_ip GROUP BY 2", "e ipn nets det fd")
+def _(t):
+    asn = X.asn_lookup(t.events.select(F.col("source_ip").alias("ip")), t.networks)
+    return FD.entity_groups(FD.with_asn(t.findings, asn), ("identity", "asn"), spread="senders").select("identity", "asn", "observations", "templates", "spread")
+
+
 @query("ordered_sequence", "SELECT source_ip, ms, pattern, row_number() OVER (PARTITION BY source_ip ORDER BY ms, pattern) AS place FROM (SELECT DISTINCT source_ip, CAST(floor(epoch_us(ts) / 1000.0) AS BIGINT) AS ms, concat_ws(' ', method, uri_path) AS pattern FROM fd WHERE source_ip IS NOT NULL AND ts IS NOT NULL)", _FD)
 def _(t):
     return FD.ordered_sequence(t.findings)

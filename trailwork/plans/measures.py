@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from trailwork.functions import web as W
+from trailwork.operators import compare as X
 from trailwork.operators import concentration as C
 from trailwork.plans.base import query
 
@@ -112,7 +113,27 @@ def _(t):
     return C.focus_summary(t.events, source_ips=["198.51.3.17", "198.51.1.8", "198.51.4.4"])
 
 
-@query("request_rates", "SELECT width, count(*) AS buckets, max(n) AS peak, median(n) AS median, max(n) / median(n) AS peak_to_median FROM (SELECT width, CAST(floor(sec / width) AS BIGINT) AS b, count(*) AS n FROM e, (VALUES (60), (3600), (86400)) w(width) WHERE ts IS NOT NULL GROUP BY 1, 2) GROUP BY 1")
+_FOCUSED = "SELECT * FROM e WHERE uri_path = '/click' OR starts_with(uri_path, '/click/')"
+
+
+@query("focus_groups", f"""SELECT kind, name, requests, peers, requests / (SELECT count(*) FROM ({_FOCUSED})) AS share FROM (SELECT 'block' AS kind, concat(split_part(source_ip,'.',1),'.',split_part(source_ip,'.',2),'.',split_part(source_ip,'.',3),'.0/24') AS name, count(*) AS requests, count(DISTINCT source_ip) AS peers FROM ({_FOCUSED}) WHERE source_ip IS NOT NULL GROUP BY 1, 2
+    UNION ALL SELECT CASE WHEN asn IS NULL THEN 'unresolved' ELSE 'asn' END, coalesce(CAST(asn AS VARCHAR), 'unresolved'), count(*), count(DISTINCT source_ip) FROM ({_FOCUSED}) LEFT JOIN (SELECT ip, arg_max(asn, bits) AS asn FROM ipn JOIN nets ON num BETWEEN lo AND hi WHERE bits > 16 GROUP BY ip) ON ip = source_ip GROUP BY 1, 2)""", "e ipn nets")
+def _(t):
+    asn = X.asn_lookup(t.events.select(F.col("source_ip").alias("ip")), t.networks.filter("network not like '%/16'"))
+    return C.focus_groups(t.events, asn, path_prefix="/click")
+
+
+@query("path_statuses", "SELECT uri_path, status, count(*) AS requests FROM e WHERE uri_path IS NOT NULL GROUP BY 1, 2")
+def _(t):
+    return C.path_statuses(t.events)
+
+
+@query("path_waf_actions", "SELECT uri_path, CASE WHEN waf_action IS NULL THEN 'unavailable' WHEN upper(waf_action) IN ('ALLOW','BLOCK','COUNT','CAPTCHA','CHALLENGE') THEN upper(waf_action) ELSE 'other' END AS action, count(*) AS requests FROM e WHERE uri_path IS NOT NULL GROUP BY 1, 2")
+def _(t):
+    return C.path_waf_actions(t.events)
+
+
+@query("request_rates", "SELECT width, count(*) AS buckets, max(n) AS peak, median(n) AS median, (SELECT count(*) FROM e WHERE ts IS NULL) AS undated, max(n) / median(n) AS peak_to_median FROM (SELECT width, CAST(floor(sec / width) AS BIGINT) AS b, count(*) AS n FROM e, (VALUES (60), (600), (3600), (86400)) w(width) WHERE ts IS NOT NULL GROUP BY 1, 2) GROUP BY 1")
 def _(t):
     return C.request_rates(t.events)
 

@@ -66,10 +66,10 @@ def _(t):
     return B.unserved_paths(t.events.withColumn("status", status))
 
 
-@query("rank_rare_success", f"SELECT path, preceded, successful_sources, requesting_sources FROM ({_RARE}) ORDER BY preceded DESC, successful_sources, requesting_sources, path LIMIT 10", "e listed probes tpl rtpl")
+@query("rank_rare_success", f"SELECT path, preceded, successful_sources, requesting_sources, first_seen FROM ({_RARE}) ORDER BY preceded DESC, successful_sources, requesting_sources, first_seen DESC NULLS LAST, path LIMIT 10", "e listed probes tpl rtpl")
 def _(t):
     rows = B.rare_success(t.events.filter("source_ip is not null"), _probes(t), max_sources=1000, max_requesting=1000)
-    return rows.select("path", "preceded", "successful_sources", "requesting_sources").orderBy(F.desc("preceded"), "successful_sources", "requesting_sources", "path").limit(10)
+    return B.rank_rare_success(rows).select("path", "preceded", "successful_sources", "requesting_sources", "first_seen").limit(10)
 
 
 @query("rank_identifier_entries", "SELECT source, method, host, template, position, rejected_ids, ids FROM access ORDER BY rejected_ids DESC NULLS LAST, ids DESC, source, method, host NULLS FIRST, template, position LIMIT 20", "e tpl ids src steps entries")
@@ -80,7 +80,7 @@ def _(t):
 
 @query("rank_entities", "SELECT source_ip, observations, templates FROM groups ORDER BY observations DESC, templates DESC, source_ip LIMIT 20", "e det det_cves fd groups")
 def _(t):
-    return FD.entity_groups(t.findings).select("source_ip", "observations", "templates").orderBy(F.desc("observations"), F.desc("templates"), "source_ip").limit(20)
+    return FD.rank_entities(FD.entity_groups(t.findings)).select("source_ip", "observations", "templates").limit(20)
 
 
 @query("rank_anomaly_sources", "SELECT source_ip, count(DISTINCT event_id) AS requests_with_features, count(DISTINCT feature) AS features FROM odd WHERE source_ip IS NOT NULL GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 20", "e odd")

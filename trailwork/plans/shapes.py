@@ -10,7 +10,7 @@ from trailwork.operators import behaviour as B
 from trailwork.operators import compare as X
 from trailwork.operators import concentration as C
 from trailwork.operators import findings as FD
-from trailwork.plans.base import CTES, NETWORKS, RANGES, query, values_sql
+from trailwork.plans.base import CTES, RANGES, query, values_sql
 from trailwork.plans.measures import _DAILY
 
 _NUM = lambda ip: sum(int(p) << s for p, s in zip(ip.split("."), (24, 16, 8, 0), strict=True))
@@ -21,7 +21,6 @@ def _range(cidr: str) -> tuple[int, int]:
     return _NUM(base), _NUM(base) + (1 << (32 - int(bits))) - 1
 
 
-CTES["nets"] = values_sql("nets", "network, asn, bits, lo, hi", [(n, a, int(n.split("/")[1]), *_range(n)) for n, a in NETWORKS])
 CTES["rng"] = values_sql("rng", "lo, hi, asn", [(_NUM(a), _NUM(b), n) for a, b, n in RANGES])
 _ASN = "SELECT ip, arg_max(asn, bits) AS asn, max(bits) AS prefix_len FROM ipn JOIN nets ON num BETWEEN lo AND hi GROUP BY ip"
 
@@ -88,6 +87,34 @@ def _(t):
     return _probes(t)
 
 
+#: A third of the requests came through a proxy that named its client, which is an address or nothing; a few peers are host names.
+CTES["who"] = """who AS (SELECT *, CASE WHEN peer IS NULL THEN NULL WHEN named THEN 'hostname-peer' WHEN client IS NOT NULL THEN CASE WHEN client = 'unknown' THEN NULL ELSE 'validated-client' END ELSE 'observed-peer' END AS identity, CASE WHEN peer IS NULL OR client = 'unknown' AND NOT named THEN NULL WHEN named THEN 'crawler.example.org' ELSE coalesce(client, source_ip) END AS source FROM
+    (SELECT *, event_id % 31 = 0 AND source_ip IS NOT NULL AS named, source_ip AS peer, CASE WHEN event_id % 3 = 0 THEN CASE WHEN event_id % 15 = 0 THEN 'unknown' ELSE concat('203.0.113.', CAST(event_id % 7 AS VARCHAR)) END END AS client FROM e))"""
+
+
+def _who(t):
+    k = F.col("event_id")
+    client = F.when(k % 3 == 0, F.when(k % 15 == 0, "unknown").otherwise(F.concat(F.lit("::ffff:203.0.113."), (k % 7).cast("string"))))
+    named = F.when((k % 31 == 0) & F.col("source_ip").isNotNull(), "Crawler.Example.org.").otherwise(F.col("source_ip"))
+    return B.with_source(t.events.withColumns({"client_ip": client, "source_ip": named}))
+
+
+@query("source_identities", "SELECT identity, source, count(*) AS requests, count(DISTINCT uri_path) AS paths FROM who GROUP BY 1, 2", "e who")
+def _(t):
+    return _who(t).groupBy("identity", "source").agg(F.count("*").alias("requests"), F.countDistinct("uri_path").alias("paths"))
+
+
+@query("probe_identities", """SELECT identity, source, count(*) AS requests, count(DISTINCT uri_path) AS distinct_paths, count(DISTINCT uri_path) FILTER (uri_path IN (SELECT uri_path FROM listed)) AS catalog_paths, count(*) FILTER (uri_path IN (SELECT uri_path FROM listed)) AS catalog_requests,
+    count(DISTINCT uri_path) FILTER (uri_path NOT IN (SELECT uri_path FROM e WHERE status BETWEEN 200 AND 299 AND uri_path IS NOT NULL)) AS unserved, count(DISTINCT floor(sec / 86400)) AS active_days FROM who WHERE identity IS NOT NULL GROUP BY 1, 2""", "e listed who")
+def _(t):
+    return B.probe_sources(_who(t), t.catalog, key=B.SOURCE).select("identity", "source", "requests", "distinct_paths", "catalog_paths", "catalog_requests", "unserved", "active_days")
+
+
+@query("probe_categories", "SELECT source_ip, category, count(*) AS requests, count(DISTINCT uri_path) AS paths FROM e JOIN listed USING (uri_path) WHERE source_ip IS NOT NULL GROUP BY 1, 2", "e listed")
+def _(t):
+    return B.probe_categories(t.events, t.catalog)
+
+
 @query("rank_probe_sources", "SELECT source_ip, distinct_paths, requests, probe_shaped FROM probes ORDER BY probe_shaped DESC, distinct_paths DESC, requests DESC, source_ip LIMIT 20", "e listed probes")
 def _(t):
     return _probes(t).select("source_ip", "distinct_paths", "requests", "probe_shaped").orderBy(F.desc("probe_shaped"), F.desc("distinct_paths"), F.desc("requests"), "source_ip").limit(20)
@@ -95,9 +122,9 @@ def _(t):
 
 CTES["tpl"] = "tpl AS (SELECT *, CASE WHEN regexp_matches(split_part(uri_path, '/', 3), '^[0-9]{1,20}$') THEN concat('/', split_part(uri_path, '/', 2), '/{num}') ELSE uri_path END AS path FROM e WHERE uri_path IS NOT NULL)"
 CTES["rtpl"] = "rtpl AS (SELECT * FROM tpl WHERE source_ip IS NOT NULL)"
-_RARE = """SELECT a.path, CAST(requests AS BIGINT) AS requests, CAST(successes AS BIGINT) AS successes, requesting_sources, successful_sources, preceded, min_bytes, max_bytes FROM (SELECT path, sum(n) AS requests, sum(ok) AS successes, count(source_ip) AS requesting_sources, count(*) FILTER (ok > 0 AND source_ip IS NOT NULL) AS successful_sources, count(*) FILTER (source_ip IS NULL) AS without_source, max(CAST(coalesce(ok > 0 AND last_ok > first_failure, false) AS INT)) = 1 AS preceded
+_RARE = """SELECT a.path, CAST(requests AS BIGINT) AS requests, CAST(successes AS BIGINT) AS successes, requesting_sources, successful_sources, preceded, min_bytes, max_bytes, methods, first_seen, last_seen FROM (SELECT path, sum(n) AS requests, sum(ok) AS successes, count(source_ip) AS requesting_sources, count(*) FILTER (ok > 0 AND source_ip IS NOT NULL) AS successful_sources, count(*) FILTER (source_ip IS NULL) AS without_source, max(CAST(coalesce(ok > 0 AND last_ok > first_failure, false) AS INT)) = 1 AS preceded
     FROM (SELECT path, source_ip, count(*) AS n, count(*) FILTER (status BETWEEN 200 AND 299) AS ok, max(CASE WHEN status BETWEEN 200 AND 299 THEN sec END) AS last_ok FROM rtpl GROUP BY 1, 2) LEFT JOIN (SELECT source_ip, min(sec) AS first_failure FROM e WHERE status BETWEEN 400 AND 498 AND source_ip IN (SELECT source_ip FROM probes WHERE probe_shaped) GROUP BY 1) USING (source_ip) GROUP BY 1) a
-    JOIN (SELECT path, min(response_bytes) AS min_bytes, max(response_bytes) AS max_bytes FROM rtpl WHERE status BETWEEN 200 AND 299 GROUP BY 1) b USING (path) WHERE successes > 0 AND without_source = 0 AND successful_sources <= 1000 AND requesting_sources <= 1000"""
+    JOIN (SELECT path, min(response_bytes) AS min_bytes, max(response_bytes) AS max_bytes, string_agg(DISTINCT method, ';' ORDER BY method) AS methods, min(sec) AS first_seen, max(sec) AS last_seen FROM rtpl GROUP BY 1) b USING (path) WHERE successes > 0 AND without_source = 0 AND successful_sources <= 1000 AND requesting_sources <= 1000"""
 
 
 @query("rare_success", _RARE, "e listed probes tpl rtpl")
@@ -105,6 +132,19 @@ def _(t):
     return B.rare_success(t.events.filter("source_ip is not null"), _probes(t), max_sources=1000, max_requesting=1000)
 
 
+@query("rare_success_sources", f"SELECT path, source_ip, count(*) AS successes, min(sec) AS first_success, max(sec) AS last_success FROM rtpl WHERE status BETWEEN 200 AND 299 AND path IN (SELECT path FROM ({_RARE})) GROUP BY 1, 2", "e listed probes tpl rtpl")
+def _(t):
+    e = t.events.filter("source_ip is not null")
+    return B.rare_success_sources(e, B.rare_success(e, _probes(t), max_sources=1000, max_requesting=1000))
+
+
+@query("rare_success_identities", """SELECT path, identity, source, count(*) AS successes FROM (SELECT *, CASE WHEN regexp_matches(split_part(uri_path, '/', 3), '^[0-9]{1,20}$') THEN concat('/', split_part(uri_path, '/', 2), '/{num}') ELSE uri_path END AS path FROM who WHERE identity IS NOT NULL AND uri_path IS NOT NULL) WHERE status BETWEEN 200 AND 299 GROUP BY 1, 2, 3""", "e who")
+def _(t):
+    e = _who(t).filter("identity is not null")
+    rare = B.rare_success(e, B.probe_sources(e, t.catalog, key=B.SOURCE), max_sources=100_000, max_requesting=100_000, key=B.SOURCE)
+    return B.rare_success_sources(e, rare, B.SOURCE).select("path", "identity", "source", "successes")
+
+
 CTES["ids"] = """ids AS (SELECT event_id, source_ip, method, host, ts, status, response_bytes, path AS template, 'path:2' AS position, split_part(uri_path, '/', 3) AS value FROM tpl WHERE path <> uri_path
     UNION ALL SELECT event_id, source_ip, method, host, ts, status, response_bytes, path, concat('query:', split_part(uri_query, '=', 1)), split_part(uri_query, '=', 2) FROM tpl WHERE regexp_matches(uri_query, '=[0-9]{1,20}$'))"""
 
@@ -269,6 +309,11 @@ def _(t):
     return X.read_observation_store(first.unionByName(X.update_observation_store(first, seen)))
 
 
+@query("observation_store_networks", f"SELECT run_id, concat('AS', asn) AS entity, CAST(min(floor(sec / 60)) AS BIGINT) AS first_minute, CAST(max(floor(sec / 60)) AS BIGINT) AS last_minute FROM runs JOIN ({_ASN}) ON ip = source_ip GROUP BY 1, 2 UNION ALL {_OBSERVED}", "e ipn nets runs")
+def _(t):
+    return X.observations(_runs(t), asn=X.asn_lookup(_ips(t), t.networks))
+
+
 #: Dispositions derived from findings: every seventh event is expected, every eleventh needs review, the later entry counts.
 CTES["disp"] = "disp AS (SELECT source_ip, template_id, upper(method) AS method, uri_path, uri_query, arg_max(disposition, recorded_at) AS disposition FROM (SELECT *, CASE WHEN event_id % 7 = 0 THEN 'expected' ELSE 'needs-review' END AS disposition, event_id AS recorded_at FROM fd WHERE (event_id % 7 = 0 OR event_id % 11 = 0) AND source_ip IS NOT NULL) GROUP BY 1, 2, 3, 4, 5)"
 
