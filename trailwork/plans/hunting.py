@@ -189,7 +189,7 @@ def _(t):
     return FD.sequence_summary(t.findings, 86400)
 
 
-CTES["view"] = """view AS (SELECT s.*, CASE WHEN score >= 75 THEN 'high' WHEN score >= 50 THEN 'medium' WHEN score >= 25 THEN 'low' ELSE 'info' END AS tier, CASE WHEN observations >= 3 AND templates >= 2 AND observations >= 10 THEN 'breadth + depth' WHEN observations >= 3 AND templates >= 2 THEN 'breadth' WHEN observations >= 10 THEN 'depth' END AS basis,
+CTES["view"] = """view AS (SELECT s.*, CASE WHEN score >= 75 THEN 'high' WHEN score >= 50 THEN 'medium' WHEN score >= 25 THEN 'low' ELSE 'info' END AS tier, CASE WHEN s.observations >= 3 AND templates >= 2 AND s.observations >= 10 THEN 'breadth + depth' WHEN s.observations >= 3 AND templates >= 2 THEN 'breadth' WHEN s.observations >= 10 THEN 'depth' END AS basis,
     CASE source_ip WHEN '198.51.3.17' THEN 95 WHEN '198.51.1.8' THEN 40 END AS reputation, source_ip LIKE '%7' AS first_seen, undated, max_patterns, max_distinctive_patterns FROM scored s LEFT JOIN sequences USING (source_ip))"""
 
 
