@@ -10,42 +10,76 @@ from pyspark.sql.window import Window
 
 from trailwork.functions import network as N
 from trailwork.functions import web as W
+from trailwork.operators.concentration import time_filter
 from trailwork.operators.ordering import sliding_distinct, with_previous
 
 SEVERITIES = ("unknown", "info", "low", "medium", "high", "critical")
+#: From the weakest: what a template says of how well a request alone shows its CVE.
+DETECTABILITIES = ("unknown", "undetectable", "low", "medium", "high")
 #: Caps of the score's components.
 CAPS = {"template": 24, "cve": 16, "observation": 16, "path": 4, "spread": 20, "unblocked": 15, "burst": 5}
 URI_ONLY_CAP = 74
 
 
-def hunt_metrics(events: DataFrame, findings: DataFrame) -> DataFrame:
-    """One row: requests, matches by specificity and distinctiveness, matched requests, peers, templates."""
-    f = findings.agg(
+def hunt_metrics(events: DataFrame, findings: DataFrame, rule_matches: DataFrame | None = None, rules_evaluated: int = 0, start=None, end=None) -> DataFrame:
+    """One row: requests and what a time range leaves out, records, matches by request and CVE, their confidence and outcomes, rules.
+
+    A record is a (request, template); a match a (request, CVE), counted once with its strongest confidence. With bounds,
+    both inclusive, only requests in range count, and undated ones are left out. rule_matches: (event_id, rule_id).
+    """
+    kept, f = time_filter(events, start, end), time_filter(findings, start, end)
+    records = f.agg(
         F.count("*").alias("matches"), F.countDistinct("event_id").alias("matched_requests"), F.count_if(F.col("specificity") == "request-specific").alias("request_specific"), F.count_if(F.col("distinctiveness") == "distinctive").alias("distinctive"),
         F.count_if(F.col("severity").isin("high", "critical")).alias("high_or_critical"), F.countDistinct("source_ip").alias("matched_peers"), F.countDistinct("template_id").alias("templates"),
     )
-    e = events.agg(F.count("*").alias("requests"), F.countDistinct("source_ip").alias("peers"), F.countDistinct("ja4").alias("fingerprints"))
-    return e.join(F.broadcast(f))
+    level = lambda name: F.count_if(F.col("detectability_rank") == DETECTABILITIES.index(name) + 1).alias(f"{name}_confidence")
+    outcome = lambda name: F.count_if(F.col("outcome") == name).alias(f"cve_{name.replace('-', '_')}")
+    cves = by_cve(f).agg(
+        F.count("*").alias("cve_matches"), F.countDistinct("cve").alias("cves"), F.count_if("specific").alias("cve_request_specific"), F.count_if(~F.col("specific")).alias("cve_response_unverified"), level("high"), level("medium"), level("low"),
+        outcome("blocked"), outcome("not-blocked"), outcome("unknown"), F.count_if("count_evidence").alias("count_evidence"),
+    )
+    everything = kept.agg(F.count("*").alias("requests"), F.countDistinct("source_ip").alias("peers"), F.countDistinct("ja4").alias("fingerprints"), F.min(W.epoch(F.col("ts"))).alias("earliest"), F.max(W.epoch(F.col("ts"))).alias("latest"))
+    bounded = start is not None or end is not None
+    inside = F.coalesce((F.col("ts") >= F.lit(start).cast("timestamp")) if start is not None else F.lit(True), F.lit(False)) & F.coalesce((F.col("ts") <= F.lit(end).cast("timestamp")) if end is not None else F.lit(True), F.lit(False))
+    excluded = events.agg(F.count_if(F.lit(bounded) & F.col("ts").isNotNull() & ~inside).alias("outside_range"), F.count_if(F.lit(bounded) & F.col("ts").isNull()).alias("undated_excluded"))
+    out = everything.join(F.broadcast(records)).join(F.broadcast(cves)).join(F.broadcast(excluded)).withColumn("rules_evaluated", F.lit(rules_evaluated).cast("long"))
+    if rule_matches is None:
+        return out.withColumns({c: F.lit(0).cast("long") for c in ("rule_matches", "rule_matched_requests", "rules_matched")})
+    # The matches of requests in range, each once.
+    met = rule_matches.select("event_id", "rule_id").distinct().join(kept.select("event_id"), "event_id", "left_semi")
+    return out.join(F.broadcast(met.agg(F.count("*").alias("rule_matches"), F.countDistinct("event_id").alias("rule_matched_requests"), F.countDistinct("rule_id").alias("rules_matched"))))
 
 
 def by_cve(findings: DataFrame) -> DataFrame:
-    """A row for each (event, CVE) once, whatever number of templates matched, with the strongest severity."""
-    rank = F.array_position(F.array(*map(F.lit, SEVERITIES)), F.col("severity"))
-    rows = findings.withColumn("severity_rank", rank).select("event_id", "ts", "source_ip", "ja4", "host", "status", "outcome", "request_id", "template_id", "severity_rank", F.explode("cves").alias("cve"))
-    return rows.groupBy("event_id", "cve").agg(*[F.first(c).alias(c) for c in ("ts", "source_ip", "ja4", "host", "status", "outcome", "request_id")], F.max("severity_rank").alias("severity_rank"))
+    """A row for each (event, CVE) once, whatever number of templates matched, with the strongest severity, detectability and specificity.
+
+    Confidence and evidence of counting rules are unknown and false where the findings have no columns for them.
+    """
+    rank = lambda names, c: F.coalesce(F.array_position(F.array(*map(F.lit, names)), F.col(c)), F.lit(1)) if c in findings.columns else F.lit(1).cast("long")
+    evidence = F.coalesce(F.size("waf_non_terminating_rule_ids") > 0, F.lit(False)) if "waf_non_terminating_rule_ids" in findings.columns else F.lit(False)
+    have = [c for c in ("ts", "source_ip", "ja4", "host", "status", "outcome", "request_id", "distinctiveness") if c in findings.columns]
+    specific = F.col("specificity") == "request-specific" if "specificity" in findings.columns else F.lit(False)
+    rows = findings.select("event_id", *have, "template_id", rank(SEVERITIES, "severity").alias("severity_rank"), rank(DETECTABILITIES, "detectability").alias("detectability_rank"), specific.alias("specific"), evidence.alias("count_evidence"), F.explode("cves").alias("cve"))
+    return rows.groupBy("event_id", "cve").agg(*[F.first(c).alias(c) for c in have], F.max("severity_rank").alias("severity_rank"), F.max("detectability_rank").alias("detectability_rank"), F.bool_or("specific").alias("specific"), F.bool_or("count_evidence").alias("count_evidence"))
 
 
 def cve_summary(findings: DataFrame) -> DataFrame:
-    """Per CVE: requests, first and last time, peers, fingerprints, hosts, outcomes, strongest severity, protection gap."""
+    """Per CVE: requests by distinctiveness, first and last time, peers, fingerprints, hosts, outcomes, strongest severity and detectability, protection gap."""
     at = W.epoch(F.col("ts"))
     per = by_cve(findings).groupBy("cve").agg(
         F.count("*").alias("requests"), F.min(at).alias("first_seen"), F.max(at).alias("last_seen"), F.countDistinct("source_ip").alias("peers"), F.countDistinct("ja4").alias("fingerprints"), F.countDistinct("host").alias("hosts"),
-        F.count_if(F.col("outcome") == "blocked").alias("blocked"), F.count_if(F.col("outcome") == "not-blocked").alias("not_blocked"), F.count_if(F.col("status").between(200, 299)).alias("ok"), F.max("severity_rank").alias("severity_rank"),
+        F.count_if(F.col("outcome") == "blocked").alias("blocked"), F.count_if(F.col("outcome") == "not-blocked").alias("not_blocked"), F.count_if(F.col("outcome") == "unknown").alias("unknown_outcome"), F.count_if("count_evidence").alias("count_evidence"),
+        F.count_if(F.col("status").between(200, 299)).alias("ok"), F.count_if(F.col("distinctiveness") == "distinctive").alias("distinctive"), F.count_if(F.col("distinctiveness") == "generic").alias("generic"), F.max("severity_rank").alias("severity_rank"), F.max("detectability_rank").alias("detectability_rank"),
     )
     templates = findings.select(F.explode("cves").alias("cve"), "template_id").groupBy("cve").agg(F.array_join(F.sort_array(F.collect_set("template_id")), ";").alias("template_ids"))
     gap = W.share(F.col("not_blocked"), F.col("blocked") + F.col("not_blocked"), None)
-    severity = F.get(F.array(*map(F.lit, SEVERITIES)), F.col("severity_rank").cast("int") - 1)
-    return per.join(templates, "cve").withColumns({"protection_gap": gap, "severity": severity}).drop("severity_rank")
+    name = lambda names, c: F.get(F.array(*map(F.lit, names)), F.col(c).cast("int") - 1)
+    return per.join(templates, "cve").withColumns({"protection_gap": gap, "severity": name(SEVERITIES, "severity_rank"), "detectability": name(DETECTABILITIES, "detectability_rank")}).drop("severity_rank", "detectability_rank")
+
+
+def cve_statuses(findings: DataFrame) -> DataFrame:
+    """Response status counts of each CVE's requests, in long form; requests without a status are left out."""
+    return by_cve(findings).filter("status is not null").groupBy("cve", "status").agg(F.count("*").alias("requests"))
 
 
 def kev_flag(rows: DataFrame, kev: DataFrame) -> DataFrame:
@@ -290,6 +324,12 @@ def historical_replay(matches: DataFrame, findings: DataFrame) -> DataFrame:
     return out.withColumns({"missed": F.greatest(F.col("known") - F.col("reobserved"), F.lit(0)), "coverage": W.share(F.col("reobserved"), F.col("known"), None)})
 
 
+def replay_total(replay: DataFrame) -> DataFrame:
+    """One row over all CVEs of ``historical_replay``: sums, and the coverage of all known findings (NULL without any)."""
+    sums = replay.agg(F.count("*").alias("cves"), *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("known", "reobserved", "missed", "other_matches", "other_blocked", "other_not_blocked", "other_unknown")])
+    return sums.withColumn("coverage", W.share(F.col("reobserved"), F.col("known"), None))
+
+
 def count_hypotheses(events: DataFrame, detections: DataFrame, findings: DataFrame) -> DataFrame:
     """Per CVE and rung: matched requests, known request ids re-observed, coverage."""
     pairs = ladder(events, detections).select("event_id", "request_id", "cve", _held_rungs()).distinct()

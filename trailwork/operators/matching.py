@@ -152,6 +152,17 @@ def ioc_summary(events: DataFrame, matches: DataFrame, indicators: DataFrame) ->
     return rows.groupBy("indicator_id", "type").agg(F.count("*").alias("matches"), F.countDistinct("source_ip").alias("peers"), F.min(at).alias("first_seen"), F.max(at).alias("last_seen"), F.count_if(F.col("validity") == "outside").alias("outside"), F.count_if(F.col("validity") == "unavailable").alias("unavailable"))
 
 
+def ioc_fields(matches: DataFrame) -> DataFrame:
+    """Per indicator and field it was met in: requests. A request counts in every field."""
+    return matches.select("indicator_id", F.explode("fields").alias("field")).groupBy("indicator_id", "field").agg(F.count("*").alias("requests"))
+
+
+def ioc_totals(events: DataFrame, matches: DataFrame, indicators: DataFrame) -> DataFrame:
+    """One row: requests, those that any indicator met, (request, indicator) pairs, indicators and those met."""
+    met = matches.agg(F.countDistinct("event_id").alias("matched_requests"), F.count("*").alias("pairs"), F.countDistinct("indicator_id").alias("indicators_matched"))
+    return events.agg(F.count("*").alias("requests")).join(F.broadcast(met)).join(F.broadcast(indicators.agg(F.countDistinct("indicator_id").alias("indicators"))))
+
+
 def condition(tree: dict, columns: list[str]) -> Column:
     """A defensive condition as a Boolean: a missing field is false, its negation true, an empty AND or OR false."""
     kind = tree["kind"]

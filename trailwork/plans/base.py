@@ -94,7 +94,7 @@ CTES = {
         row_number() OVER (PARTITION BY event_id, det.template_id ORDER BY det.ordinal) AS rn
         FROM e JOIN det ON uri_path = d_path AND lower(method) = lower(d_method) AND (d_query IS NULL OR contains(uri_query, d_query)) AND {HEADER} AND {FRAGMENT}) WHERE rn = 1)""",
     "fc": """fc AS (SELECT event_id, cve, any_value(ts) AS ts, any_value(sec) AS sec, any_value(source_ip) AS source_ip, any_value(ja4) AS ja4, any_value(host) AS host, any_value(status) AS status, any_value(outcome) AS outcome, any_value(request_id) AS request_id,
-        max(list_position(['unknown','info','low','medium','high','critical'], severity)) AS severity_rank FROM fd JOIN det_cves USING (template_id, ordinal) GROUP BY event_id, cve)""",
+        max(list_position(['unknown','info','low','medium','high','critical'], severity)) AS severity_rank, max(3 + ordinal % 3) AS detectability_rank, bool_or(specificity = 'request-specific') AS specific, any_value(distinctiveness) AS distinctiveness, any_value(event_id % 6 = 0) AS count_evidence FROM fd JOIN det_cves USING (template_id, ordinal) GROUP BY event_id, cve)""",
     "ind": values_sql("ind", "indicator_id, type, value, valid_from, valid_until", INDICATORS),
     "ipn": "ipn AS (SELECT DISTINCT source_ip AS ip, CAST(split_part(source_ip,'.',1) AS BIGINT)*16777216 + CAST(split_part(source_ip,'.',2) AS BIGINT)*65536 + CAST(split_part(source_ip,'.',3) AS BIGINT)*256 + CAST(split_part(source_ip,'.',4) AS BIGINT) AS num FROM e WHERE source_ip IS NOT NULL)",
 }
@@ -134,13 +134,15 @@ class Tables:
     def detections(self) -> DataFrame:
         rows = self.spark.createDataFrame(DETECTIONS, "template_id string, ordinal int, severity string, method string, path string, query string, cves array<string>, fragment string, header string")
         header = F.struct(F.lit("X-DEBUG").alias("name"), F.col("header").alias("value"))
-        return rows.withColumn("headers", F.when(F.col("header").isNotNull(), F.array(header))).drop("header")
+        level = F.get(F.array(*map(F.lit, ("low", "medium", "high"))), F.col("ordinal") % 3)
+        return rows.withColumns({"headers": F.when(F.col("header").isNotNull(), F.array(header)), "detectability": level}).drop("header")
 
     @cached_property
     def findings(self) -> DataFrame:
         from trailwork.operators.matching import match_detections
 
-        return match_detections(self.events, self.detections)
+        found = match_detections(self.events, self.detections)
+        return found.withColumn("waf_non_terminating_rule_ids", F.when(F.col("event_id") % 6 == 0, F.array(F.lit("count-rule"))).otherwise(F.array().cast("array<string>")))
 
     @cached_property
     def indicators(self) -> DataFrame:

@@ -25,7 +25,7 @@ def _(t):
 
 
 _SUMMARY = """SELECT s.*, tt.template_ids, CASE WHEN blocked + not_blocked > 0 THEN not_blocked * 1.0 / (blocked + not_blocked) END AS protection_gap FROM (SELECT cve, count(*) AS requests, min(sec) AS first_seen, max(sec) AS last_seen, count(DISTINCT source_ip) AS peers, count(DISTINCT ja4) AS fingerprints, count(DISTINCT host) AS hosts,
-    count(*) FILTER (outcome = 'blocked') AS blocked, count(*) FILTER (outcome = 'not-blocked') AS not_blocked, count(*) FILTER (status BETWEEN 200 AND 299) AS ok, ['unknown','info','low','medium','high','critical'][max(severity_rank)] AS severity FROM fc GROUP BY cve) s
+    count(*) FILTER (outcome = 'blocked') AS blocked, count(*) FILTER (outcome = 'not-blocked') AS not_blocked, count(*) FILTER (outcome = 'unknown') AS unknown_outcome, count(*) FILTER (count_evidence) AS count_evidence, count(*) FILTER (status BETWEEN 200 AND 299) AS ok, count(*) FILTER (distinctiveness = 'distinctive') AS distinctive, count(*) FILTER (distinctiveness = 'generic') AS generic, ['unknown','info','low','medium','high','critical'][max(severity_rank)] AS severity, ['unknown','undetectable','low','medium','high'][max(detectability_rank)] AS detectability FROM fc GROUP BY cve) s
     JOIN (SELECT cve, string_agg(DISTINCT template_id, ';' ORDER BY template_id) AS template_ids FROM fd JOIN det_cves USING (template_id, ordinal) GROUP BY cve) tt USING (cve)"""
 
 
@@ -39,11 +39,6 @@ def _(t):
     return FD.kev_flag(FD.by_cve(t.findings).groupBy("cve").agg(F.count("*").alias("requests")), t.kev)
 
 
-@query("hunt_metrics", """SELECT * FROM (SELECT count(*) AS requests, count(DISTINCT source_ip) AS peers, count(DISTINCT ja4) AS fingerprints FROM e), (SELECT count(*) AS matches, count(DISTINCT event_id) AS matched_requests, count(*) FILTER (specificity = 'request-specific') AS request_specific, count(*) FILTER (distinctiveness = 'distinctive') AS distinctive, count(*) FILTER (severity IN ('high','critical')) AS high_or_critical, count(DISTINCT source_ip) AS matched_peers, count(DISTINCT template_id) AS templates FROM fd)""", _FD)
-def _(t):
-    return FD.hunt_metrics(t.events, t.findings)
-
-
 @query("severity_counts", "SELECT " + ", ".join(f"count(*) FILTER (severity = '{s}') AS {s}" for s in FD.SEVERITIES) + " FROM fd", _FD)
 def _(t):
     return FD.severity_counts(t.findings)
@@ -80,6 +75,33 @@ def _(t):
     return M.match_rules(t.events, RULES).select("event_id", "rule_id", "level")
 
 
+_RANGE = "ts BETWEEN TIMESTAMP '2024-01-05' AND TIMESTAMP '2024-01-20'"
+
+
+def _metrics(where: str) -> str:
+    outside = f"count(*) FILTER (ts IS NOT NULL AND NOT ({where})) AS outside_range, count(*) FILTER (ts IS NULL AND NOT coalesce({where}, false)) AS undated_excluded"
+    levels = ", ".join(f"count(*) FILTER (detectability_rank = {k}) AS {n}_confidence" for k, n in ((5, "high"), (4, "medium"), (3, "low")))
+    outcomes = ", ".join(f"count(*) FILTER (outcome = '{o}') AS cve_{o.replace('-', '_')}" for o in ("blocked", "not-blocked", "unknown"))
+    return f"""SELECT * FROM (SELECT count(*) AS requests, count(DISTINCT source_ip) AS peers, count(DISTINCT ja4) AS fingerprints, min(sec) AS earliest, max(sec) AS latest FROM e WHERE {where}), (SELECT {outside} FROM e), (SELECT CAST(3 AS BIGINT) AS rules_evaluated, count(*) AS rule_matches, count(DISTINCT event_id) AS rule_matched_requests, count(DISTINCT rule_id) AS rules_matched FROM rules JOIN e USING (event_id) WHERE {where}),
+    (SELECT count(*) AS matches, count(DISTINCT event_id) AS matched_requests, count(*) FILTER (specificity = 'request-specific') AS request_specific, count(*) FILTER (distinctiveness = 'distinctive') AS distinctive, count(*) FILTER (severity IN ('high','critical')) AS high_or_critical, count(DISTINCT source_ip) AS matched_peers, count(DISTINCT template_id) AS templates FROM fd WHERE {where}),
+    (SELECT count(*) AS cve_matches, count(DISTINCT cve) AS cves, count(*) FILTER (specific) AS cve_request_specific, count(*) FILTER (NOT specific) AS cve_response_unverified, {levels}, {outcomes}, count(*) FILTER (count_evidence) AS count_evidence FROM fc WHERE {where})"""
+
+
+@query("hunt_metrics", _metrics("true"), _FC + " rules")
+def _(t):
+    return FD.hunt_metrics(t.events, t.findings, M.match_rules(t.events, RULES), len(RULES))
+
+
+@query("hunt_metrics_in_range", _metrics(_RANGE), _FC + " rules")
+def _(t):
+    return FD.hunt_metrics(t.events, t.findings, M.match_rules(t.events, RULES), len(RULES), "2024-01-05", "2024-01-20")
+
+
+@query("cve_statuses", "SELECT cve, status, count(*) AS requests FROM fc WHERE status IS NOT NULL GROUP BY 1, 2", _FC)
+def _(t):
+    return FD.cve_statuses(t.findings)
+
+
 _HITS = """hits AS (SELECT event_id, indicator_id, 'source_ip' AS field FROM e JOIN ind ON type = 'ip' AND replace(value, '::ffff:', '') = source_ip
     UNION SELECT event_id, 9, 'url' FROM e WHERE host = 'www.example.org' AND uri_path = '/.env'
     UNION SELECT event_id, 11, 'source_ip' FROM e JOIN ipn ON ip = source_ip WHERE num BETWEEN 3325232384 AND 3325232511
@@ -125,6 +147,16 @@ def _(t):
     return rows.groupBy("indicator_id", M.indicator_validity(F.col("ts"), F.col("valid_from"), F.col("valid_until")).alias("validity")).agg(F.count("*").alias("matches"))
 
 
+@query("ioc_fields", "SELECT indicator_id, field, count(*) AS requests FROM hits GROUP BY 1, 2", "e ipn ind hits")
+def _(t):
+    return M.ioc_fields(M.match_indicators(t.events, t.indicators))
+
+
+@query("ioc_totals", "SELECT (SELECT count(*) FROM e) AS requests, count(DISTINCT event_id) AS matched_requests, count(*) AS pairs, count(DISTINCT indicator_id) AS indicators_matched, (SELECT count(*) FROM ind) AS indicators FROM (SELECT DISTINCT event_id, indicator_id FROM hits)", "e ipn ind hits")
+def _(t):
+    return M.ioc_totals(t.events, M.match_indicators(t.events, t.indicators), t.indicators)
+
+
 TREE = {"kind": "and", "conditions": [{"kind": "or", "conditions": [{"kind": "uri_starts_with", "value": "/click"}, {"kind": "uri_contains_ascii_case_insensitive", "value": "SIGN"}]}, {"kind": "not", "condition": {"kind": "query_contains", "value": "k=1"}}, {"kind": "not", "condition": {"kind": "host_equals", "value": "shop.example.org"}}]}
 _TREE = "(coalesce(starts_with(uri_path, '/click'), false) OR coalesce(contains(lower(uri_path), 'sign'), false)) AND NOT coalesce(contains(uri_query, 'k=1'), false) AND NOT coalesce(host = 'shop.example.org', false)"
 
@@ -252,13 +284,21 @@ def _(t):
 _OTHER = "count(*) AS other_matches, " + ", ".join(f"count(*) FILTER (outcome = '{o}') AS other_{o.replace('-', '_')}" for o in ("blocked", "not-blocked", "unknown"))
 
 
-@query("historical_replay", f"""SELECT cve, coalesce(known, 0) AS known, coalesce(reobserved, 0) AS reobserved, coalesce(other_matches, 0) AS other_matches, coalesce(other_blocked, 0) AS other_blocked, coalesce(other_not_blocked, 0) AS other_not_blocked, coalesce(other_unknown, 0) AS other_unknown, greatest(coalesce(known, 0) - coalesce(reobserved, 0), 0) AS missed, CASE WHEN known > 0 THEN coalesce(reobserved, 0) * 1.0 / known END AS coverage
+_REPLAY = f"""SELECT cve, coalesce(known, 0) AS known, coalesce(reobserved, 0) AS reobserved, coalesce(other_matches, 0) AS other_matches, coalesce(other_blocked, 0) AS other_blocked, coalesce(other_not_blocked, 0) AS other_not_blocked, coalesce(other_unknown, 0) AS other_unknown, greatest(coalesce(known, 0) - coalesce(reobserved, 0), 0) AS missed, CASE WHEN known > 0 THEN coalesce(reobserved, 0) * 1.0 / known END AS coverage
     FROM (SELECT cve, count(*) AS known FROM known GROUP BY 1) a FULL JOIN (SELECT cve, count(*) AS reobserved FROM (SELECT DISTINCT cve, request_id FROM known WHERE request_id IS NOT NULL INTERSECT SELECT DISTINCT cve, request_id FROM again) GROUP BY 1) b USING (cve)
-    FULL JOIN (SELECT cve, {_OTHER} FROM again m WHERE NOT EXISTS (SELECT 1 FROM known k WHERE k.cve = m.cve AND k.request_id = m.request_id) GROUP BY 1) c USING (cve)""", "e det det_cves fd fc known lad again")
+    FULL JOIN (SELECT cve, {_OTHER} FROM again m WHERE NOT EXISTS (SELECT 1 FROM known k WHERE k.cve = m.cve AND k.request_id = m.request_id) GROUP BY 1) c USING (cve)"""
+
+
+@query("historical_replay", _REPLAY, "e det det_cves fd fc known lad again")
 def _(t):
     return FD.historical_replay(FD.replayed(t.events, t.detections), _known(t))
 
 
+@query("replay_total", f"""SELECT count(*) AS cves, sum(known) AS known, sum(reobserved) AS reobserved, sum(missed) AS missed, sum(other_matches) AS other_matches, sum(other_blocked) AS other_blocked, sum(other_not_blocked) AS other_not_blocked, sum(other_unknown) AS other_unknown, sum(reobserved) / nullif(sum(known), 0) AS coverage FROM ({_REPLAY})""", "e det det_cves fd fc known lad again")
+def _(t):
+    return FD.replay_total(FD.historical_replay(FD.replayed(t.events, t.detections), _known(t)))
+
+
 @query("count_hypotheses", "SELECT r.cve, r.rung, r.matches, r.reobserved, coalesce(k.n, 0) AS known_findings, CASE WHEN k.n > 0 THEN r.reobserved * 1.0 / k.n END AS coverage FROM (SELECT cve, rung, count(*) AS matches, count(DISTINCT CASE WHEN k.request_id IS NOT NULL THEN r.request_id END) AS reobserved FROM rungs r LEFT JOIN (SELECT DISTINCT cve, request_id FROM known WHERE request_id IS NOT NULL) k USING (cve, request_id) GROUP BY 1, 2) r LEFT JOIN (SELECT cve, count(*) AS n FROM known GROUP BY 1) k USING (cve)", "e det det_cves fd fc known lad rungs")
 def _(t):
     return FD.count_hypotheses(t.events, t.detections, _known(t))
