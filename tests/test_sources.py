@@ -136,3 +136,22 @@ def test_export_is_stable(spark):
     summary = spark.createDataFrame([("CVE-1", 2), ("CVE-2", 1)], "cve string, requests long")
     assert sinks.export_stix(summary, "r").collect() == sinks.export_stix(summary.orderBy("requests"), "r").collect()
     assert sinks.export_misp(summary, "r").count() == 2
+
+
+def test_discovery_tells_why_files_are_skipped(spark, tmp_path):
+    for name in ("a.log", "b.LOG", "c.md", "d", "e.log.1", "f.GZ", ".secret.log", "g.jsonl"):
+        (tmp_path / name).write_text("x\n")
+    (tmp_path / ".hidden").mkdir()
+    (tmp_path / ".hidden" / "h.log").write_text("x\n")
+    (tmp_path / "inner").mkdir()
+    (tmp_path / "inner" / "i.txt").write_text("x\n")
+    (tmp_path / "link.log").symlink_to(tmp_path / "a.log")
+    found = logs.discover_inputs(spark, str(tmp_path))
+    got = {r.path.rsplit("/", 1)[1]: r.reason for r in found.collect()}
+    want = {"a.log": None, "b.LOG": "unsupported-extension", "c.md": "unsupported-extension", "d": None, "e.log.1": None, "f.GZ": None, ".secret.log": "hidden", "g.jsonl": None, ".hidden": "hidden-directory", "i.txt": None}
+    assert {k: v for k, v in got.items() if k != "link.log"} == want
+    assert got["link.log"] in ("symlink", None)  # where the file system tells links
+    assert {r.reason: r.skipped for r in logs.discovery_summary(found).filter("reason != 'symlink'").collect()} == {"unsupported-extension": 2, "hidden": 1, "hidden-directory": 1}
+    waf = {r.path.rsplit("/", 1)[1]: r.reason for r in logs.discover_inputs(spark, str(tmp_path), "aws-waf").collect()}
+    assert waf["a.log"] == "unsupported-extension" and waf["g.jsonl"] is None
+    assert [r.reason for r in logs.discover_inputs(spark, str(tmp_path / ".secret.log")).collect()] == [None]

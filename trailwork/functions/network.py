@@ -176,7 +176,8 @@ def longest_prefix(ips: DataFrame, nets: DataFrame, ip: str = "ip") -> DataFrame
     """
     wide = networks(nets)
     lengths = wide.select("family", "prefix_len").distinct()  # at most 162 rows
-    probes = ips.select(ip).filter(F.col(ip).isNotNull()).distinct().withColumns({"__one": ip_hex(F.col(ip)), "__six": v6_hex(F.col(ip))})
+    # Out of a generator of one row, so that the digits aren't spelt again for every filter and join key.
+    probes = ips.select(ip).filter(F.col(ip).isNotNull()).distinct().select(ip, F.inline(F.array(F.struct(ip_hex(F.col(ip)).alias("__one"), v6_hex(F.col(ip)).alias("__six")))))
     both = probes.filter("__one is not null").select(ip, F.explode(F.array_distinct(F.array_compact(F.array("__one", "__six")))).alias("digits")).withColumn("family", F.when(F.length("digits") == 8, 4).otherwise(6))
     tried = both.join(F.broadcast(lengths), "family").withColumn("base", masked(F.col("digits"), F.col("prefix_len")))
     return tried.join(wide, ["family", "prefix_len", "base"]).drop("digits", "family")

@@ -37,10 +37,12 @@ def range_overlaps(ranges: DataFrame) -> DataFrame:
 def reputation_lookup(ips: DataFrame, reputation: DataFrame, asn: DataFrame) -> DataFrame:
     """(ip, hits, scope, score, tier): the largest score of the most specific scope (ip, cidr, asn). asn: (ip, asn)."""
     base = ips.select("ip").filter("ip is not null").distinct()
-    by_ip = base.join(reputation.filter("scope = 'ip'").select(F.col("value").alias("ip"), "score"), "ip").withColumn("rank", F.lit(1))
+    # Addresses are compared in canonical spelling, both in the table and in what is asked.
+    named = reputation.filter("scope = 'ip'").select(N.canonical_or_raw(F.col("value")).alias("__ip"), "score")
+    by_ip = base.withColumn("__ip", N.canonical_or_raw(F.col("ip"))).join(named, "__ip").select("ip", "score").withColumn("rank", F.lit(1))
     nets = reputation.filter("scope = 'cidr'").select(F.col("value").alias("network"), "score")
     by_net = N.longest_prefix(base, nets).select("ip", "score").withColumn("rank", F.lit(2))
-    by_asn = base.join(asn, "ip").join(reputation.filter("scope = 'asn'").select(F.col("value").alias("asn_text"), "score"), F.col("asn").cast("string") == F.col("asn_text")).select("ip", "score").withColumn("rank", F.lit(3))
+    by_asn = base.join(asn.select("ip", "asn"), "ip").join(reputation.filter("scope = 'asn'").select(F.col("value").alias("asn_text"), "score"), F.col("asn").cast("string") == F.col("asn_text")).select("ip", "score").withColumn("rank", F.lit(3))
     hits = by_ip.unionByName(by_net).unionByName(by_asn)
     per = hits.groupBy("ip").agg(F.count("*").alias("hits"), F.min("rank").alias("rank"), F.max_by("score", F.struct(-F.col("rank"), "score")).alias("score"))
     tier = F.when(F.col("score") >= 75, "high").when(F.col("score") >= 50, "medium").when(F.col("score") >= 25, "low").otherwise("info")
@@ -97,12 +99,63 @@ def condition_diff(baseline: DataFrame, current: DataFrame) -> DataFrame:
     return both.filter(~F.col("baseline").eqNullSafe(F.col("current"))).withColumn("state", F.when(F.col("baseline").isNull() | F.col("current").isNull(), "unavailable").otherwise("changed"))
 
 
-def comparability(baseline: DataFrame, current: DataFrame) -> DataFrame:
-    """One row from two one-row manifests (profile, rules_revision, days): why they compare or not."""
-    b = baseline.select(*[F.col(c).alias(f"b_{c}") for c in ("profile", "rules_revision", "days")])
-    both = F.broadcast(b).join(current.select("profile", "rules_revision", "days"))
-    kind = F.when(~F.col("profile").eqNullSafe(F.col("b_profile")), "not-comparable").when(~F.col("rules_revision").eqNullSafe(F.col("b_rules_revision")), "cti-revision").when(~F.col("days").eqNullSafe(F.col("b_days")), "calendar-window").otherwise("artifact-diff")
-    return both.select(kind.alias("kind"))
+def comparability(baseline: DataFrame, current: DataFrame, key: str = "pair") -> DataFrame:
+    """Per pair of runs: whether they compare, how (kind), and why not (reasons, joined by "; ").
+
+    Both have a row a pair: key, profile, triage_policy, rules_revision, filter_from, filter_to, NULL where it wasn't recorded.
+    Runs of unlike or unknown profile or policy don't compare. Otherwise they differ in the rules alone (cti-revision), in
+    the time range alone (calendar-window), or are set side by side as they are (artifact-diff).
+    """
+    names = ("profile", "triage_policy", "rules_revision", "filter_from", "filter_to")
+    both = baseline.select(key, *[F.col(c).alias(f"b_{c}") for c in names]).join(current.select(key, *names), key)
+    same = lambda c: F.col(c).eqNullSafe(F.col(f"b_{c}"))
+    missing = lambda c: F.col(c).isNull() | F.col(f"b_{c}").isNull()
+    why = [F.when(test, F.lit(text)) for c in ("profile", "triage_policy") for test, text in ((missing(c), f"{c} is unavailable for one or both runs"), (~same(c), f"{c} differs"))]
+    range_same = same("filter_from") & same("filter_to")
+    reasons = F.array_compact(F.array(*why))
+    kind = F.when(F.size(reasons) > 0, "not-comparable").when(range_same & ~same("rules_revision"), "cti-revision").when(same("rules_revision") & ~range_same, "calendar-window").otherwise("artifact-diff")
+    return both.select(key, (F.size(reasons) == 0).alias("comparable"), kind.alias("kind"), F.array_join(reasons, "; ").alias("reasons"))
+
+
+#: Measures of a day that are shares of all its requests.
+DAILY_SHARES = {"success_share": (200, 299), "client_closed_share": (499, 499), "server_error_share": (500, 599)}
+
+
+def daily_measures(events: DataFrame) -> DataFrame:
+    """(metric, value, reason) of a run: eight measures; a NULL value has its reason.
+
+    Each run has its own top path, the smallest of those asked most. Status shares are over all requests, and unavailable
+    where no request has a status.
+    """
+    n = events.agg(F.count("*").alias("requests"), F.countDistinct("source_ip").alias("peers"), F.count("status").alias("known"), *[F.count_if(F.col("status").between(*r)).alias(c) for c, r in DAILY_SHARES.items()])
+    paths = events.filter("uri_path is not null").groupBy("uri_path").agg(F.count("*").alias("n"), F.countDistinct("source_ip").alias("p"))
+    top = paths.agg(F.min_by(F.struct("n", "p"), F.struct(-F.col("n"), "uri_path")).alias("top"))
+    row = n.join(F.broadcast(top.select("top.*")))  # one row each
+    value = lambda name, v, reason=None: F.struct(F.lit(name).alias("metric"), v.cast("double").alias("value"), F.when(v.isNull(), F.lit(reason)).alias("reason"))
+    part = lambda a, b: W.share(F.col(a), F.col(b), None)
+    measures = [
+        value("total_requests", F.col("requests")), value("distinct_sources", F.col("peers")), value("top_path_share", part("n", "requests"), "no request has a path"), value("top_path_requests_per_source", part("n", "p"), "the top path has no source"),
+        value("requests_per_source", part("requests", "peers"), "no request has a source"), *[value(c, F.when(F.col("known") > 0, part(c, "requests")), "no request has a status") for c in DAILY_SHARES],
+    ]
+    return row.select(F.inline(F.array(*measures)))
+
+
+def compare_days(baseline: DataFrame, current: DataFrame, points: list[tuple[str, str, str, float]] = ()) -> DataFrame:
+    """Per metric of two ``daily_measures``: baseline, current, delta, ratio, reasons of what is unavailable, and the point.
+
+    points: (metric, delta or ratio, at-least or at-most, value). crossed is NULL without a point and where its value is
+    unavailable.
+    """
+    b, c = (x.select("metric", F.col("value").alias(v), F.col("reason").alias(f"{v}_reason")) for x, v in ((baseline, "baseline"), (current, "current")))
+    both = b.join(c, "metric", "full")
+    side = lambda v: F.when(F.col(v).isNull(), F.concat(F.lit(f"{v}: "), F.coalesce(f"{v}_reason", F.lit("not measured"))))
+    reasons = F.array_compact(F.array(side("baseline"), side("current"), F.when(F.col("baseline") == 0, "ratio: the baseline is zero")))
+    out = both.select("metric", "baseline", "current", (F.col("current") - F.col("baseline")).alias("delta"), W.share(F.col("current"), F.col("baseline"), None).alias("ratio"), F.array_join(reasons, "; ").alias("reasons"))
+    crossed = F.lit(None).cast("boolean")
+    for metric, basis, relation, value in points:
+        reached = F.col(basis) >= value if relation == "at-least" else F.col(basis) <= value
+        crossed = F.when(F.col("metric") == metric, reached).otherwise(crossed)
+    return out.withColumn("crossed", crossed)
 
 
 def path_counts(runs: DataFrame) -> DataFrame:

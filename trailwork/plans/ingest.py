@@ -181,10 +181,18 @@ def _(t):
     return X.condition_diff(b, c)
 
 
-@query("comparability", "SELECT 'calendar-window' AS kind", "")
+#: Two manifests for each of 72 pairs of runs, by numbers that events have.
+_MANIFESTS = """m AS (SELECT DISTINCT event_id % 72 AS pair, CASE event_id % 72 % 4 WHEN 0 THEN NULL ELSE 'combined' END AS p1, CASE event_id % 72 % 4 WHEN 1 THEN 'alb' ELSE 'combined' END AS p2, CASE WHEN event_id % 72 % 9 = 5 THEN 'wide' ELSE 'strict' END AS t2, CASE WHEN event_id % 72 % 3 = 0 THEN 'r2' ELSE 'r1' END AS r2, CASE WHEN event_id % 72 % 8 < 4 THEN '2024-01-02' END AS f2 FROM events)"""
+
+
+@query("comparability", """SELECT pair, reasons = '' AS comparable, CASE WHEN reasons <> '' THEN 'not-comparable' WHEN f2 IS NULL AND r2 <> 'r1' THEN 'cti-revision' WHEN r2 = 'r1' AND f2 IS NOT NULL THEN 'calendar-window' ELSE 'artifact-diff' END AS kind, reasons FROM
+    (SELECT *, concat_ws('; ', CASE WHEN p1 IS NULL THEN 'profile is unavailable for one or both runs' END, CASE WHEN p1 IS DISTINCT FROM p2 THEN 'profile differs' END, CASE WHEN t2 <> 'strict' THEN 'triage_policy differs' END) AS reasons FROM m)""", _MANIFESTS)
 def _(t):
-    days = lambda k: t.read("events").filter(f"event_id % {k} = 0").agg(F.lit("combined").alias("profile"), F.lit("r1").alias("rules_revision"), F.count("*").alias("days"))
-    return X.comparability(days(2), days(3))
+    pairs = t.read("events").select((F.col("event_id") % 72).alias("pair")).distinct()
+    k, same = F.col("pair"), {"filter_to": F.lit(None).cast("string")}
+    before = pairs.withColumns({"profile": F.when(k % 4 != 0, "combined"), "triage_policy": F.lit("strict"), "rules_revision": F.lit("r1"), "filter_from": F.lit(None).cast("string")} | same)
+    after = pairs.withColumns({"profile": F.when(k % 4 == 1, "alb").otherwise("combined"), "triage_policy": F.when(k % 9 == 5, "wide").otherwise("strict"), "rules_revision": F.when(k % 3 == 0, "r2").otherwise("r1"), "filter_from": F.when(k % 8 < 4, "2024-01-02")} | same)
+    return X.comparability(before, after)
 
 
 @query("export_stix", """SELECT 'vulnerability' AS type, cve AS name FROM fc GROUP BY cve""", "e det det_cves fd fc")

@@ -272,6 +272,23 @@ def _(t):
     return X.daily_comparison(C.daily_summary(b), C.daily_summary(c), {"requests": 0.01, "share_5xx": 0.5})
 
 
+_MEASURES = """SELECT unnest(['total_requests', 'distinct_sources', 'top_path_share', 'top_path_requests_per_source', 'requests_per_source', 'success_share', 'client_closed_share', 'server_error_share']) AS metric, unnest([CAST(n AS DOUBLE), p, tn / n, tn / nullif(tp, 0), n / nullif(p, 0), ok / n, closed / n, failed / n]) AS value
+    FROM (SELECT count(*) AS n, count(DISTINCT source_ip) AS p, count(*) FILTER (status BETWEEN 200 AND 299) AS ok, count(*) FILTER (status = 499) AS closed, count(*) FILTER (status BETWEEN 500 AND 599) AS failed FROM e WHERE {0}), (SELECT count(*) AS tn, count(DISTINCT source_ip) AS tp FROM e WHERE {0} AND uri_path IS NOT NULL GROUP BY uri_path ORDER BY count(*) DESC, uri_path LIMIT 1)"""
+_POINTS = [("total_requests", "ratio", "at-least", 0.9), ("success_share", "delta", "at-most", -0.5), ("requests_per_source", "ratio", "at-least", 2.0)]
+
+
+@query("compare_days", f"SELECT metric, b.value AS baseline, c.value AS current, c.value - b.value AS delta, c.value / nullif(b.value, 0) AS ratio, '' AS reasons, CASE metric WHEN 'total_requests' THEN c.value / b.value >= 0.9 WHEN 'success_share' THEN c.value - b.value <= -0.5 WHEN 'requests_per_source' THEN c.value / b.value >= 2.0 END AS crossed FROM ({_MEASURES.format(_B)}) b JOIN ({_MEASURES.format(_C)}) c USING (metric)")
+def _(t):
+    b, c = _halves(t.events)
+    return X.compare_days(X.daily_measures(b), X.daily_measures(c), _POINTS)
+
+
+@query("compare_days_without_sources", f"""SELECT metric, b.value AS baseline, CASE metric WHEN 'distinct_sources' THEN 0.0 WHEN 'top_path_requests_per_source' THEN NULL WHEN 'requests_per_source' THEN NULL ELSE c.value END AS current, CASE metric WHEN 'top_path_requests_per_source' THEN 'current: the top path has no source' WHEN 'requests_per_source' THEN 'current: no request has a source' ELSE '' END AS reasons FROM ({_MEASURES.format(_B)}) b JOIN ({_MEASURES.format(_C)}) c USING (metric)""")
+def _(t):
+    b, c = _halves(t.events)
+    return X.compare_days(X.daily_measures(b), X.daily_measures(c.withColumn("source_ip", F.lit(None).cast("string")))).select("metric", "baseline", "current", "reasons")
+
+
 CTES["runs"] = "runs AS (SELECT *, concat('run-', CAST(CAST(floor(sec / 604800) AS BIGINT) AS VARCHAR)) AS run_id FROM e WHERE ts IS NOT NULL)"
 
 

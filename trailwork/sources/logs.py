@@ -14,7 +14,7 @@ from trailwork.functions import web as W
 from trailwork.functions.tables import small
 
 LONGEST_LINE = 64 * 1024
-EXTENSIONS = ("log", "txt", "json", "jsonl", "gz")
+EXTENSIONS = ("log", "txt", "json", "jsonl")
 #: A quoted value: runs without quotes and backslashes, and escaped characters. Possessive, so that no length of it recurses.
 _QUOTED = r'"([^"\\]*+(?:\\.[^"\\]*+)*+)"'
 #: The Combined format and what some formats put around it.
@@ -31,11 +31,43 @@ _MARK = "\x01"
 MOST_SPLITS = 500_000
 
 
-def discover_inputs(spark: SparkSession, path: str) -> DataFrame:
-    """(path, length, reason): NULL reason for readable inputs, else hidden or unsupported-extension. Nothing is read."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "length")
-    name = F.element_at(F.split("path", "/"), -1)
-    return files.withColumn("reason", F.when(name.startswith("."), "hidden").when(~F.regexp_extract(F.lower(name), r"\.([a-z0-9]+)$", 1).isin(*EXTENSIONS), "unsupported-extension"))
+def discover_inputs(spark: SparkSession, path: str, source: str | None = None) -> DataFrame:
+    """(path, length, reason): NULL reason for inputs to read, else hidden-directory, hidden, symlink or unsupported-extension.
+
+    Only names are listed, by the file system that the path belongs to; nothing is read, links aren't followed, and hidden
+    directories are told but not entered. A file alone is an input whatever its name. Names without an extension, with gz or
+    with digits only are inputs; others as ``source`` (aws-waf, another, or None for any) has them.
+    """
+    fs_of = spark._jvm.org.apache.hadoop.fs
+    root = fs_of.Path(path)
+    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    told = lambda s, reason: (s.getPath().toString(), s.getLen(), reason)
+    if fs.getFileStatus(root).isFile():
+        return spark.createDataFrame([told(fs.getFileStatus(root), None)], "path string, length long, reason string")
+    allowed = {None: EXTENSIONS, "aws-waf": ("json", "jsonl")}.get(source, ("log", "txt"))
+    rows, open_folders = [], [root]
+    while open_folders:
+        for status in fs.listStatus(open_folders.pop()):
+            name = status.getPath().getName()
+            stem, dot, extension = name.rpartition(".")
+            if fs.supportsSymlinks() and fs.getFileLinkStatus(status.getPath()).isSymlink():
+                rows.append(told(status, "symlink"))
+            elif status.isDirectory():
+                if name.startswith("."):
+                    rows.append(told(status, "hidden-directory"))
+                else:
+                    open_folders.append(status.getPath())
+            elif name.startswith("."):
+                rows.append(told(status, "hidden"))
+            else:
+                fit = not (dot and stem) or extension.lower() == "gz" or (extension.isascii() and extension.isdigit()) or extension in allowed
+                rows.append(told(status, None if fit else "unsupported-extension"))
+    return spark.createDataFrame(rows, "path string, length long, reason string")
+
+
+def discovery_summary(found: DataFrame) -> DataFrame:
+    """Skipped inputs by reason."""
+    return found.filter("reason is not null").groupBy("reason").agg(F.count("*").alias("skipped"))
 
 
 def corpus_manifest(spark: SparkSession, path: str) -> DataFrame:
