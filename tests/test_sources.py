@@ -155,3 +155,28 @@ def test_discovery_tells_why_files_are_skipped(spark, tmp_path):
     waf = {r.path.rsplit("/", 1)[1]: r.reason for r in logs.discover_inputs(spark, str(tmp_path), "aws-waf").collect()}
     assert waf["a.log"] == "unsupported-extension" and waf["g.jsonl"] is None
     assert [r.reason for r in logs.discover_inputs(spark, str(tmp_path / ".secret.log")).collect()] == [None]
+
+
+def test_ranges_that_overlap_are_an_error(spark, tmp_path):
+    (tmp_path / "ok.tsv").write_text("192.0.2.0\t192.0.2.9\t64500\tZZ\tA\n192.0.2.10\t192.0.2.20\t0\tZZ\tNone\n192.0.2.10\t192.0.2.20\t64501\tZZ\tB\n")
+    assert sorted(r.asn for r in intel.read_asn_ranges(spark, str(tmp_path / "ok.tsv")).collect()) == [64500, 64501]
+    (tmp_path / "bad.tsv").write_text("192.0.2.0\t192.0.2.9\t64500\tZZ\tA\n192.0.2.9\t192.0.2.20\t64501\tZZ\tB\n")
+    with pytest.raises(ValueError, match="overlap"):
+        intel.read_asn_ranges(spark, str(tmp_path / "bad.tsv"))
+
+
+def test_readers_of_reputation_and_catalog(spark, tmp_path):
+    rows = [{"scope": "ip", "value": "192.0.2.1", "score": 95, "source": "a"}, {"scope": "host", "value": "x", "score": 1}, {"scope": "asn", "value": "64500", "score": 101}, {"scope": "cidr", "score": 5}]
+    (tmp_path / "r.jsonl").write_text("\n".join(map(json.dumps, rows)))
+    assert sorted((r.value or "", r.reason) for r in intel.read_reputation(spark, str(tmp_path / "r.jsonl")).collect() if r.reason) == [("", "value"), ("64500", "score"), ("x", "scope")]
+    (tmp_path / "k.json").write_text(json.dumps({"vulnerabilities": [{"cveID": " cve-2024-1 ", "product": "p"}]}))
+    assert intel.read_kev(spark, str(tmp_path / "k.json")).first().cve_id == "CVE-2024-1"
+    (tmp_path / "b.json").write_text(json.dumps({"prefixes": [{"ipv4Prefix": "192.0.2.0/24"}, {"ipv6Prefix": "2001:db8::/32"}, {"ipv4Prefix": "192.0.2.0/24"}, {}]}))
+    assert {r.network for r in intel.read_bot_ranges(spark, str(tmp_path / "b.json"), "o").collect()} == {"192.0.2.0/24", "2001:db8::/32"}
+
+
+def test_address_lists_by_identity(spark, tmp_path):
+    rows = [("observed-peer", "192.0.2.9"), ("observed-peer", "::ffff:192.0.2.1"), ("validated-client", "2001:DB8::1"), ("hostname-peer", "host.example")]
+    sinks.write_address_list(spark.createDataFrame(rows, "identity string, source string"), str(tmp_path / "lists"), "source")
+    got = {d.name: sorted(x for f in d.glob("*.txt") for x in f.read_text().split()) for d in (tmp_path / "lists").glob("identity=*")}
+    assert got == {"identity=observed-peer": ["192.0.2.1", "192.0.2.9"], "identity=validated-client": ["2001:db8::1"]}

@@ -246,6 +246,22 @@ def template_coverage(templates: DataFrame) -> DataFrame:
     return templates.groupBy("detectability", "conversion_status").agg(F.count("*").alias("templates"), F.count_if(F.size("cves") > 0).alias("with_cve"))
 
 
+def template_reasons(templates: DataFrame) -> DataFrame:
+    """Templates by why they aren't observable or convertible; one of several reasons counts in each."""
+    return templates.select("template_id", F.explode(F.array_distinct("reasons")).alias("reason")).groupBy("reason").agg(F.count("*").alias("templates"))
+
+
+def header_coverage(templates: DataFrame, kev: DataFrame, headers: list[str]) -> DataFrame:
+    """One row: templates, CVEs and KEVs in all, and those observable where these headers are logged (compared without case)."""
+    logged = F.array(*[F.lit(h.lower()) for h in headers]).cast("array<string>")
+    seen = F.size(F.array_except(F.transform(F.coalesce("required_headers", F.array().cast("array<string>")), F.lower), logged)) == 0
+    k = kev.select(F.upper(F.trim("cve_id")).alias("cve")).distinct().withColumn("kev", F.lit(True))
+    rows = templates.select("template_id", "cves", seen.alias("seen"))
+    per = rows.agg(F.countDistinct("template_id").alias("templates"), F.countDistinct(F.when(F.col("seen"), F.col("template_id"))).alias("observable"))
+    cves = rows.select(F.explode("cves").alias("cve"), "seen").groupBy("cve").agg(F.bool_or("seen").alias("seen")).join(k, "cve", "left")
+    return per.join(F.broadcast(cves.agg(F.count("*").alias("cves"), F.count_if("seen").alias("observable_cves"), F.count("kev").alias("kevs"), F.count_if(F.col("seen") & F.col("kev").isNotNull()).alias("observable_kevs"))))
+
+
 def telemetry_coverage(templates: DataFrame, profiles: DataFrame) -> DataFrame:
     """Per profile (profile, headers): templates whose required headers it records. The profiles are a handful of fixed rows."""
     rows = templates.select("template_id", "required_headers").join(F.broadcast(profiles))

@@ -109,6 +109,12 @@ def probe_success(findings: DataFrame, template_id: str) -> DataFrame:
     return findings.filter(F.col("template_id") == template_id).agg(F.count("*").alias("matches"), F.count_if(s.between(200, 299)).alias("ok"), F.count_if(s.isNull()).alias("without_status"), F.count_if(s.isNotNull() & ~s.between(200, 299)).alias("rest"))
 
 
+def probe_evidence(findings: DataFrame, template_id: str) -> DataFrame:
+    """The successful matches of one template, for review: in the order of time (unknown last), then of the log."""
+    rows = findings.filter((F.col("template_id") == template_id) & F.col("status").between(200, 299))
+    return rows.select("event_id", "ts", "source_ip", "method", "uri_path", "status").orderBy(F.asc_nulls_last("ts"), "event_id")
+
+
 def observation_key() -> Column:
     """What makes two records one observation: the request id, else time, host, method, path and query."""
     rest = F.concat_ws("|", F.coalesce(W.epoch(F.col("ts")).cast("string"), F.lit("-")), *[F.coalesce(F.col(c), F.lit("-")) for c in ("host", "method", "uri_path", "uri_query")])
@@ -367,6 +373,13 @@ def evaluate_candidate(corpora: DataFrame, holds: Column, absent: Column) -> Dat
     return corpora.groupBy("cohort").agg(F.count("*").alias("requests"), F.count_if(matched).alias("matches"), W.share(F.count_if(matched), F.count("*")).alias("share"), F.count_if(absent).alias("absent_fields"), F.countDistinct(F.when(matched, F.col("source_ip"))).alias("peers"), F.countDistinct(F.when(matched, F.col("uri_path"))).alias("paths"))
 
 
+def candidate_tops(corpora: DataFrame, holds: Column, key: str, k: int = 10) -> DataFrame:
+    """The k values of a key that a candidate matches most in each cohort, ties by value; a report of the first k."""
+    per = corpora.filter(F.coalesce(holds, F.lit(False)) & F.col(key).isNotNull()).groupBy("cohort", key).agg(F.count("*").alias("matches"))
+    place = F.row_number().over(Window.partitionBy("cohort").orderBy(F.desc("matches"), key))
+    return per.withColumn("place", place).filter(F.col("place") <= k)
+
+
 def evaluate_labels(actual: DataFrame, truth: DataFrame) -> DataFrame:
     """One row: TP, FN, FP, TN over events and (event, rule) misses. actual: (event_id, rule_id); truth: (event_id, rule_id or NULL)."""
     want = truth.groupBy("event_id").agg(F.collect_set("rule_id").alias("want"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from trailwork.functions import web as W
+from trailwork.functions.spelling import decoded
 from trailwork.operators import compare as X
 from trailwork.operators import findings as FD
 from trailwork.operators import matching as M
@@ -328,6 +329,40 @@ def _(t):
     return FD.evaluate_candidate(corpora, M.condition(TREE, corpora.columns), M.absent_condition_fields(TREE))
 
 
+@query("candidate_tops", f"SELECT cohort, uri_path, matches, place FROM (SELECT *, row_number() OVER (PARTITION BY cohort ORDER BY matches DESC, uri_path) AS place FROM (SELECT CASE event_id % 2 WHEN 0 THEN 'a' ELSE 'b' END AS cohort, uri_path, count(*) AS matches FROM e WHERE {_TREE} AND uri_path IS NOT NULL GROUP BY 1, 2)) WHERE place <= 5")
+def _(t):
+    corpora = t.events.withColumn("cohort", F.when(F.col("event_id") % 2 == 0, "a").otherwise("b"))
+    return FD.candidate_tops(corpora, M.condition(TREE, corpora.columns), "uri_path", 5)
+
+
+@query("probe_evidence", "SELECT event_id, source_ip, method, uri_path, status FROM fd WHERE template_id = 'tpl-env' AND status BETWEEN 200 AND 299", _FD)
+def _(t):
+    return FD.probe_evidence(t.findings, "tpl-env").drop("ts")
+
+
+@query("cves_of_texts", "SELECT event_id, CASE event_id % 3 WHEN 0 THEN 'CVE-2024-0007;CVE-2024-12345' WHEN 1 THEN 'CVE-2021-44228' ELSE '' END AS cves FROM e")
+def _(t):
+    k = F.col("event_id") % 3
+    text = F.when(k == 0, "cve-2024-12345, CVE-2024-0007 and CVE-2024-0007").when(k == 1, "tag cve.2021.44228").otherwise("CVE-24-1 cve")
+    return t.events.select("event_id", F.array_join(W.cves_in(text), ";").alias("cves"))
+
+
+@query("private_texts", "SELECT event_id, event_id % 4 IN (0, 1) AS secret, CASE event_id % 4 WHEN 3 THEN concat('a', chr(65533), 'b') ELSE NULL END AS shown FROM e")
+def _(t):
+    k = F.col("event_id") % 4
+    text = F.when(k == 0, "Authorization: x").when(k == 1, "bearer abc").when(k == 2, "plain").otherwise("a\x07b")
+    return t.events.select("event_id", W.secret_like(text).alias("secret"), F.when(k == 3, W.printable(text)).alias("shown"))
+
+
+@query("decoded_texts", "SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'a b+%zz' WHEN 1 THEN 'a%20b' WHEN 2 THEN '%' ELSE 'plain' END AS once FROM e")
+def _(t):
+    k = F.col("event_id") % 4
+    text = F.when(k == 0, "a%20b+%zz").when(k == 1, "a%2520b").when(k == 2, "%25").otherwise("plain")
+    # Bytes from escapes stand in a range of their own.
+    back = F.translate(decoded(text), "".join(chr(0xE000 + i) for i in range(256)), "".join(map(chr, range(256))))
+    return t.events.select("event_id", back.alias("once"))
+
+
 @query("evaluate_labels", """SELECT *, tp * 1.0 / nullif(tp + fn, 0) AS recall, tp * 1.0 / nullif(tp + fp, 0) AS precision, fp * 1.0 / nullif(fp + tn, 0) AS false_positive_rate FROM (SELECT count(*) FILTER (w > 0 AND g > 0) AS tp, count(*) FILTER (w > 0 AND g = 0) AS fn, count(*) FILTER (w = 0 AND g > 0) AS fp, count(*) FILTER (w = 0 AND g = 0) AS tn, CAST(sum(w - b) AS BIGINT) AS missed, CAST(sum(g - b) AS BIGINT) AS unexpected FROM
     (SELECT event_id, count(want.rule_id) AS w, (SELECT count(DISTINCT rule_id) FROM rules r WHERE r.event_id = x.event_id) AS g, count(*) FILTER (want.rule_id IN (SELECT rule_id FROM rules r WHERE r.event_id = x.event_id)) AS b FROM e x LEFT JOIN (SELECT event_id, 'env-get' AS rule_id FROM e WHERE uri_path = '/.env' UNION ALL SELECT event_id, 'word' FROM e WHERE event_id % 12 = 1) want USING (event_id) GROUP BY event_id))""", "e rules")
 def _(t):

@@ -142,6 +142,40 @@ def _kev(t):
 CTES["kevs"] = "kevs AS (SELECT DISTINCT concat('CVE-2024-', CAST(1000 + s_suppkey * 7 % 450 AS VARCHAR)) AS cve FROM supplier)"
 
 
+@query("template_reasons", "SELECT reason, count(*) AS templates FROM (SELECT k, unnest(CASE h WHEN 0 THEN CAST([] AS VARCHAR[]) WHEN 1 THEN ['header-needed'] ELSE ['header-needed', 'body-matcher'] END) AS reason FROM tem) GROUP BY 1", "tem")
+def _(t):
+    # Parts of one size need as many headers; the reasons go with them, one of them twice.
+    h = F.col("template_id").cast("long")
+    sized = _templates(t).join(t.read("part").select(F.col("p_partkey").alias("k"), (F.col("p_size") % 6).alias("h")), h == F.col("k"))
+    reasons = F.when(F.col("h") == 0, F.array().cast("array<string>")).when(F.col("h") == 1, F.array(F.lit("header-needed"))).otherwise(F.array(F.lit("header-needed"), F.lit("body-matcher"), F.lit("body-matcher")))
+    return X.template_reasons(sized.withColumn("reasons", reasons))
+
+
+@query("header_coverage", "SELECT (SELECT count(*) FROM tem) AS templates, (SELECT count(*) FROM tem WHERE h NOT IN (1, 2, 4)) AS observable, count(*) AS cves, count(*) FILTER (seen) AS observable_cves, count(*) FILTER (cve IN (SELECT cve FROM kevs)) AS kevs, count(*) FILTER (seen AND cve IN (SELECT cve FROM kevs)) AS observable_kevs FROM (SELECT cve, bool_or(h NOT IN (1, 2, 4)) AS seen FROM tem GROUP BY 1)", "tem kevs")
+def _(t):
+    return X.header_coverage(_templates(t), _kev(t), ["Host", "Referer"])
+
+
+@query("normalize_ranges", "SELECT start_ip, asn, CASE k WHEN 0 THEN 'address' WHEN 1 THEN 'order' WHEN 2 THEN 'asn' WHEN 3 THEN 'unassigned' END AS reason, count(*) AS rows_read FROM (SELECT event_id % 6 AS k, CASE event_id % 6 WHEN 0 THEN 'no address' WHEN 1 THEN '198.51.9.9' ELSE source_ip END AS start_ip, CASE event_id % 6 WHEN 2 THEN NULL WHEN 3 THEN 0 ELSE user_id % 7 END AS asn FROM e JOIN events USING (event_id) WHERE source_ip IS NOT NULL AND NOT (event_id % 6 > 3 AND user_id % 7 = 0)) GROUP BY ALL")
+def _(t):
+    k = F.col("event_id") % 6
+    e = t.events.join(t.read("events").select("event_id", "user_id"), "event_id").filter("source_ip is not null and not (event_id % 6 > 3 and user_id % 7 = 0)")
+    start = F.when(k == 0, "no address").when(k == 1, "198.51.9.9").otherwise(F.col("source_ip"))
+    end = F.when(k == 1, "198.51.9.0").otherwise(F.lit("198.51.6.255"))
+    asn = F.when(k == 2, "x").when(k == 3, "0").otherwise((F.col("user_id") % 7).cast("string"))
+    rows = intel.normalize_ranges(e.select(F.concat_ws("\t", start, end, asn, F.lit("ZZ"), F.lit("Example")).alias("line")))
+    return rows.groupBy("start_ip", "asn", "reason").agg(F.count("*").alias("rows_read"))
+
+
+@query("corpus_union", f"SELECT event_id, source_ip, uri_path, status, CASE WHEN event_id % 2 = 1 THEN ja4 END AS ja4, CASE WHEN event_id % 2 = 1 THEN 'aws-waf' ELSE 'nginx' END AS log_source FROM e WHERE {_WHOLE}")
+def _(t):
+    lines = _lines(t, _combined_line())
+    request = F.struct(F.col("source_ip").alias("clientIp"), F.col("uri_path").alias("uri"), F.col("method").alias("httpMethod"))
+    waf = _lines(t, F.to_json(F.struct(F.unix_millis("ts").alias("timestamp"), F.col("status").alias("responseCodeSent"), F.col("ja4").alias("ja4Fingerprint"), request.alias("httpRequest"))))
+    parts = [logs.split_errors(logs.parse_combined(lines.filter("line_number % 2 = 0")))[0], logs.split_errors(logs.parse_waf_json(waf.filter("line_number % 2 = 1")))[0].filter("uri_path is not null")]
+    return logs.corpus_union(parts).select(F.col("line_number").alias("event_id"), "source_ip", "uri_path", "status", "ja4", "log_source")
+
+
 @query("kev_coverage", "SELECT cve, count(k) AS templates, coalesce(max(CAST(detectability = 'observable' AS INT)), 0) = 1 AS web_relevant, CASE WHEN count(k) = 0 THEN 'no-template' WHEN max(CAST(validation_status = 'passed' AS INT)) = 1 THEN 'validated' WHEN max(CAST(conversion_status = 'converted' AS INT)) = 1 THEN 'converted' WHEN max(CAST(detectability = 'observable' AS INT)) = 1 THEN 'observable' ELSE 'not-observable' END AS state FROM kevs LEFT JOIN tem USING (cve) GROUP BY 1", "tem kevs")
 def _(t):
     return X.kev_coverage(_kev(t), _templates(t))

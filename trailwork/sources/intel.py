@@ -52,9 +52,23 @@ def read_asn_networks(spark: SparkSession, path: str) -> DataFrame:
     return rows.filter("asn is not null").groupBy("network").agg(F.max_by(F.struct("asn", "org"), "row").alias("x")).select("network", "x.*")
 
 
+def normalize_ranges(lines: DataFrame) -> DataFrame:
+    """start_ip, end_ip, asn, org, reason of tab-separated ranges: NULL for a range of an ASN, else unassigned (ASN 0) or why it is none."""
+    cell = lambda i: F.trim(F.get(F.split("line", "\t"), F.lit(i)))
+    rows = lines.filter(F.trim("line") != "").select(cell(0).alias("start_ip"), cell(1).alias("end_ip"), cell(2).try_cast("long").alias("asn"), cell(4).alias("org"))
+    first, last = N.ip_hex(F.col("start_ip")), N.ip_hex(F.col("end_ip"))
+    why = F.when(first.isNull() | last.isNull() | (F.length(first) != F.length(last)), "address").when(first > last, "order").when(F.col("asn").isNull() | (F.col("asn") < 0), "asn").when(F.col("asn") == 0, "unassigned")
+    return rows.withColumn("reason", why)
+
+
 def read_asn_ranges(spark: SparkSession, path: str) -> DataFrame:
-    rows = spark.read.csv(path, sep="\t", schema="start_ip string, end_ip string, asn long, country string, org string")
-    return rows.filter("asn > 0").select("start_ip", "end_ip", "asn", "org")
+    """start_ip, end_ip, asn, org of a range table; ranges that overlap are an error, since an address would have two networks."""
+    ranges = normalize_ranges(spark.read.text(path).select(F.col("value").alias("line"))).filter("reason is null").drop("reason")
+    from trailwork.operators.compare import range_overlaps
+
+    if not range_overlaps(ranges).isEmpty():
+        raise ValueError(f"ranges of {path} overlap")
+    return ranges
 
 
 def read_reputation(spark: SparkSession, path: str) -> DataFrame:

@@ -5,6 +5,8 @@ Every parser is a set of Column expressions over (input_file, line_number, line)
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -275,4 +277,9 @@ def parse_error_summary(errors: DataFrame) -> DataFrame:
     return errors.groupBy("reason").agg(F.count("*").alias("lines"))
 
 
+def corpus_union(parts: list[DataFrame]) -> DataFrame:
+    """Events of several files or formats as one table; a column that a format lacks is NULL in its rows."""
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+
+
 PARSERS = {"combined": parse_combined, "vhost": parse_vhost_combined, "nginx-postdata": parse_nginx_postdata, "waf": parse_waf_json, "alb": parse_alb, "cloudfront": parse_cloudfront}

@@ -39,8 +39,13 @@ def write_run(run_id: str, tables: dict[str, DataFrame], path: str) -> None:
 
 
 def write_address_list(sources: DataFrame, path: str, column: str = "source_ip") -> None:
-    """Distinct addresses in canonical spelling, one a line; what is no address is left out."""
-    sources.select(N.canonical_ip(F.col(column)).alias(column)).filter(F.col(column).isNotNull()).distinct().orderBy(column).write.mode("errorifexists").text(path)
+    """Distinct addresses in canonical spelling, one a line, sorted; what is no address is left out.
+
+    Sources with a column ``identity`` give one list an identity, in a folder of its name.
+    """
+    by = ["identity"] if "identity" in sources.columns else []
+    rows = sources.select(*by, N.canonical_ip(F.col(column)).alias(column)).filter(F.col(column).isNotNull()).distinct().orderBy(*by, column)
+    rows.write.mode("errorifexists").partitionBy(*by).text(path)
 
 
 #: Columns with raw values, which sanitized tables never hold.
