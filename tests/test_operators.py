@@ -208,3 +208,32 @@ def test_consecutive_ids_reads_64_bits_without_a_sign(spark):
     entry = B.identifier_access(e).collect()[0]
     # Everybody got the one size, so nothing is content and all are rejected; a corpus without times has no timestamp share.
     assert (entry.ids, entry.dominant_bytes, entry.content_ids, entry.rejected_ids, entry.timestamp_share) == (4, 5, 0, 4, None) and entry.beyond_64_bits == 2
+
+
+def test_late_rows_are_counted_apart(spark, tmp_path):
+    hour = lambda h: f"2024-01-01 {h:02d}:30:00"
+    for i, hours in enumerate([[1, 2], [5, None], [1, 4, 5], [9]]):
+        spark.createDataFrame([(None if h is None else hour(h),) for h in hours], "ts string").select(F.col("ts").cast("timestamp").alias("ts")).coalesce(1).write.mode("append").parquet(str(tmp_path / f"in/p={i}"))
+    for _ in range(2):  # the second run finds nothing new
+        for i in range(4):
+            source = spark.readStream.schema("ts timestamp").parquet(str(tmp_path / f"in/p={i}"))
+            streams.stream_rates_with_late(source, str(tmp_path / f"alone{i}")).option("checkpointLocation", str(tmp_path / f"state{i}")).trigger(availableNow=True).start().awaitTermination()
+    assert sum(r.requests + r.late for i in range(4) for r in streams.read_stream_rates(spark, str(tmp_path / f"alone{i}")).collect()) == 8
+    # Batches one after the other: after one with 5:30 and two hours of patience the window of 1:00 is over.
+    (tmp_path / "one").mkdir()
+    for i in range(4):
+        for f in (tmp_path / f"in/p={i}").glob("*.parquet"):
+            f.rename(tmp_path / "one" / f"{i}.parquet")
+        source = spark.readStream.schema("ts timestamp").parquet(str(tmp_path / "one"))
+        streams.stream_rates_with_late(source, str(tmp_path / "store")).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start().awaitTermination()
+    got = {r.start and r.start % 86400 // 3600: (r.requests, r.late) for r in streams.read_stream_rates(spark, str(tmp_path / "store")).collect()}
+    assert got == {1: (1, 1), 2: (1, 0), 4: (1, 0), 5: (2, 0), 9: (1, 0), None: (1, 0)}
+
+
+def test_streamed_lines_have_their_numbers(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    for name, n in (("a.log", 3), ("b.log", 40)):
+        (tmp_path / "in" / name).write_text("\n".join(f"{name} {i}" if i % 5 else "" for i in range(1, n + 1)) + "\n")
+        streams.stream_numbered_events(spark, str(tmp_path / "in"), str(tmp_path / "out"), lambda x: x).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start().awaitTermination()
+    rows = spark.read.schema("input_file string, line_number long, line string, batch long").parquet(str(tmp_path / "out")).collect()
+    assert sorted((r.line, r.line_number) for r in rows) == sorted((f"{name} {i}", i) for name, n in (("a.log", 3), ("b.log", 40)) for i in range(1, n + 1) if i % 5)

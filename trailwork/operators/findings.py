@@ -358,6 +358,25 @@ def candidate_exclusions(findings: DataFrame) -> DataFrame:
     return findings.groupBy(reason.alias("reason")).agg(F.count("*").alias("findings"))
 
 
+#: Names of the path field, the only one that a candidate of a rule may ask about.
+PATH_FIELDS = ("cs-uri-stem", "uri_path")
+
+
+def rule_candidates(matches: DataFrame, rules: DataFrame) -> DataFrame:
+    """One candidate a rule that only compares paths with literals: requests, first and last time; it makes no claim on a CVE.
+
+    matches: rows of ``match_rules``; blocked requests are left out. Rules of other fields or keywords can't be said as a candidate: they keep their number,
+    in the order of rule ids, and have translatable false.
+    """
+    field = lambda s: F.lower(s["field"]).isin(*PATH_FIELDS)
+    known = rules.select("rule_id", ((F.size("selections") > 0) & F.forall("selections", lambda s: F.coalesce(field(s), F.lit(False))) & (F.size("condition") > 0)).alias("translatable"))
+    at = W.epoch(F.col("ts"))
+    kept = matches.filter(F.coalesce(F.upper("waf_action") != "BLOCK", F.lit(True)))
+    per = kept.groupBy("rule_id").agg(F.count("*").alias("requests"), F.min(at).alias("first_seen"), F.max(at).alias("last_seen"))
+    numbered = per.withColumn("number", F.row_number().over(Window.orderBy("rule_id")))  # one row a rule
+    return numbered.join(known, "rule_id", "left").withColumn("translatable", F.coalesce("translatable", F.lit(False)))
+
+
 def replay_candidate(events: DataFrame, holds: Column, findings: DataFrame) -> DataFrame:
     """One row: evaluated and matched requests, known request ids matched and missed, coverage."""
     ids = findings.filter("request_id is not null").select("request_id").distinct()

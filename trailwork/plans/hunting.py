@@ -9,6 +9,7 @@ from trailwork.functions.spelling import decoded
 from trailwork.operators import compare as X
 from trailwork.operators import findings as FD
 from trailwork.operators import matching as M
+from trailwork.operators import rules as R
 from trailwork.plans.base import CTES, FRAGMENT, HEADER, query
 
 _FD = "e det fd"
@@ -123,10 +124,13 @@ SOURCED = [
 ]
 
 
+def _three_sources():
+    return F.element_at(F.array(*map(F.lit, ("aws-waf", "apache-combined", "aws-alb"))), (F.col("event_id") % 3 + 1).cast("int"))
+
+
 @query("match_rules_by_source", "SELECT event_id, 'waf-only' AS rule_id FROM e WHERE event_id % 3 = 0 AND uri_path = '/.env' UNION ALL SELECT event_id, 'apache' FROM e WHERE event_id % 3 = 1 AND (method = 'HEAD' OR coalesce(contains(host, 'shop'), false)) UNION ALL SELECT event_id, 'anywhere' FROM e WHERE uri_path = '/login'")
 def _(t):
-    source = F.element_at(F.array(*map(F.lit, ("aws-waf", "apache-combined", "aws-alb"))), (F.col("event_id") % 3 + 1).cast("int"))
-    return M.match_rules(t.events.withColumn("log_source", source), SOURCED).select("event_id", "rule_id")
+    return M.match_rules(t.events.withColumn("log_source", _three_sources()), SOURCED).select("event_id", "rule_id")
 
 
 @query("match_indicators", "SELECT event_id, indicator_id, string_agg(field, ';' ORDER BY field) AS fields FROM hits GROUP BY 1, 2", "e ipn ind hits")
@@ -313,6 +317,13 @@ def _(t):
     return FD.build_candidates(t.findings)
 
 
+@query("rule_candidates", """SELECT rule_id, count(*) AS requests, min(sec) AS first_seen, max(sec) AS last_seen, row_number() OVER (ORDER BY rule_id) AS number, rule_id <> 'apache' AS translatable FROM (SELECT sec, waf_action, 'waf-only' AS rule_id FROM e WHERE event_id % 3 = 0 AND uri_path = '/.env'
+    UNION ALL SELECT sec, waf_action, 'apache' FROM e WHERE event_id % 3 = 1 AND (method = 'HEAD' OR coalesce(contains(host, 'shop'), false)) UNION ALL SELECT sec, waf_action, 'anywhere' FROM e WHERE uri_path = '/login') WHERE coalesce(upper(waf_action), '') <> 'BLOCK' GROUP BY rule_id""")
+def _(t):
+    rules = R.rules_table(t.spark, SOURCED)
+    return FD.rule_candidates(R.match_rules(t.events.withColumn("log_source", _three_sources()), rules), rules)
+
+
 @query("candidate_exclusions", "SELECT CASE WHEN upper(waf_action) = 'BLOCK' THEN 'blocked' WHEN specificity <> 'request-specific' THEN 'uri-only' ELSE 'kept' END AS reason, count(*) AS findings FROM fd GROUP BY 1", _FD)
 def _(t):
     return FD.candidate_exclusions(t.findings)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from trailwork.operators import compare as X
@@ -256,6 +258,16 @@ def _stream(t):
     return with_headers(t.spark.sql(EVENTS_SPARK.replace("FROM events", f"FROM {view}")))
 
 
+@query("stream_rates_with_late", "SELECT CAST(floor(sec / 3600) AS BIGINT) * 3600 AS start, count(*) AS counted FROM e GROUP BY 1")
+def _(t):
+    folder = f"{streams.shared_folder(t.spark)}/late-{uuid.uuid4().hex}"
+    t.events.select("event_id", "ts").repartition(3).write.parquet(f"{folder}/in")
+    source = t.spark.readStream.option("maxFilesPerTrigger", 1).schema("event_id long, ts timestamp").parquet(f"{folder}/in")
+    streams.stream_rates_with_late(source, f"{folder}/store", late=3600).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+    # Which requests come too late depends on the order of the files; what was counted and what was late adds up to all.
+    return streams.read_stream_rates(t.spark, f"{folder}/store").select("start", (F.col("requests") + F.col("late")).alias("counted"))
+
+
 @query("stream_request_rates", "SELECT CAST(floor(sec / 3600) AS BIGINT) * 3600 AS start, count(*) AS requests FROM e WHERE ts IS NOT NULL GROUP BY 1 HAVING (CAST(floor(any_value(sec) / 3600) AS BIGINT) + 1) * 3600 <= (SELECT max(epoch_us(ts)) / 1000000.0 - 7200 FROM e)")
 def _(t):
     return streams.run_available(streams.stream_request_rates(_stream(t)))

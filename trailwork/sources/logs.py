@@ -77,22 +77,33 @@ def corpus_manifest(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "length", F.sha2("content", 256).alias("sha256"))
 
 
-def read_log_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(input_file, line_number, line): physical lines, blank ones counted but left out; gzip by suffix.
+def raw_lines(reader) -> DataFrame:
+    """line, input_file and block (where its split of the file begins) of a reader of text, batch or stream, that has its path."""
+    return reader.select(F.col("value").alias("line"), F.col("_metadata.file_path").alias("input_file"), F.col("_metadata.file_block_start").alias("block"))
+
+
+def numbered_lines(raw: DataFrame, few_splits: bool = False) -> DataFrame:
+    """(input_file, line_number, line) of ``raw_lines``: physical lines, blank ones counted but left out.
 
     A file's splits are read apart: each split's lines are numbered by their order in it, on top of the lines of the splits
-    before, so no file has to fit one task but for the numbering of a split.
+    before, so no file has to fit one task but for the numbering of a split. Whole files only.
     """
-    raw = spark.read.option("recursiveFileLookup", "true").text(path).select(F.col("value").alias("line"), F.col("_metadata.file_path").alias("input_file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
+    raw = raw.withColumn("row", F.monotonically_increasing_id())
     counts = raw.groupBy("input_file", "block").agg(F.count("*").alias("n"), F.min("row").alias("first"))
     ahead = Window.partitionBy("input_file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.withColumn("ahead", F.coalesce(F.sum("n").over(ahead), F.lit(0))).drop("n")
     # Rows of one split follow each other, so their ids differ by one.
-    splits = len(raw.inputFiles()) + raw.rdd.getNumPartitions()  # as many as there can be; nothing is read for it
-    numbered = raw.join(F.broadcast(offsets) if splits <= MOST_SPLITS else offsets, ["input_file", "block"]).withColumn("line_number", F.col("ahead") + F.col("row") - F.col("first") + 1)
+    numbered = raw.join(F.broadcast(offsets) if few_splits else offsets, ["input_file", "block"]).withColumn("line_number", F.col("ahead") + F.col("row") - F.col("first") + 1)
     return numbered.filter(F.trim("line") != "").select("input_file", "line_number", "line")
 
 
+def read_log_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(input_file, line_number, line) of all files below a path; gzip by suffix. See ``numbered_lines``."""
+    raw = raw_lines(spark.read.option("recursiveFileLookup", "true").text(path))
+    splits = len(raw.inputFiles()) + raw.rdd.getNumPartitions()  # as many as there can be; nothing is read for it
+    return numbered_lines(raw, splits <= MOST_SPLITS)
+
+
 def clf_time(text: Column) -> Column:
     return F.try_to_timestamp(text, F.lit("dd/MMM/yyyy:HH:mm:ss Z"))
 
