@@ -19,3 +19,15 @@ def test_a_line_is_matched_once(spark, tmp_path, parse, patterns):
     for plan in (optimized(events), optimized(errors), optimized(events.filter(F.col("status") == 200).select("uri_path"))):
         assert plan.count(r"\[([^\]]++)\]") == patterns
         assert plan.count("dd/MMM/yyyy") == 1
+
+
+def test_spelling_and_identifiers_are_worked_out_once(spark, tmp_path):
+    from trailwork.operators import behaviour as B
+
+    spark.createDataFrame([(1, "/a/%2e%2e/7", "id=5", 200)], "event_id long, uri_path string, uri_query string, status int").write.parquet(str(tmp_path / "events"))
+    events = spark.read.parquet(str(tmp_path / "events"))
+    plan = optimized(B.request_features(events))
+    assert plan.count("nul-byte") == 2  # of the path and of the query
+    plan = optimized(B.identifiers(events))
+    # The template in both parts of the union, the identifiers of the path (each of a bare segment and one with an extension), those of the query.
+    assert plan.count("[0-9A-Fa-f]{8}") == 2 * 2 + 2 + 1

@@ -12,7 +12,7 @@ from trailwork.functions import network as N
 from trailwork.functions import web as W
 from trailwork.functions.expressions import may_hold_expression, sql_read
 from trailwork.functions.spelling import features
-from trailwork.functions.tables import small
+from trailwork.functions.tables import once, small
 from trailwork.operators.ordering import with_previous
 
 #: Public conventions, which never count as probes.
@@ -147,13 +147,14 @@ def identifiers(events: DataFrame, exclude: list[str] = ()) -> DataFrame:
     parts = F.split("uri_path", "/")
     e = events.filter("uri_path is not null").withColumn("template", W.path_template(F.col("uri_path")))
     keep = [c for c in ("event_id", "source_ip", "identity", "source", "method", "host", "ts", "status", "response_bytes", "template") if c in e.columns]
-    in_path = e.select(*keep, F.posexplode(F.transform(parts, lambda s: W.path_id(s)[0])).alias("i", "value")).filter("value is not null").select(*keep, F.concat(F.lit("path:"), F.col("i")).alias("position"), "value")
+    # Outer, so that the optimizer doesn't work the arrays out once more to see whether they are empty.
+    in_path = e.select(*keep, F.posexplode_outer(F.transform(parts, lambda s: W.path_id(s)[0])).alias("i", "value")).filter("value is not null").select(*keep, F.concat(F.lit("path:"), F.col("i")).alias("position"), "value")
     pair = lambda p: F.struct(F.split_part(p, F.lit("="), F.lit(1)).alias("name"), F.regexp_extract(p, "(?s)=(.*)$", 1).alias("value"))
     named = F.transform(F.filter(F.split(F.coalesce("uri_query", F.lit("")), "&"), lambda p: p.contains("=")), pair)
     named = F.filter(named, lambda p: W.id_kind(p["value"]).isNotNull() & ~p["name"].isin(list(exclude)))
     # Of several parameters of a name the first counts, which is found within the row.
     names = F.transform("__named", lambda p: p["name"])
-    in_query = e.withColumn("__named", named).select(*keep, F.explode(F.filter("__named", lambda p, i: F.array_position(names, p["name"]) == i + 1)).alias("p"))
+    in_query = once(e.filter("uri_query like '%=%'"), __named=named).select(*keep, F.explode_outer(F.filter("__named", lambda p, i: F.array_position(names, p["name"]) == i + 1)).alias("p")).filter("p is not null")
     return in_path.unionByName(in_query.select(*keep, F.concat(F.lit("query:"), F.col("p.name")).alias("position"), F.col("p.value").alias("value")))
 
 
@@ -283,8 +284,9 @@ def writes_before_read(events: DataFrame, writes: tuple[str, ...] = WRITES) -> D
 def request_features(events: DataFrame) -> DataFrame:
     """(feature, part) of every request whose spelling is unusual, its request line included where the events have one."""
     line = F.col("request_line") if "request_line" in events.columns else None
-    found = events.withColumn("__f", features(F.col("uri_path"), F.col("uri_query"), line)).filter(F.size("__f") > 0)
-    return found.select(*events.columns, F.explode("__f").alias("__x")).select(*events.columns, F.col("__x.feature").alias("feature"), F.col("__x.part").alias("part"))
+    # Outer, as the optimizer would test the array of an inner explode before it, by working the features out once more.
+    found = events.select("*", F.explode_outer(features(F.col("uri_path"), F.col("uri_query"), line)).alias("__x")).filter("__x is not null")
+    return found.select(*events.columns, F.col("__x.feature").alias("feature"), F.col("__x.part").alias("part"))
 
 
 def request_anomalies(events: DataFrame) -> DataFrame:

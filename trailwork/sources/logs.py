@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from trailwork.functions import web as W
-from trailwork.functions.tables import small
+from trailwork.functions.tables import once, small
 
 LONGEST_LINE = 64 * 1024
 EXTENSIONS = ("log", "txt", "json", "jsonl")
@@ -118,14 +118,6 @@ def _parts(line: Column, pattern: str, groups: int) -> Column:
     return F.split(marked, _MARK, -1)
 
 
-def once(rows: DataFrame, **columns: Column) -> DataFrame:
-    """Add columns that are worked out once a row, however often they are used later.
-
-    They come out of a generator of one row, which the optimizer moves neither filters nor other columns through.
-    """
-    return rows.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
-
-
 def unescaped(text: Column) -> Column:
     """A quoted value with \\" and \\\\ as what they stand for; other escapes stay."""
     return F.when(text.contains("\\"), F.regexp_replace(text, r'\\(["\\])', "$1")).otherwise(text)
