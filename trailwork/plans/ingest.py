@@ -231,6 +231,20 @@ def _(t):
     return X.comparability(before, after)
 
 
+@query("export_stix_objects", """SELECT 'vulnerability' AS type, cve AS value, CAST(NULL AS BIGINT) AS requests FROM fc GROUP BY cve UNION ALL SELECT 'note', string_agg(DISTINCT template_id, ';' ORDER BY template_id), count(DISTINCT event_id) FROM fd JOIN det_cves USING (template_id, ordinal) GROUP BY cve
+    UNION ALL SELECT DISTINCT 'ipv4-addr', source_ip, CAST(NULL AS BIGINT) FROM fd WHERE source_ip IS NOT NULL UNION ALL SELECT DISTINCT 'x-uri-path', uri_path, CAST(NULL AS BIGINT) FROM fd""", "e det det_cves fd fc")
+def _(t):
+    objects = sinks.export_stix(FD.cve_summary(t.findings), "run-1", sinks.observables(t.findings))
+    get = lambda name: F.get_json_object("object", f"$.{name}")
+    return objects.select("type", F.coalesce(get("name"), get("value"), get("x_template_ids")).alias("value"), get("x_requests").cast("long").alias("requests"))
+
+
+@query("export_misp", "SELECT 'vulnerability' AS type, cve AS value, concat('requests=', count(*)) AS comment FROM fc GROUP BY cve UNION ALL SELECT DISTINCT 'ip-src', source_ip, 'seen with a match, which is no verdict' FROM fd WHERE source_ip IS NOT NULL UNION ALL SELECT DISTINCT 'uri', uri_path, 'seen with a match, which is no verdict' FROM fd", "e det det_cves fd fc")
+def _(t):
+    rows = sinks.export_misp(FD.cve_summary(t.findings), "run-1", sinks.observables(t.findings))
+    return rows.select(*[F.get_json_object("attribute", f"$.{c}").alias(c) for c in ("type", "value", "comment")])
+
+
 @query("export_stix", """SELECT 'vulnerability' AS type, cve AS name FROM fc GROUP BY cve""", "e det det_cves fd fc")
 def _(t):
     objects = sinks.export_stix(FD.cve_summary(t.findings), "run-1").filter("type = 'vulnerability'")

@@ -65,16 +65,42 @@ def stable_id(*parts: Column) -> Column:
     return F.concat(cut(1, 8), F.lit("-"), cut(9, 4), F.lit("-5"), cut(14, 3), F.lit("-a"), cut(18, 3), F.lit("-"), cut(21, 12))
 
 
-def export_stix(summary: DataFrame, run_id: str) -> DataFrame:
-    """(type, id, object): a vulnerability and an observed-data count for each CVE of a summary, sorted."""
+def observables(findings: DataFrame) -> DataFrame:
+    """(kind, value) of what findings were seen with, once each: ipv4-addr, ipv6-addr and uri-path. What is no address is left out.
+
+    These are raw values: exports hold them only where they are given.
+    """
+    ip = N.canonical_ip(F.col("source_ip"))
+    kind = F.when(ip.contains(":"), "ipv6-addr").otherwise("ipv4-addr")
+    addresses = findings.select(F.when(ip.isNotNull(), kind).alias("kind"), ip.alias("value"))
+    return addresses.unionByName(findings.select(F.lit("uri-path").alias("kind"), F.col("uri_path").alias("value"))).filter("value is not null").distinct()
+
+
+def export_stix(summary: DataFrame, run_id: str, seen: DataFrame | None = None) -> DataFrame:
+    """(type, id, object): a vulnerability and a note with its counts for each CVE of a summary, sorted by type and id.
+
+    ``seen`` (see ``observables``) adds an object a value. Ids follow from the contents, so the same run gives the same rows.
+    """
     vulnerability = F.concat(F.lit("vulnerability--"), stable_id(F.lit("vulnerability"), F.col("cve")))
     note = F.concat(F.lit("note--"), stable_id(F.lit("note"), F.lit(run_id), F.col("cve")))
     v = summary.select(F.lit("vulnerability").alias("type"), vulnerability.alias("id"), F.to_json(F.struct(F.lit("vulnerability").alias("type"), F.lit("2.1").alias("spec_version"), vulnerability.alias("id"), F.col("cve").alias("name"))).alias("object"))
-    n = summary.select(F.lit("note").alias("type"), note.alias("id"), F.to_json(F.struct(F.lit("note").alias("type"), F.lit("2.1").alias("spec_version"), note.alias("id"), F.concat(F.lit("matching requests: "), F.col("requests")).alias("content"), F.array(vulnerability).alias("object_refs"))).alias("object"))
-    return v.unionByName(n).orderBy("type", "id")
-
-
-def export_misp(summary: DataFrame, run_id: str) -> DataFrame:
-    """(uuid, attribute): one vulnerability attribute a CVE, sorted."""
+    counts = [F.col(c).alias(f"x_{c}") for c in ("detectability", "template_ids", "distinctive", "generic") if c in summary.columns]
+    n = summary.select(F.lit("note").alias("type"), note.alias("id"), F.to_json(F.struct(F.lit("note").alias("type"), F.lit("2.1").alias("spec_version"), note.alias("id"), F.concat(F.lit("matching requests: "), F.col("requests")).alias("content"), F.array(vulnerability).alias("object_refs"), F.col("requests").alias("x_requests"), *counts)).alias("object"))
+    out = v.unionByName(n)
+    if seen is not None:
+        kind = F.when(F.col("kind") == "uri-path", "x-uri-path").otherwise(F.col("kind"))
+        name = F.concat(kind, F.lit("--"), stable_id(kind, F.col("value")))
+        out = out.unionByName(seen.select(kind.alias("type"), name.alias("id"), F.to_json(F.struct(kind.alias("type"), F.lit("2.1").alias("spec_version"), name.alias("id"), F.col("value"))).alias("object")))
+    return out.orderBy("type", "id")
+
+
+def export_misp(summary: DataFrame, run_id: str, seen: DataFrame | None = None) -> DataFrame:
+    """(uuid, attribute): one vulnerability attribute a CVE and, with ``seen``, one a source address or path; sorted."""
     uuid = stable_id(F.lit("misp"), F.lit(run_id), F.col("cve"))
-    return summary.select(uuid.alias("uuid"), F.to_json(F.struct(uuid.alias("uuid"), F.lit("vulnerability").alias("type"), F.lit("External analysis").alias("category"), F.col("cve").alias("value"), F.concat(F.lit("requests="), F.col("requests")).alias("comment"))).alias("attribute")).orderBy("uuid")
+    attribute = lambda u, kind, category, value, comment: F.to_json(F.struct(u.alias("uuid"), kind.alias("type"), F.lit(category).alias("category"), value.alias("value"), comment.alias("comment")))
+    out = summary.select(uuid.alias("uuid"), attribute(uuid, F.lit("vulnerability"), "External analysis", F.col("cve"), F.concat(F.lit("requests="), F.col("requests"))).alias("attribute"))
+    if seen is not None:
+        kind = F.when(F.col("kind") == "uri-path", "uri").otherwise("ip-src")
+        mine = stable_id(F.lit("misp"), F.lit(run_id), kind, F.col("value"))
+        out = out.unionByName(seen.select(mine.alias("uuid"), attribute(mine, kind, "Network activity", F.col("value"), F.lit("seen with a match, which is no verdict")).alias("attribute")))
+    return out.orderBy("uuid")
