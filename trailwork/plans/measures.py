@@ -139,7 +139,7 @@ def _(t):
 
 
 @query("outcome_windows", """SELECT width, count(*) FILTER (able) AS eligible, count(*) FILTER (n < 20) AS below_floor, count(*) FILTER (n >= 20 AND known = 0) AS without_status, min(CASE WHEN able THEN ok * 1.0 / n END) AS min_2xx_share, arg_min(start, k2) FILTER (able) AS min_2xx_start, max(CASE WHEN able THEN bad * 1.0 / n END) AS max_5xx_share, arg_min(start, k5) FILTER (able) AS max_5xx_start, count(*) FILTER (able AND ok < 0.5 * n) AS below_threshold
-    FROM (SELECT *, n >= 20 AND known > 0 AS able, row_number() OVER (PARTITION BY width ORDER BY ok * 1.0 / n, start) AS k2, row_number() OVER (PARTITION BY width ORDER BY bad * 1.0 / n DESC, start) AS k5 FROM (SELECT width, CAST(floor(sec / width) AS BIGINT) * width AS start, count(*) AS n, count(status) AS known, count(*) FILTER (status BETWEEN 200 AND 299) AS ok, count(*) FILTER (status BETWEEN 500 AND 599) AS bad FROM e, (VALUES (60), (3600), (86400)) w(width) WHERE ts IS NOT NULL GROUP BY 1, 2)) GROUP BY 1""")
+    FROM (SELECT *, n >= 20 AND known > 0 AS able, row_number() OVER (PARTITION BY width ORDER BY ok * 1.0 / n, start) AS k2, row_number() OVER (PARTITION BY width ORDER BY bad * 1.0 / n DESC, start) AS k5 FROM (SELECT width, CAST(floor(sec / width) AS BIGINT) * width AS start, count(*) AS n, count(status) AS known, count(*) FILTER (status BETWEEN 200 AND 299) AS ok, count(*) FILTER (status BETWEEN 500 AND 599) AS bad FROM e, (VALUES (60), (600), (3600), (86400)) w(width) WHERE ts IS NOT NULL GROUP BY 1, 2)) GROUP BY 1""")
 def _(t):
     return C.outcome_windows(t.events)
 
