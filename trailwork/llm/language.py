@@ -228,19 +228,22 @@ class Model:
 
     def _rejoin(self, pieces: list[np.ndarray], was: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(phrases more than from the state ``was``, last state, whether both walks met) of each piece and language, from ``start``."""
-        fresh, on = self._fresh(), np.arange(len(pieces))
+        fresh, on, size = self._fresh(), np.arange(len(pieces)), np.array([len(p) for p in pieces])
+        grid = np.zeros((int(size.max()), len(size)), np.uint32)
+        for k, p in enumerate(pieces):
+            grid[: size[k], k] = p
         more, last, met = np.zeros(start.shape, np.int64), start.copy(), was == start
         was, state = was.copy(), start.copy()
-        for t in range(max(map(len, pieces))):
-            on = on[[t < len(pieces[i]) and not met[i].all() for i in on]]
+        for t, symbols in enumerate(grid):
+            on = on[(t < size[on]) & ~met[on].all(1)]
             if not len(on):
                 break
-            symbol = np.array([pieces[i][t] for i in on], np.uint32)
-            was[on], stop_was = self._step(was[on], symbol, fresh)
-            state[on], stop = self._step(state[on], symbol, fresh)
-            more[on] += np.where(met[on], 0, stop.astype(np.int64) - stop_was)
-            met[on] |= was[on] == state[on]
-            last[on] = state[on]
+            symbol = symbols[on]
+            old, old_stop = self._step(was[on], symbol, fresh)
+            new, new_stop = self._step(state[on], symbol, fresh)
+            more[on] += np.where(met[on], 0, new_stop.astype(np.int64) - old_stop)
+            met[on] |= old == new
+            was[on], state[on], last[on] = old, new, new
         return more, last, met
 
 
