@@ -31,3 +31,13 @@ def test_spelling_and_identifiers_are_worked_out_once(spark, tmp_path):
     plan = optimized(B.identifiers(events))
     # The template in both parts of the union, the identifiers of the path (each of a bare segment and one with an extension), those of the query.
     assert plan.count("[0-9A-Fa-f]{8}") == 2 * 2 + 2 + 1
+
+
+def test_only_requests_that_can_read_reach_python(spark, tmp_path):
+    from trailwork.operators import behaviour as B
+
+    row = ("192.0.2.1", "GET", "/a", "q=1", 200, 5)
+    spark.createDataFrame([row], "source_ip string, method string, uri_path string, uri_query string, status int, response_bytes long").selectExpr("*", "1L as event_id", "'h' as host", "current_timestamp() as ts").write.parquet(str(tmp_path / "events"))
+    plan = B.sql_reads(spark.read.parquet(str(tmp_path / "events")))._jdf.queryExecution().executedPlan().toString()
+    below = plan[plan.index("ArrowEvalPython") :]
+    assert "Filter" in below and "%25" in below[below.index("Filter") :]  # the test of what can be decoded stands below the function

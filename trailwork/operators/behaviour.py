@@ -301,20 +301,25 @@ def anomaly_sources(events: DataFrame) -> DataFrame:
     return rows.groupBy("source_ip").agg(F.countDistinct("event_id").alias("requests_with_features"), F.countDistinct("feature").alias("features")).orderBy(F.desc("requests_with_features"), "source_ip")
 
 
-def sql_reads(events: DataFrame) -> DataFrame:
-    """Requests with what their target and body read by size or by character, in a struct ``read`` (see ``read_request``).
-
-    The target is ``uri`` where the events have it, else put together. ``peer`` is (identity, source): the validated client,
-    else the observed peer, in canonical spelling. Requests that can't have one have a NULL kind without being decoded.
-    """
+def _read_texts(events: DataFrame) -> tuple[Column, Column, Column]:
+    """(target, body, whether a read can be in them): the target is ``uri`` where the events have it, else put together."""
     none = F.lit(None).cast("string")
     has = lambda c: F.col(c) if c in events.columns else none
     after = lambda mark, c: F.coalesce(F.concat(F.lit(mark), has(c)), F.lit(""))
     target, body = F.coalesce(has("uri"), F.concat("uri_path", after("?", "uri_query"), after("#", "uri_fragment"))), has("request_body")
-    possible = F.coalesce(may_hold_expression(target), F.lit(False)) | F.coalesce(may_hold_expression(body), F.lit(False))
+    return target, body, F.coalesce(may_hold_expression(target), F.lit(False)) | F.coalesce(may_hold_expression(body), F.lit(False))
+
+
+def sql_reads(events: DataFrame) -> DataFrame:
+    """Requests that may have a read by size or by character, with it in a struct ``read`` (see ``read_request``) and their ``peer``.
+
+    ``peer`` is (identity, source): the validated client, else the observed peer, in canonical spelling. Requests that can't
+    have one are left out before any text is decoded: a Python function is run on every row that reaches its plan.
+    """
+    target, body, possible = _read_texts(events)
+    content_type = F.col("content_type") if "content_type" in events.columns else F.lit(None).cast("string")
     # Nondeterministic only so that filters on the result don't run the function a second time.
-    read = F.when(possible, sql_read.asNondeterministic()(target, body, has("content_type")))
-    return events.withColumn("read", read).withColumn("peer", peer_key(events.columns))
+    return events.filter(possible).withColumn("read", sql_read.asNondeterministic()(target, body, content_type)).withColumn("peer", peer_key(events.columns))
 
 
 def _complete(reads: DataFrame, kind: str) -> DataFrame:
@@ -327,7 +332,9 @@ def read_outcomes(events: DataFrame) -> DataFrame:
     reads = sql_reads(events)
     whole = F.expr(" and ".join(f"{c} is not null" for c in ("peer", "method", "uri_path", "status", "response_bytes", "ts")))
     kind = F.coalesce("read.kind", F.lit("none"))
-    return reads.groupBy(F.when(kind.isin("size", "character") & ~whole, "incomplete").otherwise(kind).alias("kind")).agg(F.count("*").alias("requests"))
+    told = reads.select(F.when(kind.isin("size", "character") & ~whole, "incomplete").otherwise(kind).alias("kind"))
+    without = events.filter(~_read_texts(events)[2]).select(F.lit("none").alias("kind"))
+    return told.unionByName(without).groupBy("kind").agg(F.count("*").alias("requests"))
 
 
 SIZE_GROUP = ["host", "identity", "source", "method", "path", "status", "target_shape", "body_shape", "multiplier"]
