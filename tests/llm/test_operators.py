@@ -272,6 +272,16 @@ def test_bounds_never_lose_a_link():
         assert len(jaccard.unpack(jaccard.pack(a))) == len(a)
 
 
+def test_packed_arrays_lose_nothing():
+    rng = np.random.default_rng(2)
+    for n in [*range(0, 80), 255, 256, 257, 3000]:
+        grams = np.unique(rng.integers(0, (1 << 64) - 1, n, np.uint64, endpoint=True))
+        assert jaccard.unpack(jaccard.pack(grams)).tolist() == grams.tolist()
+    for grams in (np.arange(300, dtype=np.uint64), np.uint64((1 << 64) - 1) - np.arange(300, dtype=np.uint64)[::-1]):
+        assert jaccard.unpack(jaccard.pack(grams)).tolist() == grams.tolist()
+    assert len(jaccard.pack(np.unique(rng.integers(0, 1 << 63, 1000, np.uint64)))) < 7.25 * 1000
+
+
 def test_gram_sets_do_not_depend_on_neighbours():
     texts = [b"a b c d", None, b"", b" a\tB c ", b"x", b"a b c d"]
     together = jaccard.gram_sets(pa.array(texts, pa.binary()), 3, jaccard.Powers())
