@@ -170,6 +170,32 @@ def test_ranking_keeps_columns(spark):
     assert {(r.features, r.quality, r.draw) for r in scored.collect()} == {(1, 2, 3)}
 
 
+def test_ranking_learns_from_every_labelled_row(spark, monkeypatch):
+    n = 4300  # more of each label than the sample of 4,000 that once was drawn
+    texts = [f"good{i % 7} text {i}." if i % 2 else f"## bad{i % 5} $$ {i}" for i in range(2 * n)]
+    docs = documents(spark, texts).unionByName(documents(spark, texts[:50]))
+    marks = spark.createDataFrame([(i, i % 2, 0) for i in range(2 * n)], "doc_id long, quality int, toxic int")
+    seen = []
+    fit_rows = ranking.fit_rows
+    monkeypatch.setattr(ranking, "fit_rows", lambda rows: seen.append(rows.count()) or fit_rows(rows))
+    model = ranking.train(docs, marks)
+    assert seen == [2 * n] and ((ranking.features(pa.array(texts)) @ model.weights > model.threshold) == np.arange(2 * n) % 2).all()
+
+
+def test_ranking_fits_all_pairs_in_tasks(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(0, 1, (700, ranking.SIZE)).astype(np.float32)
+    good = x[:, 0] + rng.normal(0, 1, 700) > 0.5
+    rows = spark.createDataFrame([(r.tobytes(), int(g)) for r, g in zip(x, good, strict=True)], "features binary, quality int").repartition(5)
+    weights = ranking.fit_rows(rows)
+    assert np.allclose(weights, ranking.fit_pairs(x[good].astype(float), x[~good].astype(float)), atol=1e-6)
+    gap = (x[good] @ weights)[:, None] - (x[~good] @ weights)[None]
+    wrong = 1 / (1 + np.exp(gap))
+    scale = x.astype(float).std(0)
+    slope = (wrong.mean(0) @ x[~good] / (~good).sum() - wrong.mean(1) @ x[good] / good.sum()) / scale + ranking.RIDGE * weights * scale
+    assert np.abs(slope).max() < 2e-3  # over all pairs, one by one
+
+
 # infilling
 
 UNIT = re.compile(r"[A-Za-z]+|[^A-Za-z]")

@@ -2,9 +2,10 @@
 
 Of a pair of labelled documents, one good and one bad, the good one should win; the chance that it does is the logistic of
 the difference of the two scores. Scores are linear in features of the form of a text, so the loss is that of a logistic
-regression on feature differences, minimised by Newton's method over seeded pairs. Only differences are learned: where
-good begins is a quantile of the scores, at the share of bad labels, and a document's probability is that of winning
-against a document at this quantile.
+regression on feature differences, minimised by Newton's method over all pairs of all labelled documents. What a row adds
+depends on the other side's scores alone, so a round counts the scores in narrow bins and then adds up rows, not pairs.
+Only differences are learned: where good begins is a quantile of the scores, at the share of bad labels, and a document's
+probability is that of winning against a document at this quantile.
 
 Features are shares, so a text of any length is measured whole: bytes, pairs of classes of neighbouring bytes, lengths of
 words, and how much of its words and lines repeat. They are counted for a block of texts at once in numpy.
@@ -12,19 +13,19 @@ words, and how much of its words and lines repeat. They are counted for a block
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trailwork.llm.common import Powers, fold, span_hashes, text_blocks, word_spans
+from trailwork.llm.common import Powers, fold, in_order, materialize, slices, span_hashes, text_blocks, word_spans
 
-#: Labelled rows of each label in the training sample, and preference pairs made of them (documented bounds).
-PER_LABEL, PAIRS = 4_000, 24_000
-#: Pull of the weights towards 0, and rounds of Newton's method at most.
-RIDGE, ROUNDS = 1e-3, 25
+#: Pull of the weights towards 0, rounds of Newton's method at most, and the gain below which they end.
+RIDGE, ROUNDS, ENOUGH = 1e-3, 25, 1e-5
+#: Width of the bins in which scores are counted, and spans of them at most that the curvature tells apart.
+WIDTH, SPANS = 1 / 128, 64
 THRESHOLD = 0.5
 #: Bytes of text that are measured at once.
 BLOCK = 1 << 20
@@ -101,35 +102,145 @@ class Model:
         self.weights, self.threshold = weights, float(threshold)
 
 
-def fit_pairs(winners: np.ndarray, losers: np.ndarray, pairs: int = PAIRS, ridge: float = RIDGE, seed: int = 7) -> np.ndarray:
-    """Weights that minimise the mean logistic loss of score differences over seeded pairs, by Newton's method.
+class Chances:
+    """What all pairs of two score histograms say: the loss, each score's chance to be on the wrong side, and the curvature.
 
-    Every row is in as many pairs as any other of its side, one more or less.
+    Scores are counted in bins of ``WIDTH``, numbered from ``first`` on. The curvature takes bins together, ``SPANS`` at most,
+    and weighs all pairs of two such spans alike, so that it is that of a sum of squares whatever the spans are.
     """
-    rng = np.random.default_rng(seed)
-    pairs = min(pairs, len(winners) * len(losers))
-    deal = lambda k: np.concatenate([rng.permutation(k) for _ in range(-(-pairs // k))])[:pairs]
-    scale = np.maximum(np.concatenate([winners, losers]).std(0), 1e-3)
-    difference = (winners[deal(len(winners))] - losers[deal(len(losers))]) / scale
-    weights = np.zeros(difference.shape[1])
-    loss = np.log(2)
+
+    def __init__(self, first: int, good: np.ndarray, bad: np.ndarray):
+        n = len(good)
+        self.first, self.goods, self.bads = first, good.sum(), bad.sum()
+        apart = WIDTH * np.arange(1 - n, n)
+        beats = 1 / (1 + np.exp(-np.clip(apart, -500, 500)))
+        over = lambda counts, kernel: np.convolve(counts, kernel)[n - 1 : 2 * n - 1]
+        #: For each bin the share of bad rows that a good row there loses to, and of good rows that a bad row there beats.
+        self.wrong = np.stack([over(good, beats) / self.goods, 1 - over(bad, beats) / self.bads])
+        self.loss = float(good @ over(bad, np.logaddexp(0, -apart))) / self.goods / self.bads
+        self.span = max(int(0.25 / WIDTH), -(-n // SPANS))
+        starts = np.arange(0, n, self.span)
+        counts = np.stack([np.add.reduceat(bad, starts), np.add.reduceat(good, starts)])
+        gap = WIDTH * self.span * (np.arange(len(starts))[:, None] - np.arange(len(starts)))
+        p = 1 / (1 + np.exp(-np.clip(gap, -500, 500)))
+        self.curve = p * (1 - p)
+        self.bends = np.stack([self.curve @ counts[1] / self.goods, self.curve @ counts[0] / self.bads])
+
+    def sums(self, x: np.ndarray, bins: np.ndarray, good: np.ndarray) -> np.ndarray:
+        """Of a block of rows: squares by curvature, sums of each span of bad and of good rows, and the slope, one below the other."""
+        bins = bins - self.first
+        at, kind = bins // self.span, good.astype(np.int64)
+        share = np.where(good, 1 / self.goods, 1 / self.bads)
+        spans = np.zeros((2 * len(self.curve), x.shape[1]))
+        np.add.at(spans, kind * len(self.curve) + at, x * share[:, None])
+        slope = (np.where(good, -1, 1) * share * self.wrong[kind, bins]) @ x
+        return np.vstack([(x * (share * self.bends[kind, at])[:, None]).T @ x, spans, slope])
+
+    def slope_and_curve(self, summed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        d, k = summed.shape[1], len(self.curve)
+        mixed = summed[d + k : d + 2 * k].T @ self.curve @ summed[d : d + k]
+        return summed[-1], summed[:d] - mixed - mixed.T
+
+
+def fit(moments: np.ndarray, histogram: Callable, total: Callable, ridge: float = RIDGE) -> np.ndarray:
+    """Weights that minimise the mean logistic loss of score differences over all pairs of a good and a bad row, by Newton's method.
+
+    moments: count, sums and sums of squares of all rows. histogram(center, weights) gives the first bin and the counts of
+    good and bad rows' scores, total(center, weights, chances) the rows' sums of ``Chances.sums``.
+    """
+    n, center = moments[0, 0], moments[1] / moments[0, 0]
+    scale = np.maximum(np.sqrt(np.maximum(moments[2] / n - center**2, 0)), 1e-3)
+    weights = np.zeros(len(center))
+    now = Chances(*histogram(center, weights))
+    loss = now.loss
     for _ in range(ROUNDS):
-        p = 1 / (1 + np.exp(np.clip(difference @ weights, -30, 30)))  # the chance that the loser wins
-        slope = ridge * weights - difference.T @ p / pairs
-        curve = (difference * (p * (1 - p))[:, None]).T @ difference / pairs
+        slope, curve = now.slope_and_curve(total(center, weights / scale, now))
+        slope, curve = slope / scale + ridge * weights, curve / np.outer(scale, scale)
         curve[np.diag_indices_from(curve)] += ridge
         step = np.linalg.solve(curve, slope)
         size, new = 1.0, np.inf
         while size > 1e-3 and not new <= loss:  # halve the step while it leads up
             tried = weights - size * step
-            new = np.logaddexp(0, -(difference @ tried)).mean() + ridge / 2 * tried @ tried
+            chances = Chances(*histogram(center, tried / scale))
+            new = chances.loss + ridge / 2 * tried @ tried
             size /= 2
-        if not new < loss - 1e-7:
+        if not new < loss:
+            break
+        better, weights, loss, now = loss - new, tried, new, chances
+        if better < ENOUGH:
             break
-        weights, loss = tried, new
     return weights / scale
 
 
+def _bins(x: np.ndarray, center: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """The bins of the rows' scores; row by row sums, so that a row has the same bin wherever it stands."""
+    return np.floor(((x - center) * weights).sum(1) / WIDTH).astype(np.int64)
+
+
+def _moments(x: np.ndarray) -> np.ndarray:
+    return np.stack([np.full(x.shape[1], float(len(x))), x.sum(0), (x * x).sum(0)])
+
+
+def _counts(bins: np.ndarray, good: np.ndarray, n: np.ndarray) -> tuple[int, np.ndarray, np.ndarray]:
+    first = int(bins.min())
+    width = int(bins.max()) - first + 1
+    one = lambda of: np.bincount(bins[of] - first, n[of], width)
+    return first, one(good), one(~good)
+
+
+def fit_pairs(winners: np.ndarray, losers: np.ndarray, ridge: float = RIDGE) -> np.ndarray:
+    """``fit`` of rows in memory."""
+    x, good = np.concatenate([winners, losers]), np.arange(len(winners) + len(losers)) < len(winners)
+    histogram = lambda center, weights: _counts(_bins(x, center, weights), good, np.ones(len(x)))
+    return fit(_moments(x), histogram, lambda center, weights, chances: chances.sums(x - center, _bins(x, center, weights), good), ridge)
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    for b in slices(batches):
+        x = np.frombuffer(b"".join(b.column("features").to_pylist()), np.float32).reshape(-1, SIZE).astype(np.float64)
+        yield x, b.column("quality").to_numpy() == 1
+
+
+def fit_rows(rows: DataFrame) -> np.ndarray | None:
+    """``fit`` of a written table of features and quality (0 or 1), all rows of it; None unless both occur.
+
+    Each round tasks count their rows' scores and add up their rows' sums; Spark adds the tasks' sums, each of their fixed
+    number of rows by itself and in the order of the tasks, and the driver holds one sum.
+    """
+
+    def summed(work: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> np.ndarray:
+        def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            from pyspark import TaskContext
+
+            total = 0
+            for x, good in _blocks(batches):
+                total = total + work(x, good)
+            if np.ndim(total):
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total), dtype=np.int32)), pa.array(np.full(len(total), TaskContext.get().partitionId(), np.int32)), pa.array([r.tobytes() for r in total], pa.binary())], names=["slot", "task", "sums"])
+
+        def add(table: pa.Table) -> pa.Table:
+            total = np.zeros(SIZE)
+            for r in table.sort_by("task").column("sums").to_pylist():
+                total += np.frombuffer(r, np.float64)
+            return pa.table({"slot": table.column("slot")[:1], "sums": pa.array([total.tobytes()], pa.binary())})
+
+        found = rows.mapInArrow(parts, "slot int, task int, sums binary").groupBy("slot").applyInArrow(add, "slot int, sums binary").toArrow().sort_by("slot")  # some 600 rows
+        return np.array([np.frombuffer(r, np.float64) for r in found.column("sums").to_pylist()])
+
+    def histogram(center: np.ndarray, weights: np.ndarray) -> tuple[int, np.ndarray, np.ndarray]:
+        def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for x, good in _blocks(batches):
+                (bins, kinds), n = np.unique(np.stack([_bins(x, center, weights), good]), axis=1, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(bins), pa.array(kinds == 1), pa.array(n)], names=["bin", "good", "n"])
+
+        found = rows.mapInArrow(count, "bin long, good boolean, n long").groupBy("bin", "good").agg(F.sum("n").alias("n")).toArrow()  # 128 bins a unit of score
+        return _counts(found.column("bin").to_numpy(), found.column("good").to_numpy(), found.column("n").to_numpy().astype(np.float64))
+
+    if {r.quality for r in rows.select("quality").distinct().collect()} != {0, 1}:
+        return None
+    return fit(summed(lambda x, good: _moments(x)), histogram, lambda center, weights, chances: summed(lambda x, good: chances.sums(x - center, _bins(x, center, weights), good)))
+
+
 def quantile(scores: np.ndarray, weights: np.ndarray, share: float) -> float:
     """The score below which ``share`` of the weight lies, halfway between the two scores that border it."""
     order = np.argsort(scores)
@@ -139,44 +250,45 @@ def quantile(scores: np.ndarray, weights: np.ndarray, share: float) -> float:
 
 
 def with_features(docs: DataFrame, out: str = "features") -> DataFrame:
-    """Add the features of the whole text as 64-bit floats in a binary column."""
+    """Add the features of the whole text as 32-bit floats in a binary column."""
 
     @F.arrow_udf("binary")
     def measured(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         powers = Powers()
         for texts in batches:
-            yield pa.array([row.tobytes() for lo in range(0, len(texts), 1000) for row in features(texts[lo : lo + 1000], powers)], pa.binary())
+            yield pa.array([row.tobytes() for lo in range(0, len(texts), 1000) for row in features(texts[lo : lo + 1000], powers).astype(np.float32)], pa.binary())
 
     return docs.withColumn(out, measured.asNondeterministic()(F.col("text")))
 
 
-def train(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL, pairs: int = PAIRS) -> Model | None:
-    """Learn from labels of ``quality`` (0 or 1; a document with several labels takes the higher); None unless both occur.
+def train(docs: DataFrame, labels: DataFrame) -> Model | None:
+    """Learn from all labels of ``quality`` (0 or 1; a document with several labels takes the higher); None unless both occur.
 
-    At most ``per_label`` documents a label, drawn by a seeded hash, are measured, each whole; only their features reach the driver.
+    The features of every labelled document are written once (2 kB each); rounds read them, and so do the scores whose order
+    gives the threshold.
     """
     marks = labels.filter("quality in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    known = {r.quality: r.n for r in marks.groupBy("quality").agg(F.count("*").alias("n")).collect()}
-    if len(known) < 2:
+    if marks.select("quality").distinct().count() < 2:
         return None
-    draw = F.xxhash64("doc_id")
-    # An expected share a little above what is wanted, then cut to it: at most 2 x per_label ids.
-    share = F.create_map(*[F.lit(x) for k, n in known.items() for x in (k, min(1.0, 1.2 * per_label / n))])
-    offered = marks.filter(F.pmod(draw, F.lit(1 << 30)) / float(1 << 30) < share[F.col("quality")]).withColumn("draw", draw)
-    chosen = [r for q in (0, 1) for r in offered.filter(F.col("quality") == q).orderBy("draw", "doc_id").limit(per_label).collect()]
-    wanted = F.broadcast(docs.sparkSession.createDataFrame([(r.doc_id, r.quality) for r in chosen], "doc_id long, quality int"))
+    # Labels grow with the documents, so they aren't broadcast at any size.
+    rows = docs.filter("text is not null").select("doc_id", "text").join(marks.hint("merge"), "doc_id")
     # A document that is there more than once counts once.
-    rows = docs.filter("text is not null").select("doc_id", "text").join(wanted, "doc_id")
-    found = with_features(rows).groupBy("doc_id", "quality").agg(F.min("features").alias("features")).toArrow()  # 4 kB a row
-    x = np.array([np.frombuffer(b, np.float64) for b in found.column("features").to_pylist()]).reshape(-1, SIZE)
-    order = np.argsort(found.column("doc_id").to_numpy())
-    x, good = x[order], found.column("quality").to_numpy()[order] == 1
-    if not good.any() or good.all():
+    found = with_features(rows).groupBy("doc_id", "quality").agg(F.min("features").alias("features"))
+    found = materialize(found.select("doc_id", F.col("quality").cast("int").alias("quality"), "features").sortWithinPartitions("doc_id"), "ranking-features")
+    weights = fit_rows(found)
+    if weights is None:
         return None
-    weights = fit_pairs(x[good], x[~good], pairs)
-    scores = x @ weights
-    weight = np.where(good, known[1] / good.sum(), known[0] / (~good).sum())
-    return Model(weights, quantile(scores, weight, known[0] / (known[0] + known[1])))
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x, _ in _blocks(batches):
+            yield pa.RecordBatch.from_arrays([pa.array((x * weights).sum(1))], names=["score"])
+
+    bad = found.filter("quality = 0").count()
+    # Copies have equal scores; any order of theirs parts them between tasks.
+    scores = found.mapInArrow(score, "score double").withColumn("tie", F.monotonically_increasing_id())
+    placed = in_order(scores, ["score", "tie"], "ranking-order")
+    border = [r.score for r in placed.filter(F.col("place").isin(bad - 1, bad)).select("score").collect()]  # two rows
+    return Model(weights, quantile(np.array(border), np.ones(2), 0.5))
 
 
 def with_quality(docs: DataFrame, model: Model | None, out: str = "quality_score") -> DataFrame:
