@@ -41,3 +41,23 @@ def test_only_requests_that_can_read_reach_python(spark, tmp_path):
     plan = B.sql_reads(spark.read.parquet(str(tmp_path / "events")))._jdf.queryExecution().executedPlan().toString()
     below = plan[plan.index("ArrowEvalPython") :]
     assert "Filter" in below and "%25" in below[below.index("Filter") :]  # the test of what can be decoded stands below the function
+
+
+def test_a_cloudfront_line_is_looked_up_once(spark, tmp_path):
+    rows = [("f", 1, "#Fields: date time c-ip cs-method"), ("f", 2, "2023-01-01\t00:00:01\t192.0.2.1\tGET")]
+    spark.createDataFrame(rows, "input_file string, line_number long, line string").write.parquet(str(tmp_path / "lines"))
+    events, errors = logs.split_errors(logs.parse_cloudfront(spark.read.parquet(str(tmp_path / "lines"))))
+    for plan in (optimized(events), optimized(errors), optimized(events.filter(F.col("status") == 200).select("uri_path"))):
+        assert plan.count("map_from_arrays") == 1
+        assert plan.count("try_element_at") + plan.count("element_at(") <= 2 * 15  # each field once, however it is printed
+    assert [(r.source_ip, r.method) for r in events.collect()] == [("192.0.2.1", "GET")]
+
+
+def test_identifiers_of_entries_are_worked_out_once(spark, tmp_path):
+    from trailwork.operators import behaviour as B
+
+    row = (1, "192.0.2.1", "GET", "h", "/a/7", "id=5", 200, 5)
+    spark.createDataFrame([row], "event_id long, source_ip string, method string, host string, uri_path string, uri_query string, status int, response_bytes long").selectExpr("*", "current_timestamp() as ts").write.parquet(str(tmp_path / "events"))
+    access = B.identifier_access(spark.read.parquet(str(tmp_path / "events")))
+    assert "[0-9A-Fa-f]{8}" not in optimized(access)  # they were written; what follows reads them
+    assert sorted(r.position for r in access.collect()) == ["path:2", "query:id"]

@@ -12,7 +12,7 @@ from trailwork.functions import network as N
 from trailwork.functions import web as W
 from trailwork.functions.expressions import may_hold_expression, sql_read
 from trailwork.functions.spelling import features
-from trailwork.functions.tables import once, small
+from trailwork.functions.tables import once, small, written
 from trailwork.operators.ordering import with_previous
 
 #: Public conventions, which never count as probes.
@@ -233,7 +233,7 @@ def identifier_access(events: DataFrame, min_ids: int = 1) -> DataFrame:
     """
     s = F.col("status")
     ok = s.between(200, 299)
-    rows = entry_identifiers(events)
+    rows = written(entry_identifiers(events), "identifiers")  # read five times below
     got = {"answered": ok | s.between(400, 599), "redirected": s.between(100, 199) | s.between(300, 399), "odd": ~s.between(100, 599)}
     by_size = _with_pairs(rows).withColumn("size", F.when(ok, F.col("response_bytes"))).groupBy(*ENTRY, "value", "size").agg(
         F.count("*").alias("n"), *[F.bool_or(F.coalesce(c, F.lit(False))).alias(k) for k, c in got.items()], F.count("status").alias("known"), F.count("ts").alias("dated"),
